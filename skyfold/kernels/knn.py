@@ -2,10 +2,11 @@
 
 * Coincident targets are limited to the ``k + 1`` smallest ids, which cannot
   change any answer and bounds a pile of copies.
-* The cell size is chosen per key and halved until no cell holds more than
-  ``max_cell`` targets, so a dense spot never becomes one quadratic group.
-* Round 0 joins each query with its 3^d cells.  A query is final once its k-th
-  distance is inside the part of space the block covers.
+* The cell size is chosen per key and halved until no tile of cells (with its
+  one-cell rim) holds more than ``max_tile`` targets, so a dense spot never
+  becomes one large group; tiles with many queries are salted.
+* Round 0 meets each tile of queries with its targets and rim in one vectorised
+  task.  A query is final once its k-th distance is inside the covered box.
 * Unresolved queries meet wider blocks of *cell counts* first; only cells that
   can still hold a neighbour are joined with their points.
 """
@@ -16,6 +17,9 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyfold.session import cut, once
@@ -27,6 +31,46 @@ def _cells(df: DataFrame, sizes: DataFrame, keys: list[str], dims: list[str], na
     )
 
 
+def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bool, keys: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
+    """Nearest targets of the queries of one tile; rank 0 marks a query that needs a wider look."""
+    q = q.reset_index(drop=True)
+    t = t.sort_values("_tid", kind="stable").reset_index(drop=True)
+    xs, ts = q[[f"_p{i}" for i in range(d)]].to_numpy(float), t[[f"_t{i}" for i in range(d)]].to_numpy(float)
+    n, m = len(q), len(t)
+    qid, tid = q["_qid"].to_numpy(), t["_tid"].to_numpy()
+    safe, whole = q["_safe"].to_numpy(float), q["_whole"].to_numpy(bool)
+    final = whole.copy() if m == 0 else np.zeros(n, bool)
+    rows, cols, dist, rank = [], [], [], []
+    step = max(1, 200_000 // max(m, 1))
+    for lo in range(0, n if m else 0, step):
+        hi = min(n, lo + step)
+        d2 = np.zeros((hi - lo, m))
+        for i in range(d):
+            d2 += (xs[lo:hi, i][:, None] - ts[:, i][None, :]) ** 2
+        if exclude_self:
+            d2[qid[lo:hi][:, None] == tid[None, :]] = np.inf
+        far = d2.min(axis=1) if k == 1 else np.partition(d2, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
+        r, c = np.nonzero((d2 <= far[:, None]) & np.isfinite(d2))
+        v = d2[r, c]
+        order = np.lexsort((c, v, r))
+        r, c, v = r[order], c[order], v[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        got = np.bincount(r, minlength=hi - lo)
+        ok = whole[lo:hi] | ((got >= k) & np.isfinite(far) & (np.sqrt(far) <= safe[lo:hi]))
+        final[lo:hi] = ok
+        keep = (place < k) & ok[r]
+        rows.append(r[keep] + lo), cols.append(c[keep]), dist.append(v[keep]), rank.append(place[keep] + 1)
+    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    r, c = cat(rows, int), cat(cols, int)
+    out = q.loc[r, [*keys, "_qid"]].reset_index(drop=True)
+    out["_d2"], out["_tid"], out["rank"] = cat(dist, float), tid[c], cat(rank, int)
+    for e in extra:
+        out[e] = t[e].to_numpy()[c]
+    left = q.loc[~final, [*keys, "_qid"]].copy()
+    left["rank"] = 0
+    return pd.concat([out, left.reindex(columns=out.columns)], ignore_index=True)[columns] if len(left) else out[columns]
+
+
 def _blocks(df: DataFrame, axes: list[str]) -> DataFrame:
     """Repeat each row for the 3^d cells around it; ``axes`` become the neighbour cells."""
     around = F.array(
@@ -55,6 +99,45 @@ def _min_all(cols: list[Column]) -> Column:
     return F.least(*cols) if len(cols) > 1 else cols[0]
 
 
+def _with_rim(placed: DataFrame, axes: list[str], tiles: list[str], side: int) -> DataFrame:
+    """Targets repeated for every tile whose box, widened by one cell, holds them."""
+    out = placed
+    for a, w in zip(axes, tiles):
+        near = F.array_distinct(F.array(*[F.floor((F.col(a) + s) / F.lit(side)) for s in (-1, 0, 1)]))
+        out = out.withColumn(w, F.explode(near))
+    return out
+
+
+def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, k, exclude_self, extra, bounds):
+    """Round 0: final neighbours per tile and the queries that need more."""
+    d = len(dims)
+    q = todo
+    for i, w in enumerate(tiles):
+        q = q.withColumn(w, F.floor(F.col(f"_q{i}") / F.lit(side)))
+    lo = [(F.col(w) * side - 1) * F.col("_c") for w in tiles]
+    hi = [((F.col(w) + 1) * side + 1) * F.col("_c") for w in tiles]
+    inside = [F.least(F.col(c) - a, b - F.col(c)) for c, a, b in zip(dims, lo, hi)]
+    whole = [(F.col(w) * side - 1 <= F.col(f"_lo{i}")) & ((F.col(w) + 1) * side >= F.col(f"_hi{i}")) for i, w in enumerate(tiles)]
+    q = q.select(*keys, *tiles, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)], _min_all(inside).alias("_safe"), reduce(lambda x, y: x & y, whole).alias("_whole"))
+    busy = q.groupBy(*keys, *tiles).agg(F.ceil(F.count(F.lit(1)) / 4096).alias("_salts")).filter("_salts > 1")
+    q = q.join(busy, keys + tiles, "left").withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    t = rim.select(*keys, *tiles, "_tid", *td, *extra).join(busy, keys + tiles, "left")
+    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    t = t.select(*[F.col(c).alias(c) for c in t.columns])
+    types = {f.name: f.dataType.simpleString() for f in t.schema} | {f.name: f.dataType.simpleString() for f in q.schema}
+    columns = [*keys, "_qid", "_d2", "_tid", "rank", *extra]
+    schema = ", ".join(f"{c} {'double' if c == '_d2' else 'int' if c == 'rank' else types[c]}" for c in columns)
+    group = keys + tiles + ["_salt"]
+
+    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _rank_tile(left, right, d, k, exclude_self, keys, extra, columns)
+
+    hits = cut(q.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(task, schema))
+    good = hits.filter("rank > 0").select(*keys, "_qid", "_tid", "rank", F.sqrt("_d2").alias("distance"), *extra)
+    more = todo.join(hits.filter("rank = 0").select(*keys, "_qid"), keys + ["_qid"], "left_semi")
+    return [good], cut(more)
+
+
 def knn(
     queries: DataFrame,
     targets: DataFrame,
@@ -65,7 +148,7 @@ def knn(
     tid: str = "point_id",
     exclude_self: bool = False,
     carry: Sequence[str] = (),
-    max_cell: int = 128,
+    max_tile: int = 4096,
 ) -> DataFrame:
     """Rows ``keys, qid, neighbour, rank, distance`` plus carried target columns.
 
@@ -87,17 +170,19 @@ def knn(
     widest = F.greatest(*span) if d > 1 else span[0]
     floor_ = F.greatest(widest * 1e-3, F.lit(1e-9))
     vol = reduce(lambda a, b: a * b, [F.greatest(s, floor_) for s in span])
-    per = max(1.0, 3.0 * need / 3**d)
+    per = 0.5 * need + 0.5
+    side = max(2, round((300.0 / per) ** (1.0 / d)))
     sizes = cut(
         targets.select(*keys, *[F.col(c).alias(t) for c, t in zip(dims, td)])
         .groupBy(*keys)
         .agg(F.pow(vol * per / F.count(F.lit(1)), 1.0 / d).alias("_c"))
     )
-    limit = max(max_cell, 4 * need)
+    limit = max(max_tile, 4 * need)
+    tiles = [f"_w{i}" for i in range(d)]
     while True:
         placed = cut(_cells(tgt, sizes, keys, td, axes))
-        full = placed.groupBy(*keys, *axes).count().groupBy(*keys).agg(F.max("count").alias("_m"))
-        crowded = full.filter(F.col("_m") > limit)
+        rim = _with_rim(placed, axes, tiles, side)
+        crowded = rim.groupBy(*keys, *tiles).count().groupBy(*keys).agg(F.max("count").alias("_m")).filter(F.col("_m") > limit)
         if crowded.isEmpty():
             break
         sizes = cut(
@@ -117,9 +202,9 @@ def knn(
     bounds = [c for c in reach.columns if c not in keys]
     d2 = sum((F.col(q) - F.col(t)) * (F.col(q) - F.col(t)) for q, t in zip(dims, td))
     not_self = (F.col("_tid") != F.col("_qid")) if exclude_self else F.lit(True)
-    done: list[DataFrame] = []
-    shift = 0
-    while True:
+    done, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, k, exclude_self, extra, bounds)
+    shift = 1
+    while not todo.isEmpty():
         step = 2**shift
         home = todo
         for i, a in enumerate(axes):
@@ -129,26 +214,23 @@ def knn(
         whole = [((F.col(a) - 1) * step <= F.col(f"_lo{i}")) & ((F.col(a) + 2) * step > F.col(f"_hi{i}")) for i, a in enumerate(axes)]
         home = home.withColumn("_safe", _min_all(inside)).withColumn("_whole", reduce(lambda p, q: p & q, whole))
         asked = _blocks(home.drop(*[f"_q{i}" for i in range(d)], *bounds), axes)
-        if shift == 0:
-            pairs = asked.join(tgt, keys + axes)
-        else:
-            fine = [f"_f{i}" for i in range(d)]
-            summary = cells.select(
-                *keys, "_cn", *[F.col(a).alias(f) for a, f in zip(axes, fine)], *[F.floor(F.col(a) / F.lit(step)).alias(a) for a in axes]
-            )
-            near = asked.join(summary, keys + axes).drop(*axes)
-            edge = [(F.col(f) * F.col("_c") - F.col(q), F.col(q) - (F.col(f) + 1) * F.col("_c")) for f, q in zip(fine, dims)]
-            least2 = sum(F.pow(F.greatest(a, b, F.lit(0.0)), 2) for a, b in edge)
-            most2 = sum(F.pow(F.greatest(-a, -b), 2) for a, b in edge)
-            w = Window.partitionBy(*keys, "_qid").orderBy("_most", *fine).rowsBetween(Window.unboundedPreceding, 0)
-            near = (
-                near.withColumn("_least", least2)
-                .withColumn("_most", most2)
-                .withColumn("_seen", F.sum("_cn").over(w))
-                .withColumn("_enough", F.min(F.when(F.col("_seen") >= need, F.col("_most"))).over(Window.partitionBy(*keys, "_qid")))
-                .filter(F.col("_enough").isNull() | (F.col("_least") <= F.col("_enough") * (1 + 1e-9)))
-            )
-            pairs = near.select(*keys, "_qid", *dims, "_c", "_safe", "_whole", *[F.col(f).alias(a) for f, a in zip(fine, axes)]).join(tgt, keys + axes)
+        fine = [f"_f{i}" for i in range(d)]
+        summary = cells.select(
+            *keys, "_cn", *[F.col(a).alias(f) for a, f in zip(axes, fine)], *[F.floor(F.col(a) / F.lit(step)).alias(a) for a in axes]
+        )
+        near = asked.join(summary, keys + axes).drop(*axes)
+        edge = [(F.col(f) * F.col("_c") - F.col(q), F.col(q) - (F.col(f) + 1) * F.col("_c")) for f, q in zip(fine, dims)]
+        least2 = sum(F.pow(F.greatest(a, b, F.lit(0.0)), 2) for a, b in edge)
+        most2 = sum(F.pow(F.greatest(-a, -b), 2) for a, b in edge)
+        w = Window.partitionBy(*keys, "_qid").orderBy("_most", *fine).rowsBetween(Window.unboundedPreceding, 0)
+        near = (
+            near.withColumn("_least", least2)
+            .withColumn("_most", most2)
+            .withColumn("_seen", F.sum("_cn").over(w))
+            .withColumn("_enough", F.min(F.when(F.col("_seen") >= need, F.col("_most"))).over(Window.partitionBy(*keys, "_qid")))
+            .filter(F.col("_enough").isNull() | (F.col("_least") <= F.col("_enough") * (1 + 1e-9)))
+        )
+        pairs = near.select(*keys, "_qid", *dims, "_c", "_safe", "_whole", *[F.col(f).alias(a) for f, a in zip(fine, axes)]).join(tgt, keys + axes)
         pairs = pairs.filter(not_self).withColumn("_d2", d2)
         found = _nearest(pairs, keys, k, extra, ["_safe", "_whole"])
         if k == 1:
@@ -163,9 +245,7 @@ def knn(
         settled = good.select(*keys, "_qid").distinct()
         stuck = home.filter(~F.col("_whole")).drop(*axes, "_safe", "_whole").join(settled, keys + ["_qid"], "left_anti")
         todo = cut(stuck)
-        if todo.isEmpty():
-            break
-        shift += 1 if shift == 0 else 2
+        shift += 2
     out = reduce(DataFrame.unionByName, done)
     return out.select(
         *keys,

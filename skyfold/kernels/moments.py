@@ -7,12 +7,18 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from skyfold.session import once
 
 
-@pandas_udf("struct<scale double, r array<double>>")
+_ARRAY = T.ArrayType(T.DoubleType())
+_FIT = T.StructType([T.StructField("scale", T.DoubleType()), T.StructField("r", _ARRAY)])
+_EIGEN = T.StructType([T.StructField("values", _ARRAY), T.StructField("vectors", _ARRAY)])
+
+
+@pandas_udf(_FIT)
 def similarity_from_moments(m: pd.Series) -> pd.DataFrame:
     """Scale and rotation from ``[9 cross-covariances dst x src, variance of src]``."""
     a = np.stack(m.to_numpy()) if len(m) else np.zeros((0, 10))
@@ -27,7 +33,7 @@ def similarity_from_moments(m: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"scale": scale, "r": list(r.reshape(-1, 9))})
 
 
-@pandas_udf("struct<values array<double>, vectors array<double>>")
+@pandas_udf(_EIGEN)
 def eigen_sym3(m: pd.Series) -> pd.DataFrame:
     """Ascending eigenvalues and row-wise eigenvectors of symmetric ``[xx,xy,xz,yy,yz,zz]``."""
     a = np.stack(m.to_numpy()) if len(m) else np.zeros((0, 6))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from skyfold.plans.registry import QUERIES, SQL
 
-FAMILIES = ["q_telemetry"]
+FAMILIES = ["q_telemetry", "q_cloud", "q_mesh"]
 for _name in FAMILIES:
     import_module(f"skyfold.plans.{_name}")
 

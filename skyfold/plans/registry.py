@@ -13,6 +13,9 @@ from skyfold.plans import derive
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Keeps values such as k/128 off the rounding border, where the last bit would decide.
+OFF_HALF = 1.234e-9
+
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6):
     """Register ``fn(tables) -> DataFrame``; ``doubles`` names the columns rounded for comparison."""
@@ -22,7 +25,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(derive.Tables(spark, sf_dir))
             return df.select(
-                *[(F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns]
+                *[(F.round(F.col(c).cast("double") + F.lit(OFF_HALF), digits) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns]
             )
 
         if name in QUERIES:
@@ -48,7 +51,9 @@ def full_sql(sql: str, cols: list[str], digits: int = 6) -> str:
     need(sql)
     body = sql.strip().rstrip(";")
     if cols:
-        rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0e0 AS {c}" for c in cols)
+        rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + {OFF_HALF!r}, {digits}) + 0.0e0 AS {c}" for c in cols)
         body = f"SELECT * REPLACE ({rounded}) FROM (\n{body}\n) AS _result"
+    elif needed:
+        body = f"SELECT * FROM (\n{body}\n) AS _result"
     ctes = ",\n".join(f"{t} AS ({derive.SQL_TABLES[t].strip()})" for t in needed)
     return f"WITH {ctes}\n{body}" if ctes else body
