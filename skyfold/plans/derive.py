@@ -62,7 +62,7 @@ class Tables:
             "mission_id",
             F.col("source_row").alias("frame_num"),
             F.element_at(F.array(*[F.lit(c) for c in CONDITIONS]), (F.col("event_id") % 9 + 1).cast("int")).alias("condition"),
-            (F.col("value") / 491).alias("score"),
+            F.least(F.col("value") / 20, F.lit(1.0)).alias("score"),
         )
 
     @cached_property
@@ -259,7 +259,7 @@ class Tables:
 
 # Names used by the rules.
 CLASSES = ["ground", "structure", "roof", "wall", "vegetation", "water", "vehicle", "unclassified"]
-CONDITIONS = ["fog", "rain", "dust", "smoke", "low_light", "glare", "blur", "shadow", "haze"]
+CONDITIONS = ["fog_haze", "smoke_dust", "lowlight", "motion_blur", "sun_glare", "strong_shadows", "lens_artifacts", "cloud_cover", "rain_streaks"]
 STAGES = ["frames", "sparse", "depth", "dense", "georef", "mesh", "texture"]
 EVENT_STATE = {"view": "READY", "click": "QUEUED", "signup": "RUNNING", "purchase": "COMPLETED", "error": "FAILED"}
 
@@ -281,7 +281,7 @@ SQL_TABLES = {
   (event_id*37%100)/100.0e0 AS blur, (event_id*53%100)/100.0e0 AS sharpness, (event_id*71%100)/100.0e0 AS exposure,
   (event_id*13%20)/100.0e0 AS motion, (event_id*48271)%2147483647 AS phash
 FROM event_rows WHERE event_type IN ('click','view')""",
-    "detections": f"""SELECT mission_id, source_row AS frame_num, {_case('event_id%9', CONDITIONS)} AS condition, value/491 AS score FROM event_rows""",
+    "detections": f"""SELECT mission_id, source_row AS frame_num, {_case('event_id%9', CONDITIONS)} AS condition, least(value/20,1.0e0) AS score FROM event_rows""",
     "points": """SELECT l_suppkey%8 AS mission_id,
   (l_orderkey*8+l_linenumber)*100000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
      ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS point_id,
