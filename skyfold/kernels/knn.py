@@ -31,35 +31,50 @@ def _cells(df: DataFrame, sizes: DataFrame, keys: list[str], dims: list[str], na
     )
 
 
-def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bool, keys: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
-    """Nearest targets of the queries of one tile; rank 0 marks a query that needs a wider look."""
+def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exclude_self: bool, keys: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
+    """Nearest targets of the queries of one tile, block by block of ``inner`` cells with a one-cell rim.
+
+    Rank 0 marks a query that needs a wider look.
+    """
     q = q.reset_index(drop=True)
     t = t.sort_values("_tid", kind="stable").reset_index(drop=True)
     xs, ts = q[[f"_p{i}" for i in range(d)]].to_numpy(float), t[[f"_t{i}" for i in range(d)]].to_numpy(float)
     n, m = len(q), len(t)
     qid, tid = q["_qid"].to_numpy(), t["_tid"].to_numpy()
-    safe, whole = q["_safe"].to_numpy(float), q["_whole"].to_numpy(bool)
+    whole = q["_whole"].to_numpy(bool)
+    size = float(q["_c"].iloc[0]) if n else 1.0
     final = whole.copy() if m == 0 else np.zeros(n, bool)
     rows, cols, dist, rank = [], [], [], []
-    step = max(1, 200_000 // max(m, 1))
-    for lo in range(0, n if m else 0, step):
-        hi = min(n, lo + step)
-        d2 = np.zeros((hi - lo, m))
-        for i in range(d):
-            d2 += (xs[lo:hi, i][:, None] - ts[:, i][None, :]) ** 2
-        if exclude_self:
-            d2[qid[lo:hi][:, None] == tid[None, :]] = np.inf
-        far = d2.min(axis=1) if k == 1 else np.partition(d2, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
-        r, c = np.nonzero((d2 <= far[:, None]) & np.isfinite(d2))
-        v = d2[r, c]
-        order = np.lexsort((c, v, r))
-        r, c, v = r[order], c[order], v[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        got = np.bincount(r, minlength=hi - lo)
-        ok = whole[lo:hi] | ((got >= k) & np.isfinite(far) & (np.sqrt(far) <= safe[lo:hi]))
-        final[lo:hi] = ok
-        keep = (place < k) & ok[r]
-        rows.append(r[keep] + lo), cols.append(c[keep]), dist.append(v[keep]), rank.append(place[keep] + 1)
+    sub = np.floor_divide(q[[f"_q{i}" for i in range(d)]].to_numpy(), inner)
+    order = np.lexsort(sub.T[::-1])
+    cuts = np.flatnonzero(np.r_[True, (np.diff(sub[order], axis=0) != 0).any(1)]) if n else []
+    for group in np.split(order, cuts[1:]) if n and m else []:
+        lo = (sub[group[0]] * inner - 1) * size
+        hi = ((sub[group[0]] + 1) * inner + 1) * size
+        near = np.flatnonzero(((ts >= lo) & (ts < hi)).all(1))
+        if not len(near):
+            continue
+        step = max(1, 400_000 // len(near))
+        for part in (group[a : a + step] for a in range(0, len(group), step)):
+            x = xs[part]
+            safe = np.minimum(x - lo, hi - x).min(1)
+            d2 = np.zeros((len(part), len(near)))
+            for i in range(d):
+                d2 += (x[:, i][:, None] - ts[near, i][None, :]) ** 2
+            if exclude_self:
+                d2[qid[part][:, None] == tid[near][None, :]] = np.inf
+            w = min(k, len(near))
+            far = d2.min(axis=1) if w == 1 else np.partition(d2, w - 1, axis=1)[:, w - 1]
+            r, c = np.nonzero((d2 <= far[:, None]) & np.isfinite(d2))
+            v = d2[r, c]
+            o = np.lexsort((c, v, r))
+            r, c, v = r[o], c[o], v[o]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            got = np.bincount(r, minlength=len(part))
+            ok = (whole[part] & (len(near) == m)) | ((got >= k) & np.isfinite(far) & (np.sqrt(far) <= safe))
+            final[part] = ok
+            keep = (place < k) & ok[r]
+            rows.append(part[r[keep]]), cols.append(near[c[keep]]), dist.append(v[keep]), rank.append(place[keep] + 1)
     cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     r, c = cat(rows, int), cat(cols, int)
     out = q.loc[r, [*keys, "_qid"]].reset_index(drop=True)
@@ -108,18 +123,15 @@ def _with_rim(placed: DataFrame, axes: list[str], tiles: list[str], side: int) -
     return out
 
 
-def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, k, exclude_self, extra, bounds):
+def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra, bounds):
     """Round 0: final neighbours per tile and the queries that need more."""
     d = len(dims)
     q = todo
     for i, w in enumerate(tiles):
         q = q.withColumn(w, F.floor(F.col(f"_q{i}") / F.lit(side)))
-    lo = [(F.col(w) * side - 1) * F.col("_c") for w in tiles]
-    hi = [((F.col(w) + 1) * side + 1) * F.col("_c") for w in tiles]
-    inside = [F.least(F.col(c) - a, b - F.col(c)) for c, a, b in zip(dims, lo, hi)]
     whole = [(F.col(w) * side - 1 <= F.col(f"_lo{i}")) & ((F.col(w) + 1) * side >= F.col(f"_hi{i}")) for i, w in enumerate(tiles)]
-    q = q.select(*keys, *tiles, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)], _min_all(inside).alias("_safe"), reduce(lambda x, y: x & y, whole).alias("_whole"))
-    busy = q.groupBy(*keys, *tiles).agg(F.ceil(F.count(F.lit(1)) / 4096).alias("_salts")).filter("_salts > 1")
+    q = q.select(*keys, *tiles, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)], *[f"_q{i}" for i in range(d)], "_c", reduce(lambda x, y: x & y, whole).alias("_whole"))
+    busy = q.groupBy(*keys, *tiles).agg(F.ceil(F.count(F.lit(1)) / 16384).alias("_salts")).filter("_salts > 1")
     q = q.join(busy, keys + tiles, "left").withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
     t = rim.select(*keys, *tiles, "_tid", *td, *extra).join(busy, keys + tiles, "left")
     t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
@@ -130,8 +142,11 @@ def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, k, exclude_self, e
     group = keys + tiles + ["_salt"]
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _rank_tile(left, right, d, k, exclude_self, keys, extra, columns)
+        return _rank_tile(left, right, d, k, inner, exclude_self, keys, extra, columns)
 
+    # A fixed partition count: tasks here are bound by compute, so byte-based coalescing would starve them.
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, t = q.repartition(n, *group), t.repartition(n, *group)
     hits = cut(q.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(task, schema))
     good = hits.filter("rank > 0").select(*keys, "_qid", "_tid", "rank", F.sqrt("_d2").alias("distance"), *extra)
     more = todo.join(hits.filter("rank = 0").select(*keys, "_qid"), keys + ["_qid"], "left_semi")
@@ -148,7 +163,7 @@ def knn(
     tid: str = "point_id",
     exclude_self: bool = False,
     carry: Sequence[str] = (),
-    max_tile: int = 4096,
+    max_tile: int = 16384,
 ) -> DataFrame:
     """Rows ``keys, qid, neighbour, rank, distance`` plus carried target columns.
 
@@ -171,7 +186,8 @@ def knn(
     floor_ = F.greatest(widest * 1e-3, F.lit(1e-9))
     vol = reduce(lambda a, b: a * b, [F.greatest(s, floor_) for s in span])
     per = 0.5 * need + 0.5
-    side = max(2, round((300.0 / per) ** (1.0 / d)))
+    inner = max(2, round((200.0 / per) ** (1.0 / d)))
+    side = 3 * inner if d > 2 else 5 * inner
     sizes = cut(
         targets.select(*keys, *[F.col(c).alias(t) for c, t in zip(dims, td)])
         .groupBy(*keys)
@@ -202,7 +218,7 @@ def knn(
     bounds = [c for c in reach.columns if c not in keys]
     d2 = sum((F.col(q) - F.col(t)) * (F.col(q) - F.col(t)) for q, t in zip(dims, td))
     not_self = (F.col("_tid") != F.col("_qid")) if exclude_self else F.lit(True)
-    done, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, k, exclude_self, extra, bounds)
+    done, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra, bounds)
     shift = 1
     while not todo.isEmpty():
         step = 2**shift

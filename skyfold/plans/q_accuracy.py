@@ -140,7 +140,8 @@ def _(t):
     return ac.relative_consistency(_reports(t))
 
 
-@query("g16_internal_checks", f"""WITH r AS ({REL}) SELECT mission_id, name, unit, criterion, value, value IS NOT NULL AS measured, value<=criterion AS passed FROM r, LATERAL (VALUES ('reprojection_median','px',2.0e0,reprojection_median),('cross_view_median','m',2.0e0,cross_view_median),('sparse_dense_median','m',2.0e0,sparse_dense_median),('trajectory_fit_median','m',5.0e0,(mission_id%9)*1.0e0),('scale_error_pct','%',1.0e0,CAST(NULL AS DOUBLE))) x(name,unit,criterion,value)""", "criterion value")
+@query("g16_internal_checks", f"""WITH r AS ({REL}) SELECT mission_id, name, unit, criterion, value, value IS NOT NULL AS measured, CASE WHEN value<=criterion THEN 'yes' WHEN value>criterion THEN 'no' END AS passed FROM r, LATERAL (VALUES ('reprojection_median','px',2.0e0,reprojection_median),('cross_view_median','m',2.0e0,cross_view_median),('sparse_dense_median','m',2.0e0,sparse_dense_median),('trajectory_fit_median','m',5.0e0,(mission_id%9)*1.0e0),('scale_error_pct','%',1.0e0,CAST(NULL AS DOUBLE))) x(name,unit,criterion,value)""", "criterion value")
 def _(t):
     r = ac.relative_consistency(_reports(t)).withColumn("trajectory_fit_median", F.col("mission_id") % 9 * F.lit(1.0)).withColumn("scale_error_pct", F.lit(None).cast("double"))
-    return ac.internal_checks(r)
+    c = ac.internal_checks(r)
+    return c.withColumn("passed", F.when(F.col("passed"), "yes").when(~F.col("passed"), "no"))
