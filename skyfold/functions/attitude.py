@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def view_axes(roll: Column, pitch: Column, yaw: Column) -> list[list[Column]]:
@@ -16,32 +16,32 @@ def view_axes(roll: Column, pitch: Column, yaw: Column) -> list[list[Column]]:
     return [x, y, z]
 
 
-def matrix_to_quat(m: list[list[Column]]) -> Column:
-    """Unit quaternion struct ``w, x, y, z`` of a rotation given by rows; the largest part leads."""
-    t = m[0][0] + m[1][1] + m[2][2]
-    one = F.lit(1.0)
-
-    def case(lead: Column, w, x, y, z) -> Column:
-        s = 2 * F.sqrt(lead)
-        q = [F.lit(0.25) * s if e is None else e / s for e in (w, x, y, z)]
-        return F.struct(*[e.alias(n) for e, n in zip(q, "wxyz")])
-
-    a, b, c = m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]
-    xy, xz, yz = m[0][1] + m[1][0], m[0][2] + m[2][0], m[1][2] + m[2][1]
-    return (
-        F.when(t > 0, case(one + t, None, a, b, c))
-        .when((m[0][0] > m[1][1]) & (m[0][0] > m[2][2]), case(one + m[0][0] - m[1][1] - m[2][2], a, None, xy, xz))
-        .when(m[1][1] > m[2][2], case(one + m[1][1] - m[0][0] - m[2][2], b, xy, None, yz))
-        .otherwise(case(one + m[2][2] - m[0][0] - m[1][1], c, xz, yz, None))
-    )
-
+def with_quaternion(df: DataFrame, roll: str = "roll", pitch: str = "pitch", yaw: str = "yaw", prefix: str = "q") -> DataFrame:
+    """Rows with the attitude quaternion ``qw, qx, qy, qz``; the largest part leads.
 
-def rpy_to_quat(roll: Column, pitch: Column, yaw: Column) -> Column:
-    x, y, z = view_axes(roll, pitch, yaw)
-    return matrix_to_quat([[x[i], y[i], z[i]] for i in range(3)])
-
-
-def quat_angle(p: Column, q: Column) -> Column:
-    """Angle in degrees between two unit quaternion structs."""
-    dot = F.abs(p["w"] * q["w"] + p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"])
-    return F.degrees(2 * F.acos(F.least(F.lit(1.0), dot)))
+    Axes, lead and scale are columns of their own so that each is computed once.
+    """
+    axes = view_axes(F.col(roll), F.col(pitch), F.col(yaw))
+    d = df.select("*", *[e.alias(f"_m{r}{c}") for c, axis in enumerate(axes) for r, e in enumerate(axis)])
+    m = [[F.col(f"_m{r}{c}") for c in range(3)] for r in range(3)]
+    t = m[0][0] + m[1][1] + m[2][2]
+    lead = F.when(t > 0, 0).when((m[0][0] > m[1][1]) & (m[0][0] > m[2][2]), 1).when(m[1][1] > m[2][2], 2).otherwise(3)
+    d = d.withColumn("_lead", lead)
+    pick = lambda *e: F.when(F.col("_lead") == 0, e[0]).when(F.col("_lead") == 1, e[1]).when(F.col("_lead") == 2, e[2]).otherwise(e[3])
+    d = d.withColumn("_s", 2 * F.sqrt(pick(1 + t, 1 + 2 * m[0][0] - t, 1 + 2 * m[1][1] - t, 1 + 2 * m[2][2] - t)))
+    s, own = F.col("_s"), F.col("_s") / 4
+    a, b, c = (m[2][1] - m[1][2]) / s, (m[0][2] - m[2][0]) / s, (m[1][0] - m[0][1]) / s
+    xy, xz, yz = (m[0][1] + m[1][0]) / s, (m[0][2] + m[2][0]) / s, (m[1][2] + m[2][1]) / s
+    parts = {"w": pick(own, a, b, c), "x": pick(a, own, xy, xz), "y": pick(b, xy, own, yz), "z": pick(c, xz, yz, own)}
+    return d.select(*df.columns, *[e.alias(prefix + n) for n, e in parts.items()])
+
+
+def attitude_angle(w: Column, x: Column, y: Column, z: Column, axes: list[list[Column]]) -> Column:
+    """Degrees between a unit quaternion and camera axes, from the trace of their relative rotation."""
+    rot = [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)],
+        [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)],
+        [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)],
+    ]
+    trace = sum((rot[i][j] * axes[j][i] for i in range(3) for j in range(3)), F.lit(0.0))
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyfold.functions.attitude import rpy_to_quat
+from skyfold.functions.attitude import with_quaternion
 from skyfold.operators import alignment as al, track as tr
 from skyfold.plans.q_telemetry import VALID, fix_track, valid
 from skyfold.plans.registry import query
-from skyfold.session import once
+from skyfold.session import cut, once
 
 
 @query("c6_reject_jumps")
@@ -41,8 +41,7 @@ def _(t):
 def attitude(t):
     r = F.col("source_row")
     d = t.telemetry.select("mission_id", "source_row", (r * 7 % 40 - 20).cast("double").alias("roll"), (r * 11 % 90 - 80).cast("double").alias("pitch"), (r * 13 % 360 - 180).cast("double").alias("yaw"), ((r * 13 + F.col("mission_id") % 3 * 4) % 360 - 180).cast("double").alias("yaw2"))
-    q = rpy_to_quat(F.col("roll"), F.col("pitch"), F.col("yaw2"))
-    return d.select("mission_id", "source_row", "roll", "pitch", "yaw", q.alias("q")).select("*", *[F.col("q")[a].alias(f"q{a}") for a in "wxyz"])
+    return cut(with_quaternion(d, yaw="yaw2").select("mission_id", "source_row", "roll", "pitch", "yaw", "qw", "qx", "qy", "qz"))
 
 
 @query("c13_yaw_course_offset")
