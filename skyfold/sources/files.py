@@ -99,7 +99,7 @@ def read_runs(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Run records; a manifest wins over a report and an earlier root over a later one."""
     out = None
     for i, root in enumerate(roots):
-        d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "{manifest,pipeline_report}.json").text(root)
+        d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{manifest,pipeline_report}.json")
         d = d.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run_id"), F.col("_metadata.file_name").alias("source"), F.col("value").alias("record"), F.lit(i).alias("_root"))
         out = d if out is None else out.unionByName(d)
     return out.groupBy("run_id").agg(F.min(F.struct("_root", "source", "record")).alias("m")).select("run_id", "m.source", "m.record").orderBy(F.desc("run_id"))

@@ -101,8 +101,13 @@ def infer_time_unit(cells: DataFrame) -> DataFrame:
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of delimited files: ``file, line, cells``; each file's delimiter is the most consistent one."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).filter("trim(text) <> ''")
+    """Cells of delimited files: ``file, line, cells``; each file's delimiter is the most consistent one.
+
+    Lines are read splittably; ``line`` is an order key (block start plus row
+    within the scan task), not a dense number.
+    """
+    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), F.regexp_replace("value", "\r$", "").alias("text")).filter("trim(text) <> ''")
     counts = F.array(*[F.struct(F.lit(d).alias("d"), (F.size(F.split("text", F.concat(F.lit("\\Q"), F.lit(d), F.lit("\\E")))) - 1).alias("n")) for d in DELIMITERS])
     first = raw.withColumn("_i", F.row_number().over(Window.partitionBy("file").orderBy("line"))).filter("_i <= 40")
     n = first.select("file", F.explode(counts).alias("c")).groupBy("file", "c.d", "c.n").agg(F.count(F.lit(1)).alias("k")).filter("n > 0")
@@ -113,7 +118,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """Subtitle blocks with position and gimbal angles; files with repeated counters are flagged ``bad``."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("b")).filter("trim(b) <> ''")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("b")).filter("trim(b) <> ''")
     return parse_srt(raw)
 
 
