@@ -138,3 +138,55 @@ def mesh_support(v: DataFrame, points: DataFrame, voxel: float) -> DataFrame:
     n = once(knn(v, points, KEY, qid="vid"))
     a = n.groupBy(*KEY).agg(F.count(F.lit(1)).alias("vertices"), (100 * F.avg((F.col("distance") <= voxel).cast("int"))).alias("supported_pct"))
     return a.join(quantiles(n, KEY, median_m=("distance", 0.5), p95_m=("distance", 0.95)), KEY)
+
+
+def exposure(cells: DataFrame, findings: DataFrame, size: float, buffer: float = 25.0) -> DataFrame:
+    """Cells ``ix, iy`` within ``sqrt(max(area, 1) / pi) + buffer`` of a finding ``x, y, area``.
+
+    A finding enters the cells of its own disc, so the join is by cell.
+    """
+    r = F.sqrt(F.greatest("area", F.lit(1.0)) / F.lit(3.141592653589793)) + buffer
+    f = findings.withColumn("r", r)
+    span = lambda a: F.sequence(F.floor((F.col(a) - F.col("r")) / size), F.floor((F.col(a) + F.col("r")) / size))
+    f = f.withColumn("ix", F.explode(span("x"))).withColumn("iy", F.explode(span("y")))
+    hit = F.sqrt(((F.col("ix") + 0.5) * size - F.col("x")) ** 2 + ((F.col("iy") + 0.5) * size - F.col("y")) ** 2) <= F.col("r")
+    hot = f.filter(hit).select(*KEY, "ix", "iy").distinct().withColumn("exposed", F.lit(True))
+    return cells.join(hot, [*KEY, "ix", "iy"], "left").withColumn("exposed", F.coalesce("exposed", F.lit(False)))
+
+
+def terrain_stats(vertices: DataFrame) -> DataFrame:
+    """Elevation range above the tenth percentile and mean height per mission."""
+    a = vertices.groupBy(*KEY).agg(F.max("z").alias("z_max"), F.avg("z").alias("z_mean"))
+    return a.join(quantiles(vertices, KEY, z_p10=("z", 0.1)), KEY).withColumn("elevation_range", F.col("z_max") - F.col("z_p10"))
+
+
+def concept_evidence(objects: DataFrame, prompts: DataFrame, synonyms: dict[str, list[str]], top: int = 12) -> DataFrame:
+    """Classes and best instances behind each prompted concept; ``prompts(prompt_id, text)``."""
+    syn = objects.sparkSession.createDataFrame([(w, c) for w, cs in synonyms.items() for c in cs], "word string, class string")
+    asked = prompts.select("prompt_id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).distinct().join(F.broadcast(syn), "word").select("prompt_id", "class").distinct()
+    total = objects.groupBy("class").agg(F.count(F.lit(1)).alias("instances"), F.sum("area").alias("area"))
+    w = Window.partitionBy("class").orderBy(F.desc("area"), "object_id")
+    best = objects.filter("confidence >= 0.3").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= top).groupBy("class").agg(F.count(F.lit(1)).alias("listed"), F.avg("confidence").alias("confidence"))
+    return asked.join(F.broadcast(total.join(best, "class", "left")), "class")
+
+
+def prune_debris(v: DataFrame, f: DataFrame, max_faces: int = 50, factor: float = 5.0) -> DataFrame:
+    """Faces without small patches that lie far from the main patch of their mission."""
+    c = once(face_components(f))
+    n = once(c.groupBy(*KEY, "component").agg(F.count(F.lit(1)).alias("n")))
+    main = n.groupBy(*KEY).agg((-F.max(F.struct("n", (-F.col("component")).alias("c")))["c"]).alias("main"))
+    small = n.join(main, KEY).filter((F.col("component") != F.col("main")) & (F.col("n") <= max_faces)).select(*KEY, "component")
+    at = lambda d: d.select(*KEY, "component", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct().join(v.select(*KEY, "vid", "x", "y", "z"), [*KEY, "vid"])
+    q = at(c.join(small, [*KEY, "component"], "left_semi"))
+    t = at(c.join(main.select(*KEY, F.col("main").alias("component")), [*KEY, "component"], "left_semi"))
+    edge = quantiles(face_geometry(v, f), KEY, edge=("longest", 0.5))
+    near = knn(q.select(*KEY, "vid", "x", "y", "z").distinct(), t.select(*KEY, "vid", "x", "y", "z").distinct(), KEY, qid="vid", tid="vid")
+    far = q.join(near.select(*KEY, "vid", "distance"), [*KEY, "vid"]).groupBy(*KEY, "component").agg(F.min("distance").alias("d")).join(edge, KEY).filter(F.col("d") > factor * F.col("edge")).select(*KEY, "component")
+    return c.join(far, [*KEY, "component"], "left_anti").select(*f.columns)
+
+
+def vertex_confidence(v: DataFrame, points: DataFrame, gps: DataFrame, reach: float) -> DataFrame:
+    """Cloud confidence (nearest point within ``reach``, else 1) times the GPS factor ``.6 + .4 q / 100``."""
+    near = knn(v, points, KEY, qid="vid", carry=["confidence"])
+    c = near.select(*KEY, "vid", F.when(F.col("distance") <= reach, F.col("confidence")).otherwise(1.0).alias("cloud"))
+    return c.join(gps, KEY, "left").select(*KEY, "vid", (F.col("cloud") * (0.6 + 0.4 * F.coalesce("gps_score", F.lit(100.0)) / 100)).alias("confidence"))

@@ -52,11 +52,11 @@ def _(t):
     return ac.error_by_class(t.current, t.baseline, ground_only=True)
 
 
-@query("g6_camera_errors", "SELECT mission_id, count(*) FILTER (frame_id%3>0) AS common, sqrt(avg(CASE WHEN frame_id%3>0 THEN pow(sx-dx,2)+pow(sy-dy,2)+pow(sz-dz,2) END)/3) AS rmse, (count(*) FILTER (frame_id%3>0))*1.0e0/count(*) AS registration_rate FROM track GROUP BY 1", "rmse registration_rate")
+@query("g6_camera_errors", "SELECT mission_id, count(*) FILTER (sx>30) AS common, sqrt(avg(CASE WHEN sx>30 THEN pow(sx-dx,2)+pow(sy-dy,2)+pow(sz-dz,2) END)/3) AS rmse, (count(*) FILTER (sx>30))*1.0e0/count(*) AS registration_rate FROM track GROUP BY 1", "rmse registration_rate")
 def _(t):
     k = t.track
     gt = k.select("mission_id", "frame_id", *[F.col(f"d{a}").alias(a) for a in "xyz"])
-    return ac.camera_errors(k.filter("frame_id % 3 > 0").select("mission_id", "frame_id", *[F.col(f"s{a}").alias(a) for a in "xyz"]), gt)
+    return ac.camera_errors(k.filter("sx > 30").select("mission_id", "frame_id", *[F.col(f"s{a}").alias(a) for a in "xyz"]), gt)
 
 
 SPLIT = "SELECT * FROM gcp c WHERE role='check' AND NOT EXISTS (SELECT 1 FROM gcp k WHERE k.role='control' AND k.mission_id=c.mission_id AND k.id=c.id)"

@@ -197,3 +197,36 @@ def _(t):
 def _(t):
     v = t.vertices.select((F.col("vid") % 8).alias("mission_id"), "vid", "x", F.col("y"), "z")
     return sc.mesh_support(v, t.points, 1.0)
+
+
+@query("f14_exposure", """WITH c AS (SELECT DISTINCT mission_id, CAST(floor(x/2.0e0) AS BIGINT) AS ix, CAST(floor(y/2.0e0) AS BIGINT) AS iy FROM points), f AS (SELECT object_id%8 AS mission_id, (object_id%47)*1.1e0 AS x, (object_id*7%53)*0.9e0 AS y, area FROM objects WHERE class='water')
+ SELECT c.mission_id, ix, iy, bool_or(coalesce(sqrt(pow((ix+0.5e0)*2-x,2)+pow((iy+0.5e0)*2-y,2))<=sqrt(greatest(area,1)/3.141592653589793e0)+1.5e0,false)) AS exposed FROM c LEFT JOIN f ON f.mission_id=c.mission_id GROUP BY 1,2,3""")
+def _(t):
+    c = t.points.select("mission_id", F.floor(F.col("x") / 2).alias("ix"), F.floor(F.col("y") / 2).alias("iy")).distinct()
+    i = F.col("object_id")
+    f = t.objects.filter("class = 'water'").select((i % 8).alias("mission_id"), (i % 47 * F.lit(1.1)).alias("x"), (i * 7 % 53 * F.lit(0.9)).alias("y"), "area")
+    return sc.exposure(c, f, 2.0, 1.5)
+
+
+@query("f20_terrain_stats", "SELECT mission_id, max(z) AS z_max, avg(z) AS z_mean, quantile_cont(z,.1) AS z_p10, max(z)-quantile_cont(z,.1) AS elevation_range FROM vertices GROUP BY 1", "z_max z_mean z_p10 elevation_range")
+def _(t):
+    return sc.terrain_stats(t.vertices)
+
+
+@query("j10_concept_evidence", """WITH s AS (SELECT * FROM (VALUES ('the','water'),('and','roof'),('her','structure')) x(word,class)), a AS (SELECT DISTINCT qid AS prompt_id, class FROM (SELECT qid, unnest(string_split_regex(lower(text),'[^a-z]+')) AS word FROM questions) JOIN s USING (word)),
+ t AS (SELECT class, count(*) AS instances, sum(area) AS area FROM objects GROUP BY 1), b AS (SELECT class, count(*) AS listed, avg(confidence) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY area DESC, object_id) AS i FROM objects WHERE confidence>=0.3) WHERE i<=12 GROUP BY 1)
+ SELECT * FROM a JOIN t USING (class) LEFT JOIN b USING (class)""", "area confidence")
+def _(t):
+    return sc.concept_evidence(t.objects, t.questions.withColumnRenamed("qid", "prompt_id"), {"the": ["water"], "and": ["roof"], "her": ["structure"]})
+
+
+@query("i13_debris_prune")
+def _(t):
+    return sc.prune_debris(t.vertices, t.faces, 20, 1.0).groupBy("mission_id").agg(F.count(F.lit(1)).alias("faces"))
+
+
+@query("i16_vertex_confidence")
+def _(t):
+    v = t.vertices.select((F.col("vid") % 8).alias("mission_id"), "vid", "x", "y", "z")
+    g = t.poses.groupBy("mission_id").agg(F.avg("cz").alias("gps_score"))
+    return sc.vertex_confidence(v, t.points, g, 1.0)

@@ -134,12 +134,12 @@ def _(t):
     return te.resolve_order(srt, fix)
 
 
-@query("b15_telemetry_mode", f"""SELECT mission_id, CASE WHEN max(CASE WHEN {STATUS}='VALID' THEN 1 ELSE 0 END)=1 THEN 'video_with_external_telemetry'
- WHEN max(alt_m)>354.5 THEN 'video_with_embedded_telemetry' ELSE 'video_only' END AS mode FROM telemetry WHERE mission_id%3>0 OR source_row<2 GROUP BY 1""")
+@query("b15_telemetry_mode", f"""SELECT mission_id, CASE WHEN max(CASE WHEN {STATUS}='VALID' AND alt_m>350.9 THEN 1 ELSE 0 END)=1 THEN 'video_with_external_telemetry'
+ WHEN max(alt_m)>350.7 THEN 'video_with_embedded_telemetry' ELSE 'video_only' END AS mode FROM telemetry GROUP BY 1""")
 def _(t):
-    part = t.telemetry.filter("mission_id % 3 > 0 OR source_row < 2")
-    ext = te.gps_status(part).filter("gps_status = 'VALID'")
-    return te.telemetry_mode(part.select("mission_id").distinct(), ext, part.filter("alt_m > 354.5"))
+    part = t.telemetry
+    ext = te.gps_status(part).filter("gps_status = 'VALID' AND alt_m > 350.9")
+    return te.telemetry_mode(part.select("mission_id").distinct(), ext, part.filter("alt_m > 350.7"))
 
 
 @query("b16_telemetry_grade", f"""WITH a AS (SELECT mission_id, count(*) AS valid_rows, count(ts_s) AS timed_rows, arg_max(ts_s,source_row)-arg_min(ts_s,source_row) AS span_s FROM ({VALID}) GROUP BY 1)
