@@ -57,6 +57,12 @@ def _slices(queries: DataFrame, cols: list[str], qid: str):
         yield q.filter(F.pmod(F.xxhash64(qid), F.lit(n)) == i).collect()
 
 
+def _spread(records: DataFrame) -> DataFrame:
+    """Records in at least as many tasks as the session shuffles with; large scans stay where they are."""
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return records.repartition(n, "id") if records.rdd.getNumPartitions() < n else records
+
+
 def _local_top(score: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
     """Best ``k`` records per query of one batch, ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
@@ -107,7 +113,7 @@ def lexical_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
                             d[i, j] = c
                 yield _local_top(d @ m / np.maximum(norm, 1e-12)[:, None], b["id"].to_numpy(), qids, k)
 
-        parts.append(records.select("id", tokens(F.col("text")).alias("tok")).mapInPandas(task, "qid long, id long, score double"))
+        parts.append(_spread(records.select("id", "text")).select("id", tokens(F.col("text")).alias("tok")).mapInPandas(task, "qid long, id long, score double"))
     return _ranked(parts, k)
 
 
@@ -128,7 +134,7 @@ def vector_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
                     v = np.stack(b["embedding"].to_numpy()).astype(float)
                     yield _local_top(v @ m / np.maximum(np.sqrt((v * v).sum(1)), 1e-12)[:, None], b["id"].to_numpy(), qids, k)
 
-        parts.append(records.select("id", "embedding").mapInPandas(task, "qid long, id long, score double"))
+        parts.append(_spread(records.select("id", "embedding")).mapInPandas(task, "qid long, id long, score double"))
     return _ranked(parts, k)
 
 
