@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skyfold.llm import lex
-from skyfold.llm.store import bound_batches, columns, others
+from skyfold.llm.store import prepare, columns, others
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -220,7 +220,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep:
     columns(docs, "text")
     columns(benchmark, "item_id", "text")
     spark = docs.sparkSession
-    bound_batches(spark)
+    prepare(spark)
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() != "hits"]
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0

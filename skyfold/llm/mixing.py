@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyfold.llm.store import columns, others, written
+from skyfold.llm.store import columns, others, prepare, written
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 4096
@@ -104,6 +104,7 @@ def mix_sources(docs: DataFrame, size: str = "size", ratio: float = 1.5, cap: fl
     per source passes the driver.
     """
     columns(docs, "doc_id", "source", size)
+    prepare(docs.sparkSession)
     rows = docs.withColumn("__mx_k", F.struct(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col(size).cast("long").alias("size")))
     units = written(rows.groupBy("__mx_k").agg(F.count(F.lit(1)).alias("_n")), "mix-units")
     per = units.groupBy(F.col("__mx_k.source").alias("source")).agg(F.sum(F.col("__mx_k.size") * F.col("_n")).alias("source_size"), F.count(F.lit(1)).alias("_units")).toPandas()

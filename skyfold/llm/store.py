@@ -1,8 +1,11 @@
-"""Tables written once to the shared folder, and session settings that bound Python batches."""
+"""Tables written once to the shared folder, and what Python tasks need."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +13,7 @@ from skyfold.session import checkpoint_dir
 
 BATCH_BYTES = 16 << 20
 _made: list[str] = []
+_shipped: set[str] = set()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -37,9 +41,18 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches end at a number of bytes, so very long texts do not pile up in one batch."""
+def prepare(spark: SparkSession) -> None:
+    """For operators with Python tasks: bound Arrow batches by bytes, for very long texts, and give the workers this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        at = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(at))
+        _shipped.add(sc.applicationId)
 
 
 def columns(df: DataFrame, *wanted: str) -> None:
