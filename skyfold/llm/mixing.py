@@ -36,34 +36,37 @@ def targets(sizes: pd.DataFrame, ratio: float, cap: float, weights: tuple[float,
     return rows[["source", "source_size"]].assign(target=out)
 
 
-def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Move fractional probabilities, three at a time, along the direction that changes neither their sum nor their size-weighted sum.
+def flight(p: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Move fractional probabilities along directions that change neither their sum nor their size-weighted sum, until one is left at most.
 
-    Every move makes at least one of them 0 or 1; at most two stay fractional.
+    The largest open unit moves up or down and all smaller ones together make up for it (in proportion to ``a + b * size``), at chances
+    that keep every expectation.  Each move makes at least one unit 0 or 1, large units first, so what is left open is small.  When the
+    open ones can no longer meet both constraints, the number of units is given up and the words stay balanced.
     """
-    p, size = p.tolist(), size.tolist()
-    rng = np.random.default_rng(len(p))
-    coin = rng.random(3 * len(p) + 3).tolist()
-    held: list[int] = []
-    for i in range(len(p)):
-        if not EPS < p[i] < 1 - EPS:
-            p[i] = float(round(p[i]))
-            continue
-        held.append(i)
-        while len(held) == 3:
-            a, b, c = held
-            u = [size[b] - size[c], size[c] - size[a], size[a] - size[b]]
-            if not any(u):
-                u = [1.0, -1.0, 0.0]
-            up = min(((1 - p[k]) / v if v > 0 else p[k] / -v) for k, v in zip(held, u) if v)
-            down = min((p[k] / v if v > 0 else (1 - p[k]) / -v) for k, v in zip(held, u) if v)
-            step = up if coin.pop() * (up + down) < down else -down
-            for k, v in zip(held, u):
-                p[k] += step * v
-                if p[k] < EPS or p[k] > 1 - EPS:
-                    p[k] = float(round(p[k]))
-            held = [k for k in held if 0.0 < p[k] < 1.0]
-    return np.array(p)
+    out = np.where((p > EPS) & (p < 1 - EPS), p, np.round(p))
+    ids = np.flatnonzero((out > 0) & (out < 1))
+    ids = ids[np.argsort(-size[ids], kind="stable")]
+    p, s = out[ids], size[ids].astype(float)
+    rng = np.random.default_rng(seed)
+    while len(p) > 1:
+        rest, m = s[1:], len(s) - 1
+        mean = rest.mean()
+        spread = ((rest - mean) ** 2).sum()
+        if spread > EPS * max(1.0, mean):
+            v = -1 / m - (s[0] - mean) / spread * (rest - mean)
+        elif mean > 0:
+            v = np.full(m, -s[0] / (mean * m))
+        else:
+            v = np.full(m, -1 / m)
+        v = np.concatenate([[1.0], v])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            high, low = (1 - p) / np.abs(v), p / np.abs(v)
+        up, down = np.where(v > 0, high, low).min(), np.where(v > 0, low, high).min()
+        p = p + (up if rng.random() * (up + down) < down else -down) * v
+        shut = (p < EPS) | (p > 1 - EPS)
+        out[ids] = np.where(shut, np.round(p), p)
+        ids, p, s = ids[~shut], p[~shut], s[~shut]
+    return out
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -84,7 +87,7 @@ def _balanced(units: DataFrame, group: list[str], last: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "_size", "_id"], na_position="first", kind="stable")
         p, size = pdf["_p"].to_numpy(float), pdf["_size"].to_numpy(float)
-        p = flight(p, size)
+        p = flight(p, size, int(np.bitwise_xor.reduce(pdf["_h"].to_numpy())) & 0x7FFFFFFF)
         pdf["_p"] = land(p, size) if last else p
         return pdf
 
@@ -96,7 +99,7 @@ def mix_sources(docs: DataFrame, size: str = "size", ratio: float = 1.5, cap: fl
 
     A source's target over its size is what each of its documents is taken: whole copies for the whole part, one more for a
     balanced sample at the fractional part.  The sample keeps both the number and the words of each source (cube method): blocks
-    of at most about ``block`` documents fly apart, the two left open in each meet in the next level, and the last two of a source land.
+    of about ``block`` documents fly apart, the one left open in each meets others in the next level, and the last of a source lands.
     Decisions depend on ``doc_id``, ``source`` and ``size`` only, so reruns agree.
 
     Null sources form one source, last in order; null ids are one id; rows alike in all three are one unit with a multiplicity, told

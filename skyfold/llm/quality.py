@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return pd.DataFrame({"weight": [m.weight.tobytes()], "square": [m.square.tobytes()], "bias": [m.bias], "slope": [m.slope], "level": [m.level]})
 
     counted = rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, idx binary")
-    got = counted.groupBy(F.lit(1)).applyInPandas(learn, "weight binary, square binary, bias double, slope double, level double").first()
+    got = counted.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(learn, "weight binary, square binary, bias double, slope double, level double").first()
     if got is None:
         return fit([], np.zeros(0))
     return Model(np.frombuffer(got["weight"]), np.frombuffer(got["square"]), got["bias"], got["slope"], got["level"])

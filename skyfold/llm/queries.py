@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyfold.llm import decontam, mixing, quality, sharding, tokens
+from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens
 from skyfold.llm.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_classifier(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,11 +37,21 @@ def op3_token_files(spark, sf_dir):
     return tokens.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_minhash_near_dedup(spark, sf_dir):
+    return neardup.components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_histogram_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op8_license_scan(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
