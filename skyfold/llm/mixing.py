@@ -39,25 +39,27 @@ def targets(sizes: pd.DataFrame, ratio: float, cap: float, weights: tuple[float,
 def flight(p: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """Move fractional probabilities along directions that change neither their sum nor their size-weighted sum, until one is left at most.
 
-    The largest open unit moves up or down and all smaller ones together make up for it (in proportion to ``a + b * size``), at chances
-    that keep every expectation.  Each move makes at least one unit 0 or 1, large units first, so what is left open is small.  When the
-    open ones can no longer meet both constraints, the number of units is given up and the words stay balanced.
+    The largest open unit moves up or down and all smaller ones together make up for it (in proportion to their room and to
+    ``a + b * size``), at chances that keep every expectation.  Each move makes at least one unit 0 or 1, large units first, so what is left open is small.  Where a
+    unit is still open after three moves, or the open ones cannot meet both constraints, its further moves balance the words only.
     """
     out = np.where((p > EPS) & (p < 1 - EPS), p, np.round(p))
     ids = np.flatnonzero((out > 0) & (out < 1))
     ids = ids[np.argsort(-size[ids], kind="stable")]
     p, s = out[ids], size[ids].astype(float)
-    rng = np.random.default_rng(seed)
+    rng, tries, head = np.random.default_rng(seed), 0, -1
     while len(p) > 1:
-        rest, m = s[1:], len(s) - 1
-        mean = rest.mean()
-        spread = ((rest - mean) ** 2).sum()
-        if spread > EPS * max(1.0, mean):
-            v = -1 / m - (s[0] - mean) / spread * (rest - mean)
+        tries, head = (tries + 1 if ids[0] == head else 0), ids[0]
+        rest, room = s[1:], np.minimum(p[1:], 1 - p[1:])
+        total = room.sum()
+        mean = (room * rest).sum() / total
+        spread = (room * (rest - mean) ** 2).sum()
+        if tries < 3 and spread > EPS * max(1.0, mean):
+            v = room * (-1 / total - (s[0] - mean) / spread * (rest - mean))
         elif mean > 0:
-            v = np.full(m, -s[0] / (mean * m))
+            v = room * (-s[0] / (mean * total))
         else:
-            v = np.full(m, -1 / m)
+            v = room * (-1 / total)
         v = np.concatenate([[1.0], v])
         with np.errstate(divide="ignore", invalid="ignore"):
             high, low = (1 - p) / np.abs(v), p / np.abs(v)

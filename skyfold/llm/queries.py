@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens
+from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens, topk
 from skyfold.llm.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,14 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_exact_top_k(spark, sf_dir):
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op6_exact_top_k"] = topk.SQL
+
+
 @query
 def op7_histogram_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
