@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens, topk
+from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, substring, tokens, topk
 from skyfold.llm.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op3_token_files(spark, sf_dir):
     return tokens.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
