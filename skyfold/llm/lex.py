@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+SLICE_TEXTS = 2048
 MULT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 _byte = np.arange(256)
@@ -35,10 +36,10 @@ def raw(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(buf: np.ndarray, off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``first, end, bytes, offsets`` of runs of texts of at most ``limit`` bytes; a longer text comes alone."""
+    """``first, end, bytes, offsets`` of runs of at most SLICE_TEXTS texts and ``limit`` bytes; a longer text comes alone."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(i + SLICE_TEXTS, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

@@ -15,9 +15,10 @@ from skyfold.llm.store import columns, prepare, written
 
 SHINGLE = 5
 PERCENT = 75
-SLOTS = 96
-ROWS = 3  # slots of a band: at a similarity of 0.75 all 32 bands miss with a chance of 3e-8
-AGREE = 50  # equal slots that a pair needs before its sets are compared; at 0.75, 72 are expected and fewer than 50 have a chance of 1e-7
+SLOTS = 512  # values of a signature, of which a byte each is kept
+BANDS, ROWS = 32, 3  # from the first 96 values: at a similarity of 0.75 all bands miss with a chance of 3e-8
+AGREE = 340  # equal slots that a pair needs before its sets are compared; at 0.75, 384 are expected and fewer than 340 have a chance below 1e-5
+LIKELY = 372  # equal slots of pairs that are tried first
 CHUNK = 64
 
 
@@ -31,11 +32,11 @@ def super_min_hash(h: np.ndarray, doc: np.ndarray, n: int, slots: int = SLOTS) -
     out = np.full(n * slots, np.iinfo(np.uint64).max, np.uint64)
     swaps: list[np.ndarray] = []
     for j in range(slots):
-        x = lex.mix(h + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
-        k = (j + (x >> np.uint64(32)) % np.uint64(slots - j)).astype(np.uint8)
+        x = lex.mix(h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        k = (j + (x >> np.uint64(32)) % np.uint64(slots - j)).astype(np.uint16)
         at = k.copy()
         for i in range(j - 1, -1, -1):  # what earlier swaps have put at place k, then at place j
-            at = np.where(at == swaps[i], np.uint8(i), at)
+            at[at == swaps[i]] = i
         swaps.append(k)
         value = np.uint64(j) << np.uint64(48) | (lex.mix(x ^ np.uint64(0xA5A5A5A5)) >> np.uint64(16))
         np.minimum.at(out, doc * slots + at, value)
@@ -66,43 +67,47 @@ def shingle_hashes(buf: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[
     return h[order], doc[order]
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """One key per band: a hash of its number and its values."""
+    part = values[:, : BANDS * ROWS].reshape(len(values), BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(ROWS):
+        out = lex.mix(part[:, :, r] + out)
+    return out.astype(np.int64)
+
+
 def digest_a(items: np.ndarray) -> int:
     return int(lex.mix(items).sum(dtype=np.uint64).astype(np.int64))
 
 
-SIGNED = "n_shingles long, set_a long, set_b long, signature binary"
+SIGNED = "n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id`` with set size, a 128-bit digest of the set, and the signature (16-bit slots); one pass over the texts."""
+    """``doc_id`` with set size, a 128-bit digest of the set, the signature (a byte of each value) and its bands; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = lex.raw(batch.column("text"))
-            sizes, a, b, sig = [], [], [], []
+            sizes, a, b, sig, keys = [], [], [], [], []
             for i, j, part, offs in lex.slices(buf, off):
                 h, doc = shingle_hashes(part, offs)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 got = super_min_hash(h, doc, j - i)
-                # all 64 bits of a slot go into its 16
-                small = (lex.mix(got.ravel()) >> np.uint64(48)).astype("<u2").reshape(got.shape)
+                mixed = lex.mix(got)  # all 64 bits of a value go into its byte
+                small = (mixed >> np.uint64(56)).astype(np.uint8)
+                keys += list(band_keys(mixed))
                 for d in range(j - i):
                     u = np.unique(h[cut[d] : cut[d + 1]])
                     sizes.append(len(u))
                     a.append(digest_a(u))
                     b.append(int(np.bitwise_xor.reduce(lex.mix(u + np.uint64(0x1234567)), initial=np.uint64(0)).astype(np.int64)))
                     sig.append(small[d].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {SIGNED}")
 
 
-def bands(signature: Column) -> Column:
-    """Hash of each band of a signature, with the number of the band."""
-    width = 2 * ROWS
-    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(signature, i * width + 1, F.lit(width))))
-
-
 ID = "struct<doc_id:long,set_a:long>"
 
 
@@ -150,44 +155,101 @@ def _labels(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "a", "b").select(F.col("node").alias("id"), "component")
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket but of different components, of fitting size and with enough equal slots.
+def _chunks(members: DataFrame) -> DataFrame:
+    """Rows ``band, no, part, rows``: the members of a bucket dealt into chunks of about CHUNK, large components in chunks of their own.
 
-    The members of a bucket are packed in chunks of about CHUNK rows, large components in chunks of their own; two chunks of a bucket
-    meet in one row unless they are of one component.  The comparison there is one array operation, so a large bucket is many small
-    tasks, and only pairs that may pass come out.
+    Each band deals anew, so two members meet in one chunk of some band more often than by one deal.
     """
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("own"))
     small = sizes.groupBy("band").agg(F.sum(F.when(F.col("own") < CHUNK, F.col("own")).otherwise(0)).alias("small"))
     big = F.col("own") >= CHUNK
     salted = members.join(sizes, ["band", "component"]).join(small, "band").withColumn("part", F.when(big, F.col("component"))).withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.ceil(F.when(big, F.col("own")).otherwise(F.col("small")) / CHUNK))
+        "chunk", F.pmod(F.xxhash64("id", "band"), F.ceil(F.when(big, F.col("own")).otherwise(F.col("small")) / CHUNK))
     )
-    packed = salted.groupBy("band", "part", "chunk").agg(F.collect_list(F.struct("id.doc_id", "id.set_a", F.xxhash64("component").alias("c"), "n_shingles", "signature")).alias("rows"))
-    packed = packed.withColumn("no", F.struct(F.col("part").isNull(), "part", "chunk"))
+    row = F.struct("id.doc_id", "id.set_a", F.xxhash64("component").alias("c"), "n_shingles", "signature", "bands")
+    packed = salted.groupBy("band", "part", "chunk").agg(F.collect_list(row).alias("rows"))
+    return packed.withColumn("no", F.struct(F.col("part").isNull(), "part", "chunk"))
+
+
+FIELDS = ("doc_id", "set_a", "c", "n_shingles", "signature", "bands")
+PAIR = "a long, a1 long, b long, b1 long"
+
+
+def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(frame, columns=["a", "a1", "b", "b1"], dtype="int64")
+
+
+def _as_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.distinct().select(F.struct(F.col("a").alias("doc_id"), F.col("a1").alias("set_a")).alias("a"), F.struct(F.col("b").alias("doc_id"), F.col("b1").alias("set_a")).alias("b"))
+
+
+def _slots(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SLOTS)
+
+
+def _likely(members: DataFrame) -> DataFrame:
+    """Of each chunk, a forest over its components: the pairs with most equal slots first, LIKELY at least, none between joined ones."""
+    flat = _chunks(members).select(*[F.expr(f"transform(rows, x -> x.{c})").alias(c) for c in FIELDS])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                s, c = _slots(r.signature), np.asarray(r.c)
+                i, j = np.nonzero(np.triu(c[:, None] != c[None, :]))
+                same = (s[i] == s[j]).sum(1)
+                near = same >= LIKELY
+                i, j, same = i[near], j[near], same[near]
+                up = {x: x for x in c.tolist()}
+
+                def root(x):
+                    while up[x] != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for k in np.argsort(-same, kind="stable"):
+                    x, y = root(int(c[i[k]])), root(int(c[j[k]]))
+                    if x != y:
+                        up[x] = y
+                        p, q = [(int(r.doc_id[z]), int(r.set_a[z])) for z in (i[k], j[k])]
+                        out.append((*min(p, q), *max(p, q)))
+            yield _pairs(out)
+
+    return _as_ids(flat.mapInPandas(run, PAIR))
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """All pairs of one bucket but of different components, of fitting size and with enough equal slots.
+
+    Two chunks of a bucket meet in one row unless they are of one component; the comparison there is one array operation, so a large
+    bucket is many small tasks.  A pair that shares several buckets comes out of the first of them only.
+    """
+    packed = _chunks(members)
     left, right = [packed.select("band", *[F.col(c).alias(f"{c}{i}") for c in ("part", "no", "rows")]) for i in (1, 2)]
     met = left.join(right, "band").filter("no1 <= no2 AND (part1 IS NULL OR part2 IS NULL OR part1 != part2)")
-    names = ("doc_id", "set_a", "c", "n_shingles", "signature")
-    flat = met.select(*[F.expr(f"transform(rows{i}, x -> x.{c})").alias(f"{c}{i}") for i in (1, 2) for c in names])
+    flat = met.select("band", *[F.expr(f"transform(rows{i}, x -> x.{c})").alias(f"{c}{i}") for i in (1, 2) for c in FIELDS])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                s1 = np.frombuffer(b"".join(r.signature1), "<u2").reshape(-1, SLOTS)
-                s2 = np.frombuffer(b"".join(r.signature2), "<u2").reshape(-1, SLOTS)
+                s1, s2 = _slots(r.signature1), _slots(r.signature2)
                 n1, n2 = np.asarray(r.n_shingles1), np.asarray(r.n_shingles2)
                 other = np.asarray(r.c1)[:, None] != np.asarray(r.c2)[None, :]
                 size = 100 * np.minimum.outer(n1, n2) >= PERCENT * np.maximum.outer(n1, n2)
                 i, j = np.nonzero(other & size)
                 near = (s1[i] == s2[j]).sum(1) >= AGREE
-                for x, y in zip(i[near], j[near]):
+                i, j = i[near], j[near]
+                b1, b2 = np.stack(r.bands1), np.stack(r.bands2)
+                common = b1[i] == b2[j]
+                here = b1[i, common.argmax(1)] == r.band
+                for x, y in zip(i[here], j[here]):
                     p, q = (int(r.doc_id1[x]), int(r.set_a1[x])), (int(r.doc_id2[y]), int(r.set_a2[y]))
                     out.append((*min(p, q), *max(p, q)))
-            yield pd.DataFrame(out, columns=["a", "a1", "b", "b1"], dtype="int64")
+            yield _pairs(out)
 
-    got = flat.mapInPandas(run, "a long, a1 long, b long, b1 long").distinct()
-    return got.select(F.struct(F.col("a").alias("doc_id"), F.col("a1").alias("set_a")).alias("a"), F.struct(F.col("b").alias("doc_id"), F.col("b1").alias("set_a")).alias("b"))
+    return _as_ids(flat.mapInPandas(run, PAIR))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -198,9 +260,9 @@ def components(docs: DataFrame) -> DataFrame:
     1. Documents with equal sets collapse to a class, named by its smallest doc_id, before anything is compared.
     2. SuperMinHash signatures are cut into bands.  In each bucket every member is paired with one hub only: the member whose buckets
        are largest in sum, that is the centre of its near copies.  Verified pairs give components.
-    3. Members of a bucket that are still in different components are compared chunk against chunk by their signatures; pairs that may
-       pass are verified as well.  So every candidate pair of the banding is verified or already joined, and no group is expanded
-       into all its pairs.
+    3. Where a bucket still holds several components, likely pairs between them are verified, a forest per chunk of the bucket; then
+       all others, chunk against chunk, whose signatures may pass.  So every candidate pair of the banding is verified or already
+       joined, and no group is expanded into all its pairs.
 
     Null or empty texts have no shingles, link with nothing and are kept; a null doc_id links with nothing, its component is null and
     it is kept; rows with equal doc_id but different texts are documents of their own that share the name; an empty table gives no rows.
@@ -209,9 +271,9 @@ def components(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     signed = written(signatures(docs), "near-signatures")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"))
-    classes = written(classes.select(F.struct("r.doc_id", "set_a").alias("id"), "set_b", "r.n_shingles", "r.signature"), "near-classes")
-    banded = classes.select("id", F.explode(bands(F.col("signature"))).alias("band"))
+    classes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("r"))
+    classes = written(classes.select(F.struct("r.doc_id", "set_a").alias("id"), "set_b", "r.n_shingles", "r.signature", "r.bands"), "near-classes")
+    banded = classes.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     member = written(banded.join(shared, "band"), "near-buckets")
     weight = member.groupBy("id").agg(F.sum("members").alias("weight"))
@@ -219,11 +281,18 @@ def components(docs: DataFrame) -> DataFrame:
     pairs = written(member.join(hub, "band").filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "near-pairs")
     sets = written(_sets(docs, weight.select("id")), "near-sets")
     edges = written(_verified(pairs, sets), "near-edges")
-    labels = written(_labels(edges), "near-labels")
-    at = member.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    rest = _rest(at.join(mixed, "band", "left_semi").join(classes.select("id", "n_shingles", "signature"), "id"))
-    more = written(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets), "near-more")
+
+    def apart(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold more than one component."""
+        labels = written(_labels(links), "near-labels")
+        at = member.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
+        return at.join(mixed, "band", "left_semi").join(classes.select("id", "n_shingles", "signature", "bands"), "id")
+
+    likely = written(_likely(apart(edges)).join(pairs, ["a", "b"], "left_anti"), "near-likely")
+    edges = written(edges.unionByName(_verified(likely, sets)), "near-edges")
+    tried = pairs.unionByName(likely)
+    more = written(_verified(_rest(apart(edges)).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
     final = _labels(edges.unionByName(more)).select("id", F.col("component.doc_id").alias("component_id"))
     groups = classes.join(final, "id", "left").select(F.col("id.set_a").alias("set_a"), "set_b", F.coalesce("component_id", "id.doc_id").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,11 @@ _made: list[str] = []
 _shipped: set[str] = set()
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``."""
+def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; with ``keep``, ``passing`` leaves it alone."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if not keep:
+        _made.append(path)
     return path
 
 
@@ -33,12 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this module has written so far; for callers whose results are already stored elsewhere."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written inside; for callers that store their result elsewhere before they leave."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for name in _made[mark:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _made[mark:]
 
 
 def prepare(spark: SparkSession) -> None:
