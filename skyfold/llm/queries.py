@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, substring, tokens, topk
+from skyfold.llm import decontam, licenses, mixing, neardup, quality, secret_scan, sharding, substring, tokens, topk
 from skyfold.llm.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_secret_scan(spark, sf_dir):
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyfold.llm import decontam, licenses, mixing, neardup, quality, secrets, sharding, substring, tokens, topk
+from skyfold.llm import decontam, licenses, mixing, neardup, quality, secret_scan, sharding, substring, tokens, topk
 from skyfold.llm.store import folder
 
 SF = "/root/testdata/sf0.001"
@@ -49,17 +49,17 @@ def test_secrets(spark, docs, none, made):
     ]
     rows = [(i, p) for i, p in enumerate([*parts, " x ".join(parts), "", None])]
     for df in (spark.createDataFrame(rows, "doc_id long, text string"), docs, made):
-        got = secrets.find_secrets(df.select("doc_id", "text")).collect()
+        got = secret_scan.find_secrets(df.select("doc_id", "text")).collect()
         want = [(d, *brute.secrets(t)) for d, t in pairs(df)]
         assert bag((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_spans"]) for r in got) == bag(want)
-    assert secrets.find_secrets(none).count() == 0
-    assert "Size" in secrets.find_secrets(docs).columns
+    assert secret_scan.find_secrets(none).count() == 0
+    assert "Size" in secret_scan.find_secrets(docs).columns
 
 
 def test_weak_parts_need_partners(spark):
     weak_secret, weak_access, end = "aB3" * 12, "ASIA12345678", "https://example.org/x"
     rows = [(0, weak_secret), (1, f"{weak_access} {weak_secret}"), (2, f"{weak_access} {'- ' * 300} {weak_secret}"), (3, f"{end} {weak_access} {weak_secret}"), (4, f"{end} {weak_secret}"), (5, f"{weak_access} password=abcdefgh")]
-    got = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: [], 1: ["weak_access", "weak_secret"], 2: [], 3: ["endpoint", "weak_access", "weak_secret"], 4: [], 5: ["weak_access", "assign"]}
 
 
