@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (2 << 20) - 2  # with the tables of powers, some hundred bytes of working memory a byte
 SLICE_TEXTS = 2048
 MULT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))

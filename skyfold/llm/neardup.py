@@ -17,7 +17,7 @@ SHINGLE = 5
 PERCENT = 75
 SLOTS = 512  # values of a signature, of which a byte each is kept
 BANDS, ROWS = 32, 3  # from the first 96 values: at a similarity of 0.75 all bands miss with a chance of 3e-8
-AGREE = 340  # equal slots that a pair needs before its sets are compared; at 0.75, 384 are expected and fewer than 340 have a chance below 1e-5
+AGREE = 345  # equal slots that a pair needs before its sets are compared; at 0.75, 384 are expected with a deviation of 7 to 9
 LIKELY = 372  # equal slots of pairs that are tried first
 CHUNK = 64
 
@@ -155,23 +155,30 @@ def _labels(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "a", "b").select(F.col("node").alias("id"), "component")
 
 
-def _chunks(members: DataFrame) -> DataFrame:
+def _low_half(key: Column) -> Column:
+    """The lower 32 bits of a key, as a signed int."""
+    return (key.bitwiseAND(0xFFFFFFFF).bitwiseXOR(0x80000000) - F.lit(0x80000000)).cast("int")
+
+
+def _chunks(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows ``band, no, part, rows``: the members of a bucket dealt into chunks of about CHUNK, large components in chunks of their own.
 
-    Each band deals anew, so two members meet in one chunk of some band more often than by one deal.
+    Each band deals anew, so two members meet in one chunk of some band more often than by one deal.  Signatures join last.
     """
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("own"))
     small = sizes.groupBy("band").agg(F.sum(F.when(F.col("own") < CHUNK, F.col("own")).otherwise(0)).alias("small"))
     big = F.col("own") >= CHUNK
-    salted = members.join(sizes, ["band", "component"]).join(small, "band").withColumn("part", F.when(big, F.col("component"))).withColumn(
-        "chunk", F.pmod(F.xxhash64("id", "band"), F.ceil(F.when(big, F.col("own")).otherwise(F.col("small")) / CHUNK))
+    dealt = members.join(sizes, ["band", "component"]).join(small, "band").select(
+        "id", "band", F.when(big, F.col("component")).alias("part"), F.xxhash64("component").alias("c"),
+        F.pmod(F.xxhash64("id", "band"), F.ceil(F.when(big, F.col("own")).otherwise(F.col("small")) / CHUNK)).alias("chunk"),
     )
-    row = F.struct("id.doc_id", "id.set_a", F.xxhash64("component").alias("c"), "n_shingles", "signature", "bands")
-    packed = salted.groupBy("band", "part", "chunk").agg(F.collect_list(row).alias("rows"))
+    row = F.struct("id.doc_id", "id.set_a", "c", "n_shingles", "signature", F.transform("bands", _low_half).alias("bands"))
+    packed = dealt.join(classes, "id").groupBy("band", "part", "chunk").agg(F.collect_list(row).alias("rows"))
     return packed.withColumn("no", F.struct(F.col("part").isNull(), "part", "chunk"))
 
 
 FIELDS = ("doc_id", "set_a", "c", "n_shingles", "signature", "bands")
+TYPES = ("array<long>", "array<long>", "array<long>", "array<long>", "array<binary>", "array<array<int>>")
 PAIR = "a long, a1 long, b long, b1 long"
 
 
@@ -187,9 +194,9 @@ def _slots(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SLOTS)
 
 
-def _likely(members: DataFrame) -> DataFrame:
+def _likely(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Of each chunk, a forest over its components: the pairs with most equal slots first, LIKELY at least, none between joined ones."""
-    flat = _chunks(members).select(*[F.expr(f"transform(rows, x -> x.{c})").alias(c) for c in FIELDS])
+    flat = _chunks(members, classes).filter("part IS NULL").select(*[F.expr(f"transform(rows, x -> x.{c})").alias(c) for c in FIELDS])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -219,37 +226,47 @@ def _likely(members: DataFrame) -> DataFrame:
     return _as_ids(flat.mapInPandas(run, PAIR))
 
 
-def _rest(members: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs of one bucket but of different components, of fitting size and with enough equal slots.
 
-    Two chunks of a bucket meet in one row unless they are of one component; the comparison there is one array operation, so a large
-    bucket is many small tasks.  A pair that shares several buckets comes out of the first of them only.
+    A chunk of mixed components is compared with itself; in larger buckets each two chunks meet in one row unless they are of one
+    component.  The comparison is one array operation, so a large bucket is many small tasks.  A pair that shares several buckets
+    comes out of the first of them only.
     """
-    packed = _chunks(members)
+    packed = _chunks(members, classes)
+    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
     left, right = [packed.select("band", *[F.col(c).alias(f"{c}{i}") for c in ("part", "no", "rows")]) for i in (1, 2)]
-    met = left.join(right, "band").filter("no1 <= no2 AND (part1 IS NULL OR part2 IS NULL OR part1 != part2)")
-    flat = met.select("band", *[F.expr(f"transform(rows{i}, x -> x.{c})").alias(f"{c}{i}") for i in (1, 2) for c in FIELDS])
+    met = left.join(right.join(several, "band", "left_semi"), "band").filter("no1 < no2 AND (part1 IS NULL OR part2 IS NULL OR part1 != part2)")
+    fields = lambda rows, i: [F.expr(f"transform({rows}, x -> x.{c})").alias(f"{c}{i}") for c in FIELDS]
+    cross = met.select(_low_half(F.col("band")).alias("band"), *fields("rows1", 1), *fields("rows2", 2))
+    alone = packed.filter("part IS NULL").select(_low_half(F.col("band")).alias("band"), *fields("rows", 1), *[F.lit(None).cast(t).alias(f"{c}2") for c, t in zip(FIELDS, TYPES)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                s1, s2 = _slots(r.signature1), _slots(r.signature2)
-                n1, n2 = np.asarray(r.n_shingles1), np.asarray(r.n_shingles2)
-                other = np.asarray(r.c1)[:, None] != np.asarray(r.c2)[None, :]
+                own = r.doc_id2 is None
+                first, second = ("1", "1") if own else ("1", "2")
+                get = lambda c, i: getattr(r, f"{c}{i}")  # noqa: B023, E731
+                s1, s2 = _slots(get("signature", first)), _slots(get("signature", second))
+                n1, n2 = np.asarray(get("n_shingles", first)), np.asarray(get("n_shingles", second))
+                other = np.asarray(get("c", first))[:, None] != np.asarray(get("c", second))[None, :]
+                if own:
+                    other = np.triu(other)
                 size = 100 * np.minimum.outer(n1, n2) >= PERCENT * np.maximum.outer(n1, n2)
                 i, j = np.nonzero(other & size)
                 near = (s1[i] == s2[j]).sum(1) >= AGREE
                 i, j = i[near], j[near]
-                b1, b2 = np.stack(r.bands1), np.stack(r.bands2)
+                b1, b2 = np.stack(get("bands", first)), np.stack(get("bands", second))
                 common = b1[i] == b2[j]
-                here = b1[i, common.argmax(1)] == r.band
+                here = b1[i, common.argmax(1)] == r.band if len(i) else np.zeros(0, bool)
+                d1, d2, a1, a2 = (get(c, k) for c in ("doc_id", "set_a") for k in (first, second))
                 for x, y in zip(i[here], j[here]):
-                    p, q = (int(r.doc_id1[x]), int(r.set_a1[x])), (int(r.doc_id2[y]), int(r.set_a2[y]))
+                    p, q = (int(d1[x]), int(a1[x])), (int(d2[y]), int(a2[y]))
                     out.append((*min(p, q), *max(p, q)))
             yield _pairs(out)
 
-    return _as_ids(flat.mapInPandas(run, PAIR))
+    return _as_ids(alone.unionByName(cross).mapInPandas(run, PAIR))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -287,12 +304,14 @@ def components(docs: DataFrame) -> DataFrame:
         labels = written(_labels(links), "near-labels")
         at = member.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        return at.join(mixed, "band", "left_semi").join(classes.select("id", "n_shingles", "signature", "bands"), "id")
+        return at.join(mixed, "band", "left_semi")
+
+    signs = classes.select("id", "n_shingles", "signature", "bands")
 
-    likely = written(_likely(apart(edges)).join(pairs, ["a", "b"], "left_anti"), "near-likely")
+    likely = written(_likely(apart(edges), signs).join(pairs, ["a", "b"], "left_anti"), "near-likely")
     edges = written(edges.unionByName(_verified(likely, sets)), "near-edges")
     tried = pairs.unionByName(likely)
-    more = written(_verified(_rest(apart(edges)).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
+    more = written(_verified(_rest(apart(edges), signs).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
     final = _labels(edges.unionByName(more)).select("id", F.col("component.doc_id").alias("component_id"))
     groups = classes.join(final, "id", "left").select(F.col("id.set_a").alias("set_a"), "set_b", F.coalesce("component_id", "id.doc_id").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyfold.session import checkpoint_dir
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _made: list[str] = []
 _shipped: set[str] = set()
 
