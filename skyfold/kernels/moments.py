@@ -18,10 +18,8 @@ _FIT = T.StructType([T.StructField("scale", T.DoubleType()), T.StructField("r",
 _EIGEN = T.StructType([T.StructField("values", _ARRAY), T.StructField("vectors", _ARRAY)])
 
 
-@pandas_udf(_FIT)
-def similarity_from_moments(m: pd.Series) -> pd.DataFrame:
-    """Scale and rotation from ``[9 cross-covariances dst x src, variance of src]``."""
-    a = np.stack(m.to_numpy()) if len(m) else np.zeros((0, 10))
+def solve_similarity(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scales and rotations of rows ``[9 cross-covariances dst x src, variance of src]``."""
     cov, var = a[:, :9].reshape(-1, 3, 3), a[:, 9]
     u, s, vt = np.linalg.svd(cov)
     sign = np.sign(np.linalg.det(u) * np.linalg.det(vt))
@@ -29,7 +27,13 @@ def similarity_from_moments(m: pd.Series) -> pd.DataFrame:
     fix = np.ones((len(a), 3))
     fix[:, 2] = sign
     r = (u * fix[:, None, :]) @ vt
-    scale = np.where(var > 0, (s * fix).sum(1) / np.where(var > 0, var, 1.0), 1.0)
+    return np.where(var > 0, (s * fix).sum(1) / np.where(var > 0, var, 1.0), 1.0), r
+
+
+@pandas_udf(_FIT)
+def similarity_from_moments(m: pd.Series) -> pd.DataFrame:
+    """Scale and rotation from ``[9 cross-covariances dst x src, variance of src]``."""
+    scale, r = solve_similarity(np.stack(m.to_numpy()) if len(m) else np.zeros((0, 10)))
     return pd.DataFrame({"scale": scale, "r": list(r.reshape(-1, 9))})
 
 

@@ -106,7 +106,8 @@ def quantiles(
     large = long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == a, F.col("_q"))).alias(a) for a in specs]
     )
-    out = small.unionByName(large)
+    every = sizes.filter(F.col("_n") > small_group).select(*keys)
+    out = small.unionByName(every.join(large, keys, "left"))
     return out.drop("_all") if keys == ["_all"] else out
 
 

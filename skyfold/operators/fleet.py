@@ -14,7 +14,6 @@ FEATURES = ["altitude_m", "speed_m_s", "forward_overlap", "side_overlap", "gps_s
 SIMILAR_ON = ["altitude_m", "speed_m_s", "forward_overlap", "env_score", "gps_score"]
 MIN_HISTORY_FOR_ML = 5
 CLEARANCE_M = 15.0
-MAX_QUERY_ROWS = 1000
 OBJECTIVES = {"quality_index": 1, "coverage_est": 1, "duration_min": -1, "battery_wh": -1, "risk_score": -1}
 TRANSITIONS = {
     "CREATED": ["UPLOADING", "QUEUED", "CANCELLED"],
@@ -50,48 +49,38 @@ def history_record(reports: DataFrame) -> DataFrame:
     )
 
 
-def similar_missions(history: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` nearest past missions of a few query missions, by normalised feature distance.
+def similar_missions(history: DataFrame, queries: DataFrame, k: int = 3, block: int = 1000) -> DataFrame:
+    """The ``k`` nearest past missions of each query mission, by normalised feature distance.
 
-    The query rows ride along as a bounded literal (size checked), the history
-    is read once; nearest rows are limited before the shuffle.
+    A query's ranges leave its own mission out: they follow from the two smallest and two largest values of each feature, of
+    different missions.  Queries go to the tasks in blocks of about ``block`` rows; any number of blocks may follow each other.
     """
-    cols = ["mission_id", *SIMILAR_ON]
-    rows = queries.select(*cols).limit(MAX_QUERY_ROWS + 1).collect()
-    if len(rows) > MAX_QUERY_ROWS:
-        raise ValueError(f"at most {MAX_QUERY_ROWS} query missions at a time")
     h = once(history)
-    span = {}
-    stats = h.agg(*[f(c).alias(f"{n}_{c}") for c in SIMILAR_ON for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    own = {r["mission_id"] for r in rows}
-    if h.filter(F.col("mission_id").isin(list(own))).isEmpty():
-        span = {r["mission_id"]: {c: (stats[f"lo_{c}"], stats[f"hi_{c}"]) for c in SIMILAR_ON} for r in rows}
-    else:
-        for r in rows:
-            s = h.filter(F.col("mission_id") != r["mission_id"]).agg(*[f(c).alias(f"{n}_{c}") for c in SIMILAR_ON for n, f in (("lo", F.min), ("hi", F.max))]).first()
-            span[r["mission_id"]] = {c: (s[f"lo_{c}"], s[f"hi_{c}"]) for c in SIMILAR_ON}
-
-    def terms(r) -> list[Column]:
-        part = []
-        for c in SIMILAR_ON:
-            lo, hi = span[r["mission_id"]][c]
-            if r[c] is None or lo is None:
-                continue
-            if hi <= lo:
-                part.append(F.when(F.col(c).isNotNull() & F.lit(r[c] == lo), F.when(F.col(c) == lo, 0.0)))
-            else:
-                part.append(F.pow((F.lit(float(r[c])) - lo) / (hi - lo) - (F.col(c) - lo) / (hi - lo), 2))
-        return part
-
-    each = []
-    for r in rows:
-        part = terms(r)
-        used = sum((p.isNotNull().cast("int") for p in part), F.lit(0))
-        total = sum((F.coalesce(p, F.lit(0.0)) for p in part), F.lit(0.0))
-        each.append(F.struct(F.lit(r["mission_id"]).alias("query_id"), F.when((used > 0) & (F.col("mission_id") != r["mission_id"]), total / used).alias("distance")))
-    d = h.withColumn("_q", F.explode(F.array(*each))).select("_q.*", *h.columns).filter("distance IS NOT NULL")
+    ends = {}
+    first = h.agg(*[f(F.when(F.col(c).isNotNull(), F.struct(c, "mission_id"))).alias(f"{n}_{c}") for c in SIMILAR_ON for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    rest = [f(F.when(F.col("mission_id") != F.lit(first[f"{n}_{c}"]["mission_id"]), F.col(c))).alias(f"{n}_{c}") for c in SIMILAR_ON for n, f in (("lo", F.min), ("hi", F.max)) if first[f"{n}_{c}"]]
+    second = h.agg(*rest).first() if rest else {}
+    q = queries.select(F.col("mission_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in SIMILAR_ON])
+    for c in SIMILAR_ON:
+        for n in ("lo", "hi"):
+            end = first[f"{n}_{c}"]
+            own = F.lit(None).cast("double") if end is None else F.when(F.col("query_id") == F.lit(end["mission_id"]), F.lit(second[f"{n}_{c}"])).otherwise(F.lit(end[c]))
+            ends[f"{n}_{c}"] = own.cast("double").alias(f"{n}_{c}")
+    q = once(q.select("*", *ends.values()))
+    part = []
+    for c in SIMILAR_ON:
+        lo, hi, x, v = F.col(f"lo_{c}"), F.col(f"hi_{c}"), F.col(f"q_{c}"), F.col(c)
+        part.append(F.when(hi > lo, F.pow((x - lo) / (hi - lo) - (v - lo) / (hi - lo), 2)).when((x == lo) & (v == lo), 0.0))
+    used = sum((p.isNotNull().cast("int") for p in part), F.lit(0))
+    distance = F.when(used > 0, sum((F.coalesce(p, F.lit(0.0)) for p in part), F.lit(0.0)) / used)
+    n = max(1, -(-q.count() // block))
+    found = None
+    for b in range(n):
+        own = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+        d = h.join(F.broadcast(own), F.col("mission_id") != F.col("query_id")).select("query_id", distance.alias("distance"), *h.columns).filter("distance IS NOT NULL")
+        found = d if found is None else found.unionByName(d)
     w = Window.partitionBy("query_id").orderBy("distance", "mission_id")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similar_averages(near: DataFrame) -> DataFrame:
@@ -124,7 +113,7 @@ def recommend(missions: DataFrame, weak: DataFrame) -> tuple[DataFrame, DataFram
     ``weak(mission_id, region, vertices)``.
     """
     w = Window.partitionBy("mission_id").orderBy(F.desc("vertices"), "region")
-    refly = weak.withColumn("i", F.row_number().over(w)).filter("i <= 8").select(
+    refly = weak.join(missions.filter("low_share IS NOT NULL").select("mission_id"), "mission_id", "left_semi").withColumn("i", F.row_number().over(w)).filter("i <= 8").select(
         "mission_id", F.lit("refly_region").alias("type"), F.when(F.col("i") <= 3, "High").otherwise("Medium").alias("priority"), F.col("i").cast("long").alias("seq")
     )
     one = lambda cond, kind, pr: F.when(cond, F.struct(F.lit(kind).alias("type"), pr.alias("priority")))
@@ -137,9 +126,11 @@ def recommend(missions: DataFrame, weak: DataFrame) -> tuple[DataFrame, DataFram
             one(e < 45, "refly_conditions", F.lit("High")),
             one(e.isNull(), "environment", F.lit("Low")),
             one((F.col("structures") == 0) & (F.col("objects") > 0), "coverage", F.lit("Medium")),
+            one((F.col("low_share") <= 0.02) & F.col("_weak").isNull(), "coverage", F.lit("Low")),
         )
     )
-    rows = missions.select("mission_id", F.posexplode(rules).alias("p", "r")).select("mission_id", "r.type", "r.priority", (F.col("p") + 100).cast("long").alias("seq"))
+    even = weak.select("mission_id").distinct().withColumn("_weak", F.lit(True))
+    rows = missions.join(even, "mission_id", "left").select("mission_id", F.posexplode(rules).alias("p", "r")).select("mission_id", "r.type", "r.priority", (F.col("p") + 100).cast("long").alias("seq"))
     parts = F.filter(
         F.array(F.struct(F.lit(0.4).alias("w"), g.alias("v")), F.struct(F.lit(0.3).alias("w"), e.alias("v")), F.struct(F.lit(0.3).alias("w"), ((1 - F.col("low_share")) * 100).alias("v"))),
         lambda s: s["v"].isNotNull(),

@@ -12,7 +12,6 @@ from skyfold.session import once
 # Cell sizes of coarse layers, support floors.
 NICE_CELLS = [2.0, 5.0, 10.0, 20.0, 25.0, 50.0, 100.0]
 MIN_POINTS = 3
-MAX_CELLS = 16_000_000
 PER_ERROR_CELL = 4
 
 
@@ -24,15 +23,11 @@ def nice_cell(target):
 
 
 def grid_meta(points: DataFrame, gsd: float | None = None, spacing: DataFrame | None = None) -> DataFrame:
-    """Bounds, cell size and shape per mission; cells double until the raster fits."""
+    """Bounds, cell size and shape per mission; the raster is sparse, so its extent costs nothing."""
     m = points.groupBy(*KEY).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     m = m.withColumn("gsd", F.lit(float(gsd))) if gsd else m.join(spacing, KEY, "left").withColumn("gsd", F.coalesce("spacing", F.lit(1.0))).drop("spacing")
-    rows = lambda g: F.floor((F.col("y1") - F.col("y0")) / g) + 1
-    cols = lambda g: F.floor((F.col("x1") - F.col("x0")) / g) + 1
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.col("gsd") * F.pow(F.lit(2.0), i))
-    fit = F.filter(sizes, lambda g: rows(g) * cols(g) <= MAX_CELLS)[0]
-    m = m.withColumn("gsd", fit)
-    return m.withColumn("rows", rows(F.col("gsd")).cast("long")).withColumn("cols", cols(F.col("gsd")).cast("long"))
+    count = lambda a: (F.floor((F.col(f"{a}1") - F.col(f"{a}0")) / F.col("gsd")) + 1).cast("long")
+    return m.withColumn("rows", count("y")).withColumn("cols", count("x"))
 
 
 def rasterise(points: DataFrame, gsd: float) -> tuple[DataFrame, DataFrame]:
@@ -45,22 +40,14 @@ def rasterise(points: DataFrame, gsd: float) -> tuple[DataFrame, DataFrame]:
     return grid, meta
 
 
-def ground_spacing(points: DataFrame, sample: int = 20_000) -> DataFrame:
-    """Typical horizontal spacing: median nearest distance of small clouds, else from cell counts."""
+def ground_spacing(points: DataFrame) -> DataFrame:
+    """Typical horizontal spacing: median distance to the nearest point at another place; 1 where there is none."""
     from skyfold.kernels.knn import knn
 
     points = once(points)
-    b = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("sx"), (F.max("y") - F.min("y")).alias("sy"))
-    small = points.join(b.filter(F.col("n") <= sample).select(*KEY), KEY, "left_semi")
-    near = knn(small, small, KEY, dims=("x", "y"), k=1, exclude_self=True).filter("distance > 0")
+    near = knn(points, points, KEY, dims=("x", "y"), k=1, exclude_self=True).filter("distance > 0")
     med = quantiles(near, KEY, nn=("distance", 0.5))
-    cell = 4.0 * F.sqrt(F.greatest(F.col("sx") * F.col("sy"), F.lit(1e-9)) / F.col("n"))
-    big = points.join(b.filter((F.col("n") > sample) & (F.col("sx") > 0) & (F.col("sy") > 0)).withColumn("cell", cell), KEY)
-    cells = big.groupBy(*KEY, ((F.col("x") - F.col("x0")) / F.col("cell")).cast("long").alias("ix"), ((F.col("y") - F.col("y0")) / F.col("cell")).cast("long").alias("iy")).agg(F.count(F.lit(1)).alias("c"), F.first("cell").alias("cell"))
-    dens = quantiles(cells, KEY, mc=("c", 0.5), cell=("cell", 0.5))
-    return b.select(*KEY).join(med, KEY, "left").join(dens, KEY, "left").select(
-        *KEY, F.coalesce("nn", F.col("cell") / F.sqrt("mc"), F.lit(1.0)).alias("spacing")
-    )
+    return points.select(*KEY).distinct().join(med, KEY, "left").select(*KEY, F.coalesce("nn", F.lit(1.0)).alias("spacing"))
 
 
 def sample_grid(points: DataFrame, grid: DataFrame, meta: DataFrame, dx: float = 0.0, dy: float = 0.0) -> DataFrame:

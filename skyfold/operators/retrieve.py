@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyfold.operators.concepts import CONCEPT_CLASSES, concept
 from skyfold.session import once
 
-# Routing words in order and concept synonyms.
+# Routing words in order.
 QUERY_SLICE = 4096
-LIMIT_RESULTS = 20
 LIMIT_SOURCES = 50
 COUNT = r"\b(how many|count|number of|total)\b"
 DAMAGED = r"\b(damaged|destroyed|collapsed|flooded|affected)\b"
@@ -23,8 +23,6 @@ RISK = r"\b(risk|danger|unsafe|emergency|access|evacuat)\b"
 CHANGE = r"\b(change|compare|added|removed|new|difference|different|progress|vs)\b"
 RECOMMEND = r"\b(recommend|re-fly|refly|improve|better|rescan|optimiz)\b"
 SUMMARY = r"\b(summary|overview|what is there|report)\b"
-CONCEPTS = [("building", r"building|house|homes|structure"), ("water", r"water|flood|pond|lake|river"), ("road", r"road|street|path")]
-CONCEPT_CLASSES = {"building": ["structure", "roof", "wall"], "water": ["water"], "road": ["ground"]}
 
 
 def tokens(text: Column) -> Column:
@@ -138,13 +136,6 @@ def vector_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     return _ranked(parts, k)
 
 
-def concept(q: Column) -> Column:
-    e = None
-    for name, pattern in CONCEPTS:
-        e = F.when(q.rlike(pattern), name) if e is None else e.when(q.rlike(pattern), name)
-    return e
-
-
 def route_questions(questions: DataFrame) -> DataFrame:
     """Intent and concept of every question, first matching rule wins."""
     q = F.lower(F.trim(F.col("text")))

@@ -7,17 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyfold.kernels.components import grid_components
 from skyfold.kernels.knn import knn
 from skyfold.kernels.quantile import quantiles
+from skyfold.operators.concepts import CONCEPT_CLASSES, SYNONYMS
 from skyfold.operators.mesh import face_components, face_geometry
 from skyfold.operators.telemetry import KEY
 from skyfold.session import once
 
 # Class ids by position, relation and severity limits.
+RELATIONS = {"roof+wall": "supports", "roof+structure": "part_of", "structure+wall": "part_of", "structure+vegetation": "adjacent"}
 CLASS_ID = {n: i for i, n in enumerate(["ground", "structure", "roof", "wall", "vegetation", "water", "vehicle", "unclassified"])}
 
 
 def severity(area: Column, share: Column, near: Column) -> Column:
     return (
-        F.when((area >= 800) | (share >= 0.20), "Critical").when((area >= 200) | ((share >= 0.05) & near), "High").when((area >= 8) | near, "Medium").otherwise("Low")
+        F.when((area > 800) | (share > 0.20), "Critical").when((area > 200) | ((share > 0.05) & near), "High").when((area > 8) | near, "Medium").otherwise("Low")
     )
 
 
@@ -47,7 +49,7 @@ def extract_objects(v: DataFrame, f: DataFrame, least: int = 6) -> DataFrame:
 
 
 def scene_graph(objects: DataFrame, share: float = 0.2) -> DataFrame:
-    """Object pairs whose boxes are close: gap at most ``share`` of the larger dimension.
+    """Object pairs whose boxes are close: the largest axis gap is at most ``share`` of the larger dimension.
 
     Boxes are entered in coarse cells, widened by their own reach, so only
     neighbours meet.
@@ -57,27 +59,38 @@ def scene_graph(objects: DataFrame, share: float = 0.2) -> DataFrame:
     size = o.groupBy(*KEY).agg(F.greatest(F.max("dim") * (1 + share), F.lit(1e-6)).alias("cell"))
     o = o.join(size, KEY)
     span = lambda a, r: F.sequence(F.floor((F.col(f"{a}0") - r) / F.col("cell")), F.floor((F.col(f"{a}1") + r) / F.col("cell")))
-    cols = ["object_id", "dim", "x0", "x1", "y0", "y1", "z0", "z1"]
+    cols = ["object_id", "class", "dim", "x0", "x1", "y0", "y1", "z0", "z1"]
     r = F.col("cell") * share
     home = o.select(*KEY, *cols, F.floor(F.col("x0") / F.col("cell")).alias("gx"), F.floor(F.col("y0") / F.col("cell")).alias("gy"))
     wide = o.withColumn("gx", F.explode(F.sequence(F.floor((F.col("x0") - F.col("cell") - r) / F.col("cell")), F.floor((F.col("x1") + r) / F.col("cell"))))).withColumn("gy", F.explode(F.sequence(F.floor((F.col("y0") - F.col("cell") - r) / F.col("cell")), F.floor((F.col("y1") + r) / F.col("cell")))))
     b = wide.select(*KEY, "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in cols])
     j = home.join(b, [*KEY, "gx", "gy"]).filter("object_id < b_object_id")
     gap = [F.greatest(F.col(f"b_{a}0") - F.col(f"{a}1"), F.col(f"{a}0") - F.col(f"b_{a}1"), F.lit(0.0)) for a in "xyz"]
-    j = j.withColumn("gap_m", F.sqrt(sum((g * g for g in gap), F.lit(0.0)))).filter(F.col("gap_m") <= share * F.greatest("dim", "b_dim"))
-    return j.select(*KEY, F.col("object_id").alias("src"), F.col("b_object_id").alias("dst"), "gap_m", F.when((F.col("z0") >= F.col("b_z1")) | (F.col("b_z0") >= F.col("z1")), "stacked").otherwise("adjacent").alias("relation"))
+    j = j.withColumn("gap_m", F.greatest(*gap)).filter(F.col("gap_m") <= share * F.greatest("dim", "b_dim"))
+    over = F.greatest(F.lit(0.0), F.least("z1", "b_z1") - F.greatest("z0", "b_z0"))
+    kind = F.array_join(F.array_sort(F.array("class", "b_class")), "+")
+    relation = F.coalesce(F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair])[kind], F.when(over > 0, "touches").otherwise("near"))
+    return j.select(*KEY, F.col("object_id").alias("src"), F.col("b_object_id").alias("dst"), "gap_m", over.alias("overlap_m"), relation.alias("relation"))
 
 
-def assess_flood(objects: DataFrame, near_m: float = 25.0) -> DataFrame:
-    """Largest water body of at least 8 m2, its severity and whether structures are close."""
-    mid = lambda d: d.select(*KEY, "object_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    w = once(objects.filter("class = 'water' AND area >= 8"))
-    s = objects.filter(F.col("class").isin("structure", "roof", "wall"))
-    near = knn(mid(w), mid(s), KEY, dims=("x", "y"), qid="object_id", tid="object_id").groupBy(*KEY).agg(F.min("distance").alias("d"))
-    tot = objects.groupBy(*KEY).agg(F.sum("area").alias("all_area"))
-    big = w.groupBy(*KEY).agg(F.max("area").alias("area")).join(tot, KEY).join(near, KEY, "left")
-    close = F.coalesce(F.col("d") <= near_m, F.lit(False))
-    return big.select(*KEY, "area", close.alias("near"), severity(F.col("area"), F.col("area") / F.col("all_area"), close).alias("severity"), (0.6 + 0.35 * F.least(F.col("area") / 400, F.lit(1.0))).alias("confidence"))
+def assess_flood(faces: DataFrame, near_m: float = 25.0, least: float = 8.0) -> DataFrame:
+    """The largest connected water surface of at least ``least`` m2, its severity, and whether anything built or parked is near.
+
+    ``faces(mission_id, class, component, x, y, z, area)``: face centres with the number of their connected surface.
+    """
+    f = once(faces.withColumn("_id", F.monotonically_increasing_id()))
+    surface = f.filter("class = 'water'").groupBy(*KEY, "component").agg(F.sum("area").alias("area"))
+    big = surface.groupBy(*KEY).agg(F.max(F.struct("area", (-F.col("component")).alias("c"))).alias("b")).select(*KEY, F.col("b.area").alias("area"), (-F.col("b.c")).alias("component"))
+    big = once(big.filter(F.col("area") >= least))
+    at = ["_id", "x", "y", "z"]
+    wet = f.filter("class = 'water'").join(big.select(*KEY, "component"), [*KEY, "component"], "left_semi").select(*KEY, *at)
+    made = f.filter(F.col("class").isin("roof", "wall", "structure", "vehicle")).select(*KEY, *at)
+    near = knn(wet, made, KEY, qid="_id", tid="_id").groupBy(*KEY).agg(F.min("distance").alias("d"))
+    total = f.groupBy(*KEY).agg(F.sum("area").alias("all_area"))
+    j = big.join(total, KEY).join(near, KEY, "left")
+    close = F.coalesce(F.col("d") < near_m, F.lit(False))
+    share = F.col("area") / F.greatest("all_area", F.lit(1e-9))
+    return j.select(*KEY, "area", share.alias("share"), close.alias("near"), severity(F.col("area"), share, close).alias("severity"), (0.6 + 0.35 * F.least(F.col("area") / 400, F.lit(1.0))).alias("confidence"))
 
 
 def infrastructure(objects: DataFrame) -> DataFrame:
@@ -94,14 +107,34 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def assess_collapse(debris: DataFrame, objects: DataFrame, margin: float = 12.0) -> DataFrame:
-    """Debris centroids inside the widened box of a confident structure; boxes enter a coarse grid."""
+    """Debris ``debris_id, x, y, z, severity, confidence`` inside the widened box of a confident structure; boxes enter a coarse grid."""
     s = objects.filter(F.col("class").isin("structure", "roof", "wall") & (F.col("confidence") >= 0.3))
     cell = 50.0
     span = lambda a: F.sequence(F.floor((F.col(f"{a}0") - margin) / cell), F.floor((F.col(f"{a}1") + margin) / cell))
-    s = s.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y"))).select(*KEY, "gx", "gy", "x0", "x1", "y0", "y1", F.col("object_id").alias("structure_id"))
+    box = [f"{a}{i}" for a in "xyz" for i in (0, 1)]
+    s = s.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y"))).select(*KEY, "gx", "gy", *box, F.col("object_id").alias("structure_id"))
     d = debris.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    j = d.join(s, [*KEY, "gx", "gy"]).filter(F.col("x").between(F.col("x0") - margin, F.col("x1") + margin) & F.col("y").between(F.col("y0") - margin, F.col("y1") + margin))
-    return j.groupBy(*KEY, "debris_id").agg(F.min("structure_id").alias("structure_id"))
+    inside = [F.col(a).between(F.col(f"{a}0") - margin, F.col(f"{a}1") + margin) for a in "xyz"]
+    j = d.join(s, [*KEY, "gx", "gy"]).filter(inside[0] & inside[1] & inside[2])
+    j = j.groupBy(*KEY, "debris_id").agg(F.min("structure_id").alias("structure_id"), F.min("severity").alias("severity"), F.min("confidence").alias("_c"))
+    return j.select(*KEY, "debris_id", "structure_id", "severity", F.least(F.lit(0.85), F.col("_c") + 0.15).alias("confidence"))
+
+
+def assess_debris(faces: DataFrame, least: float = 4.0, low: float = 0.3, high: float = 3.0) -> DataFrame:
+    """One debris row per mission: fragments of built or unclassified surface just above the ground.
+
+    ``faces(mission_id, class, component, x, y, z, area, height)``, height over the ground plane.  A fragment is what a connected
+    surface has between ``low`` and ``high``, of at least ``least`` m2; twelve fragments make it High.
+    """
+    f = once(faces)
+    good = f.filter(F.col("class").isin("structure", "unclassified", "wall") & (F.col("height") > low) & (F.col("height") < high))
+    part = good.groupBy(*KEY, "component").agg(F.sum("area").alias("area"), *[F.sum(a).alias(a) for a in "xyz"], F.count(F.lit(1)).alias("n"))
+    own = part.groupBy(*KEY).agg(F.count_if(F.col("area") >= least).alias("fragments"), F.sum(F.when(F.col("area") >= least, F.col("area"))).alias("area"), *[(F.sum(a) / F.sum("n")).alias(a) for a in "xyz"])
+    total = f.groupBy(*KEY).agg(F.sum("area").alias("all_area"))
+    j = own.filter("fragments > 0").join(total, KEY)
+    share = F.col("area") / F.greatest("all_area", F.lit(1e-9))
+    level = F.when(F.col("fragments") >= 12, "High").otherwise(severity(F.col("area"), share, F.lit(False)))
+    return j.select(*KEY, "fragments", "area", share.alias("share"), *"xyz", level.alias("severity"), (0.5 + 0.4 * F.least(F.col("fragments") / 15, F.lit(1.0))).alias("confidence"))
 
 
 def coverage_raster(vertices: DataFrame, n: int = 48, blind: float = 0.4) -> DataFrame:
@@ -160,14 +193,29 @@ def terrain_stats(vertices: DataFrame) -> DataFrame:
     return a.join(quantiles(vertices, KEY, z_p10=("z", 0.1)), KEY).withColumn("elevation_range", F.col("z_max") - F.col("z_p10"))
 
 
-def concept_evidence(objects: DataFrame, prompts: DataFrame, synonyms: dict[str, list[str]], top: int = 12) -> DataFrame:
-    """Classes and best instances behind each prompted concept; ``prompts(prompt_id, text)``."""
-    syn = objects.sparkSession.createDataFrame([(w, c) for w, cs in synonyms.items() for c in cs], "word string, class string")
-    asked = prompts.select("prompt_id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).distinct().join(F.broadcast(syn), "word").select("prompt_id", "class").distinct()
-    total = objects.groupBy("class").agg(F.count(F.lit(1)).alias("instances"), F.sum("area").alias("area"))
-    w = Window.partitionBy("class").orderBy(F.desc("area"), "object_id")
-    best = objects.filter("confidence >= 0.3").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= top).groupBy("class").agg(F.count(F.lit(1)).alias("listed"), F.avg("confidence").alias("confidence"))
-    return asked.join(F.broadcast(total.join(best, "class", "left")), "class")
+def concept_evidence(objects: DataFrame, prompts: DataFrame, faces: DataFrame, least: float = 0.3) -> DataFrame:
+    """Evidence behind each concept of a prompt: ``prompts(prompt_id, text)``, ``faces(class)``, ``objects(class, area, volume, confidence)``.
+
+    Classes are summed first, so the join meets a handful of rows.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]", " ")), " +")
+    asked = prompts.select("prompt_id", F.explode(words).alias("word")).distinct()
+    spark = objects.sparkSession
+    syn = spark.createDataFrame(list(SYNONYMS.items()), "word string, concept string")
+    classes = spark.createDataFrame([(c, k) for c, ks in CONCEPT_CLASSES.items() for k in ks], "concept string, class string")
+    f = classes.join(faces.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class", "left").groupBy("concept").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("faces"))
+    o = objects.filter(F.col("confidence") >= least).groupBy("class").agg(F.count(F.lit(1)).alias("i"), F.sum("area").alias("a"), F.sum("volume").alias("v"))
+    o = classes.join(o, "class", "left").groupBy("concept").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("i", "instances"), ("a", "area"), ("v", "volume"))])
+    total = faces.agg(F.count(F.lit(1)).alias("all"))
+    per = f.join(o, "concept").join(total).select("concept", "faces", F.coalesce(F.col("faces") / F.col("all"), F.lit(0.0)).alias("face_share"), "instances", "area", "volume")
+    return asked.join(syn, "word").select("prompt_id", "concept").distinct().join(per, "concept")
+
+
+def concept_instances(objects: DataFrame, least: float = 0.3, top: int = 12) -> DataFrame:
+    """The ``top`` largest confident objects of each concept."""
+    classes = objects.sparkSession.createDataFrame([(c, k) for c, ks in CONCEPT_CLASSES.items() for k in ks], "concept string, class string")
+    w = Window.partitionBy("concept").orderBy(F.desc("area"), "object_id")
+    return objects.filter(F.col("confidence") >= least).join(classes, "class").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def prune_debris(v: DataFrame, f: DataFrame, max_faces: int = 50, factor: float = 5.0) -> DataFrame:

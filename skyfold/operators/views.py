@@ -144,7 +144,7 @@ def fit_report(fits: DataFrame) -> DataFrame:
 
 
 def conditioned_points(obs: DataFrame, points: DataFrame, poses: DataFrame, share: float = 0.05) -> DataFrame:
-    """Smallest baseline and ray angle among the cameras that observe a point.
+    """Smallest baseline and ray angle among the cameras that observe a point; a point of one camera has baseline 0 and no angle.
 
     Only pairs inside one point's own track are formed.
     """
@@ -152,11 +152,14 @@ def conditioned_points(obs: DataFrame, points: DataFrame, poses: DataFrame, shar
     c = once(c.select(*KEY, "point_id", "frame_id", *[(F.col(a) - F.col("c" + a)).alias("d" + a) for a in "xyz"]))
     b = c.select(*KEY, "point_id", F.col("frame_id").alias("other"), *[F.col("d" + a).alias("e" + a) for a in "xyz"])
     p = c.join(b, [*KEY, "point_id"]).filter("frame_id < other")
+    every = c.select(*KEY, "point_id").distinct()
     base = norm3(*[F.col("d" + a) - F.col("e" + a) for a in "xyz"])
     dot = sum((F.col("d" + a) * F.col("e" + a) for a in "xyz"), F.lit(0.0))
     la, lb = norm3(*[F.col("d" + a) for a in "xyz"]), norm3(*[F.col("e" + a) for a in "xyz"])
     ang = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (la * lb)))))
-    return p.groupBy(*KEY, "point_id").agg(F.min(base).alias("min_baseline"), F.min(ang).alias("min_ray_angle_deg"), F.min(F.least(la, lb)).alias("depth")).withColumn("conditioned", F.col("min_baseline") >= share * F.col("depth"))
+    seen = p.groupBy(*KEY, "point_id").agg(F.min(base).alias("min_baseline"), F.min(ang).alias("min_ray_angle_deg"), F.min(F.least(la, lb)).alias("depth"))
+    out = every.join(seen, [*KEY, "point_id"], "left").withColumn("min_baseline", F.coalesce("min_baseline", F.lit(0.0)))
+    return out.withColumn("conditioned", F.coalesce(F.col("min_baseline") >= share * F.col("depth"), F.lit(False)))
 
 
 def track_stats(obs: DataFrame) -> DataFrame:
@@ -211,10 +214,12 @@ def detect_layers(points: DataFrame, voxel: float) -> DataFrame:
     b = once(c.groupBy(*k, "b").agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(*k).orderBy("b")
     g = b.withColumn("gap", F.col("lo") - F.lag("hi").over(w))
-    col = g.groupBy(*k).agg(F.sum("n").alias("points"), (1 + F.count_if(F.col("gap") > 1.5 * voxel)).alias("layers"), F.max(F.when(F.col("gap") > 1.5 * voxel, F.col("gap"))).alias("separation"))
-    col = once(col.filter("points BETWEEN 8 AND 4000"))
+    split = F.when(F.col("gap") > 1.5 * voxel, F.col("gap"))
+    col = g.groupBy(*k).agg(F.sum("n").alias("points"), (1 + F.count(split)).alias("layers"), F.collect_list(split).alias("gaps"))
+    col = once(col.filter("points >= 8"))
     a = col.groupBy(*KEY).agg(F.count(F.lit(1)).alias("columns"), F.sum("points").alias("examined"), F.count_if(F.col("layers") > 1).alias("layered_columns"), (100 * F.sum(F.when(F.col("layers") > 1, F.col("points")).otherwise(0)) / F.sum("points")).alias("layered_pct"))
-    return a.join(quantiles(col.filter("separation IS NOT NULL"), KEY, median_separation=("separation", 0.5)), KEY, "left").withColumn("status", F.when(F.col("examined") < 500, "insufficient").otherwise("measured"))
+    gaps = col.select(*KEY, F.explode("gaps").alias("separation"))
+    return a.join(quantiles(gaps, KEY, median_separation=("separation", 0.5)), KEY, "left").withColumn("status", F.when(F.col("examined") < 500, "insufficient").otherwise("measured"))
 
 
 def layer_origin(dense_pct: Column, mesh_pct: Column) -> Column:

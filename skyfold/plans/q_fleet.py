@@ -59,21 +59,22 @@ def _(t):
     return fl.prediction_error(p, m)
 
 
-WEAK = "SELECT CAST(l_orderkey AS VARCHAR) AS mission_id, l_linenumber AS region, max(l_partkey) AS vertices FROM lineitem WHERE l_quantity<20 GROUP BY 1,2"
+WEAK = "SELECT CAST(l_orderkey AS VARCHAR) AS mission_id, l_linenumber AS region, max(l_partkey) AS vertices FROM lineitem GROUP BY 1,2"
 
 
 @query("l5_recommendations", f"""WITH w AS ({WEAK}), r AS (SELECT mission_id, row_number() OVER (PARTITION BY mission_id ORDER BY vertices DESC, region) AS i FROM w)
- SELECT mission_id, 'refly_region' AS type, CASE WHEN i<=3 THEN 'High' ELSE 'Medium' END AS priority FROM r WHERE i<=8
+ SELECT mission_id, 'refly_region' AS type, CASE WHEN i<=3 THEN 'High' ELSE 'Medium' END AS priority FROM r JOIN history USING (mission_id) WHERE i<=8 AND coverage IS NOT NULL
  UNION ALL SELECT mission_id, 'gps', 'High' FROM history WHERE gps_score IS NULL UNION ALL SELECT mission_id, 'flight_parameter', CASE WHEN gps_score<40 THEN 'High' ELSE 'Medium' END FROM history WHERE gps_score<70
  UNION ALL SELECT mission_id, 'gps', 'Low' FROM history WHERE gps_score>=70 UNION ALL SELECT mission_id, 'refly_conditions', 'High' FROM history WHERE env_score<45
- UNION ALL SELECT mission_id, 'coverage', 'Medium' FROM history WHERE CAST(altitude_m AS BIGINT)%4=0""")
+ UNION ALL SELECT mission_id, 'coverage', 'Medium' FROM history WHERE CAST(altitude_m AS BIGINT)%4=0
+ UNION ALL SELECT mission_id, 'coverage', 'Low' FROM history WHERE 1-coverage<=0.02e0 AND mission_id NOT IN (SELECT mission_id FROM w)""")
 def _(t):
     return _recommend(t)[0].select("mission_id", "type", "priority")
 
 
 def _recommend(t):
     m = t.history.select("mission_id", F.col("gps_score").alias("gps_q"), F.col("env_score").alias("env_q"), (1 - F.col("coverage")).alias("low_share"), F.lit(5).alias("objects"), (F.col("altitude_m").cast("long") % 4).alias("structures"))
-    w = t.raw("lineitem").filter("l_quantity < 20").groupBy(F.col("l_orderkey").cast("string").alias("mission_id"), F.col("l_linenumber").alias("region")).agg(F.max("l_partkey").alias("vertices"))
+    w = t.raw("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("mission_id"), F.col("l_linenumber").alias("region")).agg(F.max("l_partkey").alias("vertices"))
     return fl.recommend(m, w)
 
 

@@ -35,16 +35,27 @@ def _(t):
     return re_.vector_topk(e.select(F.col("vec_id").alias("id"), "embedding"), q, 5)
 
 
-C = "CASE " + " ".join(f"WHEN regexp_matches(q,'{p}') THEN '{n}'" for n, p in re_.CONCEPTS) + " END"
-ROUTE = f"""SELECT qid, concept, CASE WHEN q='' THEN 'clarify' WHEN regexp_matches(q,'{re_.COUNT}') AND regexp_matches(q,'{re_.DAMAGED}') THEN 'count_damage' WHEN regexp_matches(q,'{re_.COUNT}') AND concept IS NOT NULL THEN 'count' WHEN regexp_matches(q,'{re_.COUNT}') THEN 'count_kinds'
- WHEN concept IS NOT NULL AND regexp_matches(q,'{re_.MEASURE}') THEN 'measure' WHEN regexp_matches(q,'{re_.DAMAGE}') THEN 'damage' WHEN concept IS NOT NULL AND regexp_matches(q,'{re_.LOCATE}') THEN 'locate' WHEN regexp_matches(q,'{re_.RISK}') THEN 'risk'
- WHEN regexp_matches(q,'{re_.CHANGE}') THEN 'change' WHEN regexp_matches(q,'{re_.RECOMMEND}') THEN 'recommendation' WHEN regexp_matches(q,'{re_.SUMMARY}') THEN 'summary' ELSE 'retrieval' END AS intent, q FROM (SELECT qid, q, {C} AS concept FROM (SELECT qid, lower(trim(text)) AS q FROM asked))"""
-ASKED = """asked AS (SELECT conv_id*1000+turn AS qid, CASE turn%6 WHEN 0 THEN 'how many houses ' WHEN 1 THEN 'total volume of the building ' WHEN 2 THEN 'where is the river ' WHEN 3 THEN 'what changed, any risk ' WHEN 4 THEN 'height of the road ' ELSE '' END || text AS text FROM conversations)"""
+# Written out here on purpose: the check must not share constants with what it checks.
+SYN = "MAP {" + ", ".join(f"'{w}': '{c}'" for w, c in (
+    ("buildings", "building"), ("building", "building"), ("house", "building"), ("homes", "building"), ("structure", "structure"), ("structures", "structure"), ("road", "road"), ("roads", "road"), ("street", "road"), ("streets", "road"), ("path", "road"),
+    ("water", "water"), ("pond", "water"), ("lake", "water"), ("river", "water"), ("flood", "flood"), ("flooding", "flood"), ("trees", "tree"), ("tree", "tree"), ("forest", "tree"), ("roof", "roof"), ("roofs", "roof"), ("vehicles", "vehicle"), ("tower", "tower"), ("rubble", "debris"),
+)) + "}"
+C = f"""coalesce(list_filter(list_transform(string_split_regex(q,'\\s+'), lambda w: ({SYN})[w]), lambda c: c IS NOT NULL)[1],
+ CASE WHEN regexp_matches(q,'building|house|homes|structure') THEN 'building' WHEN regexp_matches(q,'water|flood|pond|lake|river') THEN 'water' WHEN regexp_matches(q,'road|street|path') THEN 'road' END)"""
+W = {
+    "COUNT": "\\b(how many|count|number of|total)\\b", "DAMAGED": "\\b(damaged|destroyed|collapsed|flooded|affected)\\b", "MEASURE": "\\b(measure|height|area|volume|size|how tall|how big|dimensions)\\b",
+    "DAMAGE": "\\b(damage|destroyed|collapse|collapsed|flood|flooded|landslide|debris|rubble|blocked|blockage)\\b", "LOCATE": "\\b(where|show|find|list|locate|highlight|which)\\b", "RISK": "\\b(risk|danger|unsafe|emergency|access|evacuat)\\b",
+    "CHANGE": "\\b(change|compare|added|removed|new|difference|different|progress|vs)\\b", "RECOMMEND": "\\b(recommend|re-fly|refly|improve|better|rescan|optimiz)\\b", "SUMMARY": "\\b(summary|overview|what is there|report)\\b",
+}
+ROUTE = f"""SELECT qid, concept, CASE WHEN q='' THEN 'clarify' WHEN regexp_matches(q,'{W['COUNT']}') AND regexp_matches(q,'{W['DAMAGED']}') THEN 'count_damage' WHEN regexp_matches(q,'{W['COUNT']}') AND concept IS NOT NULL THEN 'count' WHEN regexp_matches(q,'{W['COUNT']}') THEN 'count_kinds'
+ WHEN concept IS NOT NULL AND regexp_matches(q,'{W['MEASURE']}') THEN 'measure' WHEN regexp_matches(q,'{W['DAMAGE']}') THEN 'damage' WHEN concept IS NOT NULL AND regexp_matches(q,'{W['LOCATE']}') THEN 'locate' WHEN regexp_matches(q,'{W['RISK']}') THEN 'risk'
+ WHEN regexp_matches(q,'{W['CHANGE']}') THEN 'change' WHEN regexp_matches(q,'{W['RECOMMEND']}') THEN 'recommendation' WHEN regexp_matches(q,'{W['SUMMARY']}') THEN 'summary' ELSE 'retrieval' END AS intent, q FROM (SELECT qid, q, {C} AS concept FROM (SELECT qid, lower(trim(text)) AS q FROM asked))"""
+ASKED = """asked AS (SELECT conv_id*1000+turn AS qid, CASE turn%8 WHEN 0 THEN 'how many houses ' WHEN 1 THEN 'total volume of the building ' WHEN 2 THEN 'where is the river ' WHEN 3 THEN 'what changed, any risk ' WHEN 4 THEN 'height of the road ' WHEN 5 THEN 'how many trees ' WHEN 6 THEN 'show every roof and flood ' ELSE '' END || text AS text FROM conversations)"""
 
 
 def asked(t):
-    k = F.col("turn") % 6
-    lead = F.when(k == 0, "how many houses ").when(k == 1, "total volume of the building ").when(k == 2, "where is the river ").when(k == 3, "what changed, any risk ").when(k == 4, "height of the road ").otherwise("")
+    k = F.col("turn") % 8
+    lead = F.when(k == 0, "how many houses ").when(k == 1, "total volume of the building ").when(k == 2, "where is the river ").when(k == 3, "what changed, any risk ").when(k == 4, "height of the road ").when(k == 5, "how many trees ").when(k == 6, "show every roof and flood ").otherwise("")
     return t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(lead, "text").alias("text"))
 
 
@@ -53,7 +64,7 @@ def _(t):
     return re_.route_questions(asked(t)).select("qid", "concept", "intent")
 
 
-@query("k5_batch_answers", f"""WITH {ASKED}, r AS ({ROUTE}), o AS (SELECT *, CASE WHEN class IN ('structure','roof','wall') THEN 'building' WHEN class='water' THEN 'water' WHEN class='ground' THEN 'road' END AS concept FROM objects),
+@query("k5_batch_answers", f"""WITH {ASKED}, r AS ({ROUTE}), o AS (SELECT objects.*, concept FROM objects JOIN (VALUES ('building','roof'),('building','wall'),('building','structure'),('structure','roof'),('structure','wall'),('structure','structure'),('road','ground'),('water','water'),('flood','water'),('tree','vegetation'),('roof','roof'),('vehicle','vehicle'),('tower','structure'),('debris','unclassified'),('debris','structure')) k(concept,class) USING (class)),
  g AS (SELECT concept, count(*) AS n, sum(height) AS h, sum(area) AS a, sum(volume) AS v FROM o WHERE concept IS NOT NULL GROUP BY 1), s AS (SELECT concept, string_agg(object_id, ',' ORDER BY object_id) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY object_id) AS i FROM o) WHERE i<=50 GROUP BY 1)
  SELECT qid, intent, concept, CASE WHEN intent='measure' THEN (CASE WHEN contains(q,'volume') THEN v WHEN contains(q,'height') OR contains(q,'tall') THEN h WHEN contains(q,'area') OR contains(q,'size') THEN a ELSE h END) ELSE coalesce(n,0)*1.0e0 END AS answer, sources
  FROM r LEFT JOIN g USING (concept) LEFT JOIN s USING (concept) WHERE intent IN ('count','measure','locate')""", "answer")

@@ -90,7 +90,7 @@ def _(t):
 
 COND = f"""WITH {OBS}, c AS (SELECT o.mission_id, o.point_id, o.frame_id, x-cx AS dx, y-cy AS dy, z-cz AS dz FROM obs o JOIN sp USING (mission_id,point_id) JOIN poses p ON p.mission_id=o.mission_id AND p.frame_id=o.frame_id),
  q AS (SELECT a.mission_id, a.point_id, sqrt(pow(a.dx-b.dx,2)+pow(a.dy-b.dy,2)+pow(a.dz-b.dz,2)) AS base, sqrt(a.dx*a.dx+a.dy*a.dy+a.dz*a.dz) AS la, sqrt(b.dx*b.dx+b.dy*b.dy+b.dz*b.dz) AS lb, a.dx*b.dx+a.dy*b.dy+a.dz*b.dz AS dot FROM c a JOIN c b ON a.mission_id=b.mission_id AND a.point_id=b.point_id AND a.frame_id<b.frame_id)
- SELECT mission_id, point_id, min(base) AS min_baseline, min(degrees(acos(greatest(-1,least(1,dot/(la*lb)))))) AS min_ray_angle_deg, min(least(la,lb)) AS depth, min(base)>=0.05e0*min(least(la,lb)) AS conditioned FROM q GROUP BY 1,2"""
+ SELECT mission_id, point_id, coalesce(min(base),0) AS min_baseline, min(CASE WHEN dot IS NOT NULL THEN degrees(acos(greatest(-1,least(1,dot/(la*lb))))) END) AS min_ray_angle_deg, min(least(la,lb)) AS depth, coalesce(min(base)>=0.05e0*min(least(la,lb)),false) AS conditioned FROM (SELECT DISTINCT mission_id, point_id FROM c) LEFT JOIN q USING (mission_id,point_id) GROUP BY 1,2"""
 
 
 @query("e29_point_conditioning", COND, "min_baseline min_ray_angle_deg depth", 4)
@@ -146,27 +146,49 @@ def _(t):
     return sc.class_coverage(sc.classify_faces(t.vertices, t.faces))
 
 
-@query("j4_scene_graph", """WITH o AS (SELECT *, greatest(x1-x0,y1-y0,z1-z0) AS dim FROM objects), j AS (SELECT a.mission_id, a.object_id AS src, b.object_id AS dst, sqrt(pow(greatest(b.x0-a.x1,a.x0-b.x1,0),2)+pow(greatest(b.y0-a.y1,a.y0-b.y1,0),2)+pow(greatest(b.z0-a.z1,a.z0-b.z1,0),2)) AS gap_m,
- greatest(a.dim,b.dim) AS m, a.z0>=b.z1 OR b.z0>=a.z1 AS st FROM o a JOIN o b ON a.mission_id=b.mission_id AND a.object_id<b.object_id) SELECT mission_id, src, dst, gap_m, CASE WHEN st THEN 'stacked' ELSE 'adjacent' END AS relation FROM j WHERE gap_m<=0.2e0*m""", "gap_m")
+@query("j4_scene_graph", """WITH o AS (SELECT *, greatest(x1-x0,y1-y0,z1-z0) AS dim FROM objects), j AS (SELECT a.mission_id, a.object_id AS src, b.object_id AS dst, greatest(b.x0-a.x1,a.x0-b.x1,b.y0-a.y1,a.y0-b.y1,b.z0-a.z1,a.z0-b.z1,0) AS gap_m,
+ greatest(0,least(a.z1,b.z1)-greatest(a.z0,b.z0)) AS overlap_m, greatest(a.dim,b.dim) AS m, [a.class,b.class] AS c FROM o a JOIN o b ON a.mission_id=b.mission_id AND a.object_id<b.object_id)
+ SELECT mission_id, src, dst, gap_m, overlap_m, CASE WHEN c IN (['roof','wall'],['wall','roof']) THEN 'supports' WHEN c IN (['roof','structure'],['structure','roof'],['wall','structure'],['structure','wall']) THEN 'part_of'
+ WHEN c IN (['structure','vegetation'],['vegetation','structure']) THEN 'adjacent' WHEN overlap_m>0 THEN 'touches' ELSE 'near' END AS relation FROM j WHERE gap_m<=0.2e0*m""", "gap_m overlap_m")
 def _(t):
     return sc.scene_graph(t.objects)
 
 
-@query("j5_flood", """WITH w AS (SELECT *, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM objects), n AS (SELECT a.mission_id, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) AS d FROM w a JOIN w b ON a.mission_id=b.mission_id AND a.class='water' AND a.area>=8 AND b.class IN ('structure','roof','wall') GROUP BY 1),
- s AS (SELECT mission_id, max(area) FILTER (class='water' AND area>=8) AS area, sum(area) AS al FROM objects GROUP BY 1), r AS (SELECT s.*, coalesce(d<=25,false) AS near FROM s LEFT JOIN n USING (mission_id) WHERE area IS NOT NULL)
- SELECT mission_id, area, near, CASE WHEN area>=800 OR area/al>=0.2 THEN 'Critical' WHEN area>=200 OR (area/al>=0.05 AND near) THEN 'High' WHEN area>=8 OR near THEN 'Medium' ELSE 'Low' END AS severity, 0.6e0+0.35e0*least(area/400,1) AS confidence FROM r""", "area confidence")
+FACES = """SELECT mission_id, class, object_id//4 AS component, (x0+x1)/2 AS x, (y0+y1)/2 AS y, (z0+z1)/2 AS z, area*4 AS area, (z0+z1)/2 AS height FROM objects"""
+
+
+def surfaces(t):
+    """Each object as one face; four neighbours in number form a connected surface."""
+    mid = [((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(a) for a in "xyz"]
+    return t.objects.select("mission_id", "class", F.floor(F.col("object_id") / 4).alias("component"), *mid, (F.col("area") * 4).alias("area"), ((F.col("z0") + F.col("z1")) / 2).alias("height"))
+
+
+@query("j5_flood", f"""WITH f AS ({FACES}), s AS (SELECT mission_id, component, sum(area) AS area FROM f WHERE class='water' GROUP BY 1,2 HAVING sum(area)>=8), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mission_id ORDER BY area DESC, component)=1),
+ n AS (SELECT w.mission_id, min(sqrt(pow(w.x-m.x,2)+pow(w.y-m.y,2)+pow(w.z-m.z,2))) AS d FROM f w JOIN b USING (mission_id,component) JOIN f m ON m.mission_id=w.mission_id AND w.class='water' AND m.class IN ('roof','wall','structure','vehicle') GROUP BY 1),
+ r AS (SELECT b.mission_id, b.area, b.area/al AS share, coalesce(d<25,false) AS near FROM b JOIN (SELECT mission_id, sum(area) AS al FROM f GROUP BY 1) USING (mission_id) LEFT JOIN n USING (mission_id))
+ SELECT *, CASE WHEN area>800 OR share>0.2 THEN 'Critical' WHEN area>200 OR (share>0.05 AND near) THEN 'High' WHEN area>8 OR near THEN 'Medium' ELSE 'Low' END AS severity, 0.6e0+0.35e0*least(area/400,1) AS confidence FROM r""", "area share confidence")
 def _(t):
-    return sc.assess_flood(t.objects)
+    return sc.assess_flood(surfaces(t))
+
+
+DEBRIS = f"""WITH f AS ({FACES}), p AS (SELECT mission_id, component, sum(area) AS area, sum(x) AS x, sum(y) AS y, sum(z) AS z, count(*) AS n FROM f WHERE class IN ('structure','unclassified','wall') AND height>0.3 AND height<3 GROUP BY 1,2),
+ o AS (SELECT mission_id, count(*) FILTER (area>=4) AS fragments, sum(area) FILTER (area>=4) AS area, sum(x)/sum(n) AS x, sum(y)/sum(n) AS y, sum(z)/sum(n) AS z FROM p GROUP BY 1 HAVING count(*) FILTER (area>=4)>0),
+ debris AS (SELECT o.*, area/al AS share, CASE WHEN fragments>=12 THEN 'High' WHEN area>800 OR area/al>0.2 THEN 'Critical' WHEN area>200 THEN 'High' WHEN area>8 THEN 'Medium' ELSE 'Low' END AS severity, 0.5e0+0.4e0*least(fragments/15,1) AS confidence FROM o JOIN (SELECT mission_id, sum(area) AS al FROM f GROUP BY 1) USING (mission_id))"""
 
 
-@query("j7_collapse", """SELECT d.mission_id, d.object_id AS debris_id, min(s.object_id) AS structure_id FROM objects d JOIN objects s ON s.mission_id=d.mission_id AND s.class IN ('structure','roof','wall') AND s.confidence>=0.3 AND d.class='unclassified'
- AND d.x0 BETWEEN s.x0-12 AND s.x1+12 AND d.y0 BETWEEN s.y0-12 AND s.y1+12 GROUP BY 1,2""")
+@query("j6_debris", f"{DEBRIS} SELECT * FROM debris", "area share x y z confidence")
 def _(t):
-    d = t.objects.filter("class = 'unclassified'").select("mission_id", F.col("object_id").alias("debris_id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    return sc.assess_debris(surfaces(t))
+
+
+@query("j7_collapse", """SELECT d.mission_id, d.object_id AS debris_id, min(s.object_id) AS structure_id, 'High' AS severity, least(0.85e0, min(d.confidence)+0.15e0) AS confidence FROM objects d JOIN objects s ON s.mission_id=d.mission_id AND s.class IN ('structure','roof','wall') AND s.confidence>=0.3 AND d.class='unclassified'
+ AND d.x0 BETWEEN s.x0-12 AND s.x1+12 AND d.y0 BETWEEN s.y0-12 AND s.y1+12 AND d.z1*3 BETWEEN s.z0-12 AND s.z1+12 GROUP BY 1,2""", "confidence")
+def _(t):
+    d = t.objects.filter("class = 'unclassified'").select("mission_id", F.col("object_id").alias("debris_id"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("z1") * 3).alias("z"), F.lit("High").alias("severity"), "confidence")
     return sc.assess_collapse(d, t.objects)
 
 
-@query("j8_severity_counts", """SELECT mission_id, count(*) FILTER (s='Low') AS low, count(*) FILTER (s='Medium') AS medium, count(*) FILTER (s='High') AS high, count(*) FILTER (s='Critical') AS critical FROM (SELECT mission_id, CASE WHEN area*20>=800 OR confidence/4>=0.2 THEN 'Critical' WHEN area*20>=200 OR (confidence/4>=0.05 AND object_id%2=0) THEN 'High' WHEN area*20>=8 OR object_id%2=0 THEN 'Medium' ELSE 'Low' END AS s FROM objects) GROUP BY 1""")
+@query("j8_severity_counts", """SELECT mission_id, count(*) FILTER (s='Low') AS low, count(*) FILTER (s='Medium') AS medium, count(*) FILTER (s='High') AS high, count(*) FILTER (s='Critical') AS critical FROM (SELECT mission_id, CASE WHEN area*20>800 OR confidence/4>0.2 THEN 'Critical' WHEN area*20>200 OR (confidence/4>0.05 AND object_id%2=0) THEN 'High' WHEN area*20>8 OR object_id%2=0 THEN 'Medium' ELSE 'Low' END AS s FROM objects) GROUP BY 1""")
 def _(t):
     return sc.severity_counts(t.objects.withColumn("severity", sc.severity(F.col("area") * 20, F.col("confidence") / 4, F.col("object_id") % 2 == 0)))
 
@@ -213,11 +235,19 @@ def _(t):
     return sc.terrain_stats(t.vertices)
 
 
-@query("j10_concept_evidence", """WITH s AS (SELECT * FROM (VALUES ('the','water'),('and','roof'),('her','structure')) x(word,class)), a AS (SELECT DISTINCT qid AS prompt_id, class FROM (SELECT qid, unnest(string_split_regex(lower(text),'[^a-z]+')) AS word FROM questions) JOIN s USING (word)),
- t AS (SELECT class, count(*) AS instances, sum(area) AS area FROM objects GROUP BY 1), b AS (SELECT class, count(*) AS listed, avg(confidence) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY area DESC, object_id) AS i FROM objects WHERE confidence>=0.3) WHERE i<=12 GROUP BY 1)
- SELECT * FROM a JOIN t USING (class) LEFT JOIN b USING (class)""", "area confidence")
+CONCEPT_WORDS = """(VALUES ('houses','none'),('house','building'),('building','building'),('river','water'),('road','road'),('trees','tree'),('roofs','roof')) w(word,concept)"""
+CONCEPT_CLASS = """(VALUES ('building','roof'),('building','wall'),('building','structure'),('water','water'),('road','ground'),('tree','vegetation'),('roof','roof')) k(concept,class)"""
+
+
+@query("j10_concept_evidence", f"""WITH p AS (SELECT conv_id*1000+turn AS prompt_id, CASE turn%5 WHEN 0 THEN 'Any house, or building? ' WHEN 1 THEN 'river/road ' WHEN 2 THEN 'how many trees ' WHEN 3 THEN 'roofs; houses ' ELSE 'nothing ' END AS text FROM conversations),
+ a AS (SELECT DISTINCT prompt_id, concept FROM (SELECT prompt_id, unnest(string_split_regex(regexp_replace(lower(text),'[^a-z0-9 ]',' ','g'),' +')) AS word FROM p) JOIN (SELECT * FROM {CONCEPT_WORDS}) USING (word) WHERE concept<>'none'),
+ e AS (SELECT concept, count(*) AS faces, count(*) FILTER (confidence>=0.3) AS instances, coalesce(sum(area) FILTER (confidence>=0.3),0) AS area, coalesce(sum(volume) FILTER (confidence>=0.3),0) AS volume FROM objects JOIN (SELECT * FROM {CONCEPT_CLASS}) USING (class) GROUP BY 1)
+ SELECT concept, prompt_id, faces, faces/(SELECT count(*) FROM objects) AS face_share, instances, area, volume FROM a JOIN e USING (concept)""", "face_share area volume")
 def _(t):
-    return sc.concept_evidence(t.objects, t.questions.withColumnRenamed("qid", "prompt_id"), {"the": ["water"], "and": ["roof"], "her": ["structure"]})
+    k = F.col("turn") % 5
+    lead = F.when(k == 0, "Any house, or building? ").when(k == 1, "river/road ").when(k == 2, "how many trees ").when(k == 3, "roofs; houses ").otherwise("nothing ")
+    prompts = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), lead.alias("text"))
+    return sc.concept_evidence(t.objects, prompts, t.objects.select("class"))
 
 
 @query("i13_debris_prune")

@@ -24,19 +24,19 @@ def _(t):
     return fi.upsert_history(o.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), o.filter("o_orderstatus = 'F'").drop("o_orderstatus"))
 
 
-FILES = "SELECT page_id, '/runs/r'||(page_id%20)||'/'||(CASE page_id%6 WHEN 0 THEN 'raw/' WHEN 1 THEN 'logs/' ELSE '' END)||'f'||page_id||(CASE page_id%5 WHEN 0 THEN '.ply' WHEN 1 THEN '.json' WHEN 2 THEN '.npy' WHEN 3 THEN '.las' ELSE '.mp4' END) AS path, length(html) AS bytes FROM pages"
+FILES = "SELECT page_id, '/runs/r'||(page_id%20)||'/'||(CASE page_id%6 WHEN 0 THEN 'raw/' WHEN 1 THEN 'logs/' WHEN 2 THEN 'mesh/raw/' WHEN 3 THEN 'depth/' WHEN 4 THEN 'frames/' ELSE '' END)||'f'||page_id||(CASE page_id%5 WHEN 0 THEN '.ply' WHEN 1 THEN '.json' WHEN 2 THEN '.npy' WHEN 3 THEN '.las' ELSE '.mp4' END) AS path, length(html) AS bytes FROM pages"
 
 
 def files(t):
     p = F.col("page_id")
     ext = F.when(p % 5 == 0, ".ply").when(p % 5 == 1, ".json").when(p % 5 == 2, ".npy").when(p % 5 == 3, ".las").otherwise(".mp4")
-    part = F.when(p % 6 == 0, "raw/").when(p % 6 == 1, "logs/").otherwise("")
+    part = F.element_at(F.array(*[F.lit(x) for x in ("raw/", "logs/", "mesh/raw/", "depth/", "frames/", "")]), (p % 6 + 1).cast("int"))
     return t.raw("pages").select(F.concat(F.lit("/runs/r"), (p % 20).cast("string"), F.lit("/"), part, F.lit("f"), p.cast("string"), ext).alias("path"), F.length("html").cast("long").alias("bytes"))
 
 
-@query("a11_storage_summary", f"""SELECT category, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT *, CASE WHEN path LIKE '%/raw/%' THEN 'raw' WHEN path LIKE '%/logs/%' THEN 'logs' WHEN path LIKE '%.ply' OR path LIKE '%.las' THEN 'final' WHEN path LIKE '%.json' THEN 'processed' WHEN path LIKE '%.npy' THEN 'intermediate' ELSE 'raw' END AS category FROM ({FILES})) GROUP BY 1""")
+@query("a11_storage_summary", f"""SELECT category, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT *, CASE split_part(path,'/',4) WHEN 'raw' THEN 'raw' WHEN 'logs' THEN 'logs' WHEN 'mesh' THEN 'final' WHEN 'depth' THEN 'intermediate' WHEN 'frames' THEN 'processed' ELSE CASE WHEN regexp_matches(path,'[.](ply|las|json)$') THEN 'final' ELSE 'raw' END END AS category FROM ({FILES})) GROUP BY 1""")
 def _(t):
-    return fi.storage_summary(files(t))
+    return fi.storage_summary(files(t).withColumn("rel", F.regexp_replace("path", "^/runs/[^/]*/", "")))
 
 
 @query("a12_identity", """SELECT 'd'||doc_id AS name, CASE WHEN doc_id%7=0 THEN 'unverified' WHEN doc_id%5=0 THEN 'mismatch' ELSE 'verified' END AS status FROM documents""")
@@ -56,10 +56,15 @@ def _(t):
     return fi.staleness(old, cur)
 
 
-@query("a14_dataset_catalogue", f"""SELECT folder, count(*) FILTER (n LIKE '%.srt') AS srt, count(*) FILTER (n LIKE '%.csv') AS csv, count(*) FILTER (n LIKE '%.las') AS scans, CASE WHEN count(*) FILTER (n LIKE '%.las')=1 THEN min(n) FILTER (n LIKE '%.las') END AS reference
- FROM (SELECT regexp_extract(path,'^(.*)/[^/]+$',1) AS folder, regexp_extract(path,'([^/]+)$',1) AS n FROM ({FILES})) GROUP BY 1""")
+SETS = "SELECT '/sets/'||(page_id//4)||'/'||(CASE page_id%7 WHEN 0 THEN 'lidar.laz' WHEN 1 THEN 'lidar.las' WHEN 2 THEN 'poses.csv' WHEN 3 THEN 'tile'||page_id||'.LAS' WHEN 4 THEN 'scan.npz' WHEN 5 THEN 'video.SRT' ELSE 'notes.txt' END) AS path FROM pages"
+
+
+@query("a14_dataset_catalogue", f"""WITH f AS (SELECT regexp_extract(path,'^(.*)/[^/]+$',1) AS folder, regexp_extract(path,'([^/]+)$',1) AS n FROM ({SETS})), s AS (SELECT *, lower(regexp_extract(n,'[.]([^.]+)$',1)) IN ('las','laz','npz') AS scan FROM f)
+ SELECT folder, count(*) FILTER (n IN ('poses.csv','movingdrone_telemetry.csv','video.SRT')) AS telemetry, count(*) FILTER (scan) AS scans, CASE WHEN bool_or(n='lidar.las') THEN 'lidar.las' WHEN bool_or(n='lidar.laz') THEN 'lidar.laz' WHEN count(*) FILTER (scan)=1 THEN min(n) FILTER (scan) END AS reference FROM s GROUP BY 1""")
 def _(t):
-    return fi.dataset_catalog(files(t))
+    p = F.col("page_id")
+    name = F.element_at(F.array(F.lit("lidar.laz"), F.lit("lidar.las"), F.lit("poses.csv"), F.concat(F.lit("tile"), p, F.lit(".LAS")), F.lit("scan.npz"), F.lit("video.SRT"), F.lit("notes.txt")), (p % 7 + 1).cast("int"))
+    return fi.dataset_catalog(t.raw("pages").select(F.concat(F.lit("/sets/"), F.floor(p / 4), F.lit("/"), name).alias("path")))
 
 
 @query("b1_header_scores")

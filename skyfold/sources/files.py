@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# Artifact categories and reference file names.
-CATEGORIES = {"raw": ["mp4", "mov", "srt", "jpg", "jpeg", "png"], "intermediate": ["npy", "npz", "db"], "final": ["ply", "las", "laz", "glb", "obj", "geojson", "pdf"], "logs": ["log"], "processed": ["json", "csv"]}
-REFERENCE_NAMES = ["reference.las", "reference.laz", "lidar.las", "lidar.laz"]
+# Artifact categories by first folder, outputs at the root by ending, names of a dataset's files.
+FOLDERS = {
+    "raw": ["raw"],
+    "processed": ["frames", "selected", "frames_selected"],
+    "intermediate": ["depth", "checkpoints", "tmp", ".cache"],
+    "final": ["dense", "mesh", "georef", "intel", "exports", "textures", "lods"],
+    "logs": ["logs"],
+}
+FINAL_ENDINGS = ["ply", "obj", "glb", "gltf", "las", "laz", "json", "csv", "md", "html"]
+REFERENCE_ENDINGS = ["las", "laz", "npz"]
+TELEMETRY_NAMES = ["poses.csv", "movingdrone_telemetry.csv", "video.SRT"]
 
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -35,26 +43,28 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def category(path: Column) -> Column:
-    """Category by the first known path part, else by extension."""
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+def category(rel: Column) -> Column:
+    """Category of a file by the first part of its path inside the workspace, else by its ending: outputs are final, the rest raw."""
+    head = F.element_at(F.split(rel, "/"), 1)
     e = F.lit(None).cast("string")
-    for name, exts in CATEGORIES.items():
-        e = F.coalesce(e, F.when(ext.isin(exts), name))
-    part = F.regexp_extract(path, r"/(raw|processed|intermediate|final|logs)/", 1)
-    return F.when(part != "", part).otherwise(F.coalesce(e, F.lit("intermediate")))
+    for name, folders in FOLDERS.items():
+        e = F.coalesce(e, F.when(head.isin(folders), name))
+    ending = F.regexp_extract(rel, r"\.([A-Za-z0-9]+)$", 1)
+    return F.coalesce(e, F.when(ending.isin(FINAL_ENDINGS), "final"), F.lit("raw"))
 
 
-def catalog_artifacts(files: DataFrame, root: str, limit: int = 500) -> DataFrame:
-    """Files of each run with category; point clouds first, then path; at most ``limit`` listed."""
+def catalog_artifacts(files: DataFrame, root: str, limit: int | None = None) -> DataFrame:
+    """Files of each run with category; point clouds first, then path; all, or the first ``limit``."""
     rel = F.regexp_replace("path", f"^.*{root}/?", "")
-    f = files.select("*", rel.alias("rel")).withColumn("run_id", F.split("rel", "/")[0]).withColumn("category", category(F.col("path")))
+    f = files.select("*", rel.alias("rel")).withColumn("run_id", F.split("rel", "/")[0]).withColumn("category", category(F.regexp_replace("rel", "^[^/]*/", "")))
     w = Window.partitionBy("run_id").orderBy(F.when(F.col("rel").endswith(".ply"), 0).otherwise(1), "rel")
-    return f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = f.withColumn("rank", F.row_number().over(w))
+    return ranked.filter(F.col("rank") <= limit) if limit else ranked
 
 
-def storage_summary(files: DataFrame) -> DataFrame:
-    return files.withColumn("category", category(F.col("path"))).groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+def storage_summary(files: DataFrame, rel: str = "rel") -> DataFrame:
+    """Files and bytes per category; ``rel`` is the path inside the workspace."""
+    return files.withColumn("category", category(F.col(rel))).groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -87,12 +97,13 @@ def staleness(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def dataset_catalog(files: DataFrame) -> DataFrame:
-    """Telemetry siblings and the one reference scan per folder; two candidates are never guessed."""
-    name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
+    """Telemetry files and the reference scan of each folder: a ``lidar`` name first, else the only candidate, never a guess."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
     f = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), name.alias("name"))
-    scan = F.col("name").rlike(r"\.(las|laz)$")
-    a = f.groupBy("folder").agg(F.count_if(F.col("name").endswith(".srt")).alias("srt"), F.count_if(F.col("name").endswith(".csv")).alias("csv"), F.min(F.when(F.col("name").isin(REFERENCE_NAMES), F.col("name"))).alias("_named"), F.count_if(scan).alias("scans"), F.min(F.when(scan, F.col("name"))).alias("_one"))
-    return a.select("folder", "srt", "csv", "scans", F.coalesce("_named", F.when(F.col("scans") == 1, F.col("_one"))).alias("reference"))
+    scan = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(REFERENCE_ENDINGS)
+    own = F.array_position(F.array(*[F.lit(f"lidar.{e}") for e in REFERENCE_ENDINGS]), F.col("name"))
+    a = f.groupBy("folder").agg(F.count_if(F.col("name").isin(TELEMETRY_NAMES)).alias("telemetry"), F.min_by("name", F.when(own > 0, own)).alias("_named"), F.count_if(scan).alias("scans"), F.min(F.when(scan, F.col("name"))).alias("_one"))
+    return a.select("folder", "telemetry", "scans", F.coalesce("_named", F.when(F.col("scans") == 1, F.col("_one"))).alias("reference"))
 
 
 def read_runs(spark: SparkSession, roots: list[str]) -> DataFrame:
