@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyfold.llm import decontam, licenses, mixing, neardup, quality, secret_scan, sharding, substring, tokens, topk
+from skyfold.llm import decontam, licenses, mixing, neardup, quality, secret_scan, sharding, sql, substring, tokens, topk
 from skyfold.llm.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,8 +52,6 @@ def op6_exact_top_k(spark, sf_dir):
     return topk.digest(table(spark, sf_dir, "embeddings"))
 
 
-SQL["op6_exact_top_k"] = topk.SQL
-
 
 @query
 def op7_histogram_sharding(spark, sf_dir):
@@ -76,3 +74,6 @@ def op10_source_mixing(spark, sf_dir):
     sized = written(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "mix-sizes")
     out = mixing.mix_sources(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+SQL |= {"op4_substring_dedup": sql.SUBSTRING, "op5_minhash_near_dedup": sql.NEAR, "op6_exact_top_k": topk.SQL, "op9_benchmark_decontamination": sql.LEAKS}

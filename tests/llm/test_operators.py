@@ -308,3 +308,15 @@ def test_cube_flight_keeps_chances():
     size = np.array([900.0, 50, 40, 30, 30, 20, 10, 5, 5, 1])
     got = np.mean([mixing.flight(np.full(10, 0.3), size, s) for s in range(3000)], 0)
     assert np.abs(got - 0.3).max() < 0.04
+
+
+def test_sql_states_the_same(spark):
+    from skyfold.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    for name, text in SQL.items():
+        want = con.execute(text)
+        columns = [c[0] for c in want.description]
+        assert bag(QUERIES[name](spark, SF).select(*columns).collect()) == bag(want.fetchall()), name
