@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skyfold.kernels.components import connected_components
 from skyfold.llm import lex
-from skyfold.llm.store import columns, prepare, written
+from skyfold.llm.store import columns, forget, mark, prepare, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -286,6 +286,7 @@ def components(docs: DataFrame) -> DataFrame:
     """
     columns(docs, "doc_id", "text")
     prepare(docs.sparkSession)
+    since = mark()
     signed = written(signatures(docs), "near-signatures")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("r"))
@@ -296,6 +297,7 @@ def components(docs: DataFrame) -> DataFrame:
     weight = member.groupBy("id").agg(F.sum("members").alias("weight"))
     hub = member.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", "id")).alias("h")).select("band", F.col("h.id").alias("hub"))
     pairs = written(member.join(hub, "band").filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "near-pairs")
+    del hub
     sets = written(_sets(docs, weight.select("id")), "near-sets")
     edges = written(_verified(pairs, sets), "near-edges")
 
@@ -313,6 +315,7 @@ def components(docs: DataFrame) -> DataFrame:
     tried = pairs.unionByName(likely)
     more = written(_verified(_rest(apart(edges), signs).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
     final = _labels(edges.unionByName(more)).select("id", F.col("component.doc_id").alias("component_id"))
+    forget(docs.sparkSession, since, ("near-signatures", "near-classes"))
     groups = classes.join(final, "id", "left").select(F.col("id.set_a").alias("set_a"), "set_b", F.coalesce("component_id", "id.doc_id").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -31,23 +32,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Lost executors cost nothing: the files are complete before they are read.
     """
-    path = folder(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()  # then Spark's cleaner drops the shuffle files of finished steps, which count as disk until then
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def mark() -> int:
+    """How many folders have been written so far."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int, but: tuple[str, ...] = ()) -> None:
+    """Delete the folders written since ``mark``, but those of the named tables."""
+    conf = spark._jsc.hadoopConfiguration()
+    kept = []
+    for name in _made[since:]:
+        if name.rpartition("/")[2].rpartition("-")[0] in but:
+            kept.append(name)
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    _made[since:] = kept
 
 
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what was written inside; for callers that store their result elsewhere before they leave."""
-    mark = len(_made)
+    since = mark()
     try:
         yield
     finally:
-        conf = spark._jsc.hadoopConfiguration()
-        for name in _made[mark:]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-        del _made[mark:]
+        forget(spark, since)
 
 
 def prepare(spark: SparkSession) -> None:
