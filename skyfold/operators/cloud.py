@@ -68,16 +68,16 @@ def min_confidence(points: DataFrame, floor: float) -> DataFrame:
     return points.filter(F.col("confidence") >= floor) if "confidence" in points.columns else points
 
 
-def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0) -> DataFrame:
-    """Points with ``mean_nn`` and ``keep``: within mean + ratio * deviation of the mission."""
+def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, keys: list[str] = KEY) -> DataFrame:
+    """Points with ``mean_nn`` and ``keep``: within mean + ratio * deviation of the cloud, which ``keys`` name."""
     points = once(points)
-    near = knn(points, points, KEY, k=k, exclude_self=True)
-    mean = once(near.groupBy(*KEY, "point_id").agg(F.avg("distance").alias("mean_nn"), F.max("rank").alias("_k")))
-    lim = mean.groupBy(*KEY).agg(F.avg("mean_nn").alias("_m"), F.stddev_pop("mean_nn").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = mean.join(lim, KEY)
+    near = knn(points, points, keys, k=k, exclude_self=True)
+    mean = once(near.groupBy(*keys, "point_id").agg(F.avg("distance").alias("mean_nn"), F.max("rank").alias("_k")))
+    lim = mean.groupBy(*keys).agg(F.avg("mean_nn").alias("_m"), F.stddev_pop("mean_nn").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    j = mean.join(lim, keys)
     small = (F.col("_n") < k + 1) | (F.col("_s") == 0)
-    j = j.select(*KEY, "point_id", "mean_nn", (small | (F.col("mean_nn") <= F.col("_m") + ratio * F.col("_s"))).alias("keep"))
-    return points.join(j, [*KEY, "point_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
+    j = j.select(*keys, "point_id", "mean_nn", (small | (F.col("mean_nn") <= F.col("_m") + ratio * F.col("_s"))).alias("keep"))
+    return points.join(j, [*keys, "point_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
 
 
 def radius_outliers(points: DataFrame, radius: float = 0.4, least: int = 5) -> DataFrame:
@@ -201,28 +201,28 @@ def spacing_stats(points: DataFrame) -> DataFrame:
     return quantiles(near, KEY, p50=("distance", 0.5), p90=("distance", 0.9), p95=("distance", 0.95), p99=("distance", 0.99))
 
 
-def spacing_field(points: DataFrame, k: int = 6) -> DataFrame:
+def spacing_field(points: DataFrame, k: int = 6, keys: list[str] = KEY) -> DataFrame:
     """Median distance to the k nearest points, zero distances dropped."""
-    near = knn(points, points, KEY, k=k, exclude_self=True).filter("distance > 0")
-    return near.groupBy(*KEY, "point_id").agg(F.percentile("distance", 0.5).alias("spacing"))
+    near = knn(points, points, keys, k=k, exclude_self=True).filter("distance > 0")
+    return near.groupBy(*keys, "point_id").agg(F.percentile("distance", 0.5).alias("spacing"))
 
 
-def spacing_summary(spacing: DataFrame) -> DataFrame:
+def spacing_summary(spacing: DataFrame, keys: list[str] = KEY) -> DataFrame:
     spacing = once(spacing)
-    q = quantiles(spacing, KEY, p05=("spacing", 0.05), median=("spacing", 0.5), p95=("spacing", 0.95), _lo=("spacing", 0.005), _hi=("spacing", 0.995))
-    inner = spacing.join(q, KEY).filter("spacing BETWEEN _lo AND _hi").groupBy(*KEY).agg(F.min("spacing").alias("robust_min"), F.max("spacing").alias("robust_max"))
-    mean = spacing.groupBy(*KEY).agg(F.avg("spacing").alias("mean"), F.count(F.lit(1)).alias("points"))
-    return q.drop("_lo", "_hi").join(inner, KEY).join(mean, KEY).withColumn("density", 1 / F.pow("median", 3))
+    q = quantiles(spacing, keys, p05=("spacing", 0.05), median=("spacing", 0.5), p95=("spacing", 0.95), _lo=("spacing", 0.005), _hi=("spacing", 0.995))
+    inner = spacing.join(q, keys).filter("spacing BETWEEN _lo AND _hi").groupBy(*keys).agg(F.min("spacing").alias("robust_min"), F.max("spacing").alias("robust_max"))
+    mean = spacing.groupBy(*keys).agg(F.avg("spacing").alias("mean"), F.count(F.lit(1)).alias("points"))
+    return q.drop("_lo", "_hi").join(inner, keys).join(mean, keys).withColumn("density", 1 / F.pow("median", 3))
 
 
-def estimate_normals(points: DataFrame, k: int = 20, viewpoint: tuple[float, float, float] = (0.0, 0.0, 1e6)) -> DataFrame:
+def estimate_normals(points: DataFrame, k: int = 20, viewpoint: tuple[float, float, float] = (0.0, 0.0, 1e6), keys: list[str] = KEY) -> DataFrame:
     """Unit normals from the k nearest points, turned towards the viewpoint."""
     points = once(points)
-    near = knn(points, points, KEY, k=k, carry=["x", "y", "z"])
+    near = knn(points, points, keys, k=k, carry=["x", "y", "z"])
     cov = [F.covar_pop(a, b) for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]
-    c = near.groupBy(*KEY, "point_id").agg(F.array(*cov).alias("cov"), F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
-    c = c.withColumn("e", eigen_sym3("cov")).select(*KEY, "point_id", *[F.col("e.vectors")[i].alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
-    j = points.drop("nx", "ny", "nz").join(c, [*KEY, "point_id"], "left")
+    c = near.groupBy(*keys, "point_id").agg(F.array(*cov).alias("cov"), F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
+    c = c.withColumn("e", eigen_sym3("cov")).select(*keys, "point_id", *[F.col("e.vectors")[i].alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
+    j = points.drop("nx", "ny", "nz").join(c, [*keys, "point_id"], "left")
     away = sum((F.lit(v) - F.col(a)) * F.col(n) for v, a, n in zip(viewpoint, "xyz", ("nx", "ny", "nz"))) < 0
     flip = F.when(away, -1.0).otherwise(1.0)
     return j.select(*[x for x in points.columns if x not in ("nx", "ny", "nz")], *[(F.col(n) * flip).alias(n) for n in ("nx", "ny", "nz")])

@@ -59,18 +59,18 @@ def min_camera_range(points: DataFrame, poses: DataFrame, floor: float = 0.5) ->
     return n.withColumn("budget_m", F.greatest(BUDGET_SHARE * F.col("range_m"), F.lit(floor)))
 
 
-def cross_view_evidence(points: DataFrame, poses: DataFrame, depth: DataFrame, floor: float = 0.5) -> DataFrame:
-    """Votes of the nearest cameras about each point: agree, closer or behind its budget."""
+def cross_view_evidence(points: DataFrame, poses: DataFrame, depth: DataFrame, floor: float = 0.5, also: tuple[str, ...] = ()) -> DataFrame:
+    """Votes of the nearest cameras about each point: agree, closer or behind its budget; ``also`` names columns of the points that stay."""
     points = once(points)
     near = nearest_cameras(points, poses, NEAREST_CAMERAS)
-    j = near.join(points.select(*KEY, "point_id", "x", "y", "z"), [*KEY, "point_id"]).join(poses.select(*KEY, "frame_id", *POSE), [*KEY, "frame_id"])
+    j = near.join(points.select(*KEY, *also, "point_id", "x", "y", "z"), [*KEY, "point_id"]).join(poses.select(*KEY, "frame_id", *POSE), [*KEY, "frame_id"])
     p = project(j)
-    seen = p.select(*KEY, "point_id", "frame_id", "range_m", "zc", "inside", F.when(F.col("inside"), F.col("u")).alias("u"), F.when(F.col("inside"), F.col("v")).alias("v"))
+    seen = p.select(*KEY, *also, "point_id", "frame_id", "range_m", "zc", "inside", F.when(F.col("inside"), F.col("u")).alias("u"), F.when(F.col("inside"), F.col("v")).alias("v"))
     d = depth.filter("z > 0").select(*KEY, "frame_id", "u", "v", F.col("z").alias("zd"))
     e = seen.join(d, [*KEY, "frame_id", "u", "v"], "left")
     least = F.min("range_m").over(Window.partitionBy(*KEY, "point_id"))
     e = e.withColumn("budget", F.greatest(BUDGET_SHARE * least, F.lit(floor))).withColumn("gap", F.col("zd") - F.col("zc"))
-    return e.groupBy(*KEY, "point_id").agg(
+    return e.groupBy(*KEY, *also, "point_id").agg(
         F.count("zd").alias("observable"), F.count_if(F.abs("gap") <= F.col("budget")).alias("agree"), F.count_if(F.col("gap") > F.col("budget")).alias("behind"),
         F.count_if(F.col("gap") < -F.col("budget")).alias("closer"), F.coalesce(F.max(-F.col("gap")), F.lit(0.0)).alias("max_shortfall"), F.min("range_m").alias("min_range"),
     )
@@ -80,9 +80,9 @@ def contradicted(evidence: DataFrame) -> DataFrame:
     return evidence.filter("closer >= 1 AND agree <= 0")
 
 
-def cross_view_summary(evidence: DataFrame) -> DataFrame:
+def cross_view_summary(evidence: DataFrame, keys: list[str] = KEY) -> DataFrame:
     bad = (F.col("closer") >= 1) & (F.col("agree") <= 0)
-    return evidence.groupBy(*KEY).agg(
+    return evidence.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"), F.count_if(F.col("observable") == 0).alias("unobservable"), F.count_if(F.col("agree") >= 1).alias("corroborated"), F.count_if(bad).alias("contradicted"),
         (100 * F.avg((F.col("agree") >= 1).cast("int"))).alias("corroborated_pct"),
     )

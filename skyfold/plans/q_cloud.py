@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from skyfold.operators import change as ch, cloud as cl, raster as ra
 from skyfold.plans.registry import query
 
+# The two epochs of a mission are clouds of their own: no neighbour is taken from the other.
+CLOUD = ["mission_id", "epoch"]
+
 VOX = "CAST(floor(x/0.5e0) AS BIGINT) AS vx, CAST(floor(y/0.5e0) AS BIGINT) AS vy, CAST(floor(z/0.5e0) AS BIGINT) AS vz"
 
 
@@ -28,7 +31,7 @@ def _(t):
  m AS (SELECT mission_id, point_id, list_avg(d) AS mean_nn FROM n), s AS (SELECT mission_id, avg(mean_nn) AS mu, stddev_pop(mean_nn) AS sd FROM m GROUP BY 1)
  SELECT mission_id, point_id, mean_nn, mean_nn<=mu+2*sd AS keep FROM m JOIN s USING (mission_id)""", "mean_nn")
 def _(t):
-    return cl.statistical_outliers(t.baseline, 8).select("mission_id", "point_id", "mean_nn", "keep")
+    return cl.statistical_outliers(t.points, 8, keys=CLOUD).select(*CLOUD, "point_id", "mean_nn", "keep")
 
 
 @query("e5_radius_outliers", """WITH p AS (SELECT mission_id, x, y, z, count(*) AS c FROM points GROUP BY ALL), n AS (SELECT a.mission_id, a.x, a.y, a.z, sum(b.c) AS near FROM p a JOIN p b ON a.mission_id=b.mission_id
@@ -96,18 +99,18 @@ NN6 = "SELECT mission_id, point_id, quantile_cont(d,.5) AS spacing FROM (SELECT
 
 @query("e13_spacing_field", NN6, "spacing")
 def _(t):
-    return cl.spacing_field(t.current, 6)
+    return cl.spacing_field(t.points, 6, CLOUD)
 
 
 @query("e14_spacing_summary", f"""WITH f AS ({NN6}), q AS (SELECT mission_id, quantile_cont(spacing,.05) AS p05, quantile_cont(spacing,.5) AS median, quantile_cont(spacing,.95) AS p95, quantile_cont(spacing,.005) AS lo, quantile_cont(spacing,.995) AS hi, avg(spacing) AS mean, count(*) AS points FROM f GROUP BY 1)
  SELECT mission_id, p05, median, p95, mean, points, min(spacing) AS robust_min, max(spacing) AS robust_max, 1/pow(median,3) AS density FROM f JOIN q USING (mission_id) WHERE spacing BETWEEN lo AND hi GROUP BY ALL""", "p05 median p95 robust_min robust_max mean density")
 def _(t):
-    return cl.spacing_summary(cl.spacing_field(t.current, 6))
+    return cl.spacing_summary(cl.spacing_field(t.points, 6, CLOUD), CLOUD)
 
 
 @query("e15_normals")
 def _(t):
-    return cl.estimate_normals(t.baseline, 12).select("mission_id", "point_id", "nx", "ny", "nz")
+    return cl.estimate_normals(t.points, 12, keys=CLOUD).select(*CLOUD, "point_id", "nx", "ny", "nz")
 
 
 RASTER = """SELECT mission_id, least(rows-1,greatest(0,CAST(trunc((y1-y)/2.0e0) AS BIGINT))) AS row, least(cols-1,greatest(0,CAST(trunc((x-x0)/2.0e0) AS BIGINT))) AS col, max(z) AS height, count(*) AS n

@@ -54,12 +54,12 @@ EVID = f"""WITH s AS ({SEEN}), e AS (SELECT s.*, d.z AS zd, greatest(0.08e0*min(
 
 @query("e20_cross_view_evidence", f"{EVID} SELECT * FROM ev", "max_shortfall min_range")
 def _(t):
-    return vi.cross_view_evidence(t.baseline, poses(t), t.depth_px)
+    return vi.cross_view_evidence(t.points, poses(t), t.depth_px, also=("epoch",))
 
 
 @query("e21_cross_view_summary", f"{EVID} SELECT mission_id, count(*) AS points, count(*) FILTER (observable=0) AS unobservable, count(*) FILTER (agree>=1) AS corroborated, count(*) FILTER (closer>=1 AND agree<=0) AS contradicted, 100*avg(CASE WHEN agree>=1 THEN 1 ELSE 0 END) AS corroborated_pct FROM ev GROUP BY 1", "corroborated_pct")
 def _(t):
-    return vi.cross_view_summary(vi.cross_view_evidence(t.baseline, poses(t), t.depth_px))
+    return vi.cross_view_summary(vi.cross_view_evidence(t.points, poses(t), t.depth_px, also=("epoch",)), ["mission_id", "epoch"])
 
 
 @query("e22_sparse_dense")
@@ -128,7 +128,7 @@ def _(t):
 
 @query("e36_ghost_rejection", f"{EVID} SELECT mission_id, count(*) AS kept FROM ev WHERE NOT (closer>=1 AND agree<=0) GROUP BY 1")
 def _(t):
-    return vi.reject_ghosts(t.baseline, poses(t), t.depth_px).groupBy("mission_id").agg(F.count(F.lit(1)).alias("kept"))
+    return vi.reject_ghosts(t.points, poses(t), t.depth_px).groupBy("mission_id", "epoch").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("e37_depth_audit", "SELECT mission_id, frame_id, count(*) AS pixels, count(*) FILTER (z<0) AS negative, count(*) FILTER (z IS NULL) AS non_finite, min(z) AS z_min, max(z) AS z_max, avg(z) AS z_mean, stddev_pop(z) AS z_std, count(*) AS valid, quantile_cont(z,.5) AS z_median, 0.0e0 AS invalid_pct FROM depth_px GROUP BY 1,2", "z_min z_max z_mean z_std z_median invalid_pct")
