@@ -145,6 +145,19 @@ def coverage_raster(vertices: DataFrame, n: int = 48, blind: float = 0.4) -> Dat
     return vertices.join(b, KEY).groupBy(*KEY, ix.alias("ix"), iy.alias("iy")).agg(F.avg("conf").alias("confidence")).withColumn("blind", F.col("confidence") < blind)
 
 
+def cell_causes(grid: DataFrame, flood: DataFrame, debris: DataFrame, size: float, flood_m: float = 25.0, debris_m: float = 15.0, steep_deg: float = 25.0) -> DataFrame:
+    """Risky cells ``ix, iy`` with their ``cause``: near a flood, else near debris, else steep.
+
+    ``grid`` is the slope grid; findings ``x, y, area`` reach all cells of its box, occupied or not, as water covers what no camera saw.
+    """
+    box = grid.groupBy(*KEY).agg(*[f(a).alias(f"{n}_{a}") for a in ("ix", "iy") for n, f in (("lo", F.min), ("hi", F.max))])
+    near = _reached(flood, size, flood_m).withColumn("k", F.lit(1)).unionByName(_reached(debris, size, debris_m).withColumn("k", F.lit(2)))
+    near = near.join(box, KEY).filter("ix BETWEEN lo_ix AND hi_ix AND iy BETWEEN lo_iy AND hi_iy").select(*KEY, "ix", "iy", "k")
+    steep = grid.filter(F.col("slope_deg") > steep_deg).select(*KEY, "ix", "iy", F.lit(3).alias("k"))
+    cause = F.element_at(F.array(*[F.lit(c) for c in ("flood", "debris", "slope")]), F.min("k"))
+    return near.unionByName(steep).groupBy(*KEY, "ix", "iy").agg(cause.alias("cause"))
+
+
 def risk_zones(cells: DataFrame, size: float, least: int = 2) -> DataFrame:
     """4-connected zones of risky cells ``ix, iy, cause`` with the dominant cause."""
     rank = F.when(F.col("cause") == "flood", 3).when(F.col("cause") == "debris", 2).otherwise(1)
@@ -173,17 +186,22 @@ def mesh_support(v: DataFrame, points: DataFrame, voxel: float) -> DataFrame:
     return a.join(quantiles(n, KEY, median_m=("distance", 0.5), p95_m=("distance", 0.95)), KEY)
 
 
-def exposure(cells: DataFrame, findings: DataFrame, size: float, buffer: float = 25.0) -> DataFrame:
-    """Cells ``ix, iy`` within ``sqrt(max(area, 1) / pi) + buffer`` of a finding ``x, y, area``.
-
-    A finding enters the cells of its own disc, so the join is by cell.
-    """
+def _reached(findings: DataFrame, size: float, buffer: float) -> DataFrame:
+    """Cells whose centre lies within ``sqrt(max(area, 1) / pi) + buffer`` of a finding ``x, y, area``."""
     r = F.sqrt(F.greatest("area", F.lit(1.0)) / F.lit(3.141592653589793)) + buffer
     f = findings.withColumn("r", r)
     span = lambda a: F.sequence(F.floor((F.col(a) - F.col("r")) / size), F.floor((F.col(a) + F.col("r")) / size))
     f = f.withColumn("ix", F.explode(span("x"))).withColumn("iy", F.explode(span("y")))
     hit = F.sqrt(((F.col("ix") + 0.5) * size - F.col("x")) ** 2 + ((F.col("iy") + 0.5) * size - F.col("y")) ** 2) <= F.col("r")
-    hot = f.filter(hit).select(*KEY, "ix", "iy").distinct().withColumn("exposed", F.lit(True))
+    return f.filter(hit).select(*KEY, "ix", "iy").distinct()
+
+
+def exposure(cells: DataFrame, findings: DataFrame, size: float, buffer: float = 25.0) -> DataFrame:
+    """Cells ``ix, iy`` within ``sqrt(max(area, 1) / pi) + buffer`` of a finding ``x, y, area``.
+
+    A finding enters the cells of its own disc, so the join is by cell.
+    """
+    hot = _reached(findings, size, buffer).withColumn("exposed", F.lit(True))
     return cells.join(hot, [*KEY, "ix", "iy"], "left").withColumn("exposed", F.coalesce("exposed", F.lit(False)))
 
 

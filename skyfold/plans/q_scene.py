@@ -199,6 +199,12 @@ def _(t):
     return sc.infrastructure(t.objects)
 
 
+def ground_findings(t, kind):
+    """The objects of a class, laid on the ground of the point clouds."""
+    i = F.col("object_id")
+    return t.objects.filter(F.col("class") == kind).select((i % 8).alias("mission_id"), (i % 47 * F.lit(1.1)).alias("x"), (i * 7 % 53 * F.lit(0.9)).alias("y"), "area")
+
+
 @query("f13_slope_grid")
 def _(t):
     return sc.slope_grid(t.points, 2.0)
@@ -206,8 +212,8 @@ def _(t):
 
 @query("f15_risk_zones")
 def _(t):
-    c = t.points.groupBy("mission_id", F.floor(F.col("x") / 2).alias("ix"), F.floor(F.col("y") / 2).alias("iy")).agg(F.max("z").alias("z"), F.min("class").alias("c"))
-    return sc.risk_zones(c.filter("z > 4.9").select("mission_id", "ix", "iy", F.when(F.col("c") == 2, "flood").when(F.col("c") == 5, "debris").otherwise("slope").alias("cause")), 2.0)
+    grid = sc.slope_grid(t.points, 2.0)
+    return sc.risk_zones(sc.cell_causes(grid, ground_findings(t, "water"), ground_findings(t, "unclassified"), 2.0, 1.5, 1.5), 2.0)
 
 
 @query("f19_coverage_raster", """SELECT mission_id, CAST(trunc((x-lx)/sx*47) AS BIGINT) AS ix, CAST(trunc((y-ly)/sy*47) AS BIGINT) AS iy, avg(conf) AS confidence, avg(conf)<0.4 AS blind FROM vertices JOIN (SELECT mission_id, min(x) AS lx, min(y) AS ly, greatest(max(x)-min(x),1e-9) AS sx, greatest(max(y)-min(y),1e-9) AS sy FROM vertices GROUP BY 1) USING (mission_id) GROUP BY 1,2,3""", "confidence")
@@ -225,9 +231,7 @@ def _(t):
  SELECT c.mission_id, ix, iy, bool_or(coalesce(sqrt(pow((ix+0.5e0)*2-x,2)+pow((iy+0.5e0)*2-y,2))<=sqrt(greatest(area,1)/3.141592653589793e0)+1.5e0,false)) AS exposed FROM c LEFT JOIN f ON f.mission_id=c.mission_id GROUP BY 1,2,3""")
 def _(t):
     c = t.points.select("mission_id", F.floor(F.col("x") / 2).alias("ix"), F.floor(F.col("y") / 2).alias("iy")).distinct()
-    i = F.col("object_id")
-    f = t.objects.filter("class = 'water'").select((i % 8).alias("mission_id"), (i % 47 * F.lit(1.1)).alias("x"), (i * 7 % 53 * F.lit(0.9)).alias("y"), "area")
-    return sc.exposure(c, f, 2.0, 1.5)
+    return sc.exposure(c, ground_findings(t, "water"), 2.0, 1.5)
 
 
 @query("f20_terrain_stats", "SELECT mission_id, max(z) AS z_max, avg(z) AS z_mean, quantile_cont(z,.1) AS z_p10, max(z)-quantile_cont(z,.1) AS elevation_range FROM vertices GROUP BY 1", "z_max z_mean z_p10 elevation_range")

@@ -64,8 +64,8 @@ def fix_track(t):
 def _(t):
     from skyfold.functions.parse import parse_number
 
-    c = F.regexp_extract("text", r"([+-]?[0-9]+[.][0-9]+)", 1)
-    return t.raw("documents").select(F.col("doc_id").alias("id"), parse_number(c).alias("n"), c.alias("p")).filter("p <> ''")
+    cells = t.raw("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "p"))
+    return cells.filter("p <> ''").select("id", "pos", parse_number(F.col("p")).alias("n"), "p")
 
 
 @query("b7_gps_status", f"SELECT mission_id, source_row, {STATUS} AS gps_status FROM telemetry")

@@ -3,10 +3,11 @@
 The SQL of some queries states a part of the rows only.  It is left as it is; here it is read for each part in turn.
 """
 
+import re
+from collections import Counter
+
 import numpy as np
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from check import DATA, compare, duck
 from skyfold.plans import QUERIES, SQL, derive
@@ -35,3 +36,52 @@ def test_normals_of_both_epochs(spark):
             val, vec = np.linalg.eigh(np.cov(at[np.lexsort((ids, d2))[:12]].T))
             if val[1] - val[0] > 1e-6 * val[2]:
                 assert abs(got.loc[ids[i], ["nx", "ny", "nz"]].to_numpy(float) @ vec[:, 0]) > 1 - 1e-6
+
+
+def test_every_cell_is_cast(spark):
+    got = QUERIES["b5_cell_casts"](spark, SF).toPandas().sort_values(["id", "pos"])
+    number = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+    want = []
+    for i, text in duck(SF).execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
+        cells = [c for c in re.split(r"[ \t\n\x0b\f\r]+", text or "") if c]
+        want += [(i, k, float(c) if number.fullmatch(c) and np.isfinite(float(c)) else None, c) for k, c in enumerate(cells)]
+    assert [(r.id, r.pos, r.p) for r in got.itertuples()] == [(i, k, c) for i, k, _, c in want]
+    n = np.array([w[2] for w in want], float)
+    assert np.isfinite(n).any() and np.isnan(n).any() and np.allclose(got["n"].to_numpy(float), n, atol=1e-6, rtol=1e-12, equal_nan=True)
+
+
+def test_risk_zones_of_every_cell(spark):
+    t = derive.Tables(spark, SF)
+    p, o = t.points.toPandas(), t.objects.toPandas()
+    want = []
+    for m, q in p.groupby("mission_id"):
+        z = q["z"].groupby([np.floor(q["x"] / 2).astype(int), np.floor(q["y"] / 2).astype(int)]).mean().to_dict()
+        cause = {}
+        for c, at in z.items():
+            d = []
+            for sx, sy in ((1, 0), (0, 1)):
+                a, b = z.get((c[0] + sx, c[1] + sy)), z.get((c[0] - sx, c[1] - sy))
+                d.append((a - b) / 4 if None not in (a, b) else (a - at) / 2 if a is not None else (at - b) / 2 if b is not None else 0.0)
+            if np.degrees(np.arctan(np.hypot(*d))) > 25:
+                cause[c] = "slope"
+        x, y = zip(*z)
+        for name, kind in (("debris", "unclassified"), ("flood", "water")):
+            for f in o[(o["class"] == kind) & (o["object_id"] % 8 == m)].itertuples():
+                fx, fy, r = f.object_id % 47 * 1.1, f.object_id * 7 % 53 * 0.9, np.sqrt(max(float(f.area), 1) / np.pi) + 1.5
+                cause |= {(i, j): name for i in range(min(x), max(x) + 1) for j in range(min(y), max(y) + 1) if np.hypot(i * 2 + 1 - fx, j * 2 + 1 - fy) <= r}
+        while cause:
+            zone, todo = {}, [next(iter(cause))]
+            while todo:
+                c = todo.pop()
+                if c in cause:
+                    zone[c] = cause.pop(c)
+                    todo += [(c[0] + 1, c[1]), (c[0] - 1, c[1]), (c[0], c[1] + 1), (c[0], c[1] - 1)]
+            if len(zone) > 1:
+                n = Counter(zone.values())
+                at = np.mean(list(zone), axis=0)
+                want.append((m, max(("flood", "debris", "slope"), key=lambda k: n[k]), len(zone), at[0] * 2 + 1, at[1] * 2 + 1, len(zone) * 4.0))
+    columns = ["mission_id", "cause", "cells", "cx", "cy", "area_m2"]
+    got = sorted(tuple(r) for r in QUERIES["f15_risk_zones"](spark, SF).select(columns).toPandas().itertuples(index=False))
+    assert {w[1] for w in want} == {"flood", "debris", "slope"} and len(got) == len(want)
+    for g, w in zip(got, sorted(want)):
+        assert g[:3] == w[:3] and np.allclose(np.array(g[3:], float), w[3:])
