@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyfold.functions.stats import clip
 from skyfold.kernels.components import grid_components
 from skyfold.kernels.knn import knn
-from skyfold.kernels.quantile import quantiles
+from skyfold.kernels.moments import covariance3, eigen_sym3
+from skyfold.kernels.ordered import with_running
+from skyfold.kernels.quantile import quantiles, with_quantiles
 from skyfold.operators.concepts import CONCEPT_CLASSES, SYNONYMS
-from skyfold.operators.mesh import face_components, face_geometry
+from skyfold.operators.mesh import corners, face_components, face_geometry
 from skyfold.operators.telemetry import KEY
-from skyfold.session import once
+from skyfold.session import cut, once
 
 # Class ids by position, relation and severity limits.
 RELATIONS = {"roof+wall": "supports", "roof+structure": "part_of", "structure+wall": "part_of", "structure+vegetation": "adjacent"}
@@ -23,18 +26,81 @@ def severity(area: Column, share: Column, near: Column) -> Column:
     )
 
 
+PLANE = ["gx", "gy", "gz", "gd"]
+
+
+def over_plane(x: Column, y: Column, z: Column) -> Column:
+    """Signed distance from the joined plane ``gx, gy, gz, gd``."""
+    return F.col("gx") * x + F.col("gy") * y + F.col("gz") * z + F.col("gd")
+
+
+def _fit_plane(v: DataFrame, least: int) -> DataFrame:
+    """Plane ``gx, gy, gz, gd`` of least squares with its normal up, for missions of at least ``least`` rows."""
+    c = cut(covariance3(v.select(*KEY, "x", "y", "z"), KEY).filter(F.col("n") >= least).withColumn("_e", eigen_sym3("cov")))
+    n = [F.when(F.col("_e.vectors")[2] < 0, -1.0).otherwise(1.0) * F.col("_e.vectors")[i] for i in range(3)]
+    return c.select(*KEY, *[e.alias(g) for e, g in zip(n, PLANE)], (-(n[0] * F.col("mx") + n[1] * F.col("my") + n[2] * F.col("mz"))).alias("gd"))
+
+
+def ground_plane(v: DataFrame, tol: float) -> DataFrame:
+    """Ground plane ``gx, gy, gz, gd`` of each mission from its lowest quarter, without the farthest quarter of the rest in each of four rounds.
+
+    A plane that is not mostly level gives way to that of all vertices; one still tilted, or of fewer than 8 vertices, to the level
+    of the twentieth percentile.
+    """
+    at = ["x", "y", "z"]
+    v = once(v.select(*KEY, *at))
+    low = with_quantiles(v, KEY, _q=("z", 0.25)).filter(F.col("z") <= F.col("_q")).select(*KEY, *at)
+    for i in range(4):
+        low = once(low)
+        fit = _fit_plane(low, 8)
+        if i < 3:
+            far = low.join(fit, KEY).withColumn("_d", F.abs(over_plane(*[F.col(a) for a in at]))).select(*KEY, *at, "_d")
+            low = with_quantiles(far, KEY, _q=("_d", 0.75)).filter(F.col("_d") <= F.col("_q")).select(*KEY, *at)
+    tilted = fit.filter(F.col("gz") < 0.85).select(*KEY)
+    fit = fit.filter(F.col("gz") >= 0.85).unionByName(_fit_plane(v.join(tilted, KEY, "left_semi"), 1))
+    if tol < 1.0:
+        fit = fit.filter(F.col("gz") >= 0.8)
+    level = quantiles(v, KEY, _z=("z", 0.05)).join(fit, KEY, "left")
+    return level.select(*KEY, *[F.coalesce(g, F.lit(d)).alias(g) for g, d in zip(PLANE, (0.0, 0.0, 1.0))], F.coalesce("gd", -F.col("_z")).alias("gd"))
+
+
+def lowest_plane(v: DataFrame, least: int = 20, part: int = 10) -> DataFrame:
+    """Plane of each mission's lowest vertices: one of ``part``, at least ``least``, and those as low as the last of them."""
+    v = once(v.select(*KEY, "x", "y", "z"))
+    level = v.groupBy(*KEY, "z").agg(F.count(F.lit(1)).alias("_c"))
+    run = with_running(level, KEY, ["z"], F.floor(F.col("z") * 16), {"_upto": F.col("_c")})
+    want = v.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).select(*KEY, F.least("_n", F.greatest(F.lit(least), F.floor(F.col("_n") / part))).alias("_k"))
+    top = run.join(want, KEY).filter(F.col("_upto") >= F.col("_k")).groupBy(*KEY).agg(F.min("z").alias("_z"))
+    return _fit_plane(v.join(top, KEY).filter(F.col("z") <= F.col("_z")), 1)
+
+
 def classify_faces(v: DataFrame, f: DataFrame, tol: float = 0.5) -> DataFrame:
-    """Rule label per face from height over the low ground level, facing and area."""
-    g = once(face_geometry(v, f))
-    low = quantiles(v, KEY, ground=("z", 0.1))
-    h = F.col("cz") - F.col("ground")
-    up, side = F.abs("nz") > 0.7, F.abs("nz") < 0.35
-    lab = F.when((h <= 1.5 * tol) & up, "ground").when((h > 2.0) & up, "roof").when((h > 0.5) & side, "wall").otherwise("unclassified")
-    return g.join(low, KEY).select(*KEY, "fid", "area", lab.alias("cls"))
+    """Rule label ``cls`` and ``confidence`` per face from height over the ground plane, facing and mean colour; grey without ``r, g, b``."""
+    rgb = ["r", "g", "b"]
+    key = [*KEY, "fid"]
+    g = face_geometry(v, f.select(*key, "v0", "v1", "v2")).join(ground_plane(v, tol), KEY)
+    if set(rgb) <= set(v.columns):
+        mean = [((F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")) / 3).alias(f"_{c}") for c in rgb]
+        g = g.join(corners(v, f.select(*key, "v0", "v1", "v2"), tuple(rgb)).select(*key, *mean), key)
+    else:
+        g = g.select("*", *[F.lit(150.0).alias(f"_{c}") for c in rgb])
+    red, green, blue = F.col("_r"), F.col("_g"), F.col("_b")
+    g = once(g.select("*", over_plane(F.col("cx"), F.col("cy"), F.col("cz")).alias("_h"), ((2 * green - red - blue) / F.greatest(red + green + blue, F.lit(1e-6))).alias("_eg")))
+    h, eg, up, side = F.col("_h"), F.col("_eg"), F.abs("nz") > 0.7, F.abs("nz") < 0.35
+    near, above = F.abs(h) <= 1.5 * tol, h > 0.5 * tol
+    greenish, blueish = eg > 0.06, (blue > red + 15) & (blue > green + 15)
+    high = above & ~near
+    lab = (
+        F.when(~above & blueish & ~greenish, "water").when(near & up, "ground").when(high & greenish & ~blueish, "vegetation")
+        .when(high & ~greenish & ~blueish & up, "roof").when(high & ~greenish & ~blueish & side, "wall").otherwise("unclassified")
+    )
+    sure = {"water": F.lit(0.6), "ground": clip(1 - F.abs(h) / max(tol * 2, 1e-6), 0.35, 1.0), "vegetation": clip((eg - 0.06) * 6, 0.4, 0.95), "roof": F.lit(0.75), "wall": F.lit(0.7)}
+    conf = F.coalesce(*[F.when(F.col("cls") == k, c) for k, c in sure.items()], F.lit(0.0))
+    return g.withColumn("cls", lab).select(*KEY, "fid", "area", "cls", conf.alias("confidence"))
 
 
 def class_coverage(labels: DataFrame) -> DataFrame:
-    return labels.groupBy(*KEY, "cls").agg(F.count(F.lit(1)).alias("faces"), F.sum("area").alias("area")).withColumn("share", F.col("area") / F.sum("area").over(Window.partitionBy(*KEY)))
+    return labels.groupBy(*KEY, "cls").agg(F.count(F.lit(1)).alias("faces"), F.sum("area").alias("area"), F.avg("confidence").alias("confidence")).withColumn("share", F.col("area") / F.sum("area").over(Window.partitionBy(*KEY)))
 
 
 def extract_objects(v: DataFrame, f: DataFrame, least: int = 6) -> DataFrame:
@@ -93,13 +159,26 @@ def assess_flood(faces: DataFrame, near_m: float = 25.0, least: float = 8.0) ->
     return j.select(*KEY, "area", share.alias("share"), close.alias("near"), severity(F.col("area"), share, close).alias("severity"), (0.6 + 0.35 * F.least(F.col("area") / 400, F.lit(1.0))).alias("confidence"))
 
 
-def infrastructure(objects: DataFrame) -> DataFrame:
-    """Buildings, trees and vehicles per mission."""
-    b, t = F.col("class").isin("structure", "roof", "wall"), F.col("class") == "vegetation"
-    return objects.groupBy(*KEY).agg(
+def infrastructure(objects: DataFrame, plane: DataFrame, tree_min: float = 1.0, road: str = "road") -> DataFrame:
+    """Buildings, trees, towers, roads and vehicles per mission.
+
+    A tree is vegetation whose box centre stands ``tree_min`` or more over the ground ``plane`` (``gx, gy, gz, gd``).  Towers have
+    their least height and the least distance between two centres; a road is as wide as the longer side of its box.
+    """
+    o = objects.join(plane.select(*KEY, *PLANE), KEY, "left")
+    o = once(o.select(*KEY, "object_id", "class", "height", "area", (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("_w"), *PLANE, *[((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(a) for a in "xyz"]))
+    b, tower, way = F.col("class").isin("structure", "roof", "wall"), F.col("class").isin("tower", "structure"), F.col("class") == road
+    over = over_plane(F.col("x"), F.col("y"), F.col("z"))
+    t = (F.col("class") == "vegetation") & (over >= tree_min)
+    out = o.groupBy(*KEY).agg(
         F.count_if(b).alias("buildings"), F.max(F.when(b, F.col("height"))).alias("max_building_height"), F.sum(F.when(F.col("class") == "roof", F.col("area"))).alias("roof_area"),
-        F.max(F.when(b, F.col("area"))).alias("largest_footprint"), F.count_if(t & (F.col("height") >= 1)).alias("trees"), F.avg(F.when(t & (F.col("height") >= 1), F.col("height"))).alias("mean_tree_height"), F.count_if(F.col("class") == "vehicle").alias("vehicles"),
+        F.max(F.when(b, F.col("area"))).alias("largest_footprint"), F.count_if(t).alias("trees"), F.avg(F.when(t, over)).alias("mean_tree_height"), F.max(F.when(t, over)).alias("max_tree_height"),
+        F.min(F.when(tower, F.col("height"))).alias("min_tower_height"), F.count_if(way).alias("roads"), F.count_if(F.col("class") == "vehicle").alias("vehicles"),
     )
+    towers = o.filter(tower).select(*KEY, "object_id", "x", "y", "z")
+    gap = knn(towers, towers, KEY, qid="object_id", tid="object_id", exclude_self=True).groupBy(*KEY).agg(F.min("distance").alias("min_tower_gap"))
+    width = quantiles(o.filter(way & (F.col("_w") > 0)), KEY, road_width=("_w", 0.5))
+    return out.join(gap, KEY, "left").join(width, KEY, "left")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

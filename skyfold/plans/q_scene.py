@@ -196,7 +196,8 @@ def _(t):
 @query("j9_infrastructure", """SELECT mission_id, count(*) FILTER (b) AS buildings, max(height) FILTER (b) AS max_building_height, sum(area) FILTER (class='roof') AS roof_area, max(area) FILTER (b) AS largest_footprint, count(*) FILTER (tr) AS trees, avg(height) FILTER (tr) AS mean_tree_height, count(*) FILTER (class='vehicle') AS vehicles
  FROM (SELECT *, class IN ('structure','roof','wall') AS b, class='vegetation' AND height>=1 AS tr FROM objects) GROUP BY 1""", "max_building_height roof_area largest_footprint mean_tree_height")
 def _(t):
-    return sc.infrastructure(t.objects)
+    v = t.vertices.select(F.floor(F.col("vid") / 500).alias("mission_id"), "x", "y", "z")
+    return sc.infrastructure(t.objects, sc.lowest_plane(v))
 
 
 def ground_findings(t, kind):

@@ -7,9 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from check import DATA, compare, duck
+from skyfold.operators import scene
 from skyfold.plans import QUERIES, SQL, derive
 
 SF = str(DATA / "sf0.001")
@@ -85,3 +87,53 @@ def test_risk_zones_of_every_cell(spark):
     assert {w[1] for w in want} == {"flood", "debris", "slope"} and len(got) == len(want)
     for g, w in zip(got, sorted(want)):
         assert g[:3] == w[:3] and np.allclose(np.array(g[3:], float), w[3:])
+
+
+def _fit(p):
+    n = np.linalg.svd(p - p.mean(0), full_matrices=False)[2][-1]
+    n = -n if n[2] < 0 else n
+    return n, -n @ p.mean(0)
+
+
+def test_classes_on_a_coloured_slope(spark):
+    """A ramp with a green crown, a blue pool below it, a grey roof and a wall above it: all heights are over the ramp."""
+    rng = np.random.default_rng(5)
+    v, f = [], []
+
+    def face(p, colour):
+        f.append((1, len(f), len(v), len(v) + 1, len(v) + 2))
+        v.extend([(1, len(v) + i, *map(float, q), *colour) for i, q in enumerate(p)])
+
+    up, wall = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]]), np.array([[0, 0, 0], [0, 1, 0], [0, 0, 1.0]])
+    want = {}
+    for kind, n, lift, shape, colour in (("ground", 300, 0, up, (120, 120, 120)), ("vegetation", 9, 3, up, (40, 160, 40)), ("water", 5, -1, up, (30, 60, 200)), ("roof", 7, 5, up, (150, 150, 150)), ("wall", 6, 3, wall, (150, 150, 150)), ("unclassified", 4, 4, up, (30, 60, 200))):
+        for x, y in rng.uniform(0, 40, (n, 2)):
+            p = shape + [x, y, 0.0]
+            p[:, 2] += 0.2 * (p[:, 0] if shape is up else x) + lift
+            want[len(f)] = kind
+            face(p, colour)
+    got = scene.classify_faces(spark.createDataFrame(v, "mission_id long, vid long, x double, y double, z double, r int, g int, b int"), spark.createDataFrame(f, "mission_id long, fid long, v0 long, v1 long, v2 long")).toPandas().set_index("fid")
+    assert got["cls"].to_dict() == want
+    conf = got.groupby("cls")["confidence"].agg(["min", "max"]).round(6)
+    assert tuple(conf.loc["vegetation"]) == (0.95, 0.95) and tuple(conf.loc["water"]) == (0.6, 0.6) and tuple(conf.loc["roof"]) == (0.75, 0.75) and tuple(conf.loc["unclassified"]) == (0, 0) and conf.loc["ground", "min"] >= 0.35
+
+
+def test_infrastructure_over_the_ground(spark):
+    rng = np.random.default_rng(6)
+    xy = rng.uniform(0, 50, (400, 2))
+    v = np.column_stack([xy, 0.02 * xy[:, 0] + 10 + rng.uniform(0, 0.3, 400)])
+    n, d = _fit(v[np.argsort(v[:, 2])[:40]])
+    rows = [("vegetation", 5, 5, 10, 14), ("vegetation", 20, 8, 10, 11), ("vegetation", 30, 30, 12, 20), ("structure", 1, 1, 10, 16), ("tower", 9, 7, 10, 40), ("tower", 40, 40, 10, 35), ("road", 0, 0, 10, 10), ("road", 3, 9, 10, 10), ("vehicle", 2, 2, 10, 12)]
+    o = pd.DataFrame([(1, i, c, x, x + 2.0 + 3 * (i == 7), y, y + 1.0, float(a), float(b), float(b - a), 2.0) for i, (c, x, y, a, b) in enumerate(rows)], columns="mission_id object_id class x0 x1 y0 y1 z0 z1 height area".split()).astype({c: float for c in ("x0", "x1", "y0", "y1")})
+    got = scene.infrastructure(spark.createDataFrame(o), scene.lowest_plane(spark.createDataFrame(pd.DataFrame(v, columns=list("xyz")).assign(mission_id=1)))).first()
+    h = [np.array([r.x0 + r.x1, r.y0 + r.y1, r.z0 + r.z1]) / 2 @ n + d for r in o[:3].itertuples()]
+    h = [x for x in h if x >= 1]
+    assert got["trees"] == len(h) == 2 and np.isclose(got["mean_tree_height"], np.mean(h)) and np.isclose(got["max_tree_height"], max(h))
+    assert (got["buildings"], got["min_tower_height"], got["roads"], got["road_width"], got["vehicles"]) == (1, 6.0, 2, 3.5, 1)
+    assert np.isclose(got["min_tower_gap"], np.linalg.norm([8, 6, 12]))
+
+
+def test_infrastructure_query(spark):
+    got, want = QUERIES["j9_infrastructure"](spark, SF).toPandas(), duck(SF).execute(SQL["j9_infrastructure"]).df()
+    same = ["mission_id", "buildings", "max_building_height", "roof_area", "largest_footprint", "vehicles"]
+    assert compare(got[same], want[same]) is None and got["min_tower_gap"].notna().any() and got["trees"].sum() > 0
