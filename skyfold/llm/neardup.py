@@ -17,7 +17,7 @@ SHINGLE = 5
 PERCENT = 75
 SLOTS = 512  # values of a signature, of which a byte each is kept
 BANDS, ROWS = 32, 3  # from the first 96 values: at a similarity of 0.75 all bands miss with a chance of 3e-8
-AGREE = 345  # equal slots that a pair needs before its sets are compared; at 0.75, 384 are expected with a deviation of 7 to 9
+AGREE = 325  # equal slots that a pair needs before its sets are compared; at 0.75, 384 are expected with a deviation of up to 9.8
 LIKELY = 372  # equal slots of pairs that are tried first
 CHUNK = 64
 
@@ -281,6 +281,9 @@ def components(docs: DataFrame) -> DataFrame:
        all others, chunk against chunk, whose signatures may pass.  So every candidate pair of the banding is verified or already
        joined, and no group is expanded into all its pairs.
 
+    A pair of similarity 0.75 is lost with a chance of about 2.7e-8: all bands miss it (2.4e-8), or fewer than AGREE slots agree (2.8e-9
+    by the binomial, slots being independent at most).  At 0.76 it is 9.4e-9.
+
     Null or empty texts have no shingles, link with nothing and are kept; a null doc_id links with nothing, its component is null and
     it is kept; rows with equal doc_id but different texts are documents of their own that share the name; an empty table gives no rows.
     """

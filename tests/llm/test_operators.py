@@ -183,6 +183,14 @@ def test_super_min_hash_estimates():
     assert max(errors) < 0.2 and np.mean(errors) < 0.07
 
 
+def test_signatures_lose_fewer_pairs_than_bands():
+    def below(n, p):
+        return sum(math.comb(neardup.SLOTS, k) * p**k * (1 - p) ** (neardup.SLOTS - k) for k in range(n))
+
+    for p in (0.75, 0.76, 0.8):
+        assert below(neardup.AGREE, p) < (1 - p**neardup.ROWS) ** neardup.BANDS
+
+
 def test_near_copies_without_centre(spark):
     """A chain: neighbours are linked, ends are not; one component all the same."""
     words = [f"c{i}" for i in range(400)]
