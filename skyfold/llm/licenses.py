@@ -62,11 +62,12 @@ def ordered(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[str, int]
     return {w: i for i, w in enumerate(sorted(vocab, key=lambda w: (often.get(w, 0), w)))}
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, stride: int = STRIDE) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, stride: int | None = None) -> DataFrame:
     """Columns of ``docs(text, ...)`` but the text, with ``n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     Base labels come from phrases of consecutive words.  The join: blocks are windows of ``2 * stride`` words every ``stride``
-    words (of the text in lower case), so ``stride`` consecutive words always stand in one block.  A block matches a template if it holds at least ``threshold`` of
+    words (of the text in lower case), so ``stride`` consecutive words always stand in one block; the stride is STRIDE or, for longer
+    templates, the words of the longest divided by the threshold; a stated ``stride`` is taken as it is.  A block matches a template if it holds at least ``threshold`` of
     the template's distinct tokens.  Tokens are ordered by corpus frequency, rarest first.  A match must hold one of the first
     ``n - need + 1`` tokens of the template (prefix filter), at least ``need`` template tokens at all (length filter), and at the first
     common token enough tokens must be left on both sides (positional filter); only then the sets are compared.  The template list is a
@@ -79,6 +80,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     templates = TEMPLATES if templates is None else templates
     if len(templates) > 1000:
         raise ValueError("more than 1,000 templates: scan in several calls")
+    stride = stride or max([STRIDE, *(math.ceil(len(re.findall(r"[0-9a-z]+", s.lower())) / threshold) for _, s in templates)])
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "text"]
     keep = others(docs, *new)
     text, low = F.coalesce(F.col("text"), F.lit("")), F.col("__li_low")

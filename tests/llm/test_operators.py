@@ -328,3 +328,11 @@ def test_sql_states_the_same(spark):
         want = con.execute(text)
         columns = [c[0] for c in want.description]
         assert bag(QUERIES[name](spark, SF).select(*columns).collect()) == bag(want.fetchall()), name
+
+
+def test_long_templates(spark):
+    """A notice of 300 words, met anywhere in a text, and one of 90 across a border of the usual blocks."""
+    long, mid = [f"l{i}" for i in range(300)], [f"m{i}" for i in range(90)]
+    rows = [(i, " ".join([f"x{k}" for k in range(at)] + words + ["tail"] * 200)) for i, (at, words) in enumerate([(0, long), (50, long), (333, long), (30, mid), (101, mid), (10, long[:250])])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("long", " ".join(long)), ("mid", " ".join(mid))])
+    assert {r["doc_id"]: r["labels"] for r in got.collect()} == {0: "long", 1: "long", 2: "long", 3: "mid", 4: "mid", 5: ""}
