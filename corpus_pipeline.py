@@ -32,9 +32,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources meet their target weights: a document comes as often as the mix takes it (not at all, once or twice)."""
     own = "__mix_size"
-    mixed = mixing.mix_sources(docs.withColumn(own, mixing.word_count("text")), own)
+    plain = [c if c in ("doc_id", "source") else f"__mix_{i}" for i, c in enumerate(docs.columns)]  # no name that the mix adds
+    mixed = mixing.mix_sources(docs.withColumn(own, mixing.word_count("text")).toDF(*plain, own), own)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))
-    return mixed.withColumnRenamed("copies", "__mix_copies").filter("__mix_copies > 0").withColumn("__mix_copy", copies).select(*docs.columns)
+    return mixed.withColumnRenamed("copies", "__mix_copies").filter("__mix_copies > 0").withColumn("__mix_copy", copies).select(*[F.col(a).alias(b) for a, b in zip(plain, docs.columns)])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

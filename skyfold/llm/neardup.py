@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skyfold.kernels.components import connected_components
 from skyfold.llm import lex
@@ -80,6 +80,10 @@ def digest_a(items: np.ndarray) -> int:
     return int(lex.mix(items).sum(dtype=np.uint64).astype(np.int64))
 
 
+def digest_b(items: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(lex.mix(items + np.uint64(0x1234567)), initial=np.uint64(0)).astype(np.int64))
+
+
 SIGNED = "n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 
 
@@ -101,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     u = np.unique(h[cut[d] : cut[d + 1]])
                     sizes.append(len(u))
                     a.append(digest_a(u))
-                    b.append(int(np.bitwise_xor.reduce(lex.mix(u + np.uint64(0x1234567)), initial=np.uint64(0)).astype(np.int64)))
+                    b.append(digest_b(u))
                     sig.append(small[d].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"])
 
@@ -287,6 +291,11 @@ def components(docs: DataFrame) -> DataFrame:
     Null or empty texts have no shingles, link with nothing and are kept; a null doc_id links with nothing, its component is null and
     it is kept; rows with equal doc_id but different texts are documents of their own that share the name; an empty table gives no rows.
     """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """``components`` with the digest ``set_a, set_b`` of each row's set, and ``component_set``: unlike components may share a doc_id."""
     columns(docs, "doc_id", "text")
     prepare(docs.sparkSession)
     since = mark()
@@ -317,15 +326,45 @@ def components(docs: DataFrame) -> DataFrame:
     edges = written(edges.unionByName(_verified(likely, sets)), "near-edges")
     tried = pairs.unionByName(likely)
     more = written(_verified(_rest(apart(edges), signs).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
-    final = _labels(edges.unionByName(more)).select("id", F.col("component.doc_id").alias("component_id"))
+    final = _labels(edges.unionByName(more)).select("id", F.col("component.doc_id").alias("component_id"), F.col("component.set_a").alias("component_set"))
     forget(docs.sparkSession, since, ("near-signatures", "near-classes"))
-    groups = classes.join(final, "id", "left").select(F.col("id.set_a").alias("set_a"), "set_b", F.coalesce("component_id", "id.doc_id").alias("component_id"))
+    groups = classes.join(final, "id", "left").select(F.col("id.set_a").alias("set_a"), "set_b", F.coalesce("component_id", "id.doc_id").alias("component_id"), F.coalesce("component_set", "id.set_a").alias("component_set"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", "set_a", "set_b", "component_set", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in "nab"]))
+def _digest(text: pd.Series) -> pd.DataFrame:
+    """Size and 128-bit digest of the shingle set of each text."""
+    out = []
+    buf, off = lex.raw(pa.array(text, pa.string(), from_pandas=True))
+    for i, j, part, offs in lex.slices(buf, off):
+        h, doc = shingle_hashes(part, offs)
+        cut = np.searchsorted(doc, np.arange(j - i + 1))
+        for d in range(j - i):
+            u = np.unique(h[cut[d] : cut[d + 1]])
+            out.append((len(u), digest_a(u), digest_b(u)))
+    return pd.DataFrame(out, columns=["n", "a", "b"], dtype="int64")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates of a document with a smaller doc_id; all columns are kept."""
-    gone = components(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__nd_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__nd_id"), "left_anti")
+    """One row of each group of near duplicates, of its smallest doc_id; all columns are kept.
+
+    Rows that share a doc_id are told apart by the digest of their set: of those that are the group's smallest, the first by digest and
+    text stays.  Rows without shingles and those of a null doc_id all stay.
+    """
+    judged = written(_judged(docs), "near-judged")
+    many = written(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-names")
+    gone = judged.filter(~F.col("kept")).select("doc_id")
+    key = F.col("doc_id").cast("long") == F.col("__nd_id")
+    if many.isEmpty():
+        return docs.join(gone.select(F.col("doc_id").alias("__nd_id")), key, "left_anti")
+    names = many.select(F.col("doc_id").alias("__nd_id"))
+    alone = docs.join(gone.union(many).select(F.col("doc_id").alias("__nd_id")).distinct(), key, "left_anti")
+    alike = docs.join(names, key, "left_semi").select(F.struct(*docs.columns).alias("r"), F.col("doc_id").cast("long").alias("__nd_id"), _digest(F.col("text").cast("string")).alias("__nd"))
+    alike = written(alike, "near-namesakes")
+    first = judged.filter("kept AND n_shingles > 0").select(F.col("doc_id").alias("__nd_id"), F.col("set_a").alias("a"), F.col("set_b").alias("b"), "component_set").distinct()
+    sets = alike.filter("__nd.n > 0").select("r", "__nd_id", "__nd.a", "__nd.b").join(first, ["__nd_id", "a", "b"])
+    one = sets.groupBy("__nd_id", "component_set").agg(F.min_by("r", F.struct("a", "b", "r.text", F.to_json("r"))).alias("r"))
+    return alone.unionByName(alike.filter("__nd.n = 0").select("r.*")).unionByName(one.select("r.*"))
