@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyfold.llm import decontam, licenses, mixing, neardup, quality, secret_scan, sharding, sql, substring, tokens, topk
+from skyfold.llm import decontam, lexical, licenses, mixing, neardup, packing, quality, secret_scan, sharding, spelling, sql, substring, tokens, topk
 from skyfold.llm.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,4 +76,19 @@ def op10_source_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-SQL |= {"op4_substring_dedup": sql.SUBSTRING, "op5_minhash_near_dedup": sql.NEAR, "op6_exact_top_k": topk.SQL, "op9_benchmark_decontamination": sql.LEAKS}
+@query
+def op11_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+SQL |= {"op4_substring_dedup": sql.SUBSTRING, "op5_minhash_near_dedup": sql.NEAR, "op6_exact_top_k": topk.SQL, "op9_benchmark_decontamination": sql.LEAKS, "op12_lexical_search": lexical.SQL}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 SPACED = re.compile("[^\x20\x09-\x0d]+")
 PLAIN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -114,3 +115,65 @@ def near(docs: list[tuple]) -> list[tuple]:
         r = root(i)
         least[r] = min(least.get(r, d), d)
     return [(d, len(s), least[root(i)], d == least[root(i)]) for i, (d, s) in enumerate(sets)]
+
+
+def best_fit(lengths: list[int], capacity: int) -> list[int]:
+    """Room left in the bins of best-fit decreasing, one piece at a time."""
+    left: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in range(len(left)) if left[b] >= n]
+        if fits:
+            left[min(fits, key=left.__getitem__)] -= n
+        else:
+            left.append(capacity - n)
+    return sorted(left)
+
+
+def ranked(docs: list[tuple], items: list[tuple], top: int = 50) -> list[tuple]:
+    import math
+
+    words = [(d, PLAIN.findall((t or "").translate(AZ))) for d, t in docs]
+    n_docs, total = sum(bool(w) for _, w in words), sum(len(w) for _, w in words)
+    df = Counter(x for _, w in words for x in set(w))
+    out = []
+    for item, text in {(i, (t or "").translate(AZ)) for i, t in items}:
+        scores = []
+        for d, w in words:
+            tf, s = Counter(w), 0
+            for x in set(PLAIN.findall(text)):
+                if tf[x]:
+                    m = 100 - 50 + 50 * len(w) * n_docs // total
+                    s += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (1_000_000_000 * tf[x] // (1000 * tf[x] + 20 * m))
+            if s > 0:
+                scores.append((-s, d is None, d))
+        out += [(item, k + 1, d, -s) for k, (s, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:top])]
+    return out
+
+
+def one_edit(x: str, y: str) -> bool:
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y)) == 1
+    x, y = sorted((x, y), key=len)
+    return len(y) - len(x) == 1 and any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+
+def spelling(docs: list[tuple], points: int = 6, count: int = 5, times: int = 5) -> dict:
+    seen: Counter = Counter()
+    for d, t in docs:
+        for r in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            r = r.translate(AZ)
+            h = zlib.crc32(f"{'' if d is None else d}:{r}".encode())
+            if h % 199 == 0:
+                r = r[: h % len(r)] + r[h % len(r) + 1 :]
+            seen[r] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= points and n >= count}
+    out, form = {}, {}
+    for w, n in words.items():
+        close = [x for x in words if abs(len(x) - len(w)) < 2 and one_edit(x, w)]
+        best = min(close, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= times * n else None
+        out[w] = [form[w], w, n, len(close), words[form[w]] if form[w] else None]
+    for w, row in out.items():
+        while form[row[1]]:
+            row[1] = form[row[1]]
+    return {w: tuple(r) for w, r in out.items()}
