@@ -27,9 +27,9 @@ def _(t):
     return cl.voxel_downsample(t.points, 2.0)
 
 
-@query("e4_statistical_outliers", """WITH n AS (SELECT a.mission_id, a.point_id, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)), 8) AS d FROM points a JOIN points b ON a.mission_id=b.mission_id AND a.point_id<>b.point_id AND a.epoch='baseline' AND b.epoch='baseline' GROUP BY 1,2),
- m AS (SELECT mission_id, point_id, list_avg(d) AS mean_nn FROM n), s AS (SELECT mission_id, avg(mean_nn) AS mu, stddev_pop(mean_nn) AS sd FROM m GROUP BY 1)
- SELECT mission_id, point_id, mean_nn, mean_nn<=mu+2*sd AS keep FROM m JOIN s USING (mission_id)""", "mean_nn")
+@query("e4_statistical_outliers", """WITH n AS (SELECT a.mission_id, a.epoch, a.point_id, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)), 8) AS d FROM points a JOIN points b ON a.mission_id=b.mission_id AND a.epoch=b.epoch AND a.point_id<>b.point_id GROUP BY 1,2,3),
+ m AS (SELECT mission_id, epoch, point_id, list_avg(d) AS mean_nn FROM n), s AS (SELECT mission_id, epoch, avg(mean_nn) AS mu, stddev_pop(mean_nn) AS sd FROM m GROUP BY 1,2)
+ SELECT mission_id, epoch, point_id, mean_nn, mean_nn<=mu+2*sd AS keep FROM m JOIN s USING (mission_id, epoch)""", "mean_nn")
 def _(t):
     return cl.statistical_outliers(t.points, 8, keys=CLOUD).select(*CLOUD, "point_id", "mean_nn", "keep")
 
@@ -94,7 +94,7 @@ def _(t):
     return cl.spacing_stats(t.points)
 
 
-NN6 = "SELECT mission_id, point_id, quantile_cont(d,.5) AS spacing FROM (SELECT mission_id, point_id, unnest(min(d2,6)) AS d FROM (SELECT a.mission_id, a.point_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d2 FROM points a JOIN points b ON a.mission_id=b.mission_id AND a.point_id<>b.point_id AND a.epoch='current' AND b.epoch='current') GROUP BY 1,2) WHERE d>0 GROUP BY 1,2"
+NN6 = "SELECT mission_id, epoch, point_id, quantile_cont(d,.5) AS spacing FROM (SELECT mission_id, epoch, point_id, unnest(min(d2,6)) AS d FROM (SELECT a.mission_id, a.epoch, a.point_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d2 FROM points a JOIN points b ON a.mission_id=b.mission_id AND a.epoch=b.epoch AND a.point_id<>b.point_id) GROUP BY 1,2,3) WHERE d>0 GROUP BY 1,2,3"
 
 
 @query("e13_spacing_field", NN6, "spacing")
@@ -102,8 +102,8 @@ def _(t):
     return cl.spacing_field(t.points, 6, CLOUD)
 
 
-@query("e14_spacing_summary", f"""WITH f AS ({NN6}), q AS (SELECT mission_id, quantile_cont(spacing,.05) AS p05, quantile_cont(spacing,.5) AS median, quantile_cont(spacing,.95) AS p95, quantile_cont(spacing,.005) AS lo, quantile_cont(spacing,.995) AS hi, avg(spacing) AS mean, count(*) AS points FROM f GROUP BY 1)
- SELECT mission_id, p05, median, p95, mean, points, min(spacing) AS robust_min, max(spacing) AS robust_max, 1/pow(median,3) AS density FROM f JOIN q USING (mission_id) WHERE spacing BETWEEN lo AND hi GROUP BY ALL""", "p05 median p95 robust_min robust_max mean density")
+@query("e14_spacing_summary", f"""WITH f AS ({NN6}), q AS (SELECT mission_id, epoch, quantile_cont(spacing,.05) AS p05, quantile_cont(spacing,.5) AS median, quantile_cont(spacing,.95) AS p95, quantile_cont(spacing,.005) AS lo, quantile_cont(spacing,.995) AS hi, avg(spacing) AS mean, count(*) AS points FROM f GROUP BY 1,2)
+ SELECT mission_id, epoch, p05, median, p95, mean, points, min(spacing) AS robust_min, max(spacing) AS robust_max, 1/pow(median,3) AS density FROM f JOIN q USING (mission_id, epoch) WHERE spacing BETWEEN lo AND hi GROUP BY ALL""", "p05 median p95 robust_min robust_max mean density")
 def _(t):
     return cl.spacing_summary(cl.spacing_field(t.points, 6, CLOUD), CLOUD)
 

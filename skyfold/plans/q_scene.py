@@ -45,11 +45,11 @@ def _(t):
     return vi.unproject(t.depth_px, poses(t))
 
 
-SEEN = """SELECT q.mission_id, q.point_id, q.frame_id, q.range_m, cz-z AS zc, CASE WHEN u BETWEEN 0 AND 63 AND v BETWEEN 0 AND 63 THEN u END AS u, CASE WHEN u BETWEEN 0 AND 63 AND v BETWEEN 0 AND 63 THEN v END AS v FROM
- (SELECT *, CAST(floor(60.0e0*(x-cx)/(cz-z)+32) AS BIGINT) AS u, CAST(floor(60.0e0*(-(y-cy))/(cz-z)+32) AS BIGINT) AS v FROM (SELECT p.mission_id, p.point_id, x, y, z, cx, cy, cz, frame_id, sqrt(pow(x-cx,2)+pow(y-cy,2)+pow(z-cz,2)) AS range_m,
- row_number() OVER (PARTITION BY p.point_id ORDER BY pow(x-cx,2)+pow(y-cy,2)+pow(z-cz,2), frame_id) AS rk FROM points p JOIN poses c ON c.mission_id=p.mission_id WHERE p.epoch='baseline') WHERE rk<=8) q"""
+SEEN = """SELECT q.mission_id, q.epoch, q.point_id, q.frame_id, q.range_m, cz-z AS zc, CASE WHEN u BETWEEN 0 AND 63 AND v BETWEEN 0 AND 63 THEN u END AS u, CASE WHEN u BETWEEN 0 AND 63 AND v BETWEEN 0 AND 63 THEN v END AS v FROM
+ (SELECT *, CAST(floor(60.0e0*(x-cx)/(cz-z)+32) AS BIGINT) AS u, CAST(floor(60.0e0*(-(y-cy))/(cz-z)+32) AS BIGINT) AS v FROM (SELECT p.mission_id, p.epoch, p.point_id, x, y, z, cx, cy, cz, frame_id, sqrt(pow(x-cx,2)+pow(y-cy,2)+pow(z-cz,2)) AS range_m,
+ row_number() OVER (PARTITION BY p.point_id ORDER BY pow(x-cx,2)+pow(y-cy,2)+pow(z-cz,2), frame_id) AS rk FROM points p JOIN poses c ON c.mission_id=p.mission_id) WHERE rk<=8) q"""
 EVID = f"""WITH s AS ({SEEN}), e AS (SELECT s.*, d.z AS zd, greatest(0.08e0*min(range_m) OVER (PARTITION BY s.point_id),0.5e0) AS budget, d.z-zc AS gap FROM s LEFT JOIN depth_px d ON d.mission_id=s.mission_id AND d.frame_id=s.frame_id AND d.u=s.u AND d.v=s.v),
- ev AS (SELECT mission_id, point_id, count(zd) AS observable, count(*) FILTER (abs(gap)<=budget) AS agree, count(*) FILTER (gap>budget) AS behind, count(*) FILTER (gap<-budget) AS closer, coalesce(max(-gap),0) AS max_shortfall, min(range_m) AS min_range FROM e GROUP BY 1,2)"""
+ ev AS (SELECT mission_id, epoch, point_id, count(zd) AS observable, count(*) FILTER (abs(gap)<=budget) AS agree, count(*) FILTER (gap>budget) AS behind, count(*) FILTER (gap<-budget) AS closer, coalesce(max(-gap),0) AS max_shortfall, min(range_m) AS min_range FROM e GROUP BY 1,2,3)"""
 
 
 @query("e20_cross_view_evidence", f"{EVID} SELECT * FROM ev", "max_shortfall min_range")
@@ -57,7 +57,7 @@ def _(t):
     return vi.cross_view_evidence(t.points, poses(t), t.depth_px, also=("epoch",))
 
 
-@query("e21_cross_view_summary", f"{EVID} SELECT mission_id, count(*) AS points, count(*) FILTER (observable=0) AS unobservable, count(*) FILTER (agree>=1) AS corroborated, count(*) FILTER (closer>=1 AND agree<=0) AS contradicted, 100*avg(CASE WHEN agree>=1 THEN 1 ELSE 0 END) AS corroborated_pct FROM ev GROUP BY 1", "corroborated_pct")
+@query("e21_cross_view_summary", f"{EVID} SELECT mission_id, epoch, count(*) AS points, count(*) FILTER (observable=0) AS unobservable, count(*) FILTER (agree>=1) AS corroborated, count(*) FILTER (closer>=1 AND agree<=0) AS contradicted, 100*avg(CASE WHEN agree>=1 THEN 1 ELSE 0 END) AS corroborated_pct FROM ev GROUP BY 1,2", "corroborated_pct")
 def _(t):
     return vi.cross_view_summary(vi.cross_view_evidence(t.points, poses(t), t.depth_px, also=("epoch",)), ["mission_id", "epoch"])
 
@@ -126,7 +126,7 @@ def _(t):
     return vi.fuse_depth(t.depth_px, poses(t), 2.0)
 
 
-@query("e36_ghost_rejection", f"{EVID} SELECT mission_id, count(*) AS kept FROM ev WHERE NOT (closer>=1 AND agree<=0) GROUP BY 1")
+@query("e36_ghost_rejection", f"{EVID} SELECT mission_id, epoch, count(*) AS kept FROM ev WHERE NOT (closer>=1 AND agree<=0) GROUP BY 1,2")
 def _(t):
     return vi.reject_ghosts(t.points, poses(t), t.depth_px).groupBy("mission_id", "epoch").agg(F.count(F.lit(1)).alias("kept"))
 
@@ -193,8 +193,22 @@ def _(t):
     return sc.severity_counts(t.objects.withColumn("severity", sc.severity(F.col("area") * 20, F.col("confidence") / 4, F.col("object_id") % 2 == 0)))
 
 
-@query("j9_infrastructure", """SELECT mission_id, count(*) FILTER (b) AS buildings, max(height) FILTER (b) AS max_building_height, sum(area) FILTER (class='roof') AS roof_area, max(area) FILTER (b) AS largest_footprint, count(*) FILTER (tr) AS trees, avg(height) FILTER (tr) AS mean_tree_height, count(*) FILTER (class='vehicle') AS vehicles
- FROM (SELECT *, class IN ('structure','roof','wall') AS b, class='vegetation' AND height>=1 AS tr FROM objects) GROUP BY 1""", "max_building_height roof_area largest_footprint mean_tree_height")
+# The plane of least squares through the lowest tenth: its normal is the vector of the least eigenvalue of the covariance, here in closed form.
+LOWEST = """lv AS (SELECT CAST(floor(vid/500) AS BIGINT) AS mission_id, x, y, z FROM vertices), lk AS (SELECT mission_id, least(count(*), greatest(20, floor(count(*)/10))) AS k FROM lv GROUP BY 1),
+ lr AS (SELECT *, rank() OVER (PARTITION BY mission_id ORDER BY z) AS rk FROM lv), c AS (SELECT mission_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS a, covar_pop(x,y) AS b, covar_pop(x,z) AS c, var_pop(y) AS d, covar_pop(y,z) AS e, var_pop(z) AS f FROM lr JOIN lk USING (mission_id) WHERE rk<=k GROUP BY 1),
+ q AS (SELECT *, (a+d+f)/3 AS q FROM c), p AS (SELECT *, sqrt((pow(a-q,2)+pow(d-q,2)+pow(f-q,2)+2*(b*b+c*c+e*e))/6) AS p FROM q),
+ l AS (SELECT *, q+2*p*cos(acos(greatest(-1,least(1,((a-q)*((d-q)*(f-q)-e*e)-b*(b*(f-q)-e*c)+c*(b*e-(d-q)*c))/(2*p*p*p))))/3+2*pi()/3) AS w FROM p),
+ n AS (SELECT *, b*e-c*(d-w) AS n0, c*b-(a-w)*e AS n1, (a-w)*(d-w)-b*b AS n2 FROM l),
+ plane AS (SELECT mission_id, s*n0 AS gx, s*n1 AS gy, s*n2 AS gz, -s*(n0*mx+n1*my+n2*mz) AS gd FROM (SELECT *, (CASE WHEN n2<0 THEN -1 ELSE 1 END)/sqrt(n0*n0+n1*n1+n2*n2) AS s FROM n))"""
+
+
+@query("j9_infrastructure", f"""WITH {LOWEST}, o AS (SELECT *, (x0+x1)/2 AS x, (y0+y1)/2 AS y, (z0+z1)/2 AS z, greatest(x1-x0,y1-y0) AS wide, class IN ('structure','roof','wall') AS b, class IN ('tower','structure') AS t FROM objects),
+ h AS (SELECT *, over>=1 AND class='vegetation' AS tr FROM (SELECT o.*, gx*x+gy*y+gz*z+gd AS over FROM o LEFT JOIN plane USING (mission_id))),
+ g AS (SELECT u.mission_id, min(sqrt(pow(u.x-v.x,2)+pow(u.y-v.y,2)+pow(u.z-v.z,2))) AS min_tower_gap FROM o u JOIN o v ON u.mission_id=v.mission_id AND u.object_id<>v.object_id WHERE u.t AND v.t GROUP BY 1),
+ s AS (SELECT mission_id, count(*) FILTER (b) AS buildings, max(height) FILTER (b) AS max_building_height, sum(area) FILTER (class='roof') AS roof_area, max(area) FILTER (b) AS largest_footprint,
+ count(*) FILTER (tr) AS trees, avg(over) FILTER (tr) AS mean_tree_height, max(over) FILTER (tr) AS max_tree_height, min(height) FILTER (t) AS min_tower_height, count(*) FILTER (class='road') AS roads,
+ count(*) FILTER (class='vehicle') AS vehicles, quantile_cont(wide,.5) FILTER (class='road' AND wide>0) AS road_width FROM h GROUP BY 1)
+ SELECT * FROM s LEFT JOIN g USING (mission_id)""", "max_building_height roof_area largest_footprint mean_tree_height max_tree_height min_tower_height min_tower_gap road_width")
 def _(t):
     v = t.vertices.select(F.floor(F.col("vid") / 500).alias("mission_id"), "x", "y", "z")
     return sc.infrastructure(t.objects, sc.lowest_plane(v))

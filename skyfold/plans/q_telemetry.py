@@ -59,8 +59,8 @@ def fix_track(t):
     return once(out.withColumn("idx", F.col("_r") - 1).drop("_r"))
 
 
-@query("b5_cell_casts", f"""SELECT id, n, p FROM (SELECT doc_id AS id, try_cast(cell AS DOUBLE) AS n, cell AS p FROM
- (SELECT doc_id, regexp_extract(text, '([+-]?[0-9]+[.][0-9]+)', 1) AS cell FROM documents)) WHERE p<>''""", "n")
+@query("b5_cell_casts", r"""SELECT id, pos, CASE WHEN regexp_full_match(p,'[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(try_cast(p AS DOUBLE)) THEN try_cast(p AS DOUBLE) END AS n, p
+ FROM (SELECT doc_id AS id, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS p FROM (SELECT doc_id, regexp_extract_all(text,'[^ \t\n\x0B\f\r]+') AS c FROM documents))""", "n")
 def _(t):
     from skyfold.functions.parse import parse_number
 
