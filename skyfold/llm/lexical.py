@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skyfold.llm import lex
@@ -16,9 +15,11 @@ from skyfold.llm.store import columns, prepare, written
 TOP = 50
 BLOCK = 128  # postings of a block
 SPAN = 1024  # documents of a shard that are scored together
-SHARD_BYTES = 16 << 20  # text of a shard; a longer text has its own
+SHARD_BYTES = 8 << 20  # text of a shard; a longer text has its own
+SLICE_BYTES = 512 << 10
 QUERIES = 256  # of a task, at about this number
 SALTS = 16
+BROADCAST_BYTES = 16 << 20
 #: One head per block of a posting list: its last document, its largest impact, least impact, where its bytes end, and the widths of a gap and an impact.
 HEAD = np.dtype([("last", "<u4"), ("peak", "<u4"), ("least", "<u4"), ("end", "<u4"), ("gap", "u1"), ("wide", "u1"), ("n", "<u2")])
 INDEX = "shard string, term binary, df long, heads binary, data binary"
@@ -28,7 +29,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int, n
     """Slices of texts: doc_ids, bytes, the number of terms of each text, all terms in a row, and the text of each term."""
     for batch in batches:
         buf, off = lex.raw(batch.column("text"))
-        for a, b, part, offs in lex.slices(buf, off):
+        for a, b, part, offs in lex.slices(buf, off, SLICE_BYTES):
             low = lex.LOWER[part]
             starts, ends, doc = lex.words(low, offs, lex.PLAIN)
             at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
@@ -42,9 +43,12 @@ def totals(docs: DataFrame) -> tuple[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = length = 0
-        for _, _, counts, _, _ in _terms(batches):
-            n += int((counts > 0).sum())
-            length += int(counts.sum())
+        for batch in batches:
+            buf, off = lex.raw(batch.column("text"))
+            for a, b, part, offs in lex.slices(buf, off, SLICE_BYTES):
+                counts = np.bincount(lex.words(lex.LOWER[part], offs, lex.PLAIN)[2], minlength=b - a)
+                n += int((counts > 0).sum())
+                length += int(counts.sum())
         yield pa.RecordBatch.from_pydict({"n": [n], "l": [length]})
 
     got = docs.select("doc_id", "text").mapInArrow(run, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
@@ -275,7 +279,10 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     asked = written(asked.withColumn("q", F.row_number().over(Window.partitionBy("block").orderBy("h", "item_id", "terms"))), "lexical-blocks")
     used = asked.select("block", "q", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.collect_list("q").alias("qs"))
     used = used.withColumn("term", F.col("term").cast("binary"))
-    df = index.select("term", "df").join(used.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    terms = written(used.select("term").distinct(), "lexical-terms")
+    # a list of terms of checked size goes to every task and drops the rest of the index before it moves; a longer one is joined by a shuffle
+    index = index.join(F.broadcast(terms) if (terms.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) <= BROADCAST_BYTES else terms, "term", "left_semi").unionByName(index.filter(F.octet_length("term") == 0))
+    df = index.select("term", "df").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0 * n_docs) + 2) / (2 * F.col("df") + 1)))
     weighed = used.join(df, "term").select("block", "term", "qs", weight.cast("long").alias("w")).filter("w > 0")
     names = asked.select("block", F.lit(b"").alias("term"), F.array().cast("array<int>").alias("qs"), F.lit(0).cast("long").alias("w")).distinct()

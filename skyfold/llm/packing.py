@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,13 +14,16 @@ from tokenizers import Tokenizer
 
 from skyfold.llm import lex
 from skyfold.llm.store import columns, prepare, written
+from skyfold.llm.tokens import byte_map
 
 CAPACITY = 4096
 END_ID = 1
 BUCKET_ROWS = 8192
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 CACHED_PIECE = 64
-_BLANK = np.isin(lex._byte, [0x20, 0x09, 0x0A, 0x0D])
+_PIECE = ~np.isin(lex._byte, [0x20, 0x09, 0x0A, 0x0D])
+_LETTER = (lex._byte >= 0x61) & (lex._byte <= 0x7A) | (lex._byte >= 0x41) & (lex._byte <= 0x5A)
+_MARK = np.isin(lex._byte, [ord(c) for c in ".,;:!?"])
 
 
 def default_tokenizer() -> str:
@@ -29,36 +33,54 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Ids of many texts by a tokenizer that drops white space, each distinct blank-separated piece encoded once.
+    """Ids of many texts by a tokenizer that lower-cases and drops white space, each distinct piece encoded once.
 
-    No token, normal form or special token of such a tokenizer reaches over a blank, tab or line end, so texts may be cut there.
-    The cache of pieces is bounded in bytes.
+    Pieces are runs without blank, tab or line end, cut once more before a mark that follows a letter: no token, normal form or special
+    token of such a tokenizer reaches over these places.  Pieces that are one letter run go straight to the library's model, all others
+    through its whole ``encode_batch``.  The cache of pieces is bounded in bytes.
     """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
+        self.map = byte_map()
+        self.one = re.compile(r"[a-zà-öø-ÿ]+")
         self.known: dict[bytes, bytes] = {}
         self.used = 0
 
     def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        got = dict(zip(pieces, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch([p.decode() for p in pieces], add_special_tokens=False))))
+        got, whole, model, table = {}, [], self.tok.model, self.map
+        for p in pieces:
+            s = p.decode().lower()
+            if self.one.fullmatch(s):
+                got[p] = np.array([t.id for t in model.tokenize("".join([table[b] for b in s.encode()]))], "<u4").tobytes()
+            else:
+                whole.append(p)
+        for p, e in zip(whole, self.tok.encode_batch([p.decode() for p in whole], add_special_tokens=False)):
+            got[p] = np.array(e.ids, "<u4").tobytes()
         for p, ids in got.items():
             if len(p) <= CACHED_PIECE:
                 self.known[p] = ids
-                self.used += len(p) + len(ids) + 120
+                self.used += len(p) + len(ids) + 160
         return got
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
         n = len(off) - 1
-        if not len(buf):
+        if b"<|" not in buf.tobytes():  # a special token counts only as it is written
+            buf = lex.LOWER[buf]
+        starts, ends, doc = lex.words(buf, off, _PIECE)
+        if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(n, np.int64)
-        blank = _BLANK[buf]
-        cut = np.zeros(len(buf) + 1, bool)
-        cut[1:-1] = blank[:-1] & ~blank[1:]
-        cut[off] = True
-        at = np.flatnonzero(cut)
-        coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+        mark = np.flatnonzero(_MARK[buf[1:]] & _LETTER[buf[:-1]]) + 1
+        mark = mark[~np.isin(mark, off, assume_unique=True)] if n > 1 else mark
+        held = _PIECE[buf]
+        # the pieces without the blanks between them, in a row
+        upto = np.cumsum(ends - starts)
+        new = np.zeros(upto[-1] + 1, bool)
+        new[0] = new[upto] = new[np.cumsum(held, dtype=np.int32)[mark] - 1] = True
+        cut = np.flatnonzero(new)
+        owner = doc[np.cumsum(np.bincount(np.searchsorted(cut, upto[:-1]), minlength=len(cut) - 1)[: len(cut) - 1])]
+        coded = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[held]))]).dictionary_encode()
         idx, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if self.used > CACHE_BYTES:
             self.known.clear()
@@ -69,9 +91,9 @@ class Words:
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         base = np.concatenate([[0], np.cumsum(lens)])
         size = lens[idx]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        out = flat[np.arange(upto[-1]) + np.repeat(base[idx] - upto[:-1], size)]
-        return out, np.diff(upto[np.searchsorted(at, off)])
+        upto = np.cumsum(size)
+        out = flat[np.arange(upto[-1]) + np.repeat(base[idx] - (upto - size), size)]
+        return out, np.bincount(owner, size, n).astype(np.int64)
 
 
 @functools.lru_cache(2)
