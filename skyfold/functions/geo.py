@@ -13,10 +13,10 @@ EARTH_R_PAIRS = 6371000.0
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_R) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null if a coordinate is."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def ecef(lat: Column, lon: Column, alt: Column) -> list[Column]:

@@ -11,7 +11,8 @@ from skyfold.session import once
 
 
 def sql_haversine(a, b, c, d, radius=geo.EARTH_R):
-    return f"2*{radius}e0*asin(least(1.0e0, sqrt(pow(sin(radians({c}-{a})/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2),2))))"
+    h = f"(pow(sin(radians({c}-{a})/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2),2))"
+    return f"2*{radius}e0*asin(sqrt(CASE WHEN {h}>1 THEN 1.0e0 ELSE {h} END))"
 
 
 def sql_ecef(lat, lon, alt):
