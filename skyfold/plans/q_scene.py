@@ -220,7 +220,12 @@ def ground_findings(t, kind):
     return t.objects.filter(F.col("class") == kind).select((i % 8).alias("mission_id"), (i % 47 * F.lit(1.1)).alias("x"), (i * 7 % 53 * F.lit(0.9)).alias("y"), "area")
 
 
-@query("f13_slope_grid")
+SLOPES = """sg AS (SELECT mission_id, CAST(floor(x/{s}e0) AS BIGINT) AS ix, CAST(floor(y/{s}e0) AS BIGINT) AS iy, avg(z) AS z FROM {src} GROUP BY 1,2,3),
+ sd AS (SELECT c.mission_id, c.ix, c.iy, c.z, a.z AS xn, b.z AS xp, d.z AS yn, e.z AS yp FROM sg c LEFT JOIN sg a ON a.mission_id=c.mission_id AND a.ix=c.ix+1 AND a.iy=c.iy LEFT JOIN sg b ON b.mission_id=c.mission_id AND b.ix=c.ix-1 AND b.iy=c.iy LEFT JOIN sg d ON d.mission_id=c.mission_id AND d.ix=c.ix AND d.iy=c.iy+1 LEFT JOIN sg e ON e.mission_id=c.mission_id AND e.ix=c.ix AND e.iy=c.iy-1),
+ slopes AS (SELECT mission_id, ix, iy, z, degrees(atan(sqrt(pow(CASE WHEN xn IS NOT NULL AND xp IS NOT NULL THEN (xn-xp)/(2*{s}e0) ELSE coalesce((xn-z)/{s}e0,(z-xp)/{s}e0,0) END,2)+pow(CASE WHEN yn IS NOT NULL AND yp IS NOT NULL THEN (yn-yp)/(2*{s}e0) ELSE coalesce((yn-z)/{s}e0,(z-yp)/{s}e0,0) END,2)))) AS slope_deg FROM sd)"""
+
+
+@query("f13_slope_grid", f"WITH {SLOPES.format(s=2.0, src='points')} SELECT * FROM slopes", "z slope_deg")
 def _(t):
     return sc.slope_grid(t.points, 2.0)
 
