@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from skyfold.functions.parse import parse_iso6709
 from skyfold.plans.registry import query
-from skyfold.sources import files as fi, telemetry_text as tt
+from skyfold.sources import files as fi, schema, telemetry_text as tt
 from skyfold.plans.q_telemetry import SUSPECT
-from skyfold.session import checkpoint_dir
+from skyfold.session import checkpoint_dir, once
 from skyfold.streaming import intake, jobs
 
 
@@ -75,15 +75,82 @@ def _(t):
 def _(t):
     h = t.raw("documents").select(F.col("source").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z]+)"))).alias("header")).distinct()
     names = t.raw("events").select((F.col("user_id") % 50).cast("string").alias("file"), F.element_at(F.array(*[F.lit(x) for x in ("Timestamp (ms)", "GPS Latitude", "lon_deg", "relative_alt", "heading", "speed_kmh")]), (F.col("event_id") % 6 + 1).cast("int")).alias("header")).distinct()
-    return tt.score_headers(names.unionByName(h))
+    return schema.score_headers(names.unionByName(h))
 
 
-@query("b4_time_unit", """SELECT CAST(user_id AS VARCHAR) AS file, 0.001e0 AS factor, 'epoch' AS kind FROM events GROUP BY user_id HAVING count(*)>=2""", "factor")
+@query("b4_time_unit", """SELECT CAST(mission_id AS VARCHAR) AS file, CASE mission_id%4 WHEN 0 THEN 'relative_seconds' WHEN 1 THEN 'relative_milliseconds' WHEN 2 THEN 'unix_seconds' ELSE 'unix_microseconds' END AS kind,
+ CASE mission_id%4 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.001e0 WHEN 2 THEN 1.0e0 ELSE 0.000001e0 END AS factor, mission_id%4>=2 AS epoch, CASE WHEN mission_id%4 IN (1,3) THEN 0.9e0 ELSE 0.7e0 END AS confidence,
+ quantile_cont(gap,.5)*(CASE mission_id%4 WHEN 1 THEN 1e3 WHEN 3 THEN 1e6 ELSE 1 END) AS interval FROM (SELECT mission_id, ts_s-lag(ts_s) OVER (PARTITION BY mission_id ORDER BY ts_s) AS gap FROM telemetry) WHERE gap>0 GROUP BY mission_id""", "factor confidence interval", 3)
 def _(t):
-    c = t._event_rows.filter("mission_id IS NOT NULL")
-    many = c.groupBy("mission_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("mission_id")
-    c = c.join(many, "mission_id", "left_semi")
-    return tt.infer_time_unit(c.select(F.col("mission_id").cast("string").alias("file"), F.col("source_row").alias("line"), (F.lit(1700000000000) + F.col("source_row") * 200).cast("string").alias("cell"))).select("file", "factor", "kind")
+    k, ts = F.col("mission_id") % 4, F.col("ts_s")
+    cell = F.when(k == 0, ts.cast("string")).when(k == 1, F.round(ts * 1000).cast("long").cast("string")).when(k == 2, F.round(ts + 1700000000, 2).cast("string")).otherwise(F.round((ts + 1700000000) * 1000000).cast("long").cast("string"))
+    header = F.element_at(F.array(*[F.lit(x) for x in ("t", "t_ms", "t", "t_us")]), (k + 1).cast("int"))
+    rows = t.telemetry.select(F.col("mission_id").cast("string").alias("file"), F.col("source_row").alias("line"), cell.alias("cell"), header.alias("header"))
+    return schema.time_units(rows).filter("interval IS NOT NULL")
+
+
+# Five ways to write a log; a mission takes that of mission_id % 5.
+HEADERS = [
+    ["timestamp", "latitude", "longitude", "altitude", "sequence"], ["time", "lat", "lon", "alt", "seq"], ["time_ms", "lat_deg", "lon_deg", "relative_alt", "index"],
+    ["Timestamp", "lat_dd", "lng", "height", "row"], ["utc_time", "latitude_deg", "longitude_deg", "altitude_ft", "sequence"],
+]
+SIGNS = [",", ";", "\t", "|", ","]
+KINDS = [["relative_seconds", "degrees", "degrees", "meters", "native"], ["relative_seconds", "degrees", "degrees", "meters", "native"], ["relative_milliseconds", "degrees", "degrees", "meters", "native"], ["relative_seconds", "degrees", "degrees_0_360", "meters", "native"], ["iso8601", "degrees", "degrees", "meters", "native"]]
+FIELD_NAMES = ["timestamp", "latitude", "longitude", "altitude", "sequence"]
+EXPECTED = "(VALUES " + ", ".join(
+    f"({d},'{'altitude_agl' if (d, f) == (2, 'altitude') else f}','{HEADERS[d][i]}','{KINDS[d][i]}',{0.95 if f in ('latitude', 'longitude') and d != 3 or (d, f) == (3, 'latitude') or (d, f) == (4, 'timestamp') else 0.85 if f == 'longitude' else 0.7 if f == 'timestamp' else 0.9}e0)"
+    for d in range(5) for i, f in enumerate(FIELD_NAMES)
+) + ") e(d,canonical,header,unit,vc)"
+
+
+def logs(t) -> str:
+    """The telemetry written as text logs, one file for each mission; the folder."""
+    at = f"{checkpoint_dir(t.spark)}/logs-{uuid.uuid4().hex}"
+    k, ts, text = F.col("mission_id") % 5, F.col("ts_s"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    time = F.when(k == 2, text(F.round(ts * 1000, 3))).when(k == 4, F.date_format(F.timestamp_micros(F.round((ts + 1704067200) * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS")).otherwise(text(ts))
+    lon = F.when(k == 3, F.when(F.col("lon") > 0, F.col("lon") + 200).otherwise(F.col("lon") + 190)).otherwise(F.col("lon"))
+    cells = [time, text(F.col("lat")), text(lon), text(F.when(k == 4, F.col("alt_m") / schema.FEET).otherwise(F.col("alt_m"))), text(F.col("source_row"))]
+    cells = [F.when(k == 1, F.translate(c, ".", ",")).otherwise(c) for c in cells]
+    sign = F.element_at(F.array(*[F.lit(x) for x in SIGNS]), (k + 1).cast("int"))
+    rows = t.telemetry.select("mission_id", F.col("source_row").alias("o"), F.array_join(F.array(*cells), "\u0001").alias("text"))
+    head = F.element_at(F.array(*[F.lit("\u0001".join(h)) for h in HEADERS]), (k + 1).cast("int"))
+    m = t.telemetry.select("mission_id").distinct()
+    every = rows.unionByName(m.select("mission_id", F.lit(-1).cast("long").alias("o"), head.alias("text"))).unionByName(m.filter(k == 0).select("mission_id", F.lit(-2).cast("long").alias("o"), F.lit("Aircraft: ABC").alias("text")))
+    every = every.select("mission_id", "o", F.replace("text", F.lit("\u0001"), sign).alias("text"))
+    every.repartition("mission_id").sortWithinPartitions("mission_id", "o").select("mission_id", "text").write.partitionBy("mission_id").text(at)
+    return at
+
+
+def of_file(df):
+    return df.withColumn("mission_id", F.regexp_extract("file", r"mission_id=(\d+)", 1).cast("long"))
+
+
+@query("a1_telemetry_intake", """SELECT mission_id, source_row, CASE WHEN mission_id%5=4 THEN 1704067200+ts_s ELSE ts_s END AS timestamp, lat AS latitude, CASE WHEN mission_id%5<>3 THEN lon WHEN lon>0 THEN lon-160 ELSE lon-170 END AS longitude,
+ CASE WHEN mission_id%5<>2 THEN alt_m END AS altitude, CASE WHEN mission_id%5=2 THEN alt_m END AS altitude_agl, source_row*1.0e0 AS sequence FROM telemetry""", "timestamp latitude longitude altitude altitude_agl sequence", 5)
+def _(t):
+    rows, _, _ = schema.read_telemetry(t.spark, logs(t))
+    return of_file(rows).select("mission_id", "source_row", "timestamp", "latitude", "longitude", "altitude", "altitude_agl", "sequence")
+
+
+@query("a1_log_layouts", "SELECT mission_id, 'utf-8' AS encoding, CASE mission_id%5 WHEN 1 THEN ';' WHEN 2 THEN chr(9) WHEN 3 THEN '|' ELSE ',' END AS delimiter, mission_id%5=1 AS decimal_comma, 5::BIGINT AS mapped, CASE mission_id%5 " + " ".join(f"WHEN {d} THEN '{' '.join(h)}'" for d, h in enumerate(HEADERS)) + " END AS header FROM telemetry GROUP BY mission_id")
+def _(t):
+    _, layout, _ = schema.read_telemetry(t.spark, logs(t))
+    return of_file(layout).select("mission_id", "encoding", "delimiter", "decimal_comma", "mapped", F.array_join("header", " ").alias("header"))
+
+
+@query("b3_value_checks", f"SELECT mission_id, canonical, header, true AS ok, unit, vc AS value_confidence FROM (SELECT DISTINCT mission_id FROM telemetry) JOIN (SELECT * FROM {EXPECTED} UNION ALL SELECT 3, 'longitude', 'lat_dd', 'degrees', 0.95e0) ON d=mission_id%5", "value_confidence")
+def _(t):
+    lines = once(schema.read_lines(t.spark, logs(t)))
+    layout = once(schema.layouts(lines))
+    rows = once(schema.data_rows(lines, layout))
+    return of_file(schema.validate_values(schema.named_columns(layout), schema.value_stats(rows), rows)).select("mission_id", "canonical", "header", "ok", "unit", "value_confidence")
+
+
+@query("b2_column_choice", f"""SELECT mission_id, canonical, header, CASE WHEN header='altitude_ft' THEN 'feet' ELSE unit END AS unit, least(0.99e0,0.7e0+0.3e0*vc) AS confidence, 'VALIDATED' AS status, CASE canonical WHEN 'altitude' THEN 'MSL (assumed)' WHEN 'altitude_agl' THEN 'AGL' END AS reference
+ FROM (SELECT DISTINCT mission_id FROM telemetry) JOIN (SELECT * FROM {EXPECTED}) ON d=mission_id%5""", "confidence")
+def _(t):
+    _, _, chosen = schema.read_telemetry(t.spark, logs(t))
+    return of_file(chosen.filter("event = 'mapping'")).select("mission_id", "canonical", "header", "unit", "confidence", "status", "reference")
 
 
 @query("b6_unit_conversion", """SELECT mission_id, source_row, CASE WHEN mission_id%2=0 THEN alt_m*0.3048e0 ELSE alt_m END AS alt_m, CASE WHEN mission_id%3=0 AND lon+100>180 THEN lon+100-360 ELSE lon+100 END AS lon, ts_s*0.001e0 AS ts_s FROM telemetry""", "alt_m lon ts_s")

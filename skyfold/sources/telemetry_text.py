@@ -1,120 +1,8 @@
-"""Telemetry text: subtitle logs, delimited files and column mapping."""
+"""Telemetry text: subtitle logs and units of mapped columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-from skyfold.functions.parse import parse_number
-
-# Aliases of the canonical fields, unit words and exclusions.
-ALIASES = {
-    "timestamp": "timestamp time datetime date_time utc utc_time gps_time gps_timestamp unix_time unix_timestamp epoch epoch_time time_ms timestamp_ms timestamp_us timestamp_usec time_us time_usec time_boot_ms time_boot_us flight_time elapsed_time time_s",
-    "latitude": "latitude lat gps_latitude gps_lat latitude_deg lat_deg latitude_degrees lat_degrees gps_lat_deg gps_latitude_deg lat_dd",
-    "longitude": "longitude lon lng long gps_longitude gps_lon longitude_deg lon_deg longitude_degrees lon_degrees gps_lon_deg gps_longitude_deg lon_dd",
-    "altitude": "altitude alt gps_altitude gps_alt altitude_m alt_m altitude_meter altitude_meters height height_m elevation elevation_m gps_height global_alt global_altitude alt_msl altitude_msl",
-    "altitude_agl": "relative_alt relative_altitude rel_alt agl height_agl relative_alt_m alt_relative altitude_rel",
-    "roll": "roll roll_deg bank bank_angle",
-    "pitch": "pitch pitch_deg",
-    "yaw": "yaw yaw_deg heading_deg course_over_ground",
-    "heading": "heading heading_deg compass course cog",
-    "speed": "speed speed_kmh speed_mph ground_speed gs",
-    "satellites": "satellites sats num_sats sat satellites_visible",
-    "hdop": "hdop h_dop",
-    "vdop": "vdop v_dop",
-    "frame_number": "frame_number frame frame_id frame_idx fn",
-    "sequence": "sequence seq sample_number index row",
-}
-UNITS = ["deg", "degree", "degrees", "m", "meter", "meters", "ft", "feet", "ms", "millis", "milliseconds", "us", "usec", "micros", "microseconds", "s", "sec", "secs", "seconds", "kmh", "kph", "mph"]
-POSE_WORDS = ["qw", "qx", "qy", "qz", "quat", "quaternion", "fov", "focal", "cx", "cy", "intrinsics"]
-DELIMITERS = [",", ";", "\t", "|"]
-
-
-def header_words(h: Column) -> Column:
-    """Identity words of a header: lower case, unit words and bracketed hints dropped."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(h, "﻿", ""))), r"\([^()]*\)", " "), "°", " ")
-    words = F.filter(F.split(t, "[^a-z0-9]+"), lambda w: w != "")
-    core = F.filter(words, lambda w: ~w.isin(UNITS))
-    return F.when(F.size(core) > 0, core).otherwise(words)
-
-
-def score_headers(headers: DataFrame) -> DataFrame:
-    """Best name score per ``file, header`` and canonical field; the alias table is a fixed constant."""
-    spark = headers.sparkSession
-    rows = [(canon, a) for canon, names in ALIASES.items() for a in names.split()]
-    alias = spark.createDataFrame(rows, "canonical string, alias string").withColumn("aw", header_words(F.col("alias"))).withColumn("an", F.concat_ws("_", "aw"))
-    h = headers.withColumn("hw", header_words(F.col("header"))).withColumn("hn", F.concat_ws("_", "hw")).filter("hn <> ''")
-    pose = F.arrays_overlap("hw", F.array(*[F.lit(w) for w in POSE_WORDS])) | (F.size(F.array_except("hw", F.array(F.lit("x"), F.lit("y"), F.lit("z")))) == 0)
-    j = h.filter(~pose).join(F.broadcast(alias))
-    shared = F.size(F.array_intersect("aw", "hw"))
-    s = (
-        F.when(F.col("hn") == F.col("an"), 1.0)
-        .when(F.size(F.array_except("aw", "hw")) == 0, 0.85 + 0.05 * (F.size(F.array_distinct("aw")) - 1))
-        .when(shared > 0, 0.6)
-        .when((F.length("an") >= 4) & (F.contains("hn", "an") | F.contains("an", "hn")), 0.45)
-        .otherwise(0.0)
-    )
-    has = lambda *w: F.arrays_overlap("hw", F.array(*[F.lit(x) for x in w]))
-    agl = has("relative", "rel", "agl")
-    c = F.col("canonical")
-    off = ((c == "yaw") & has("heading", "course", "compass", "cog") & ~has("yaw")) | ((c == "heading") & has("yaw")) | ((c == "altitude") & agl) | ((c == "altitude_agl") & ~agl)
-    best = j.withColumn("score", F.when(off, 0.0).otherwise(s)).groupBy("file", "header", "canonical").agg(F.max("score").alias("score"))
-    return best.filter("score > 0")
-
-
-def assign_columns(scores: DataFrame, validation: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """Greedy assignment in the fixed field order: the best unused header of each file."""
-    left = scores.filter(F.col("score") >= least)
-    if validation is not None:
-        left = left.join(validation, ["file", "header", "canonical"], "left")
-    else:
-        left = left.withColumn("value_confidence", F.lit(1.0))
-    from skyfold.session import cut
-
-    left = cut(left.withColumn("value_confidence", F.coalesce("value_confidence", F.lit(0.0))))
-    out = None
-    for canon in ALIASES:
-        w = Window.partitionBy("file").orderBy(F.desc(F.col("value_confidence") >= 0.6), F.desc("score"), "header")
-        pick = left.filter(F.col("canonical") == canon).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        if out is not None:
-            pick = pick.join(out.select("file", "header"), ["file", "header"], "left_anti")
-            pick = left.filter(F.col("canonical") == canon).join(out.select("file", "header"), ["file", "header"], "left_anti").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        out = pick if out is None else cut(out.unionByName(pick))
-    conf = F.least(F.lit(0.99), 0.7 * F.col("score") + 0.3 * F.col("value_confidence"))
-    return out.select("file", "canonical", "header", conf.alias("confidence"), F.when(F.col("value_confidence") >= 0.6, "VALIDATED").otherwise("UNVALIDATED").alias("status"))
-
-
-def infer_time_unit(cells: DataFrame) -> DataFrame:
-    """Seconds per native unit and kind from magnitude and sampling interval; ``file, line, cell``."""
-    from skyfold.kernels.quantile import quantiles
-    from skyfold.session import once
-
-    w = Window.partitionBy("file").orderBy("line")
-    v = cells.withColumn("t", parse_number(F.col("cell"))).filter("t IS NOT NULL")
-    v = once(v.withColumn("_i", F.row_number().over(w)).filter("_i <= 500").withColumn("mag", F.abs("t")))
-    v = v.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("file").orderBy("t")))
-    m = quantiles(v, ["file"], mag=("mag", 0.5)).join(quantiles(v.filter("gap > 0"), ["file"], gap=("gap", 0.5)), "file", "left")
-    sane = lambda f: (F.col("gap") * f).between(1e-3, 60.0)
-    mag = F.col("mag")
-    factor = F.when(mag >= 1e14, 1e-6).when(mag >= 1e11, 1e-3).when(mag >= 1e9, F.when(sane(1.0), 1.0).when(sane(1e-3), 1e-3).otherwise(1.0)).otherwise(F.when(sane(1.0), 1.0).when(sane(1e-3), 1e-3).when(sane(1e-6), 1e-6).otherwise(1.0))
-    m = m.withColumn("factor", factor)
-    return m.select("file", "factor", F.when(mag >= 1e9, "epoch").otherwise("relative").alias("kind"), F.when(F.coalesce(sane(F.col("factor")), F.lit(False)), 0.7).otherwise(0.4).alias("confidence"))
-
-
-def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of delimited files: ``file, line, cells``; each file's delimiter is the most consistent one.
-
-    Lines are read splittably; ``line`` is an order key (block start plus row
-    within the scan task), not a dense number.
-    """
-    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), F.regexp_replace("value", "\r$", "").alias("text")).filter("trim(text) <> ''")
-    counts = F.array(*[F.struct(F.lit(d).alias("d"), (F.size(F.split("text", F.concat(F.lit("\\Q"), F.lit(d), F.lit("\\E")))) - 1).alias("n")) for d in DELIMITERS])
-    first = raw.withColumn("_i", F.row_number().over(Window.partitionBy("file").orderBy("line"))).filter("_i <= 40")
-    n = first.select("file", F.explode(counts).alias("c")).groupBy("file", "c.d", "c.n").agg(F.count(F.lit(1)).alias("k")).filter("n > 0")
-    mode = n.groupBy("file", "d").agg(F.max(F.struct("k", "n")).alias("m"), F.sum("k").alias("all"))
-    best = mode.groupBy("file").agg(F.max_by("d", F.col("m.k") * F.least(F.col("m.n"), F.lit(8))).alias("delimiter"))
-    return raw.join(best, "file").select("file", "line", "delimiter", F.transform(F.split("text", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))), F.trim).alias("cells"))
-
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """Subtitle blocks with position and gimbal angles; files with repeated counters are flagged ``bad``."""

@@ -14,18 +14,6 @@ def test_cell_casts(spark):
     assert r[0] == 150 and abs(r[1] + 11.025) < 1e-9 and r[2] == 1704067210 and list(r[3:]) == [24.5, 120.9, 35.0]
 
 
-def test_header_scores(spark):
-    h = spark.createDataFrame([("f", c) for c in ("Timestamp (ms)", "GPS Latitude", "lon_deg", "relative_alt", "qw", "heading")], "file string, header string")
-    m = {r.canonical: r.header for r in tt.assign_columns(tt.score_headers(h)).collect()}
-    assert m == {"timestamp": "Timestamp (ms)", "latitude": "GPS Latitude", "longitude": "lon_deg", "altitude_agl": "relative_alt", "heading": "heading"}
-
-
-def test_delimiter(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("time;lat;lon\n0,5;24,53;120,9\n1,0;24,54;120,9\n")
-    rows = tt.read_telemetry(spark, str(tmp_path)).collect()
-    assert {r.delimiter for r in rows} == {";"} and rows[1].cells[1] == "24,53"
-
-
 def test_srt(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,500 --> 00:00:02,000\n[latitude: 24.5] [longitude: 120.9] [rel_alt: 10.0 abs_alt: 50.5]\n\n2\n00:00:02,000 --> 00:00:03,000\nGPS(120.9,24.6,51)\n")
     r = tt.read_srt(spark, str(tmp_path)).orderBy("counter").collect()
