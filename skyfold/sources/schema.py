@@ -64,24 +64,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines ``file, line, text, encoding`` of text files, read splittably.
 
     ``line`` is an order key (block start plus row within the scan task), not a dense number.  A file with any line that is not UTF-8 is
-    read as Latin-1, in which every byte stands for a character.
+    read as Latin-1, in which every byte stands for a character; a byte order mark is dropped by Spark's reader.
     """
     at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     raw = once(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), F.col("value").cast("binary").alias("raw")))
     plain = F.is_valid_utf8(F.col("raw").cast("string"))
-    kind = raw.groupBy("file").agg(F.bool_and(plain).alias("utf8"), F.bool_or(F.substring(F.hex("raw"), 1, 6) == "EFBBBF").alias("bom"))
+    kind = raw.groupBy("file").agg(F.bool_and(plain).alias("utf8"))
     text = F.when(F.col("utf8"), F.col("raw").cast("string")).otherwise(F.decode("raw", "ISO-8859-1"))
-    encoding = F.when(F.col("bom"), "utf-8-sig").when(F.col("utf8"), "utf-8").otherwise("latin-1")
-    text = F.regexp_replace(F.regexp_replace(text, "\r$", ""), "^\ufeff", "")
-    return raw.join(kind, "file").select("file", "line", text.alias("text"), encoding.alias("encoding")).filter("trim(text) <> ''")
+    text = F.regexp_replace(text, "\r$", "")
+    return raw.join(kind, "file").select("file", "line", text.alias("text"), F.when(F.col("utf8"), "utf-8").otherwise("latin-1").alias("encoding")).filter("trim(text) <> ''")
 
 
 def cells_of(text: Column, delimiter: Column) -> Column:
-    """Cells of a line; a delimiter between double quotes is text."""
+    """Cells of a line; in a cell that begins with a double quote, delimiters up to the closing one are text."""
     plain = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    opens = F.regexp_like(text, F.concat(F.lit("(^|"), plain, F.lit(')\\s*"')))
     quoted = F.concat(plain, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    cells = F.when(F.contains(text, F.lit('"')), F.transform(F.split(text, quoted), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))).otherwise(F.split(text, plain))
-    return F.transform(cells, lambda c: F.trim(c))
+    bare = lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.when(opens, F.transform(F.split(text, quoted), lambda c: bare(F.trim(c)))).otherwise(F.transform(F.split(text, plain), lambda c: F.trim(c)))
 
 
 def layouts(lines: DataFrame) -> DataFrame:
