@@ -63,7 +63,7 @@ class FMIndex:
         while 2 * k <= depth:
             rank[2 * k] = self._doubled(rank[k], rank[k], k)
             k *= 2
-        self.part = rank
+        self.ranks = np.array(list(rank.values()))
 
         def of(m: int) -> np.ndarray:
             """Ranks by the first ``m`` symbols."""
@@ -122,15 +122,23 @@ class FMIndex:
             known = (c >= 0) & (c < self.sigma)
             l, h = self.extend(np.where(known, c, 0), low[lanes], high[lanes])
             good = known & (l < h)
-            for i in np.flatnonzero(~good):
-                lane, sym = lanes[i], int(c[i])
-                while size[lane]:
-                    low[lane], high[lane], size[lane] = self._shorter(int(low[lane]), int(size[lane]) - 1)
-                    if 0 <= sym < self.sigma:
-                        a, b = self.extend(np.array([sym]), low[lane : lane + 1], high[lane : lane + 1])
-                        if a[0] < b[0]:
-                            l[i], h[i], good[i] = a[0], b[0], True
-                            break
+            lost = np.flatnonzero(~good & known & (size[lanes] > 0))
+            if len(lost):
+                # the longest shorter match that takes the symbol, by bisection over its length; the symbol alone always goes
+                sym, row = c[lost], low[lanes[lost]]
+                least, most = np.zeros(len(lost), np.int64), size[lanes[lost]] - 1
+                a, b = self.extend(sym, np.zeros(len(lost), np.int64), np.full(len(lost), self.n, np.int64))
+                while (todo := np.flatnonzero(least < most)).size:
+                    mid = (least[todo] + most[todo] + 1) // 2
+                    x, y = self.extend(sym[todo], *self._shorter(row[todo], mid))
+                    fits = x < y
+                    least[todo[fits]] = mid[fits]
+                    a[todo[fits]], b[todo[fits]] = x[fits], y[fits]
+                    most[todo[~fits]] = mid[~fits] - 1
+                some = a < b
+                at = lost[some]
+                l[at], h[at], good[at] = a[some], b[some], True
+                size[lanes[at]] = least[some]
             ok = lanes[good]
             low[ok], high[ok] = l[good], h[good]
             size[ok] += 1
@@ -138,13 +146,23 @@ class FMIndex:
             low[bad], high[bad], size[bad] = 0, self.n, 0
             yield lanes, pos[lanes], size[lanes], low[lanes]
 
-    def _shorter(self, row: int, m: int) -> tuple[int, int, int]:
-        """Interval of the suffixes that share their first ``m`` symbols with row ``row``."""
-        if m == 0:
-            return 0, self.n, 0
-        p = 1 << (m.bit_length() - 1)
-        one, at = self.part[p], self.suffixes.astype(np.int64)
-        second = np.minimum(at + m - p, self.n - 1)
-        same = (one[at] == one[at[row]]) & (one[second] == one[second[row]])
-        hits = np.flatnonzero(same)
-        return int(hits[0]), int(hits[-1]) + 1, m
+    def _shorter(self, rows: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the suffixes that share their first ``m`` symbols with ``rows``, by bisection of the sorted suffixes on both sides.
+
+        Whether a suffix shares them is told by the ranks of two overlapping power-of-two prefixes, so a step costs the same at any size.
+        """
+        level = np.frexp(m.astype(float))[1] - 1
+        reach = m - (1 << level)
+        at = self.suffixes[rows].astype(np.int64)
+        one, two = self.ranks[level, at], self.ranks[level, np.minimum(at + reach, self.n - 1)]
+
+        def edge(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+            """The last place from ``inner`` towards ``outer`` that shares them; ``outer`` itself does not."""
+            while (todo := np.flatnonzero(np.abs(outer - inner) > 1)).size:
+                mid = (inner[todo] + outer[todo]) // 2
+                at = self.suffixes[mid].astype(np.int64)
+                same = (self.ranks[level[todo], at] == one[todo]) & (self.ranks[level[todo], np.minimum(at + reach[todo], self.n - 1)] == two[todo])
+                inner[todo[same]], outer[todo[~same]] = mid[same], mid[~same]
+            return inner
+
+        return edge(rows.copy(), np.full(len(rows), -1, np.int64)), edge(rows.copy(), np.full(len(rows), self.n, np.int64)) + 1
