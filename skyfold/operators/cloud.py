@@ -25,13 +25,14 @@ def _weighted(col: str, w: Column, safe: Column) -> Column:
 
 
 def voxel_merge(points: DataFrame, size: float) -> DataFrame:
-    """One point per voxel from raw measurements."""
+    """One point per voxel from raw measurements; the spread is summed from the voxel's corner, so large coordinates do not cancel."""
     w = F.col("confidence") if "confidence" in points.columns else F.lit(1.0)
     total = F.sum(w)
     safe = F.when(total > 0, total).otherwise(1.0)
     n = F.count(F.lit(1))
-    sq = F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    mean2 = sum(F.avg(c) * F.avg(c) for c in "xyz")
+    local = [F.col(a) - F.col(v) * size for a, v in zip("xyz", VOXEL)]
+    sq = F.avg(sum(d * d for d in local))
+    mean2 = sum(F.avg(d) * F.avg(d) for d in local)
     colour = [F.round(_weighted(c, w, safe)).cast("long").alias(c) for c in "rgb" if c in points.columns]
     return voxels(points, size).groupBy(*KEY, *VOXEL).agg(
         *[_weighted(c, w, safe).alias(c) for c in "xyz"], *colour,

@@ -27,26 +27,18 @@ CONCEPT_CLASSES = {
     "ground": ["ground"],
     "terrain": ["ground"],
 }
-# Words of each concept.
-WORDS = {
-    "building": ["buildings", "building", "house", "homes"],
-    "structure": ["structure", "structures"],
-    "road": ["road", "roads", "street", "streets", "path"],
-    "water": ["water", "pond", "lake", "river"],
-    "flood": ["flood", "flooding"],
-    "vegetation": ["vegetation"],
-    "tree": ["trees", "tree", "forest"],
-    "canopy": ["canopy"],
-    "roof": ["roof", "roofs"],
-    "wall": ["wall", "walls"],
-    "vehicle": ["vehicle", "vehicles", "truck", "trucks"],
-    "car": ["car", "cars"],
-    "bridge": ["bridge", "bridges"],
-    "tower": ["tower", "towers", "pylon"],
-    "powerline": ["powerline", "powerlines"],
-    "debris": ["debris", "rubble", "rubbish"],
-    "landslide": ["landslide", "landslides", "mudslide"],
-    "ground": ["ground", "terrain", "field"],
+# The concept that a word names.
+SYNONYMS = {
+    "building": "building", "buildings": "building", "house": "building", "homes": "building",
+    "structure": "structure", "structures": "structure",
+    "roof": "roof", "roofs": "roof", "wall": "wall", "walls": "wall",
+    "bridge": "bridge", "bridges": "bridge", "tower": "tower", "towers": "tower", "pylon": "tower", "powerline": "powerline", "powerlines": "powerline",
+    "road": "road", "roads": "road", "street": "road", "streets": "road", "path": "road",
+    "vehicle": "vehicle", "vehicles": "vehicle", "truck": "vehicle", "trucks": "vehicle", "car": "car", "cars": "car",
+    "water": "water", "pond": "water", "lake": "water", "river": "water", "flood": "flood", "flooding": "flood",
+    "vegetation": "vegetation", "tree": "tree", "trees": "tree", "forest": "tree", "canopy": "canopy",
+    "debris": "debris", "rubble": "debris", "rubbish": "debris", "landslide": "landslide", "landslides": "landslide", "mudslide": "landslide",
+    "ground": "ground", "field": "ground", "terrain": "terrain",
 }
 # Parts of words that name a concept when no whole word does, in order.
 PARTS = {
@@ -54,7 +46,6 @@ PARTS = {
     "water": ["water", "flood", "pond", "lake", "river"],
     "road": ["road", "street", "path"],
 }
-SYNONYMS = {w: c for c, ws in WORDS.items() for w in ws}
 
 
 def concept(q: Column) -> Column:

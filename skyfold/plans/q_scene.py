@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyfold.operators import scene as sc, views as vi
+from skyfold.operators.concepts import SYNONYMS
 from skyfold.plans.registry import query
 
 
@@ -259,18 +260,25 @@ def _(t):
     return sc.terrain_stats(t.vertices)
 
 
-CONCEPT_WORDS = """(VALUES ('houses','none'),('house','building'),('building','building'),('river','water'),('road','road'),('trees','tree'),('roofs','roof')) w(word,concept)"""
-CONCEPT_CLASS = """(VALUES ('building','roof'),('building','wall'),('building','structure'),('water','water'),('road','ground'),('tree','vegetation'),('roof','roof')) k(concept,class)"""
+CONCEPT_WORDS = """(VALUES ('building','building'),('buildings','building'),('house','building'),('homes','building'),('structure','structure'),('structures','structure'),('roof','roof'),('roofs','roof'),('wall','wall'),('walls','wall'),
+ ('bridge','bridge'),('bridges','bridge'),('tower','tower'),('towers','tower'),('pylon','tower'),('powerline','powerline'),('powerlines','powerline'),('road','road'),('roads','road'),('street','road'),
+ ('streets','road'),('path','road'),('vehicle','vehicle'),('vehicles','vehicle'),('truck','vehicle'),('trucks','vehicle'),('car','car'),('cars','car'),('water','water'),('pond','water'),
+ ('lake','water'),('river','water'),('flood','flood'),('flooding','flood'),('vegetation','vegetation'),('tree','tree'),('trees','tree'),('forest','tree'),('canopy','canopy'),('debris','debris'),
+ ('rubble','debris'),('rubbish','debris'),('landslide','landslide'),('landslides','landslide'),('mudslide','landslide'),('ground','ground'),('field','ground'),('terrain','terrain')) w(word,concept)"""
+CONCEPT_CLASS = """(VALUES ('building','roof'),('building','wall'),('building','structure'),('structure','structure'),('structure','roof'),('structure','wall'),('road','ground'),('water','water'),('flood','water'),('vegetation','vegetation'),
+ ('tree','vegetation'),('canopy','vegetation'),('roof','roof'),('wall','wall'),('vehicle','vehicle'),('car','vehicle'),('bridge','structure'),('tower','structure'),('powerline','structure'),('debris','unclassified'),
+ ('debris','structure'),('landslide','unclassified'),('landslide','structure'),('ground','ground'),('terrain','ground')) k(concept,class)"""
 
 
-@query("j10_concept_evidence", f"""WITH p AS (SELECT conv_id*1000+turn AS prompt_id, CASE turn%5 WHEN 0 THEN 'Any house, or building? ' WHEN 1 THEN 'river/road ' WHEN 2 THEN 'how many trees ' WHEN 3 THEN 'roofs; houses ' ELSE 'nothing ' END AS text FROM conversations),
- a AS (SELECT DISTINCT prompt_id, concept FROM (SELECT prompt_id, unnest(string_split_regex(regexp_replace(lower(text),'[^a-z0-9 ]',' ','g'),' +')) AS word FROM p) JOIN (SELECT * FROM {CONCEPT_WORDS}) USING (word) WHERE concept<>'none'),
+@query("j10_concept_evidence", f"""WITH p AS (SELECT conv_id*1000+turn AS prompt_id, text FROM conversations),
+ a AS (SELECT DISTINCT prompt_id, concept FROM (SELECT prompt_id, unnest(string_split_regex(regexp_replace(lower(coalesce(text,'')||' '||(SELECT list(word ORDER BY word) FROM (SELECT * FROM {CONCEPT_WORDS}))[prompt_id%48+1]||', fields'),'[^\\p{{L}}\\p{{N}} ]',' ','g'),' +')) AS word FROM p) JOIN (SELECT * FROM {CONCEPT_WORDS}) USING (word)),
  e AS (SELECT concept, count(*) AS faces, count(*) FILTER (confidence>=0.3) AS instances, coalesce(sum(area) FILTER (confidence>=0.3),0) AS area, coalesce(sum(volume) FILTER (confidence>=0.3),0) AS volume FROM objects JOIN (SELECT * FROM {CONCEPT_CLASS}) USING (class) GROUP BY 1)
  SELECT concept, prompt_id, faces, faces/(SELECT count(*) FROM objects) AS face_share, instances, area, volume FROM a JOIN e USING (concept)""", "face_share area volume")
 def _(t):
-    k = F.col("turn") % 5
-    lead = F.when(k == 0, "Any house, or building? ").when(k == 1, "river/road ").when(k == 2, "how many trees ").when(k == 3, "roofs; houses ").otherwise("nothing ")
-    prompts = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), lead.alias("text"))
+    """Whole conversation texts as prompts, each with one of the known words added."""
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    word = F.get(F.array(*[F.lit(w) for w in sorted(SYNONYMS)]), (i % len(SYNONYMS)).cast("int"))
+    prompts = t.raw("conversations").select(i.alias("prompt_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), word, F.lit(", fields")).alias("text"))
     return sc.concept_evidence(t.objects, prompts, t.objects.select("class"))
 
 

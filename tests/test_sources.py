@@ -14,6 +14,19 @@ def test_cell_casts(spark):
     assert r[0] == 150 and abs(r[1] + 11.025) < 1e-9 and r[2] == 1704067210 and list(r[3:]) == [24.5, 120.9, 35.0]
 
 
+def test_degrees_refuse_stray_signs(spark):
+    cells = ["12-30N", "N-12", "-12N", "+12 30 S", "N12", "12°30'N", "12", "12 N E", "W 120°54'36\""]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(parse_dms(F.col("c"))).collect()]
+    assert got[:8] == [None, None, 12, -12.5, 12, 12.5, None, None] and abs(got[8] + 120.91) < 1e-9
+
+
+def test_every_word_names_its_concept(spark):
+    from skyfold.operators.concepts import CONCEPT_CLASSES, SYNONYMS, concept
+
+    got = spark.createDataFrame([(w, f"show the {w} please") for w in SYNONYMS], "w string, q string").select("w", concept(F.col("q"))).collect()
+    assert dict(map(tuple, got)) == SYNONYMS and set(SYNONYMS.values()) <= set(CONCEPT_CLASSES) and SYNONYMS["terrain"] == "terrain"
+
+
 def test_srt(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,500 --> 00:00:02,000\n[latitude: 24.5] [longitude: 120.9] [rel_alt: 10.0 abs_alt: 50.5]\n\n2\n00:00:02,000 --> 00:00:03,000\nGPS(120.9,24.6,51)\n")
     r = tt.read_srt(spark, str(tmp_path)).orderBy("counter").collect()
