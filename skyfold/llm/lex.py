@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = (2 << 20) - 2  # with the tables of powers, some hundred bytes of working memory a byte
+SLICE_BYTES = (512 << 10) - 2  # with the tables of powers, some hundred bytes of working memory a byte
+HELD_POWERS = 1 << 20
 SLICE_TEXTS = 2048
 MULT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
@@ -76,13 +77,17 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the multiplier and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, m in (("up", MULT), ("down", INVERSE)):
-            p = np.full(size, m, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    size = 1 << max(16, int(n - 1).bit_length())
+    made = {}
+    for name, m in (("up", MULT), ("down", INVERSE)):
+        p = np.full(size, m, np.uint64)
+        p[0] = 1
+        made[name] = np.cumprod(p)
+    if size <= HELD_POWERS:  # those of a very long text are made again
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

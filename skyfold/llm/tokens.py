@@ -23,7 +23,7 @@ from skyfold.llm.store import prepare, columns, folder
 MAGIC = b"SKYTOK01"
 HEADER = "<8sIIQQ"  # magic, bytes of an id, reserved, documents, ids
 HEADER_BYTES = struct.calcsize(HEADER)
-PIECE_CACHE = 1_000_000
+PIECE_CACHE = 300_000  # of some 200 bytes each in a worker
 _LETTER = ((lex._byte >= 0x41) & (lex._byte <= 0x5A)) | ((lex._byte >= 0x61) & (lex._byte <= 0x7A))
 _SPACE = ~lex.SPACED
 #: After a cut blank: no white space, and no byte that may begin a wider white space.
