@@ -156,3 +156,30 @@ def mesh_audit(v: DataFrame, f: DataFrame, voxel: float, small: int = 50) -> Dat
         F.avg((F.col("nz") > 0.5).cast("int")).alias("up_share"), F.avg((F.col("nz") < -0.5).cast("int")).alias("down_share"), F.count_if(F.col("hi_z") - F.col("lo_z") > 10).alias("tall_faces"),
     )
     return a.join(q, KEY).join(p, KEY)
+
+
+# Vertices of a large component, and below which a far one counts as noise.
+LARGE, TINY = 100, 10
+
+
+def classify_components(v: DataFrame, f: DataFrame, cloud: DataFrame, threshold: float) -> DataFrame:
+    """``component, vertices``, box, ``median_support_m`` and ``class`` of every connected part; nothing is removed.
+
+    Support is the median distance of a part's vertices to the cloud: within the threshold a part is supported (large or small), beyond
+    twice of it unsupported, between them weakly supported; a tiny part beyond the threshold is a noise candidate.  Without a cloud a
+    part is unclassified.
+    """
+    from skyfold.kernels.knn import knn
+    from skyfold.kernels.quantile import quantiles
+
+    own = once(vertex_components(v.select(*KEY, "vid", *"xyz"), f))
+    near = knn(own, cloud, KEY, qid="vid").select(*KEY, "vid", "distance")
+    part = [*KEY, "component"]
+    box = own.groupBy(*part).agg(F.count(F.lit(1)).alias("vertices"), *[g(a).alias(f"{n}_{a}") for a in "xyz" for n, g in (("lo", F.min), ("hi", F.max))])
+    med = quantiles(own.join(near, [*KEY, "vid"]), part, median_support_m=("distance", 0.5))
+    n, d = F.col("vertices"), F.col("median_support_m")
+    kind = (
+        F.when(d.isNull(), "unclassified (no support distances)").when((n < TINY) & (d > threshold), "noise_candidate")
+        .when((d <= threshold) & (n >= LARGE), "supported_large").when(d <= threshold, "supported_small").when(d > 2 * threshold, "unsupported").otherwise("weakly_supported")
+    )
+    return box.join(med, part, "left").withColumn("class", kind)

@@ -169,3 +169,28 @@ def density(points: DataFrame, cell: float = 1.0) -> DataFrame:
     """Points per modelled square metre."""
     c = occupancy_cells(points, cell).groupBy(*KEY).agg(F.sum("points").alias("points"), (F.count_if(F.col("points") >= MIN_POINTS) * cell * cell).alias("area_m2"))
     return c.withColumn("points_per_m2", F.try_divide("points", "area_m2"))
+
+
+def site_summary(points: DataFrame, cell: float = 1.0, anchor: DataFrame | None = None) -> DataFrame:
+    """One row per mission: modelled area, outline area, box, centre of the occupied cells, heights and density.
+
+    With ``anchor(mission_id, lat0, lon0, alt0)`` the centre also has ``lat, lon``, on the level of the lowest point, and units are
+    metres; without one (for all or for a mission) they are units of the reconstruction.
+    """
+    from skyfold.operators.track import to_wgs84
+
+    points = once(points)
+    own = occupancy_cells(points, cell).filter(F.col("points") >= MIN_POINTS)
+    centre = own.groupBy(*KEY).agg(*[(F.first(f"{a}0") + (F.avg(f"i{a}") + 0.5) * cell).alias(f"centre_{a}") for a in "xy"], F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    box = points.groupBy(*KEY).agg(*[g(a).alias(f"{n}_{a}") for a in "xy" for n, g in (("lo", F.min), ("hi", F.max))], F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    s = box.join(occupancy(points, cell), KEY).join(hull(points, cell).select(*KEY, F.col("area").alias("outline_area_m2")), KEY, "left").join(centre, KEY, "left")
+    s = s.join(elevation(points).select(*KEY, "points", "z_min", "z_max", "relief", "z_mean", "z_median", "z_p005", "z_p995"), KEY)
+    s = s.withColumn("centre_x", F.coalesce("centre_x", "_mx")).withColumn("centre_y", F.coalesce("centre_y", "_my"))
+    s = s.select(
+        *KEY, "occupied_cells", (F.col("nx") * F.col("ny")).alias("extent_cells"), "area_m2", "area_ha", "any_point_area_m2", "outline_area_m2", "lo_x", "lo_y", "hi_x", "hi_y", (F.col("hi_x") - F.col("lo_x")).alias("size_x"), (F.col("hi_y") - F.col("lo_y")).alias("size_y"),
+        "centre_x", "centre_y", "points", "z_min", "z_max", "relief", "z_mean", "z_median", F.col("z_p005").alias("robust_min"), F.col("z_p995").alias("robust_max"), (F.col("z_p995") - F.col("z_p005")).alias("robust_relief"), F.try_divide("points", "area_m2").alias("points_per_m2"),
+    )
+    if anchor is None:
+        return s.withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double")).withColumn("units", F.lit("reconstruction_units"))
+    at = to_wgs84(s.select(*KEY, F.col("centre_x").alias("e"), F.col("centre_y").alias("n"), F.col("z_min").alias("u")), anchor).select(*KEY, "lat", "lon")
+    return s.join(at, KEY, "left").withColumn("units", F.when(F.col("lat").isNotNull(), "meters").otherwise("reconstruction_units"))

@@ -197,6 +197,18 @@ def _(t):
     return ra.error_grid_summary(ra.error_grid(t.points))
 
 
+@query("f10_site_summary", f"""WITH o AS ({OCC}), c AS (SELECT mission_id, count(*) FILTER (points>=3) AS occupied_cells, count(*)*1.0e0 AS any_point_area_m2, any_value(nx)*any_value(ny) AS extent_cells, avg(ix) FILTER (points>=3)+0.5 AS gx, avg(iy) FILTER (points>=3)+0.5 AS gy FROM o GROUP BY 1),
+ b AS (SELECT mission_id, min(x) AS lo_x, min(y) AS lo_y, max(x) AS hi_x, max(y) AS hi_y, count(*) AS points, min(z) AS z_min, max(z) AS z_max, avg(z) AS z_mean, quantile_cont(z,.5) AS z_median, quantile_cont(z,.005) AS robust_min, quantile_cont(z,.995) AS robust_max FROM points GROUP BY 1)
+ SELECT mission_id, occupied_cells, extent_cells, occupied_cells*1.0e0 AS area_m2, occupied_cells/1e4 AS area_ha, any_point_area_m2, lo_x, lo_y, hi_x, hi_y, hi_x-lo_x AS size_x, hi_y-lo_y AS size_y, lo_x+gx AS centre_x, lo_y+gy AS centre_y, points, z_min, z_max, z_max-z_min AS relief, z_mean, z_median, robust_min, robust_max, robust_max-robust_min AS robust_relief,
+ points/occupied_cells AS points_per_m2, CASE WHEN mission_id%2=0 THEN 'meters' ELSE 'reconstruction_units' END AS units, mission_id%2=0 AS placed FROM c JOIN b USING (mission_id)""", "area_m2 area_ha any_point_area_m2 lo_x lo_y hi_x hi_y size_x size_y centre_x centre_y z_min z_max relief z_mean z_median robust_min robust_max robust_relief points_per_m2")
+def _(t):
+    """Outlines are those of f9_hull; every second mission has an anchor."""
+    m = t.points.select("mission_id").distinct()
+    anchor = m.filter(F.col("mission_id") % 2 == 0).select("mission_id", F.lit(24.5).alias("lat0"), F.lit(120.9).alias("lon0"), F.lit(100.0).alias("alt0"))
+    s = ra.site_summary(t.points, 1.0, anchor)
+    return s.withColumn("placed", F.coalesce(F.abs(F.col("lat") - 24.5) < 0.001, F.lit(False))).drop("outline_area_m2", "lat", "lon")
+
+
 @query("f21_density", f"SELECT mission_id, CAST(sum(points) AS BIGINT) AS points, count(*) FILTER (points>=3)*1.0e0 AS area_m2, sum(points)/(count(*) FILTER (points>=3)) AS points_per_m2 FROM ({OCC}) GROUP BY 1", "area_m2 points_per_m2")
 def _(t):
     return ra.density(t.points)

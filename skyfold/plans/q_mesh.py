@@ -92,3 +92,12 @@ def _(t):
  FROM g JOIN q USING (mission_id) GROUP BY 1""", "edge_max up_share down_share edge_median edge_p95 largest_share small_share")
 def _(t):
     return me.mesh_audit(t.vertices, t.faces, 0.2)
+
+
+@query("i11_component_classes", f"""WITH RECURSIVE e AS (SELECT a AS u, b AS v FROM ({EDGES}) UNION ALL SELECT b, a FROM ({EDGES})),
+ r(u,v) USING KEY (u) AS (SELECT vid AS u, vid AS v FROM vertices UNION SELECT e.u, min(r.v) FROM r JOIN e ON e.v=r.u JOIN recurring.r o ON o.u=e.u WHERE r.v<o.v GROUP BY e.u),
+ s AS (SELECT a.mission_id, a.vid, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2))) AS d FROM vertices a JOIN points b ON a.mission_id=b.mission_id GROUP BY 1,2),
+ g AS (SELECT q.mission_id, r.v AS component, count(*) AS vertices, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z, quantile_cont(d,.5) AS median_support_m FROM vertices q JOIN r ON r.u=q.vid LEFT JOIN s ON s.mission_id=q.mission_id AND s.vid=q.vid GROUP BY 1,2)
+ SELECT *, CASE WHEN median_support_m IS NULL THEN 'unclassified (no support distances)' WHEN vertices<10 AND median_support_m>0.4e0 THEN 'noise_candidate' WHEN median_support_m<=0.4e0 THEN CASE WHEN vertices>=100 THEN 'supported_large' ELSE 'supported_small' END WHEN median_support_m>0.8e0 THEN 'unsupported' ELSE 'weakly_supported' END AS class FROM g""", "lo_x hi_x lo_y hi_y lo_z hi_z median_support_m", 5)
+def _(t):
+    return me.classify_components(t.vertices, t.faces, t.points, 0.4)
