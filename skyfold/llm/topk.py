@@ -23,8 +23,8 @@ class Index:
     ``tails[c]`` is, for each row, the length of what the segments before check point ``c`` do not tell about its vector.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         n, dim = vectors.shape
         level = np.floor_divide(vectors, STEP)
         self.mid = level * STEP + (STEP - 1) / 2
@@ -45,8 +45,8 @@ class Index:
             done = np.abs(self.mid) >= self.impact[m - 1] if m < len(edge) else np.ones_like(self.mid, bool)
             self.tails.append(np.sqrt((np.where(done, vectors - self.mid, vectors) ** 2).sum(1)))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``query, row, score`` of rows that hold each query's ``k`` best, exactly scored.
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, vec_id and score of rows that hold each query's ``k`` best, exactly scored; a query's own row is none.
 
         Segments are read in descending impact.  At a check point a row's score lies within ``|query| * tail`` of what is summed up
         (Cauchy-Schwarz), so a row whose upper bound is below the k-th lower bound is proved out.  Reading stops only when that leaves
@@ -55,7 +55,7 @@ class Index:
         q = queries.astype(float)
         norm = np.sqrt((q**2).sum(1))
         acc = np.zeros((len(self.ids), len(q)))
-        own = self.ids[:, None] == query_ids[None, :]
+        own = self.rows[:, None] == query_rows[None, :]
         at = 0
         possible = ~own
         for m, tail in zip(self.checks, self.tails):
@@ -76,29 +76,29 @@ class Index:
         rows, which, score = rows[order], which[order], score[order]
         place = np.arange(len(which)) - np.searchsorted(which, which)
         keep = place < k
-        return query_ids[which[keep]], self.ids[rows[keep]], score[keep]
+        return which[keep], self.ids[rows[keep]], score[keep]
 
 
 def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """Vectors dealt evenly into rows ``no, ids, data, dim`` of about ``size`` vectors; the number of rows follows the table."""
+    """Vectors dealt evenly into rows ``no, rows, ids, data, dim`` of about ``size`` vectors; the number of rows follows the table."""
     n = max(1, -(-vectors.count() // size))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values(["vec_id", "row"])
         dim = max(map(len, pdf["v"]), default=0)
         data = np.zeros((len(pdf), dim), np.int64)
         for i, v in enumerate(pdf["v"]):
             data[i, : len(v)] = v
-        return pd.DataFrame({"no": [pdf["no"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()], "dim": [dim]})
+        return pd.DataFrame({"no": [pdf["no"].iloc[0]], "rows": [pdf["row"].to_numpy(np.int64).tobytes()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()], "dim": [dim]})
 
     dealt = vectors.withColumn("no", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
-    return written(dealt.groupBy("no").applyInPandas(pack, "no long, ids binary, data binary, dim long"), name)
+    return written(dealt.groupBy("no").applyInPandas(pack, "no long, rows binary, ids binary, data binary, dim long"), name)
 
 
-def _unpack(ids: bytes, data: bytes, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(rows: bytes, ids: bytes, data: bytes, dim: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, np.int64)
     own = np.frombuffer(data, np.int64).reshape(len(keys), dim)
-    return keys, np.pad(own, ((0, 0), (0, width - dim))) if dim < width else own
+    return np.frombuffer(rows, np.int64), keys, np.pad(own, ((0, 0), (0, width - dim))) if dim < width else own
 
 
 def top_k(embeddings: DataFrame, is_query, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -106,7 +106,8 @@ def top_k(embeddings: DataFrame, is_query, k: int = K, shard: int = SHARD, block
 
     ``embeddings(vec_id, embedding)``; components become ``floor(256 * x)``.  ``is_query`` is a condition on the rows.  Rows are dealt
     into index shards, queries into blocks; each shard meets each block of the stated query set once, and only the ``k`` best of a
-    shard leave it.  Ties go to the smaller vec_id; repeated rows are ranked each.
+    shard leave it.  Ties go to the smaller vec_id.  Every row has a number of its own: rows that share a vec_id are queries and
+    candidates each, and only a query's own row is barred.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null vec_ids; shorter vectors count as zero beyond
     their end; fewer than ``k`` other rows give fewer results; an empty table gives none.  Other columns are ignored.
@@ -115,12 +116,16 @@ def top_k(embeddings: DataFrame, is_query, k: int = K, shard: int = SHARD, block
     spark = embeddings.sparkSession
     prepare(spark)
     wide = F.col("embedding").cast("array<double>")
-    fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e15))
-    vectors = embeddings.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(x * SCALE)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = embeddings.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(x * SCALE)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"), F.array_max(F.transform(wide, lambda x: F.abs(x) * SCALE)).alias("most"))
     vectors = written(vectors, "topk-vectors")
+    most, dim = vectors.agg(F.max("most"), F.max(F.size("v"))).first()
+    if dim and (most + 1) ** 2 * dim >= 2.0**63:
+        raise ValueError(f"components up to {most / SCALE} in {dim} dimensions may give products beyond 64 bits")
+    vectors = vectors.drop("most")
     shards, blocks = _packed(vectors.drop("asks"), shard, "topk-shards"), _packed(vectors.filter("asks").drop("asks"), block, "topk-queries")
     n = shards.count()
-    asked = blocks.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("no"))
+    asked = blocks.select(F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("no"))
     met = shards.join(asked.hint("shuffle_merge"), "no").sortWithinPartitions("no")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,13 +134,14 @@ def top_k(embeddings: DataFrame, is_query, k: int = K, shard: int = SHARD, block
             for r in frame.itertuples(index=False):
                 width = max(r.dim, r.q_dim)
                 if (r.no, width) != last:
-                    index = Index(*_unpack(r.ids, r.data, r.dim, width))
+                    index = Index(*_unpack(r.rows, r.ids, r.data, r.dim, width))
                     last = (r.no, width)
-                q, v, s = index.search(*_unpack(r.q_ids, r.q_data, r.q_dim, width), k)
-                yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+                rows, ids, queries = _unpack(r.q_rows, r.q_ids, r.q_data, r.q_dim, width)
+                q, v, s = index.search(rows, queries, k)
+                yield pd.DataFrame({"row": rows[q], "query_id": ids[q], "vec_id": v, "score": s})
 
-    found = met.mapInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.mapInPandas(run, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -143,7 +149,7 @@ def digest(embeddings: DataFrame) -> DataFrame:
     return top_k(embeddings, F.col("vec_id") % 50 == 0)
 
 
-SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+SQL = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.rid != c.rid WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""

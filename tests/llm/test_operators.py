@@ -204,14 +204,24 @@ def test_top_k(spark):
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 16)) / 4)]
     rows += [(300, None), (350, [1.0, None]), (400, [float("nan")] * 16), (450, [float("inf")] * 16), (None, [0.1] * 16), (500, [0.0] * 16), (501, [0.25] * 16), (502, [0.25] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(4)
+    df = df.unionByName(df.filter("vec_id IN (50, 100, 7)")).unionByName(df.filter("vec_id = 8").withColumn("vec_id", F.lit(150).cast("long")))
     con = duckdb.connect()
     con.register("embeddings", df.select("vec_id", "embedding").toPandas())
-    want = {tuple(r) for r in con.execute(topk.SQL).fetchall()}
+    want = bag(con.execute(topk.SQL).fetchall())
+    data = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in df.collect() if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    plain = []
+    for i, (v, e) in enumerate(data):
+        if v % 50 == 0:
+            ranked = sorted((-sum(map(int.__mul__, e, f)), w) for j, (w, f) in enumerate(data) if j != i)[:5]
+            plain += [(v, n + 1, w, -s) for n, (s, w) in enumerate(ranked)]
+    assert bag(plain) == want and sum(r[0] == 50 for r in plain) == 10
     for shard, block in ((4096, 512), (37, 3)):
         got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard=shard, block=block)
-        assert {tuple(r) for r in got.collect()} == want
+        assert bag(got.collect()) == want
     assert topk.digest(df.limit(0)).count() == 0
     assert topk.digest(df.filter("vec_id IN (0, 1)")).count() == 1
+    with pytest.raises(ValueError):
+        topk.digest(df.withColumn("embedding", F.transform("embedding", lambda x: x * 1e12).cast("array<double>")))
 
 
 def test_sharding(spark, docs, none, made):
