@@ -122,7 +122,9 @@ def _(t):
     return vi.locate_detections(d, t.depth_px, poses(t)).select("mission_id", "frame_id", "det", "x", "y", "z")
 
 
-@query("e35_depth_fusion")
+@query("e35_depth_fusion", """WITH p AS (SELECT d.mission_id, d.frame_id, u, v, cx+(u+0.5-32)*z/60 AS x, cy-(v+0.5-32)*z/60 AS y, cz-z AS z, greatest(0.05e0,least(1,exp(-(z*z/60*0.5e0)/2.0e0))) AS c FROM depth_px d JOIN poses k ON k.frame_id=d.frame_id AND k.mission_id=d.mission_id WHERE z>0),
+ g AS (SELECT mission_id, CAST(floor(x/2.0e0) AS BIGINT) AS vx, CAST(floor(y/2.0e0) AS BIGINT) AS vy, CAST(floor(z/2.0e0) AS BIGINT) AS vz, sum(x*c)/sum(c) AS x, sum(y*c)/sum(c) AS y, sum(z*c)/sum(c) AS z, avg(c) AS confidence, count(*) AS observations, min({'c':-c,'f':frame_id,'u':u,'v':v}) AS s FROM p GROUP BY 1,2,3,4)
+ SELECT mission_id, vx, vy, vz, x, y, z, confidence, observations, s.f AS frame_id, s.u AS u, s.v AS v, confidence*observations AS fusion_weight FROM g""", "x y z confidence fusion_weight")
 def _(t):
     return vi.fuse_depth(t.depth_px, poses(t), 2.0)
 
@@ -242,7 +244,10 @@ def _(t):
     return sc.coverage_raster(t.vertices)
 
 
-@query("i10_mesh_support")
+NEAR_VERTEX = "SELECT v.mission_id, v.vid, min({'d':sqrt(pow(v.x-p.x,2)+pow(v.y-p.y,2)+pow(v.z-p.z,2)),'id':p.point_id,'c':p.confidence}) AS n FROM (SELECT vid%8 AS mission_id, vid, x, y, z FROM vertices) v JOIN points p ON p.mission_id=v.mission_id GROUP BY 1,2"
+
+
+@query("i10_mesh_support", f"SELECT mission_id, count(*) AS vertices, 100*avg(CASE WHEN n.d<=1 THEN 1 ELSE 0 END) AS supported_pct, quantile_cont(n.d,.5) AS median_m, quantile_cont(n.d,.95) AS p95_m FROM ({NEAR_VERTEX}) GROUP BY 1", "supported_pct median_m p95_m")
 def _(t):
     v = t.vertices.select((F.col("vid") % 8).alias("mission_id"), "vid", "x", F.col("y"), "z")
     return sc.mesh_support(v, t.points, 1.0)
@@ -287,7 +292,7 @@ def _(t):
     return sc.prune_debris(t.vertices, t.faces, 20, 1.0).groupBy("mission_id").agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query("i16_vertex_confidence")
+@query("i16_vertex_confidence", f"SELECT mission_id, vid, (CASE WHEN n.d<=1 THEN n.c ELSE 1 END)*(0.6e0+0.4e0*coalesce(q,100)/100) AS confidence FROM ({NEAR_VERTEX}) LEFT JOIN (SELECT mission_id, avg(cz) AS q FROM poses GROUP BY 1) USING (mission_id)", "confidence")
 def _(t):
     v = t.vertices.select((F.col("vid") % 8).alias("mission_id"), "vid", "x", "y", "z")
     g = t.poses.groupBy("mission_id").agg(F.avg("cz").alias("gps_score"))
