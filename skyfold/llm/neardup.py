@@ -237,10 +237,11 @@ def _rest(members: DataFrame, classes: DataFrame) -> DataFrame:
     component.  The comparison is one array operation, so a large bucket is many small tasks.  A pair that shares several buckets
     comes out of the first of them only.
     """
-    packed = _chunks(members, classes)
     several = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
+    packed = _chunks(members.join(several, "band", "left_semi"), classes)
+    # both sides are one plan, so the signatures are shuffled by bucket once
     left, right = [packed.select("band", *[F.col(c).alias(f"{c}{i}") for c in ("part", "no", "rows")]) for i in (1, 2)]
-    met = left.join(right.join(several, "band", "left_semi"), "band").filter("no1 < no2 AND (part1 IS NULL OR part2 IS NULL OR part1 != part2)")
+    met = left.join(right, "band").filter("no1 < no2 AND (part1 IS NULL OR part2 IS NULL OR part1 != part2)")
     fields = lambda rows, i: [F.expr(f"transform({rows}, x -> x.{c})").alias(f"{c}{i}") for c in FIELDS]
     cross = met.select(_low_half(F.col("band")).alias("band"), *fields("rows1", 1), *fields("rows2", 2))
     alone = packed.filter("part IS NULL").select(_low_half(F.col("band")).alias("band"), *fields("rows", 1), *[F.lit(None).cast(t).alias(f"{c}2") for c, t in zip(FIELDS, TYPES)])
