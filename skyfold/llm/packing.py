@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from skyfold.llm import lex
 from skyfold.llm.store import columns, prepare, written
-from skyfold.llm.tokens import byte_map
+from skyfold.llm.tokens import ENCODE_BYTES, byte_map
 
 CAPACITY = 4096
 END_ID = 1
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in batches:
             keys = batch.column("doc_id")
             buf, off = lex.raw(batch.column("text"))
-            for a, b, part, offs in lex.slices(buf, off):
+            for a, b, part, offs in lex.slices(buf, off, ENCODE_BYTES):
                 got, counts = own.encode(part, offs)
                 got = np.insert(got, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1

@@ -23,7 +23,8 @@ from skyfold.llm.store import prepare, columns, folder
 MAGIC = b"SKYTOK01"
 HEADER = "<8sIIQQ"  # magic, bytes of an id, reserved, documents, ids
 HEADER_BYTES = struct.calcsize(HEADER)
-PIECE_CACHE = 300_000  # of some 200 bytes each in a worker
+PIECE_CACHE = 600_000  # of some 200 bytes each in a worker
+ENCODE_BYTES = (2 << 20) - 2  # of a slice: the more text, the fewer distinct pieces a byte
 _LETTER = ((lex._byte >= 0x41) & (lex._byte <= 0x5A)) | ((lex._byte >= 0x61) & (lex._byte <= 0x7A))
 _SPACE = ~lex.SPACED
 #: After a cut blank: no white space, and no byte that may begin a wider white space.
@@ -168,7 +169,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
                 first = -(1 << 63) if k is None else k
             keys.append(np.array([-(1 << 63) if k is None else k for k in batch.column("doc_id").to_pylist()], "<i8"))
             buf, off = lex.raw(batch.column("text"))
-            for _, _, part, offs in lex.slices(buf, off):
+            for _, _, part, offs in lex.slices(buf, off, ENCODE_BYTES):
                 got, counts = own.encode(part, offs)
                 got = np.insert(got, np.cumsum(counts), end)
                 stream.write(got.astype(f"<u{own.width}").tobytes())
