@@ -84,6 +84,7 @@ def digest_b(items: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(lex.mix(items + np.uint64(0x1234567)), initial=np.uint64(0)).astype(np.int64))
 
 
+SIGN_BYTES = (2 << 20) - 2  # of a slice: the rounds of a signature cost the same for few texts as for many
 SIGNED = "n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 
 
@@ -94,7 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             buf, off = lex.raw(batch.column("text"))
             sizes, a, b, sig, keys = [], [], [], [], []
-            for i, j, part, offs in lex.slices(buf, off):
+            for i, j, part, offs in lex.slices(buf, off, SIGN_BYTES):
                 h, doc = shingle_hashes(part, offs)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 got = super_min_hash(h, doc, j - i)
