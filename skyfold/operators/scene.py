@@ -130,7 +130,7 @@ def scene_graph(objects: DataFrame, share: float = 0.2) -> DataFrame:
     home = o.select(*KEY, *cols, F.floor(F.col("x0") / F.col("cell")).alias("gx"), F.floor(F.col("y0") / F.col("cell")).alias("gy"))
     wide = o.withColumn("gx", F.explode(F.sequence(F.floor((F.col("x0") - F.col("cell") - r) / F.col("cell")), F.floor((F.col("x1") + r) / F.col("cell"))))).withColumn("gy", F.explode(F.sequence(F.floor((F.col("y0") - F.col("cell") - r) / F.col("cell")), F.floor((F.col("y1") + r) / F.col("cell")))))
     b = wide.select(*KEY, "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = home.join(b, [*KEY, "gx", "gy"]).filter("object_id < b_object_id")
+    j = home.join(b.hint("merge"), [*KEY, "gx", "gy"]).filter("object_id < b_object_id")  # exploded rows look small to the planner, which would broadcast them
     gap = [F.greatest(F.col(f"b_{a}0") - F.col(f"{a}1"), F.col(f"{a}0") - F.col(f"b_{a}1"), F.lit(0.0)) for a in "xyz"]
     j = j.withColumn("gap_m", F.greatest(*gap)).filter(F.col("gap_m") <= share * F.greatest("dim", "b_dim"))
     over = F.greatest(F.lit(0.0), F.least("z1", "b_z1") - F.greatest("z0", "b_z0"))
