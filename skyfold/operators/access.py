@@ -50,16 +50,17 @@ def access_cells(grid: DataFrame, flood: DataFrame, size: float, access_deg: flo
 def ground_cells(structures: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """``structures(structure_id, x, y)`` with the nearest occupied cell within OFF_CELLS cells; ties go to the first cell.
 
-    A structure asks the cells around its own place, so the join is by cell.
+    Cells enter the places around them, at most one list of (2 OFF_CELLS + 3) ** 2 cells each, so that a structure meets one row.
     """
     around = F.sequence(F.lit(-OFF_CELLS - 1), F.lit(OFF_CELLS + 1))
-    s = structures.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
-    s = s.withColumn("ix", F.floor(F.col("x") / size) + F.col("_i")).withColumn("iy", F.floor(F.col("y") / size) + F.col("_j"))
-    away = F.sqrt(((F.col("ix") + 0.5) * size - F.col("x")) ** 2 + ((F.col("iy") + 0.5) * size - F.col("y")) ** 2)
-    s = s.withColumn("_d", away).filter(F.col("_d") <= OFF_CELLS * size).drop("_i", "_j")
     flags = [c for c in cells.columns if c not in (*KEY, *CELL)]
-    j = s.join(cells, [*KEY, *CELL]).groupBy(*KEY, "structure_id").agg(F.min(F.struct("_d", *CELL, *flags)).alias("_c"))
-    return structures.join(j, [*KEY, "structure_id"], "left").select(*structures.columns, *[F.col(f"_c.{c}").alias(c) for c in (*CELL, *flags)])
+    near = cells.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
+    near = near.groupBy(*KEY, (F.col("ix") + F.col("_i")).alias("_ix"), (F.col("iy") + F.col("_j")).alias("_iy")).agg(F.collect_list(F.struct(*CELL, *flags)).alias("_near"))
+    s = structures.withColumn("_ix", F.floor(F.col("x") / size)).withColumn("_iy", F.floor(F.col("y") / size)).join(near, [*KEY, "_ix", "_iy"], "left")
+    away = lambda c: F.sqrt(((c["ix"] + 0.5) * size - F.col("x")) ** 2 + ((c["iy"] + 0.5) * size - F.col("y")) ** 2)
+    listed = F.transform("_near", lambda c: F.struct(away(c).alias("_d"), *[c[n].alias(n) for n in (*CELL, *flags)]))
+    s = s.withColumn("_c", F.array_min(F.filter(listed, lambda c: c["_d"] <= OFF_CELLS * size)))
+    return s.select(*structures.columns, *[F.col(f"_c.{c}").alias(c) for c in (*CELL, *flags)])
 
 
 def accessibility(cells: DataFrame, structures: DataFrame, size: float, access_deg: float = ACCESS_DEG) -> DataFrame:

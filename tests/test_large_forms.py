@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from skyfold.operators import scene
+from skyfold.operators import access, scene
 
 
 def plan(df):
@@ -16,3 +16,9 @@ def test_exploded_rows_are_not_broadcast(spark):
     g = scene.scene_graph(o)
     assert "SortMergeJoin" in plan(g) and sorted((r["src"], r["dst"]) for r in g.collect()) == [(i, i + 1) for i in range(4)]
 
+
+def test_structure_meets_one_row(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 2, 0, 2.0), (1, 9, 9, 3.0)], "mission_id long, ix long, iy long, slope_deg double")
+    s = spark.createDataFrame([(1, 1, 3.0, 1.0), (1, 2, 4.5, 1.0), (1, 3, 40.0, 40.0), (2, 4, 0.0, 0.0)], "mission_id long, structure_id long, x double, y double")
+    got = access.ground_cells(s, cells, 2.0)
+    assert {r["structure_id"]: r["slope_deg"] for r in got.collect()} == {1: 1.0, 2: 2.0, 3: None, 4: None}
