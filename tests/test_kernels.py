@@ -88,3 +88,17 @@ def test_hull(spark):
     c = pd.DataFrame([(i, j) for i in range(6) for j in range(4)] + [(10, 2)], columns=["ix", "iy"]).assign(m=1)
     a = hull_area(convex_hull(spark.createDataFrame(c), ["m"]), ["m"]).first()
     assert a.area == 15 + 7.5 and a.corners == 5
+
+
+def test_ranked_quantiles_narrow_down(spark, monkeypatch):
+    """Ranks are found by counting: outliers, ties and infinite values included, whatever fits the rows around a rank."""
+    from skyfold.kernels import quantile
+
+    monkeypatch.setattr(quantile, "INSIDE", 20)
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=3000), [1e12, np.inf, -np.inf], np.full(500, 0.25)])
+    p = pd.DataFrame({"k": np.arange(len(v)) % 2, "v": v})
+    q = quantile.ranked(spark.createDataFrame(p), ["k"], a=("v", 0.5), b=("v", 0.95), u=("v", "upper")).toPandas().set_index("k")
+    for k, g in p.groupby("k"):
+        s = np.sort(g["v"])
+        assert np.allclose(q.loc[k, ["a", "b"]].astype(float), np.quantile(s, [0.5, 0.95])) and q.loc[k, "u"] == s[len(s) // 2]
