@@ -212,15 +212,19 @@ def assign_columns(validated: DataFrame) -> DataFrame:
     """The column of every field: rows with ``event`` mapping, and rows that say where a choice was not plain.
 
     In the fixed order of fields, the unused column with the best name goes first; if its values do not fit, the next that fits takes
-    its place (event ``rejected``); if none does, it stays UNVALIDATED (event ``kept_unvalidated`` for coordinates).  Other candidates are
-    listed as ``ranked``.  A file is one group of at most its header's width times the number of fields.
+    its place (event ``rejected``); if none does, it stays UNVALIDATED (event ``kept_unvalidated`` for coordinates), unless its name stands
+    better for another field, to which it is left.  Other candidates are listed as ``ranked``.  A file is one group of at most its
+    header's width times the number of fields.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
         out = []
+        named = pdf.groupby("pos")["score"].max()
         for field in CHOICE:
             mine = pdf[(pdf["canonical"] == field) & ~pdf["pos"].isin(used)].sort_values(["score", "pos"], ascending=[False, True]).to_dict("records")
+            if not any(r["ok"] for r in mine):
+                mine = [r for r in mine if r["score"] >= named[r["pos"]]]
             if not mine:
                 continue
             pick = next((r for r in mine if r["ok"]), mine[0])

@@ -92,3 +92,12 @@ def test_headers(spark):
         if r["score"] >= best.get(r["canonical"], (0.5, ""))[0]:
             best[r["canonical"]] = (r["score"], r["header"])
     assert {c: n for c, (s, n) in best.items() if s == 1} == {"timestamp": "Timestamp (ms)", "latitude": "GPS Latitude", "longitude": "lon_deg", "altitude_agl": "relative_alt", "heading": "heading", "velocity_x": "vx", "horizontal_accuracy": "h_acc", "gps_accuracy": "eph"}
+
+
+def test_unfit_columns_go_to_their_better_name(spark):
+    """A name that only shares a word with an altitude is no altitude when its values are none; it stays free for the field it names."""
+    row = lambda f, p, h, c, s, ok: (f, p, h, c, s, ok, "x", None, 0.5)
+    rows = [row("f", 0, "gps_time", "altitude", 0.6, False), row("f", 0, "gps_time", "timestamp", 1.0, True), row("g", 0, "alt", "altitude", 1.0, False)]
+    v = spark.createDataFrame(rows, "file string, pos int, header string, canonical string, score double, ok boolean, unit string, note string, value_confidence double")
+    got = {(r["file"], r["canonical"]): r["status"] for r in schema.assign_columns(v).filter("event = 'mapping'").collect()}
+    assert got == {("f", "timestamp"): "VALIDATED", ("g", "altitude"): "UNVALIDATED"}
