@@ -2,13 +2,16 @@
 
 * Coincident targets are limited to the ``k + 1`` smallest ids, which cannot
   change any answer and bounds a pile of copies.
-* The cell size is chosen per key and halved until no tile of cells (with its
+* Keys of few targets are done at once: all of them ride with each block of
+  queries, and a box bound leaves out those that no query of a slice can need.
+* The cell size of other keys is halved until no tile of cells (with its
   one-cell rim) holds more than ``max_tile`` targets, so a dense spot never
   becomes one large group; tiles with many queries are salted.
 * Round 0 meets each tile of queries with its targets and rim in one vectorised
   task.  A query is final once its k-th distance is inside the covered box.
-* Unresolved queries meet wider blocks of *cell counts* first; only cells that
-  can still hold a neighbour are joined with their points.
+* Unresolved queries meet the boxes of their key, a bounded number of them: the
+  nearest boxes give a distance that is surely enough, and only boxes within it
+  are joined with their points, box by box, with one row per query and box.
 """
 
 from __future__ import annotations
@@ -20,10 +23,18 @@ from itertools import product
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skyfold.session import cut, once
 
+# Targets of a key that ride with its queries, queries of such a block and of a slice in it, keys that are broadcast, boxes of a key, queries of a tile.
+FEW = 4096
+BLOCK = 65_536
+SLICE = 256
+FEW_KEYS = 20_000
+BOXES = 1024
+BUSY = 16_384
+
 
 def _cells(df: DataFrame, sizes: DataFrame, keys: list[str], dims: list[str], names: list[str]) -> DataFrame:
     return df.join(sizes, keys).select(
@@ -31,6 +42,66 @@ def _cells(df: DataFrame, sizes: DataFrame, keys: list[str], dims: list[str], na
     )
 
 
+def _smallest(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns, values and places of the ``k`` least finite values of each row and all that equal the last; the k-th value."""
+    w = min(k, d2.shape[1])
+    far = d2.min(axis=1) if w == 1 else np.partition(d2, w - 1, axis=1)[:, w - 1]
+    r, c = np.nonzero((d2 <= far[:, None]) & np.isfinite(d2))
+    v = d2[r, c]
+    o = np.lexsort((c, v, r))
+    r, c, v = r[o], c[o], v[o]
+    return r, c, v, np.arange(len(r)) - np.searchsorted(r, r), far
+
+
+def _squares(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all rows of ``t``."""
+    d2 = np.zeros((len(x), len(t)))
+    for i in range(x.shape[1]):
+        d2 += (x[:, i][:, None] - t[:, i][None, :]) ** 2
+    return d2
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+
+
+def _rank_all(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bool, names: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
+    """Nearest of all targets ``t`` for each of the queries ``q``; columns ``names`` of a query stay."""
+    q = q.reset_index(drop=True)
+    t = t.sort_values("_tid", kind="stable").reset_index(drop=True)
+    xs, ts = q[[f"_p{i}" for i in range(d)]].to_numpy(float), t[[f"_t{i}" for i in range(d)]].to_numpy(float)
+    q, xs = (q[ok].reset_index(drop=True), xs[ok]) if not (ok := np.isfinite(xs).all(1)).all() else (q, xs)
+    t, ts = (t[ok].reset_index(drop=True), ts[ok]) if not (ok := np.isfinite(ts).all(1)).all() else (t, ts)
+    qid, tid = q["_qid"].to_numpy(), t["_tid"].to_numpy()
+    n, m, need = len(q), len(t), k + exclude_self
+    rows, cols, dist, rank = [], [], [], []
+    if n and m:
+        span = xs.max(0) - xs.min(0)
+        side = max(float(span.max()), 1e-9) / max(1.0, (n / SLICE) ** (1 / d))
+        order = np.lexsort(np.floor((xs - xs.min(0)) / side).T[::-1])
+        for part in (order[a : a + SLICE] for a in range(0, n, SLICE)):
+            x = xs[part]
+            lo, hi = x.min(0), x.max(0)
+            near = np.arange(m)
+            if m > need:
+                enough = np.partition((np.maximum(np.abs(ts - lo), np.abs(ts - hi)) ** 2).sum(1), need - 1)[need - 1]
+                near = np.flatnonzero((np.maximum(np.maximum(lo - ts, ts - hi), 0.0) ** 2).sum(1) <= enough * (1 + 1e-9))
+            step = max(1, 400_000 // len(near))
+            for some in (part[a : a + step] for a in range(0, len(part), step)):
+                d2 = _squares(xs[some], ts[near])
+                if exclude_self:
+                    d2[qid[some][:, None] == tid[near][None, :]] = np.inf
+                r, c, v, place, _ = _smallest(d2, k)
+                keep = place < k
+                rows.append(some[r[keep]]), cols.append(near[c[keep]]), dist.append(v[keep]), rank.append(place[keep] + 1)
+    r, c = _joined(rows, int), _joined(cols, int)
+    out = q.loc[r, names].reset_index(drop=True)
+    out["_d2"], out["_tid"], out["rank"] = _joined(dist, float), tid[c], _joined(rank, int)
+    for e in extra:
+        out[e] = t[e].to_numpy()[c]
+    return out[columns]
+
+
 def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exclude_self: bool, keys: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
     """Nearest targets of the queries of one tile, block by block of ``inner`` cells with a one-cell rim.
 
@@ -58,27 +129,18 @@ def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exc
         for part in (group[a : a + step] for a in range(0, len(group), step)):
             x = xs[part]
             safe = np.minimum(x - lo, hi - x).min(1)
-            d2 = np.zeros((len(part), len(near)))
-            for i in range(d):
-                d2 += (x[:, i][:, None] - ts[near, i][None, :]) ** 2
+            d2 = _squares(x, ts[near])
             if exclude_self:
                 d2[qid[part][:, None] == tid[near][None, :]] = np.inf
-            w = min(k, len(near))
-            far = d2.min(axis=1) if w == 1 else np.partition(d2, w - 1, axis=1)[:, w - 1]
-            r, c = np.nonzero((d2 <= far[:, None]) & np.isfinite(d2))
-            v = d2[r, c]
-            o = np.lexsort((c, v, r))
-            r, c, v = r[o], c[o], v[o]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, v, place, far = _smallest(d2, k)
             got = np.bincount(r, minlength=len(part))
             ok = (whole[part] & (len(near) == m)) | ((got >= k) & np.isfinite(far) & (np.sqrt(far) <= safe))
             final[part] = ok
             keep = (place < k) & ok[r]
             rows.append(part[r[keep]]), cols.append(near[c[keep]]), dist.append(v[keep]), rank.append(place[keep] + 1)
-    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    r, c = cat(rows, int), cat(cols, int)
+    r, c = _joined(rows, int), _joined(cols, int)
     out = q.loc[r, [*keys, "_qid"]].reset_index(drop=True)
-    out["_d2"], out["_tid"], out["rank"] = cat(dist, float), tid[c], cat(rank, int)
+    out["_d2"], out["_tid"], out["rank"] = _joined(dist, float), tid[c], _joined(rank, int)
     for e in extra:
         out[e] = t[e].to_numpy()[c]
     left = q.loc[~final, [*keys, "_qid"]].copy()
@@ -86,32 +148,112 @@ def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exc
     return pd.concat([out, left.reindex(columns=out.columns)], ignore_index=True)[columns] if len(left) else out[columns]
 
 
-def _blocks(df: DataFrame, axes: list[str]) -> DataFrame:
-    """Repeat each row for the 3^d cells around it; ``axes`` become the neighbour cells."""
-    around = F.array(
-        *[
-            F.struct(*[(F.col(a) + s).alias(a) for a, s in zip(axes, st)])
-            for st in product((-1, 0, 1), repeat=len(axes))
-        ]
-    )
-    rest = [c for c in df.columns if c not in axes]
-    return df.select(*rest, F.explode(around).alias("_b")).select(*rest, *[F.col("_b")[a].alias(a) for a in axes])
+def _nearest(pairs: DataFrame, keys: list[str], k: int, extra: list[str]) -> DataFrame:
+    """The k best ``(_d2, _tid)`` per query."""
+    w = Window.partitionBy(*keys, "_qid").orderBy("_d2", "_tid")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*keys, "_qid", "_d2", "_tid", *extra, "rank")
 
 
-def _nearest(pairs: DataFrame, keys: list[str], k: int, extra: list[str], keep: list[str]) -> DataFrame:
-    """The k best ``(_d2, _tid)`` per query; ``keep`` are constant per query."""
-    best = F.struct("_d2", "_tid", *extra)
-    if k == 1:
-        one = pairs.groupBy(*keys, "_qid").agg(F.min(best).alias("_m"), *[F.first(c).alias(c) for c in keep])
-        return one.select(*keys, "_qid", *keep, "_m.*", F.lit(1).alias("rank"))
-    w = Window.partitionBy(*keys, "_qid").orderBy("_d2", "_tid")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        *keys, "_qid", *keep, "_d2", "_tid", *extra, "rank"
-    )
+def _types(*frames: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for df in frames for f in df.schema} | {"_d2": "double", "rank": "int"}
+
+
+def _salted(q: DataFrame, t: DataFrame, group: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of many queries are dealt to several tasks by ``_salt``; the targets of the group go to each of them."""
+    busy = q.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).alias("_salts")).filter("_salts > 1")
+    q = q.join(busy, group, "left").withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    t = t.join(busy, group, "left")
+    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return q, t.select(*[F.col(c).alias(c) for c in t.columns])
+
+
+def _ranked_by(q: DataFrame, t: DataFrame, group: list[str], size: int, d: int, k: int, exclude_self: bool, names: list[str], extra: list[str]) -> DataFrame:
+    """Nearest targets of the same ``group`` for each query, ``names`` of the query kept."""
+    q, t = _salted(q, t, group, size)
+    columns = [*names, "_d2", "_tid", "rank", *extra]
+    types = _types(t, q)
+
+    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _rank_all(left, right, d, k, exclude_self, names, extra, columns)
+
+    n, at = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*group, "_salt"]
+    both = q.repartition(n, *at).groupBy(*at).cogroup(t.repartition(n, *at).groupBy(*at))
+    return both.applyInPandas(task, ", ".join(f"{c} {types[c]}" for c in columns))
+
+
+def _boxes(placed: DataFrame, keys: list[str], axes: list[str], td: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Boxes of targets, BOXES a key at most, with the range of what lies in them; the size of a key's boxes in cells."""
+    cells = cut(placed.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("_n"), *[g(t).alias(f"_{n}{i}") for i, t in enumerate(td) for n, g in (("from", F.min), ("to", F.max))]))
+    scale = cut(cells.groupBy(*keys).agg(F.pow(2.0, F.greatest(F.lit(0.0), F.ceil(F.log2(F.count(F.lit(1)) / BOXES) / len(axes)))).alias("_s")))
+    while True:
+        at = [F.floor(F.col(a) / F.col("_s")).alias(f"_b{i}") for i, a in enumerate(axes)]
+        boxes = cells.join(scale, keys).select(*keys, *at, "_n", *[f"_{n}{i}" for i in range(len(axes)) for n in ("from", "to")])
+        boxes = cut(boxes.groupBy(*keys, *[f"_b{i}" for i in range(len(axes))]).agg(F.sum("_n").alias("_n"), *[g(f"_{n}{i}").alias(f"_{n}{i}") for i in range(len(axes)) for n, g in (("from", F.min), ("to", F.max))]))
+        many = boxes.groupBy(*keys).count().filter(F.col("count") > BOXES)
+        if many.isEmpty():
+            return boxes, scale
+        scale = cut(scale.join(many, keys, "left").select(*keys, F.when(F.col("count").isNull(), F.col("_s")).otherwise(F.col("_s") * 2).alias("_s")))
+
+
+def _boxes_asked(q: pd.DataFrame, b: pd.DataFrame, d: int, need: int, columns: list[str]) -> pd.DataFrame:
+    """Without ``_enough``, the nearest boxes of each query that hold enough targets; with it, all others that begin within it."""
+    q, b = q.reset_index(drop=True), b.sort_values([f"_b{i}" for i in range(d)]).reset_index(drop=True)
+    xs, lo, hi = (f[[f"{c}{i}" for i in range(d)]].to_numpy(float) for f, c in ((q, "_p"), (b, "_from"), (b, "_to")))
+    count, rows, cols = b["_n"].to_numpy(), [], []
+    step = max(1, 400_000 // max(1, len(b)))
+    for a in range(0, len(q) if len(b) else 0, step):
+        x = xs[a : a + step]
+        least = np.zeros((len(x), len(b)))
+        for i in range(d):
+            least += np.maximum(np.maximum(lo[:, i][None, :] - x[:, i][:, None], x[:, i][:, None] - hi[:, i][None, :]), 0.0) ** 2
+        w = min(need, len(b))  # a box holds one target at least
+        first = np.argpartition(least, w - 1, axis=1)[:, :w]
+        first = np.take_along_axis(first, np.lexsort((first, np.take_along_axis(least, first, 1)), axis=1), 1)
+        got = np.cumsum(count[first], axis=1) - count[first]
+        home = np.zeros(least.shape, bool)
+        np.put_along_axis(home, first, got < need, 1)
+        if "_enough" in q:
+            home = ~home & (least <= q["_enough"].to_numpy(float)[a : a + step, None] * (1 + 1e-9))
+        r, c = np.nonzero(home)
+        rows.append(r + a), cols.append(c)
+    r, c = _joined(rows, int), _joined(cols, int)
+    out = q.loc[r].reset_index(drop=True)
+    for i in range(d):
+        out[f"_b{i}"] = b[f"_b{i}"].to_numpy()[c]
+    return out[columns]
+
 
+def _far_round(todo: DataFrame, placed: DataFrame, keys: list[str], axes: list[str], td: list[str], k: int, need: int, exclude_self: bool, extra: list[str]) -> DataFrame:
+    """Neighbours of queries that their tile could not settle."""
+    d = len(axes)
+    placed = placed.join(todo.select(*keys).distinct(), keys, "left_semi")
+    boxes, scale = _boxes(placed, keys, axes, td)
+    points = placed.join(scale, keys).select(*keys, *[F.floor(F.col(a) / F.col("_s")).alias(f"_b{i}") for i, a in enumerate(axes)], "_tid", *td, *extra)
+    at = [f"_b{i}" for i in range(d)]
+    names = [*keys, "_qid"]
+    columns = [*names, *[f"_p{i}" for i in range(d)], *at]
+    n = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _min_all(cols: list[Column]) -> Column:
-    return F.least(*cols) if len(cols) > 1 else cols[0]
+    def asked(q: DataFrame) -> DataFrame:
+        left, right = _salted(q, boxes, keys, BUSY)
+        types = _types(right, left)
+
+        def task(x: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return _boxes_asked(x, b, d, need, columns)
+
+        group = [*keys, "_salt"]
+        both = left.repartition(n, *group).groupBy(*group).cogroup(right.repartition(n, *group).groupBy(*group))
+        return cut(both.applyInPandas(task, ", ".join(f"{c} {types[c]}" for c in columns)))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        own = points.join(pairs.select(*keys, *at).distinct(), [*keys, *at], "left_semi")
+        return _ranked_by(pairs, own, [*keys, *at], BUSY, d, k, exclude_self, names, extra).drop("rank")
+
+    near = cut(met(asked(todo)))
+    enough = near.groupBy(*names).agg(F.array_sort(F.collect_list("_d2")).alias("_all"))
+    enough = enough.select(*names, F.coalesce(F.get("_all", F.lit(k - 1)), F.lit(float("inf"))).alias("_enough"))
+    rest = asked(todo.join(enough, names, "left").withColumn("_enough", F.coalesce("_enough", F.lit(float("inf")))))
+    return cut(_nearest(near.unionByName(met(rest)), keys, k, extra))
 
 
 def _with_rim(placed: DataFrame, axes: list[str], tiles: list[str], side: int) -> DataFrame:
@@ -123,7 +265,7 @@ def _with_rim(placed: DataFrame, axes: list[str], tiles: list[str], side: int) -
     return out
 
 
-def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra, bounds):
+def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra):
     """Round 0: final neighbours per tile and the queries that need more."""
     d = len(dims)
     q = todo
@@ -131,14 +273,16 @@ def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_
         q = q.withColumn(w, F.floor(F.col(f"_q{i}") / F.lit(side)))
     whole = [(F.col(w) * side - 1 <= F.col(f"_lo{i}")) & ((F.col(w) + 1) * side >= F.col(f"_hi{i}")) for i, w in enumerate(tiles)]
     q = q.select(*keys, *tiles, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)], *[f"_q{i}" for i in range(d)], "_c", reduce(lambda x, y: x & y, whole).alias("_whole"))
-    busy = q.groupBy(*keys, *tiles).agg(F.ceil(F.count(F.lit(1)) / 16384).alias("_salts")).filter("_salts > 1")
-    q = q.join(busy, keys + tiles, "left").withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
-    t = rim.select(*keys, *tiles, "_tid", *td, *extra).join(busy, keys + tiles, "left")
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    t = t.select(*[F.col(c).alias(c) for c in t.columns])
-    types = {f.name: f.dataType.simpleString() for f in t.schema} | {f.name: f.dataType.simpleString() for f in q.schema}
+    # only tiles with both queries and targets become groups; a query far from all targets is left to the boxes
+    group = [*keys, *tiles]
+    held = cut(rim.select(*group).distinct().join(q.select(*group).distinct(), group))
+    t = rim.select(*group, "_tid", *td, *extra).join(held, group, "left_semi")
+    asked = [*keys, "_qid", *[f"_p{i}" for i in range(d)]]
+    every, lone = q.select(*asked), q.join(held, group, "left_anti").select(*asked)
+    q, t = _salted(q.join(held, group, "left_semi"), t, group, BUSY)
+    types = _types(t, q)
     columns = [*keys, "_qid", "_d2", "_tid", "rank", *extra]
-    schema = ", ".join(f"{c} {'double' if c == '_d2' else 'int' if c == 'rank' else types[c]}" for c in columns)
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
     group = keys + tiles + ["_salt"]
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -149,8 +293,8 @@ def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_
     q, t = q.repartition(n, *group), t.repartition(n, *group)
     hits = cut(q.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(task, schema))
     good = hits.filter("rank > 0").select(*keys, "_qid", "_tid", "rank", F.sqrt("_d2").alias("distance"), *extra)
-    more = todo.join(hits.filter("rank = 0").select(*keys, "_qid"), keys + ["_qid"], "left_semi")
-    return [good], cut(more)
+    more = every.join(hits.filter("rank = 0").select(*keys, "_qid"), keys + ["_qid"], "left_semi")
+    return good, cut(more.unionByName(lone))
 
 
 def knn(
@@ -188,15 +332,26 @@ def knn(
     per = 0.5 * need + 0.5
     inner = max(2, round((200.0 / per) ** (1.0 / d)))
     side = 3 * inner if d > 2 else 5 * inner
-    sizes = cut(
-        targets.select(*keys, *[F.col(c).alias(t) for c, t in zip(dims, td)])
-        .groupBy(*keys)
-        .agg(F.pow(vol * per / F.count(F.lit(1)), 1.0 / d).alias("_c"))
-    )
+    own = targets.select(*keys, *[F.col(c).alias(t) for c, t in zip(dims, td)])
+    sizes = cut(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.pow(vol * per / F.count(F.lit(1)), 1.0 / d).alias("_c")))
+    known = sizes.count()
+    small = F.broadcast if known <= FEW_KEYS else (lambda df: df)
+    pts = queries.select(*keys, F.col(qid).alias("_qid"), *dims)
+    done = []
+    # a pile of copies counts as the few of it that matter
+    piles = own.join(small(sizes.filter(F.col("_n") <= 64 * FEW).select(*keys)), keys, "left_semi").groupBy(*keys, *td).agg(F.least(F.count(F.lit(1)), F.lit(need)).alias("_n"))
+    few = cut(piles.groupBy(*keys).agg(F.sum("_n").alias("_n")).filter(F.col("_n") <= FEW).select(*keys))
+    settled = few.count()
+    if settled:
+        q = pts.join(small(few), keys, "left_semi").select(*keys, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)])
+        t = tgt.join(small(few), keys, "left_semi")
+        done.append(_ranked_by(q, t, keys, BLOCK, d, k, exclude_self, [*keys, "_qid"], extra).withColumn("distance", F.sqrt("_d2")).drop("_d2"))
+        sizes = cut(sizes.join(few, keys, "left_anti"))
+    sizes = sizes.select(*keys, "_c")
     limit = max(max_tile, 4 * need)
     tiles = [f"_w{i}" for i in range(d)]
-    while True:
-        placed = cut(_cells(tgt, sizes, keys, td, axes))
+    while settled < known:
+        placed = cut(_cells(tgt, small(sizes), keys, td, axes))
         rim = _with_rim(placed, axes, tiles, side)
         crowded = rim.groupBy(*keys, *tiles).count().groupBy(*keys).agg(F.max("count").alias("_m")).filter(F.col("_m") > limit)
         if crowded.isEmpty():
@@ -206,62 +361,20 @@ def knn(
                 *keys, F.when(F.col("_m").isNull(), F.col("_c")).otherwise(F.col("_c") / 2).alias("_c")
             )
         )
-    cells = placed.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("_cn"))
-    reach = placed.groupBy(*keys).agg(
-        *[F.min(a).alias(f"_lo{i}") for i, a in enumerate(axes)],
-        *[F.max(a).alias(f"_hi{i}") for i, a in enumerate(axes)],
-    )
-    tgt = placed.drop("_c")
-    pts = queries.select(*keys, F.col(qid).alias("_qid"), *dims)
-    todo = _cells(pts, sizes.join(reach, keys), keys, dims, [f"_q{i}" for i in range(d)])
-    todo = todo.join(reach, keys)
-    bounds = [c for c in reach.columns if c not in keys]
-    d2 = sum((F.col(q) - F.col(t)) * (F.col(q) - F.col(t)) for q, t in zip(dims, td))
-    not_self = (F.col("_tid") != F.col("_qid")) if exclude_self else F.lit(True)
-    done, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra, bounds)
-    shift = 1
-    while not todo.isEmpty():
-        step = 2**shift
-        home = todo
-        for i, a in enumerate(axes):
-            home = home.withColumn(a, F.floor(F.col(f"_q{i}") / F.lit(step)))
-        size = F.col("_c") * step
-        inside = [F.least(F.col(q) - (F.col(a) - 1) * size, (F.col(a) + 2) * size - F.col(q)) for q, a in zip(dims, axes)]
-        whole = [((F.col(a) - 1) * step <= F.col(f"_lo{i}")) & ((F.col(a) + 2) * step > F.col(f"_hi{i}")) for i, a in enumerate(axes)]
-        home = home.withColumn("_safe", _min_all(inside)).withColumn("_whole", reduce(lambda p, q: p & q, whole))
-        asked = _blocks(home.drop(*[f"_q{i}" for i in range(d)], *bounds), axes)
-        fine = [f"_f{i}" for i in range(d)]
-        summary = cells.select(
-            *keys, "_cn", *[F.col(a).alias(f) for a, f in zip(axes, fine)], *[F.floor(F.col(a) / F.lit(step)).alias(a) for a in axes]
-        )
-        near = asked.join(summary, keys + axes).drop(*axes)
-        edge = [(F.col(f) * F.col("_c") - F.col(q), F.col(q) - (F.col(f) + 1) * F.col("_c")) for f, q in zip(fine, dims)]
-        least2 = sum(F.pow(F.greatest(a, b, F.lit(0.0)), 2) for a, b in edge)
-        most2 = sum(F.pow(F.greatest(-a, -b), 2) for a, b in edge)
-        w = Window.partitionBy(*keys, "_qid").orderBy("_most", *fine).rowsBetween(Window.unboundedPreceding, 0)
-        near = (
-            near.withColumn("_least", least2)
-            .withColumn("_most", most2)
-            .withColumn("_seen", F.sum("_cn").over(w))
-            .withColumn("_enough", F.min(F.when(F.col("_seen") >= need, F.col("_most"))).over(Window.partitionBy(*keys, "_qid")))
-            .filter(F.col("_enough").isNull() | (F.col("_least") <= F.col("_enough") * (1 + 1e-9)))
+    if settled < known:
+        reach = placed.groupBy(*keys).agg(
+            *[F.min(a).alias(f"_lo{i}") for i, a in enumerate(axes)],
+            *[F.max(a).alias(f"_hi{i}") for i, a in enumerate(axes)],
         )
-        pairs = near.select(*keys, "_qid", *dims, "_c", "_safe", "_whole", *[F.col(f).alias(a) for f, a in zip(fine, axes)]).join(tgt, keys + axes)
-        pairs = pairs.filter(not_self).withColumn("_d2", d2)
-        found = _nearest(pairs, keys, k, extra, ["_safe", "_whole"])
-        if k == 1:
-            ready = F.col("_whole") | (F.sqrt("_d2") <= F.col("_safe"))
-            good = found.filter(ready)
-        else:
-            per_q = Window.partitionBy(*keys, "_qid")
-            found = found.withColumn("_got", F.max("rank").over(per_q)).withColumn("_far", F.max("_d2").over(per_q))
-            good = found.filter(F.col("_whole") | ((F.col("_got") >= k) & (F.sqrt("_far") <= F.col("_safe"))))
-        good = cut(good.select(*keys, "_qid", "_tid", "rank", F.sqrt("_d2").alias("distance"), *extra))
+        bounds = small(cut(reach.join(sizes, keys)))
+        todo = _cells(pts, bounds, keys, dims, [f"_q{i}" for i in range(d)]).join(bounds.drop("_c"), keys)
+        good, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra)
         done.append(good)
-        settled = good.select(*keys, "_qid").distinct()
-        stuck = home.filter(~F.col("_whole")).drop(*axes, "_safe", "_whole").join(settled, keys + ["_qid"], "left_anti")
-        todo = cut(stuck)
-        shift += 2
+        if not todo.isEmpty():
+            far = _far_round(todo, placed.drop("_c"), keys, axes, td, k, need, exclude_self, extra)
+            done.append(far.withColumn("distance", F.sqrt("_d2")).drop("_d2"))
+    if not done:  # no targets at all
+        done.append(_ranked_by(pts.limit(0).select(*keys, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)]), tgt, keys, BLOCK, d, k, exclude_self, [*keys, "_qid"], extra).withColumn("distance", F.sqrt("_d2")).drop("_d2"))
     out = reduce(DataFrame.unionByName, done)
     return out.select(
         *keys,

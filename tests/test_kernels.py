@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from skyfold.kernels.components import connected_components
@@ -102,3 +103,29 @@ def test_ranked_quantiles_narrow_down(spark, monkeypatch):
     for k, g in p.groupby("k"):
         s = np.sort(g["v"])
         assert np.allclose(q.loc[k, ["a", "b"]].astype(float), np.quantile(s, [0.5, 0.95])) and q.loc[k, "u"] == s[len(s) // 2]
+
+
+@pytest.mark.parametrize("few, boxes, dims, k", [(4096, 1024, "xyz", 3), (10, 1024, "xyz", 1), (10, 30, "xyz", 5), (10, 30, "xy", 2)])
+def test_knn_of_far_queries(spark, monkeypatch, few, boxes, dims, k):
+    """Queries far outside the targets, piles of copies, keys without targets: few targets at once, many by boxes; ties to the smaller id."""
+    from skyfold.kernels import knn as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "BOXES", boxes)
+    rng = np.random.default_rng(5)
+    t = pd.DataFrame(rng.integers(0, 9, (1500, 3)) * 0.5, columns=list("xyz")).assign(mission_id=np.arange(1500) % 2, point_id=rng.permutation(1500))
+    t.loc[:200, ["x", "y", "z"]] = 1.0
+    q = pd.DataFrame(rng.normal(0, 40, (300, 3)), columns=list("xyz")).assign(mission_id=np.arange(300) % 3, point_id=np.arange(300))
+    q.loc[:60, ["x", "y", "z"]] = t.loc[300:360, ["x", "y", "z"]].to_numpy()
+    r = knn(spark.createDataFrame(q), spark.createDataFrame(t), ["mission_id"], dims=list(dims), k=k, exclude_self=True).toPandas().set_index("point_id").sort_values("rank")
+    assert set(r.mission_id) == {0, 1} and len(r) == 200 * k
+    for m in (0, 1):
+        own = t[t.mission_id == m]
+        for i, p in q[q.mission_id == m].set_index("point_id").iterrows():
+            d2 = ((own[list(dims)].to_numpy() - p[list(dims)].to_numpy(float)) ** 2).sum(1)
+            d2[own.point_id.to_numpy() == i] = np.inf
+            best = np.lexsort((own.point_id.to_numpy(), d2))[:k]
+            got = r.loc[[i]]
+            assert np.allclose(got.distance, np.sqrt(d2[best])) and list(got["rank"]) == list(range(1, k + 1))
+            if i <= 60:  # exact values, so ties are exact
+                assert list(got.neighbour) == list(own.point_id.to_numpy()[best])
