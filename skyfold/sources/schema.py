@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,12 +39,37 @@ def header_words(h: Column) -> Column:
     return F.when(F.size(core) > 0, core).otherwise(words)
 
 
+def alias_words(alias: str) -> list[str]:
+    """``header_words`` of a name of the fixed table; these hold ASCII only and no brackets."""
+    words = [w for w in re.split("[^a-z0-9]+", alias.strip().lower()) if w]
+    return [w for w in words if w not in UNITS] or words
+
+
+ALIASES = [(canon, alias_words(a)) for canon, names in FIELDS.items() for a in names]
+
+
+def shares_word(h: Column) -> Column:
+    """Whether a header shares a word with any alias, without which it scores below 0.5."""
+    letter = h.rlike("[A-Za-z]|[^\\x00-\\x7F]")  # spares most cells the splitting
+    return letter & F.arrays_overlap(header_words(h), F.array(*[F.lit(w) for w in sorted({w for _, ws in ALIASES for w in ws})]))
+
+
 def score_headers(headers: DataFrame) -> DataFrame:
-    """Best name score per ``file, header`` and canonical field; the alias table is a fixed constant."""
-    spark = headers.sparkSession
-    rows = [(canon, a) for canon, names in FIELDS.items() for a in names]
-    alias = spark.createDataFrame(rows, "canonical string, alias string").withColumn("aw", header_words(F.col("alias"))).withColumn("an", F.concat_ws("_", "aw"))
-    h = headers.withColumn("hw", header_words(F.col("header"))).withColumn("hn", F.concat_ws("_", "hw")).filter("hn <> ''")
+    """Best name score per ``file, header`` and canonical field; the alias table is a fixed constant.
+
+    Each header is scored once, whatever the number of its files, and meets the aliases only if it shares a word with one, holds one
+    or lies in one.
+    """
+    names = ["_".join(ws) for _, ws in ALIASES]
+    hn = F.concat_ws("_", header_words(F.col("header")))
+    holds = hn.rlike("|".join(sorted({n for n in names if len(n) >= 4})))
+    plain = headers.select("header").distinct().filter((hn != "") & (shares_word(F.col("header")) | holds | F.contains(F.lit(" ".join(names)), hn)))
+    return headers.select("file", "header").distinct().join(_scores(plain), "header").select("file", "header", "canonical", "score")
+
+
+def _scores(headers: DataFrame) -> DataFrame:
+    alias = headers.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(c).alias("canonical"), F.array(*[F.lit(w) for w in ws]).alias("aw"), F.lit("_".join(ws)).alias("an")) for c, ws in ALIASES])).alias("a")).select("a.*")
+    h = headers.withColumn("hw", header_words(F.col("header"))).withColumn("hn", F.concat_ws("_", "hw"))
     pose = F.arrays_overlap("hw", F.array(*[F.lit(w) for w in POSE_WORDS])) | (F.size(F.array_except("hw", F.array(F.lit("x"), F.lit("y"), F.lit("z")))) == 0)
     j = h.filter(~pose).join(F.broadcast(alias))
     shared = F.size(F.array_intersect("aw", "hw"))
@@ -56,10 +84,15 @@ def score_headers(headers: DataFrame) -> DataFrame:
     agl = has("relative", "rel", "agl")
     c = F.col("canonical")
     off = ((c == "yaw") & has("heading", "course", "compass", "cog") & ~has("yaw")) | ((c == "heading") & has("yaw")) | ((c == "altitude") & agl) | ((c == "altitude_agl") & ~agl)
-    best = j.withColumn("score", F.when(off, 0.0).otherwise(s)).groupBy("file", "header", "canonical").agg(F.max("score").alias("score"))
+    best = j.withColumn("score", F.when(off, 0.0).otherwise(s)).groupBy("header", "canonical").agg(F.max("score").alias("score"))
     return best.filter("score > 0")
 
 
+def named_headers(headers: DataFrame) -> DataFrame:
+    """``header, canonical, score`` of all distinct headers whose name may stand for a field."""
+    return _scores(headers.filter(shares_word(F.col("header"))).select("header").distinct()).filter(F.col("score") >= LEAST_SCORE)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines ``file, line, text, encoding`` of text files, read splittably.
 
@@ -67,7 +100,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     read as Latin-1, in which every byte stands for a character; a byte order mark is dropped by Spark's reader.
     """
     at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    raw = once(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), F.col("value").cast("binary").alias("raw")))
+    return lines_of(once(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), F.col("value").cast("binary").alias("raw"))))
+
+
+def lines_of(raw: DataFrame) -> DataFrame:
+    """``read_lines`` for logs that lie packed in a table ``file, line, raw``: many small logs cost no file each."""
     plain = F.is_valid_utf8(F.col("raw").cast("string"))
     kind = raw.groupBy("file").agg(F.bool_and(plain).alias("utf8"))
     text = F.when(F.col("utf8"), F.col("raw").cast("string")).otherwise(F.decode("raw", "ISO-8859-1"))
@@ -102,7 +139,7 @@ def layouts(lines: DataFrame) -> DataFrame:
     numeric = F.size(F.filter("cells", lambda c: parse_number(c).isNotNull()))
     maybe = once(every.filter(numeric <= F.size("cells") / 2))
     cell = maybe.select("file", "i", "line", F.explode(F.array_distinct("cells")).alias("header"))
-    names = score_headers(cell.select(F.lit("").alias("file"), "header").distinct()).filter(F.col("score") >= LEAST_SCORE).select("header", "canonical")
+    names = named_headers(cell).select("header", "canonical")
     mapped = cell.join(names, "header").groupBy("file", "i", "line").agg(F.count_distinct("canonical").alias("mapped")).filter("mapped >= 2")
     best = mapped.groupBy("file", "i").agg(F.max(F.struct("mapped", (-F.col("line")).alias("l"))).alias("b"))
     pick = mode.join(best, ["file", "i"], "left").groupBy("file").agg(F.max(F.struct(F.col("b").isNotNull().alias("found"), "score", (-F.col("i")).alias("i"), "d", F.col("b.mapped").alias("mapped"), (-F.col("b.l")).alias("line"))).alias("p"))
@@ -163,8 +200,7 @@ def time_units(cells: DataFrame) -> DataFrame:
 def named_columns(layout: DataFrame) -> DataFrame:
     """``file, pos, header, canonical, score`` of all columns with a name that may stand for a field."""
     h = layout.select("file", F.posexplode("header").alias("pos", "header"))
-    names = score_headers(h.select(F.lit("").alias("file"), "header").distinct()).filter(F.col("score") >= LEAST_SCORE)
-    return h.join(names.drop("file"), "header").select("file", "pos", "header", "canonical", "score")
+    return h.join(named_headers(h), "header").select("file", "pos", "header", "canonical", "score")
 
 
 def validate_values(named: DataFrame, stats: DataFrame, rows: DataFrame) -> DataFrame:
@@ -213,22 +249,28 @@ def assign_columns(validated: DataFrame) -> DataFrame:
 
     In the fixed order of fields, the unused column with the best name goes first; if its values do not fit, the next that fits takes
     its place (event ``rejected``); if none does, it stays UNVALIDATED (event ``kept_unvalidated`` for coordinates), unless its name stands
-    better for another field, to which it is left.  Other candidates are listed as ``ranked``.  A file is one group of at most its
-    header's width times the number of fields.
+    better for another field, to which it is left.  Other candidates are listed as ``ranked``.  A file is one row of at most its
+    header's width times the number of fields; a task takes many files at once.
     """
+    cols = [c.split()[0] for c in CHOSEN.split(", ")]
+    given = ["canonical", "pos", "header", "score", "ok", "unit", "note", "value_confidence"]
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(file: str, columns: list[dict]) -> list[dict]:
         used: set[int] = set()
         out = []
-        named = pdf.groupby("pos")["score"].max()
+        by_field: dict[str, list[dict]] = {}
+        named: dict[int, float] = {}
+        for r in columns:
+            by_field.setdefault(r["canonical"], []).append(r)
+            named[r["pos"]] = max(named.get(r["pos"], 0.0), r["score"])
         for field in CHOICE:
-            mine = pdf[(pdf["canonical"] == field) & ~pdf["pos"].isin(used)].sort_values(["score", "pos"], ascending=[False, True]).to_dict("records")
+            mine = sorted((r for r in by_field.get(field, []) if r["pos"] not in used), key=lambda r: (-r["score"], r["pos"]))
             if not any(r["ok"] for r in mine):
                 mine = [r for r in mine if r["score"] >= named[r["pos"]]]
             if not mine:
                 continue
             pick = next((r for r in mine if r["ok"]), mine[0])
-            base = {"file": pick["file"], "canonical": field, "pos": pick["pos"], "header": pick["header"]}
+            base = {"file": file, "canonical": field, "pos": pick["pos"], "header": pick["header"]}
             if not mine[0]["ok"]:
                 if pick is not mine[0]:
                     out.append(base | {"event": "rejected", "others": [mine[0]["header"]]})
@@ -243,10 +285,15 @@ def assign_columns(validated: DataFrame) -> DataFrame:
             rest = [r["header"] for r in mine if r is not pick]
             if rest:
                 out.append(base | {"event": "ranked", "others": rest[:2]})
-        cols = [c.split()[0] for c in CHOSEN.split(", ")]
-        return pd.DataFrame(out, columns=cols).astype(object).where(lambda d: d.notna(), None) if out else pd.DataFrame(columns=cols)
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [r for f, columns in zip(frame["file"], frame["columns"]) for r in choose(f, list(columns))]
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype="int32" if c == "pos" else object) for c in cols})
 
-    return validated.groupBy("file").applyInPandas(choose, CHOSEN)
+    per = validated.groupBy("file").agg(F.collect_list(F.struct(*given)).alias("columns"))
+    return per.mapInPandas(run, CHOSEN)
 
 
 def normalise(rows: DataFrame, chosen: DataFrame, times: DataFrame) -> DataFrame:
@@ -276,11 +323,29 @@ def normalise(rows: DataFrame, chosen: DataFrame, times: DataFrame) -> DataFrame
 
 def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Typed rows of the files under ``path``, their layouts (with ``decimal_comma``), and the choices made for their columns."""
-    lines = once(read_lines(spark, path))
+    layout, rows = parsed(read_lines(spark, path))
+    chosen = once(choices(layout, rows))
+    return typed(rows, chosen), with_comma(layout, rows), chosen
+
+
+def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Layouts and data rows of ``lines``."""
+    lines = once(lines)
     layout = once(layouts(lines))
-    rows = once(data_rows(lines, layout))
-    chosen = once(assign_columns(validate_values(named_columns(layout), value_stats(rows), rows)))
+    return layout, once(data_rows(lines, layout))
+
+
+def choices(layout: DataFrame, rows: DataFrame) -> DataFrame:
+    return assign_columns(validate_values(named_columns(layout), value_stats(rows), rows))
+
+
+def with_comma(layout: DataFrame, rows: DataFrame) -> DataFrame:
+    comma = rows.groupBy("file").agg(F.first("decimal_comma").alias("decimal_comma"))
+    return layout.join(comma, "file", "left")
+
+
+def typed(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Data rows in canonical fields and units; numeric times by the unit of their column."""
     at = chosen.filter("event = 'mapping' AND canonical = 'timestamp'").select("file", "pos", "header")
     times = time_units(rows.join(at, "file").select("file", "line", F.get("cells", F.col("pos")).alias("cell"), "header"))
-    comma = rows.groupBy("file").agg(F.first("decimal_comma").alias("decimal_comma"))
-    return normalise(rows, chosen, times), layout.join(comma, "file", "left"), chosen
+    return normalise(rows, chosen, times)

@@ -101,3 +101,23 @@ def test_unfit_columns_go_to_their_better_name(spark):
     v = spark.createDataFrame(rows, "file string, pos int, header string, canonical string, score double, ok boolean, unit string, note string, value_confidence double")
     got = {(r["file"], r["canonical"]): r["status"] for r in schema.assign_columns(v).filter("event = 'mapping'").collect()}
     assert got == {("f", "timestamp"): "VALIDATED", ("g", "altitude"): "UNVALIDATED"}
+
+
+def test_packed_logs_and_many_files_in_one_batch(spark, tmp_path):
+    """Logs packed in one table give what the same logs give as files, and a task chooses the columns of many files at once."""
+    logs = {f"f{i}": ["time,lat,lon,alt"] + [f"{k},{24 + i / 100 + k / 1000},121.{k},{300 + k}" for k in range(4)] for i in range(30)}
+    raw = spark.createDataFrame([(f, k, bytearray(x, "utf-8")) for f, lines in logs.items() for k, x in enumerate(lines)], "file string, line long, raw binary")
+    layout, rows = schema.parsed(schema.lines_of(raw.coalesce(1)))
+    chosen = schema.choices(layout, rows).filter("event = 'mapping'")
+    assert {(r["file"], r["canonical"], r["header"]) for r in chosen.collect()} == {(f, c, h) for f in logs for c, h in (("timestamp", "time"), ("latitude", "lat"), ("longitude", "lon"), ("altitude", "alt"))}
+    got = {(r["file"], r["source_row"]): (r["timestamp"], r["latitude"]) for r in schema.typed(rows, chosen).collect()}
+    assert got[("f7", 2)] == (2, 24.072) and len(got) == 120
+
+
+def test_headers_without_a_shared_word_are_not_scored(spark):
+    """Only headers that share a word with an alias, hold one or lie in one are compared with the aliases."""
+    h = spark.createDataFrame([("a", "zzz"), ("b", "Lat"), ("c", "Lat"), ("a", "mytimestamps"), ("a", "alti"), ("a", "53;120")], "file string, header string")
+    scores = {(r["file"], r["header"], r["canonical"]): r["score"] for r in schema.score_headers(h).collect()}
+    assert scores[("b", "Lat", "latitude")] == scores[("c", "Lat", "latitude")] == 1.0 and scores[("a", "mytimestamps", "timestamp")] == 0.45 == scores[("a", "alti", "altitude")]
+    assert not [k for k in scores if k[1] in ("zzz", "53;120")]
+    assert {r["header"] for r in schema.named_headers(h).collect()} == {"Lat"}
