@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyfold.operators.concepts import CONCEPT_CLASSES, concept
-from skyfold.session import once
+from skyfold.session import cut, once
 
 # Routing words in order.
 QUERY_SLICE = 4096
+RECORD_BLOCK = 64  # records whose words are weighed at a time
+TOP = "qid long, id long, score double"
 LIMIT_SOURCES = 50
 COUNT = r"\b(how many|count|number of|total)\b"
 DAMAGED = r"\b(damaged|destroyed|collapsed|flooded|affected)\b"
@@ -77,42 +80,59 @@ def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _terms(text: Column) -> Column:
+    return F.coalesce(tokens(text), F.array().cast("array<string>"))
+
+
 def lexical_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Cosine of raw term counts; ``records(id, text)``, ``queries(qid, text)``.
 
-    Every record row is scored against a bounded slice of the queries inside
-    the scan; only the local best leave it.
+    The words of the records are written once, and every bounded slice of the queries is scored against them in a scan without a
+    shuffle.  Only the words of a slice go to the tasks, which weigh those that a few records hold at a time; of a task only the
+    best ``k`` for each query leave it.
     """
+    spark = records.sparkSession
+    few = spark.sparkContext.defaultParallelism
+    terms = cut(records.select("id", _terms(F.col("text")).alias("tok")).repartition(few, "id"))
     parts = []
-    for rows in _slices(queries.select("qid", tokens(F.col("text")).alias("tok")), ["qid", "tok"], "qid"):
-        vocab: dict[str, int] = {}
-        for r in rows:
-            for w in r["tok"]:
-                vocab.setdefault(w, len(vocab))
-        m = np.zeros((len(vocab), len(rows)))
-        for j, r in enumerate(rows):
-            for w in r["tok"]:
-                m[vocab[w], j] += 1
-        m /= np.maximum(np.sqrt((m * m).sum(0)), 1e-12)
-        qids = np.array([r["qid"] for r in rows])
-        shared = records.sparkSession.sparkContext.broadcast((vocab, m, qids))
+    for rows in _slices(queries.select("qid", _terms(F.col("text")).alias("tok")), ["qid", "tok"], "qid"):
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast([(r["qid"], " ".join(r["tok"])) for r in rows])
 
         def task(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vocab, m, qids = shared.value
+            qids = np.array([q for q, _ in shared.value])
+            at: dict[str, list[tuple[int, float]]] = {}
+            for j, (_, words) in enumerate(shared.value):
+                counts = Counter(words.split())
+                norm = sum(c * c for c in counts.values()) ** 0.5
+                for w, c in counts.items():
+                    at.setdefault(w, []).append((j, c / norm))
+            weights = {w: (np.array([j for j, _ in x]), np.array([c for _, c in x])) for w, x in at.items()}
+            del at
+            score, ids = np.zeros((0, len(qids))), np.zeros((0, len(qids)), np.int64)
             for b in it:
-                d = np.zeros((len(b), len(vocab)))
-                norm = np.zeros(len(b))
-                for i, toks in enumerate(b["tok"]):
-                    names, counts = np.unique(np.asarray(toks, dtype=object).astype(str), return_counts=True) if len(toks) else ([], np.zeros(0))
-                    norm[i] = np.sqrt((counts.astype(float) ** 2).sum())
-                    for w, c in zip(names, counts):
-                        j = vocab.get(w)
-                        if j is not None:
-                            d[i, j] = c
-                yield _local_top(d @ m / np.maximum(norm, 1e-12)[:, None], b["id"].to_numpy(), qids, k)
-
-        parts.append(_spread(records.select("id", "text")).select("id", tokens(F.col("text")).alias("tok")).mapInPandas(task, "qid long, id long, score double"))
-    return _ranked(parts, k)
+                for start in range(0, len(b), RECORD_BLOCK):
+                    part = b.iloc[start : start + RECORD_BLOCK]
+                    counted = [Counter(t) for t in part["tok"]]
+                    used = {w: n for n, w in enumerate(sorted({w for c in counted for w in c} & weights.keys()))}
+                    d, m = np.zeros((len(part), len(used))), np.zeros((len(used), len(qids)))
+                    for i, c in enumerate(counted):
+                        norm = max(sum(n * n for n in c.values()) ** 0.5, 1e-12)
+                        for w, n in c.items():
+                            if w in used:
+                                d[i, used[w]] = n / norm
+                    for w, n in used.items():
+                        m[n, weights[w][0]] = weights[w][1]
+                    score = np.concatenate([score, d @ m])
+                    ids = np.concatenate([ids, np.broadcast_to(part["id"].to_numpy()[:, None], (len(part), len(qids)))])
+                    take = np.lexsort((ids, -score), axis=0)[:k]
+                    score, ids = np.take_along_axis(score, take, 0), np.take_along_axis(ids, take, 0)
+            out = pd.DataFrame({"qid": np.repeat(qids, len(score)), "id": ids.T.ravel(), "score": score.T.ravel()})
+            yield out[out["score"] > 0]
+
+        parts.append(terms.mapInPandas(task, TOP))
+    return _ranked(parts, k) if parts else spark.createDataFrame([], f"{TOP}, rank int")
 
 
 def vector_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
