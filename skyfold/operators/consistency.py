@@ -21,6 +21,7 @@ VIEW_REACH = 500.0
 LEAST_COS = 0.1
 DEPTH_SLACK = (1.02, 0.05)
 NEAREST_DEPTH = 0.01
+STEEP, EDGE = 1e-3, 1e-6  # least slope of a ray that meets a height for certain; rounding of the box of a view
 
 
 def view_disagreement(depth: DataFrame, poses: DataFrame, least: int = LEAST_PIXELS) -> DataFrame:
@@ -81,7 +82,8 @@ def best_views(v: DataFrame, f: DataFrame, poses: DataFrame, depth: DataFrame |
 
     A view counts if its camera is nearer than ``reach``, the face looks at it, its centre lies inside the image and is not behind the
     view's depth there.  The score is the cosine over 1 + depth / reach; ties go to the first frame.  Faces look to the side of the
-    mean camera.  Candidates come from cells of the ground: a camera enters the cells that its image can show up to ``reach``.
+    mean camera.  Candidates come from cells of the ground: a camera enters the cells that its image can show up to ``reach``, and of
+    these, if all its corners look up or all down, only those where it shows heights that faces of the mission have.
     """
     g = face_geometry(v, f).select(*KEY, "fid", "cx", "cy", "cz", "nx", "ny", "nz").toDF(*KEY, "fid", "x", "y", "z", "nx", "ny", "nz")
     mean = poses.groupBy(*KEY).agg(*[F.avg(c).alias(f"k{c[1]}") for c in ("cx", "cy", "cz")])
@@ -94,8 +96,18 @@ def best_views(v: DataFrame, f: DataFrame, poses: DataFrame, depth: DataFrame |
     far = [[sum((F.col("r")[3 * i + k] * ray[k] for k in range(3)), F.lit(0.0)) * reach + F.col(c) for i, c in enumerate(("cx", "cy"))] for ray in rays]
     lo = [F.greatest(F.least(F.col(c), *[p[i] for p in far]), F.col(c) - reach) for i, c in enumerate(("cx", "cy"))]
     hi = [F.least(F.greatest(F.col(c), *[p[i] for p in far]), F.col(c) + reach) for i, c in enumerate(("cx", "cy"))]
-    span = lambda i: F.explode(F.sequence(F.floor(lo[i] / size), F.floor(hi[i] / size)))
-    cams = poses.select(*KEY, "frame_id", *POSE).withColumn("gx", span(0)).withColumn("gy", span(1))
+    # where the rays through the corners meet the lowest and the highest face; all that is seen between lies in the hull of these points
+    turned = lambda ray, i: sum((F.col("r")[3 * i + k] * ray[k] for k in range(3)), F.lit(0.0))
+    slopes = [turned(ray, 2) for ray in rays]
+    sure = (F.least(*slopes) > STEEP) | (F.greatest(*slopes) < -STEEP)
+    meets = [F.greatest(F.lit(0.0), (F.col(h) - F.col("cz")) / F.when(sure, s)) for h in ("_lo", "_hi") for s in slopes]
+    shown = [[F.col(c) + t * turned(ray, i) for t, ray in zip(meets, rays + rays)] for i, c in enumerate(("cx", "cy"))]
+    lo = [F.when(sure, F.greatest(a, F.least(*p))).otherwise(a) for a, p in zip(lo, shown)]
+    hi = [F.when(sure, F.least(a, F.greatest(*p))).otherwise(a) for a, p in zip(hi, shown)]
+    first, last = [F.floor((a - EDGE) / size) for a in lo], [F.floor((a + EDGE) / size) for a in hi]
+    span = lambda i: F.explode(F.sequence(first[i], F.greatest(first[i], last[i])))
+    heights = g.groupBy(*KEY).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    cams = poses.select(*KEY, "frame_id", *POSE).join(heights, KEY).withColumn("gx", span(0)).withColumn("gy", span(1)).drop("_lo", "_hi")
     j = g.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size)).join(cams, [*KEY, "gx", "gy"])
     away = norm3(*[F.col(f"c{a}") - F.col(a) for a in "xyz"])
     cosine = sum(((F.col(f"c{a}") - F.col(a)) * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)) / F.when(F.col("_far") > 0, F.col("_far"))

@@ -33,13 +33,17 @@ CLOUD = """cl AS MATERIALIZED (SELECT mission_id, point_id, x*0.8e0 AS x, y*0.5e
 
 
 def mesh(t):
-    """Triangles over every eighth vertex, and a cloud with a strip missing."""
+    """Triangles over every eighth vertex."""
     v = t.vertices.select((F.col("vid") % 8).alias("mission_id"), "vid", "x", (F.col("y") * 0.5).alias("y"), (F.col("z") * 0.2).alias("z"))
     top = t.vertices.agg(F.max("vid")).first()[0]
     f = t.faces.select((F.col("v0") % 8).alias("mission_id"), "fid", "v0", (F.col("v0") + 8).alias("v1"), (F.col("v0") + 48).alias("v2")).filter(F.col("v2") <= top)
+    return v, f
+
+
+def cloud(t):
+    """A cloud with a strip missing; it numbers all points, so it is made only where it is used."""
     i = F.col("point_id")
-    cloud = t.current.filter(~((F.col("x") > 18) & (F.col("x") < 30))).select("mission_id", "point_id", (F.col("x") * 0.8).alias("x"), (F.col("y") * 0.5).alias("y"), (F.col("z") * 0.2 + i % 7 * 0.01).alias("z"), F.when(i % 3 == 0, 0.6).otherwise(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.when(i % 3 == 0, 0.8).otherwise(1.0).alias("nz"))
-    return v, f, cloud
+    return t.current.filter(~((F.col("x") > 18) & (F.col("x") < 30))).select("mission_id", "point_id", (F.col("x") * 0.8).alias("x"), (F.col("y") * 0.5).alias("y"), (F.col("z") * 0.2 + i % 7 * 0.01).alias("z"), F.when(i % 3 == 0, 0.6).otherwise(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.when(i % 3 == 0, 0.8).otherwise(1.0).alias("nz"))
 
 
 @query("i14_bridge_faces", f"""WITH {CLOUD}, {GEOMETRY}, sp AS (SELECT mission_id, point_id, quantile_cont(d,.5) AS spacing FROM (SELECT mission_id, point_id, unnest(min(CASE WHEN d>0 THEN d ELSE 1e300 END, 4)) AS d FROM (SELECT a.mission_id, a.point_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d FROM cl a JOIN cl b ON a.mission_id=b.mission_id AND a.point_id<>b.point_id) GROUP BY 1,2) GROUP BY 1,2),
@@ -49,7 +53,7 @@ def mesh(t):
  nn AS (SELECT g.mission_id, g.fid, avg(v.n[3]) AS nx, avg(v.n[4]) AS nz FROM (SELECT mission_id, fid, unnest([v0,v1,v2]) AS vid FROM fg) g JOIN vn v USING (mission_id, vid) GROUP BY 1,2)
  SELECT mission_id, fid, longest, cosine, mid_distance, mid_spacing, longest>7 AND cosine<0.97e0 AND mid_distance>0.75e0*mid_spacing AS bridge FROM (SELECT g.mission_id, g.fid, e AS longest, abs(CASE WHEN l>1e-12 THEN (n0*nx+n2*nz)/l ELSE 0 END)/(sqrt(nx*nx+nz*nz)+1e-30) AS cosine, mid_distance, mid_spacing FROM fg g JOIN le USING (mission_id, fid) JOIN mm USING (mission_id, fid) JOIN nn USING (mission_id, fid))""", "longest cosine mid_distance mid_spacing", 5)
 def _(t):
-    return co.bridge_faces(*mesh(t), 7.0, cos=0.97)
+    return co.bridge_faces(*mesh(t), cloud(t), 7.0, cos=0.97)
 
 
 @query("i15_best_views", f"""WITH {CLOUD}, {GEOMETRY}, k AS (SELECT mission_id, avg(cx) AS kx, avg(cy) AS ky, avg(cz) AS kz FROM poses GROUP BY 1),
@@ -59,5 +63,4 @@ def _(t):
  b AS (SELECT mission_id, fid, frame_id, cosine/(1+d/500) AS score, row_number() OVER (PARTITION BY mission_id, fid ORDER BY cosine/(1+d/500) DESC, frame_id) AS rk FROM o WHERE cosine>0.1 AND (free OR d<=zd*1.02e0+0.05e0))
  SELECT f.mission_id, f.fid, coalesce(b.frame_id,-1) AS frame_id, coalesce(b.score,0) AS score FROM mf f LEFT JOIN b ON b.mission_id=f.mission_id AND b.fid=f.fid AND rk=1""", "score")
 def _(t):
-    v, f, _ = mesh(t)
-    return co.best_views(v, f, poses(t), t.depth_px, cell=20.0)
+    return co.best_views(*mesh(t), poses(t), t.depth_px, cell=20.0)
