@@ -12,13 +12,17 @@
 * Unresolved queries meet the boxes of their key, a bounded number of them: the
   nearest boxes give a distance that is surely enough, and only boxes within it
   are joined with their points, box by box, with one row per query and box.
+* Queries at one place have one answer: where many coincide, a place is asked
+  once and its answer joined back to its points.
+* A caller that needs only a figure of each query's neighbours (``folded``) gets
+  it from the task that found them, one row per place instead of ``k`` per point.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -65,7 +69,78 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
 
 
-def _rank_all(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bool, names: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
+class Fold(NamedTuple):
+    """What is kept of the neighbours of a query: ``run(start, d2, extra)`` gets the neighbours of all queries in order of distance, those of
+    a query beginning at its ``start``, and returns the columns of ``schema``, one value per query; NaN in the first drops the query."""
+
+    schema: str
+    run: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[np.ndarray]]
+
+    @property
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.schema.split(", ")]
+
+
+def _spread(start: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the number of its query."""
+    return np.repeat(np.arange(len(start)), np.diff(np.r_[start, n]))
+
+
+def _taken(start: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """How many points of each place count among the k nearest, the query itself (at the first place) left out."""
+    w = weight.astype(np.int64)
+    w[start] -= 1
+    before = np.cumsum(w) - w
+    return np.clip(k - (before - before[start][_spread(start, len(w))]), 0, w)
+
+
+def mean_distance(k: int) -> Fold:
+    """Mean distance to the k nearest other points; a place carries the number of its points."""
+
+    def run(start: np.ndarray, d2: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
+        take = _taken(start, extra[0], k)
+        n = np.add.reduceat(take, start)
+        return [np.where(n > 0, np.add.reduceat(np.sqrt(d2) * take, start) / np.maximum(n, 1), np.nan)]
+
+    return Fold("mean double", run)
+
+
+def median_distance(k: int) -> Fold:
+    """Median of the distances above 0 to the k nearest other points; a place carries the number of its points."""
+
+    def run(start: np.ndarray, d2: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
+        d = np.sqrt(d2)
+        take = np.where(d > 0, _taken(start, extra[0], k), 0)
+        up = np.cumsum(take)
+        n, base = np.add.reduceat(take, start), up[start] - take[start]
+        at = [np.minimum(np.searchsorted(up, base + i, "right"), len(d) - 1) for i in (np.maximum(n - 1, 0) // 2, n // 2)]
+        return [np.where(n > 0, 0.5 * d[at[0]] + 0.5 * d[at[1]], np.nan)]
+
+    return Fold("median double", run)
+
+
+def covariance() -> Fold:
+    """Number of the neighbours and the six covariances of the three coordinates they carry."""
+
+    def run(start: np.ndarray, d2: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
+        row = _spread(start, len(d2))
+        n = np.diff(np.r_[start, len(d2)])
+        off = [x - (np.add.reduceat(x, start) / n)[row] for x in (e.astype(float) for e in extra[:3])]
+        return [n.astype(float), *[np.add.reduceat(off[i] * off[j], start) / n for i in range(3) for j in range(i, 3)]]
+
+    return Fold("n double, xx double, xy double, xz double, yy double, yz double, zz double", run)
+
+
+def _folded_rows(fold: Fold, first: pd.DataFrame, start: np.ndarray, d2: np.ndarray, extra: list[np.ndarray]) -> pd.DataFrame:
+    """The rows ``first`` (one per query) with what is kept of their neighbours."""
+    first = first.reset_index(drop=True)
+    got = fold.run(start, d2, extra) if len(start) else [np.zeros(0)] * len(fold.names)
+    for c, v in zip(fold.names, got):
+        first[c] = v
+    return first[~np.isnan(got[0])]
+
+
+def _rank_all(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bool, names: list[str], extra: list[str], columns: list[str], fold: Fold | None = None) -> pd.DataFrame:
     """Nearest of all targets ``t`` for each of the queries ``q``; columns ``names`` of a query stay."""
     q = q.reset_index(drop=True)
     t = t.sort_values("_tid", kind="stable").reset_index(drop=True)
@@ -95,6 +170,9 @@ def _rank_all(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bo
                 keep = place < k
                 rows.append(some[r[keep]]), cols.append(near[c[keep]]), dist.append(v[keep]), rank.append(place[keep] + 1)
     r, c = _joined(rows, int), _joined(cols, int)
+    if fold:
+        start = np.flatnonzero(_joined(rank, int) == 1)
+        return _folded_rows(fold, q.loc[r[start], names], start, _joined(dist, float), [t[e].to_numpy()[c] for e in extra]).assign(rank=1)[columns]
     out = q.loc[r, names].reset_index(drop=True)
     out["_d2"], out["_tid"], out["rank"] = _joined(dist, float), tid[c], _joined(rank, int)
     for e in extra:
@@ -102,7 +180,7 @@ def _rank_all(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, exclude_self: bo
     return out[columns]
 
 
-def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exclude_self: bool, keys: list[str], extra: list[str], columns: list[str]) -> pd.DataFrame:
+def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exclude_self: bool, keys: list[str], extra: list[str], columns: list[str], fold: Fold | None = None) -> pd.DataFrame:
     """Nearest targets of the queries of one tile, block by block of ``inner`` cells with a one-cell rim.
 
     Rank 0 marks a query that needs a wider look.
@@ -139,11 +217,16 @@ def _rank_tile(q: pd.DataFrame, t: pd.DataFrame, d: int, k: int, inner: int, exc
             keep = (place < k) & ok[r]
             rows.append(part[r[keep]]), cols.append(near[c[keep]]), dist.append(v[keep]), rank.append(place[keep] + 1)
     r, c = _joined(rows, int), _joined(cols, int)
-    out = q.loc[r, [*keys, "_qid"]].reset_index(drop=True)
-    out["_d2"], out["_tid"], out["rank"] = _joined(dist, float), tid[c], _joined(rank, int)
-    for e in extra:
-        out[e] = t[e].to_numpy()[c]
-    left = q.loc[~final, [*keys, "_qid"]].copy()
+    named = [*keys, "_qid", *([f"_p{i}" for i in range(d)] if fold else [])]
+    if fold:
+        start = np.flatnonzero(_joined(rank, int) == 1)
+        out = _folded_rows(fold, q.loc[r[start], named], start, _joined(dist, float), [t[e].to_numpy()[c] for e in extra]).assign(rank=1)
+    else:
+        out = q.loc[r, named].reset_index(drop=True)
+        out["_d2"], out["_tid"], out["rank"] = _joined(dist, float), tid[c], _joined(rank, int)
+        for e in extra:
+            out[e] = t[e].to_numpy()[c]
+    left = q.loc[~final, named].copy()
     left["rank"] = 0
     return pd.concat([out, left.reindex(columns=out.columns)], ignore_index=True)[columns] if len(left) else out[columns]
 
@@ -158,6 +241,10 @@ def _types(*frames: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for df in frames for f in df.schema} | {"_d2": "double", "rank": "int"}
 
 
+def _kept(fold: Fold | None) -> dict[str, str]:
+    return dict(c.split() for c in fold.schema.split(", ")) if fold else {}
+
+
 def _salted(q: DataFrame, t: DataFrame, group: list[str], size: int) -> tuple[DataFrame, DataFrame]:
     """Groups of many queries are dealt to several tasks by ``_salt``; the targets of the group go to each of them."""
     busy = q.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).alias("_salts")).filter("_salts > 1")
@@ -167,14 +254,14 @@ def _salted(q: DataFrame, t: DataFrame, group: list[str], size: int) -> tuple[Da
     return q, t.select(*[F.col(c).alias(c) for c in t.columns])
 
 
-def _ranked_by(q: DataFrame, t: DataFrame, group: list[str], size: int, d: int, k: int, exclude_self: bool, names: list[str], extra: list[str]) -> DataFrame:
+def _ranked_by(q: DataFrame, t: DataFrame, group: list[str], size: int, d: int, k: int, exclude_self: bool, names: list[str], extra: list[str], fold: Fold | None = None) -> DataFrame:
     """Nearest targets of the same ``group`` for each query, ``names`` of the query kept."""
     q, t = _salted(q, t, group, size)
-    columns = [*names, "_d2", "_tid", "rank", *extra]
-    types = _types(t, q)
+    columns = [*names, "rank", *fold.names] if fold else [*names, "_d2", "_tid", "rank", *extra]
+    types = _types(t, q) | _kept(fold)
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _rank_all(left, right, d, k, exclude_self, names, extra, columns)
+        return _rank_all(left, right, d, k, exclude_self, names, extra, columns, fold)
 
     n, at = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*group, "_salt"]
     both = q.repartition(n, *at).groupBy(*at).cogroup(t.repartition(n, *at).groupBy(*at))
@@ -265,7 +352,7 @@ def _with_rim(placed: DataFrame, axes: list[str], tiles: list[str], side: int) -
     return out
 
 
-def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra):
+def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra, fold=None):
     """Round 0: final neighbours per tile and the queries that need more."""
     d = len(dims)
     q = todo
@@ -280,51 +367,49 @@ def _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_
     asked = [*keys, "_qid", *[f"_p{i}" for i in range(d)]]
     every, lone = q.select(*asked), q.join(held, group, "left_anti").select(*asked)
     q, t = _salted(q.join(held, group, "left_semi"), t, group, BUSY)
-    types = _types(t, q)
-    columns = [*keys, "_qid", "_d2", "_tid", "rank", *extra]
+    types = _types(t, q) | _kept(fold)
+    columns = [*asked, "rank", *fold.names] if fold else [*keys, "_qid", "_d2", "_tid", "rank", *extra]
     schema = ", ".join(f"{c} {types[c]}" for c in columns)
     group = keys + tiles + ["_salt"]
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _rank_tile(left, right, d, k, inner, exclude_self, keys, extra, columns)
+        return _rank_tile(left, right, d, k, inner, exclude_self, keys, extra, columns, fold)
 
     # A fixed partition count: tasks here are bound by compute, so byte-based coalescing would starve them.
     n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q, t = q.repartition(n, *group), t.repartition(n, *group)
     hits = cut(q.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(task, schema))
-    good = hits.filter("rank > 0").select(*keys, "_qid", "_tid", "rank", F.sqrt("_d2").alias("distance"), *extra)
+    good = hits.filter("rank > 0")
+    good = good.select(*asked, *fold.names) if fold else good.select(*keys, "_qid", "_tid", "rank", F.sqrt("_d2").alias("distance"), *extra)
     more = every.join(hits.filter("rank = 0").select(*keys, "_qid"), keys + ["_qid"], "left_semi")
     return good, cut(more.unionByName(lone))
 
 
-def knn(
-    queries: DataFrame,
-    targets: DataFrame,
-    keys: Sequence[str],
-    dims: Sequence[str] = ("x", "y", "z"),
-    k: int = 1,
-    qid: str = "point_id",
-    tid: str = "point_id",
-    exclude_self: bool = False,
-    carry: Sequence[str] = (),
-    max_tile: int = 16384,
-) -> DataFrame:
-    """Rows ``keys, qid, neighbour, rank, distance`` plus carried target columns.
+def _fold_far(far: DataFrame, todo: DataFrame, keys: list[str], d: int, extra: list[str], fold: Fold) -> DataFrame:
+    """What ``fold`` keeps of the ranked rows of queries that no tile settled."""
+    names = [*keys, "_qid", *[f"_p{i}" for i in range(d)]]
+    lists = far.groupBy(*keys, "_qid").agg(F.sort_array(F.collect_list(F.struct("rank", "_d2", *extra))).alias("_l"))
+    lists = todo.select(*names).join(lists, [*keys, "_qid"]).select(*names, *[F.expr(f"transform(_l, r -> r.{c})").alias(f"_l{i}") for i, c in enumerate(("_d2", *extra))])
+    types = _types(todo) | _kept(fold)
 
-    Ties go to the smaller target id.  ``exclude_self`` skips a target whose id
-    equals the query id.  Queries of keys without targets give no rows.
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            start = np.cumsum(np.r_[0, [len(x) for x in f["_l0"]]])[:-1].astype(int)
+            flat = [np.concatenate(list(f[f"_l{i}"])) if len(f) else np.zeros(0) for i in range(1 + len(extra))]
+            yield _folded_rows(fold, f[names], start, flat[0], flat[1:])[[*names, *fold.names]]
+
+    return lists.mapInPandas(task, ", ".join(f"{c} {types[c]}" for c in (*names, *fold.names)))
+
+
+def _search(pts: DataFrame, tgt: DataFrame, keys: list[str], dims: list[str], k: int, exclude_self: bool, extra: list[str], max_tile: int, fold: Fold | None = None) -> DataFrame:
+    """Rows ``keys, _qid, _tid, rank, distance, extra`` of ``pts(keys, _qid, dims)``, or with ``fold`` its columns with ``_p0 ..`` of the query.
+
+    ``tgt(keys, _tid, _t0 .., extra)`` holds no more copies of a place than matter.
     """
-    keys, dims, carry = list(keys), list(dims), list(carry)
     d = len(dims)
     axes = [f"_g{i}" for i in range(d)]
     td = [f"_t{i}" for i in range(d)]
     need = k + (1 if exclude_self else 0)
-    targets, queries = once(targets), once(queries)
-    tgt = targets.select(*keys, F.col(tid).alias("_tid"), *[F.col(c).alias(t) for c, t in zip(dims, td)], *[F.col(c).alias(f"_x_{c}") for c in carry])
-    extra = [f"_x_{c}" for c in carry]
-    copies = Window.partitionBy(*keys, *td).orderBy("_tid")
-    tgt = tgt.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= need).drop("_copy")
-
     span = [F.max(t) - F.min(t) for t in td]
     widest = F.greatest(*span) if d > 1 else span[0]
     floor_ = F.greatest(widest * 1e-3, F.lit(1e-9))
@@ -332,21 +417,22 @@ def knn(
     per = 0.5 * need + 0.5
     inner = max(2, round((200.0 / per) ** (1.0 / d)))
     side = 3 * inner if d > 2 else 5 * inner
-    own = targets.select(*keys, *[F.col(c).alias(t) for c, t in zip(dims, td)])
-    sizes = cut(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.pow(vol * per / F.count(F.lit(1)), 1.0 / d).alias("_c")))
+    sizes = cut(tgt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.pow(vol * per / F.count(F.lit(1)), 1.0 / d).alias("_c")))
     known = sizes.count()
     small = F.broadcast if known <= FEW_KEYS else (lambda df: df)
-    pts = queries.select(*keys, F.col(qid).alias("_qid"), *dims)
+    asked = [*keys, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)]]
+    names = [*keys, "_qid", *([f"_p{i}" for i in range(d)] if fold else [])]
     done = []
-    # a pile of copies counts as the few of it that matter
-    piles = own.join(small(sizes.filter(F.col("_n") <= 64 * FEW).select(*keys)), keys, "left_semi").groupBy(*keys, *td).agg(F.least(F.count(F.lit(1)), F.lit(need)).alias("_n"))
-    few = cut(piles.groupBy(*keys).agg(F.sum("_n").alias("_n")).filter(F.col("_n") <= FEW).select(*keys))
+
+    def near(q: DataFrame, t: DataFrame) -> DataFrame:
+        out = _ranked_by(q.select(*asked), t, keys, BLOCK, d, k, exclude_self, names, extra, fold)
+        return out.drop("rank") if fold else out.withColumn("distance", F.sqrt("_d2")).drop("_d2")
+
+    few = sizes.filter(F.col("_n") <= FEW).select(*keys)
     settled = few.count()
     if settled:
-        q = pts.join(small(few), keys, "left_semi").select(*keys, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)])
-        t = tgt.join(small(few), keys, "left_semi")
-        done.append(_ranked_by(q, t, keys, BLOCK, d, k, exclude_self, [*keys, "_qid"], extra).withColumn("distance", F.sqrt("_d2")).drop("_d2"))
-        sizes = cut(sizes.join(few, keys, "left_anti"))
+        done.append(near(pts.join(small(few), keys, "left_semi"), tgt.join(small(few), keys, "left_semi")))
+        sizes = cut(sizes.filter(F.col("_n") > FEW))
     sizes = sizes.select(*keys, "_c")
     limit = max(max_tile, 4 * need)
     tiles = [f"_w{i}" for i in range(d)]
@@ -368,14 +454,52 @@ def knn(
         )
         bounds = small(cut(reach.join(sizes, keys)))
         todo = _cells(pts, bounds, keys, dims, [f"_q{i}" for i in range(d)]).join(bounds.drop("_c"), keys)
-        good, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra)
+        good, todo = _tile_round(todo, rim, keys, dims, td, axes, tiles, side, inner, k, exclude_self, extra, fold)
         done.append(good)
         if not todo.isEmpty():
             far = _far_round(todo, placed.drop("_c"), keys, axes, td, k, need, exclude_self, extra)
-            done.append(far.withColumn("distance", F.sqrt("_d2")).drop("_d2"))
+            done.append(_fold_far(far, todo, keys, d, extra, fold) if fold else far.withColumn("distance", F.sqrt("_d2")).drop("_d2"))
     if not done:  # no targets at all
-        done.append(_ranked_by(pts.limit(0).select(*keys, "_qid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(dims)]), tgt, keys, BLOCK, d, k, exclude_self, [*keys, "_qid"], extra).withColumn("distance", F.sqrt("_d2")).drop("_d2"))
-    out = reduce(DataFrame.unionByName, done)
+        done.append(near(pts.limit(0), tgt))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _targets(targets: DataFrame, keys: list[str], dims: list[str], tid: str, need: int, carry: list[str]) -> DataFrame:
+    """Targets by the names of ``_search``, the ``need`` smallest ids of each place."""
+    td = [f"_t{i}" for i in range(len(dims))]
+    tgt = targets.select(*keys, F.col(tid).alias("_tid"), *[F.col(c).alias(t) for c, t in zip(dims, td)], *[F.col(c).alias(f"_x_{c}") for c in carry])
+    copies = Window.partitionBy(*keys, *td).orderBy("_tid")
+    return cut(tgt.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= need).drop("_copy"))
+
+
+def knn(
+    queries: DataFrame,
+    targets: DataFrame,
+    keys: Sequence[str],
+    dims: Sequence[str] = ("x", "y", "z"),
+    k: int = 1,
+    qid: str = "point_id",
+    tid: str = "point_id",
+    exclude_self: bool = False,
+    carry: Sequence[str] = (),
+    max_tile: int = 16384,
+) -> DataFrame:
+    """Rows ``keys, qid, neighbour, rank, distance`` plus carried target columns.
+
+    Ties go to the smaller target id.  ``exclude_self`` skips a target whose id
+    equals the query id.  Queries of keys without targets give no rows.
+    """
+    keys, dims, carry = list(keys), list(dims), list(carry)
+    extra = [f"_x_{c}" for c in carry]
+    targets, queries = once(targets), once(queries)
+    tgt = _targets(targets, keys, dims, tid, k + (1 if exclude_self else 0), carry)
+    pts = queries.select(*keys, F.col(qid).alias("_qid"), *dims)
+    if not exclude_self and _coincide(pts, [*keys, *dims]):
+        spots = cut(pts.groupBy(*keys, *dims).agg(F.min("_qid").alias("_qid")))
+        out = once(_search(spots, tgt, keys, dims, k, False, extra, max_tile).join(spots, [*keys, "_qid"]).drop("_qid"))
+        out = pts.join(out, [*keys, *dims])
+    else:
+        out = _search(pts, tgt, keys, dims, k, exclude_self, extra, max_tile)
     return out.select(
         *keys,
         F.col("_qid").alias(qid),
@@ -384,3 +508,28 @@ def knn(
         "distance",
         *[F.col(f"_x_{c}").alias(c if c not in keys + [qid] else f"{c}_t") for c in carry],
     )
+
+
+def _coincide(pts: DataFrame, place: list[str]) -> bool:
+    """Whether there are two points a place or more, about; this decides the way only, not the result."""
+    n, places = pts.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*place))).first()
+    return n >= 2 * places > 0
+
+
+def folded(points: DataFrame, keys: Sequence[str], k: int, fold: Fold, others: bool, dims: Sequence[str] = ("x", "y", "z"), max_tile: int = 16384) -> DataFrame:
+    """Rows ``keys, dims`` and the columns of ``fold``, one per place of ``points(keys, point_id, dims)``.
+
+    With ``others`` it gets the k nearest other points of a point there, as places with the number of their points, else the k nearest
+    points, itself included, with their coordinates.  Ties go to the smaller ``point_id``.
+    """
+    keys, dims = list(keys), list(dims)
+    points = once(points)
+    spots = cut(points.groupBy(*keys, *dims).agg(F.min("point_id").alias("_qid"), F.least(F.count(F.lit(1)), F.lit(k + 1)).alias("_x_n")))
+    if others:
+        tgt = spots.select(*keys, F.col("_qid").alias("_tid"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(dims)], "_x_n")
+        extra = ["_x_n"]
+    else:
+        tgt = _targets(points, keys, dims, "point_id", k, dims)
+        extra = [f"_x_{c}" for c in dims]
+    out = _search(spots.drop("_x_n"), tgt, keys, dims, k + 1 if others else k, False, extra, max_tile, fold)
+    return out.select(*keys, *[F.col(f"_p{i}").alias(c) for i, c in enumerate(dims)], *fold.names)

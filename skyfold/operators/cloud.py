@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyfold.functions.stats import clip, grade, norm3
 from skyfold.kernels.hull import convex_hull, hull_area
-from skyfold.kernels.knn import knn
+from skyfold.kernels.knn import covariance, folded, mean_distance, median_distance
 from skyfold.kernels.moments import eigen_sym3
 from skyfold.kernels.quantile import quantiles, with_quantiles
 from skyfold.operators.telemetry import KEY
@@ -14,6 +14,7 @@ from skyfold.operators.track import GRADES
 from skyfold.session import once
 
 VOXEL = ["vx", "vy", "vz"]
+PLACE = ["x", "y", "z"]
 
 
 def voxels(df: DataFrame, size: float) -> DataFrame:
@@ -72,13 +73,12 @@ def min_confidence(points: DataFrame, floor: float) -> DataFrame:
 def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, keys: list[str] = KEY) -> DataFrame:
     """Points with ``mean_nn`` and ``keep``: within mean + ratio * deviation of the cloud, which ``keys`` name."""
     points = once(points)
-    near = knn(points, points, keys, k=k, exclude_self=True)
-    mean = once(near.groupBy(*keys, "point_id").agg(F.avg("distance").alias("mean_nn"), F.max("rank").alias("_k")))
-    lim = mean.groupBy(*keys).agg(F.avg("mean_nn").alias("_m"), F.stddev_pop("mean_nn").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = mean.join(lim, keys)
+    near = folded(points, keys, k, mean_distance(k), others=True).withColumnRenamed("mean", "mean_nn")
+    mean = once(points.join(near, [*keys, *PLACE], "left").select(*points.columns, "mean_nn"))
+    lim = mean.groupBy(*keys).agg(F.avg("mean_nn").alias("_m"), F.stddev_pop("mean_nn").alias("_s"), F.count("mean_nn").alias("_n"))
     small = (F.col("_n") < k + 1) | (F.col("_s") == 0)
-    j = j.select(*keys, "point_id", "mean_nn", (small | (F.col("mean_nn") <= F.col("_m") + ratio * F.col("_s"))).alias("keep"))
-    return points.join(j, [*keys, "point_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
+    keep = F.coalesce(small | (F.col("mean_nn") <= F.col("_m") + ratio * F.col("_s")), F.lit(True))
+    return mean.join(lim, keys, "left").select(*points.columns, "mean_nn", keep.alias("keep"))
 
 
 def radius_outliers(points: DataFrame, radius: float = 0.4, least: int = 5) -> DataFrame:
@@ -151,8 +151,7 @@ def weak_regions(points: DataFrame, size: float, top: int = 10) -> DataFrame:
 def dense_quality(points: DataFrame, size: float, noise_percent: float = 0.0) -> DataFrame:
     """Spacing, coverage, occlusion, confidence and residual in one score per mission."""
     points = once(points)
-    near = knn(points, points, KEY, k=1, exclude_self=True)
-    space = near.groupBy(*KEY).agg(F.avg("distance").alias("mean_spacing"))
+    space = nearest_distance(points).groupBy(*KEY).agg(F.avg("distance").alias("mean_spacing"))
     cells = once(footprint(points, size))
     hull = hull_area(convex_hull(cells, KEY), KEY)
     box = cells.groupBy(*KEY).agg(((F.max("ix") - F.min("ix") + 1) * (F.max("iy") - F.min("iy") + 1)).alias("_box"))
@@ -196,16 +195,23 @@ def twin_measurements(points: DataFrame) -> DataFrame:
     )
 
 
+def nearest_distance(points: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Distance of every point to its nearest other point."""
+    points = once(points)
+    near = folded(points, keys, 1, mean_distance(1), others=True)
+    return points.select(*keys, "point_id", *PLACE).join(near, [*keys, *PLACE]).select(*keys, "point_id", F.col("mean").alias("distance"))
+
+
 def spacing_stats(points: DataFrame) -> DataFrame:
     """Percentiles of the nearest-neighbour distance."""
-    near = knn(points, points, KEY, k=1, exclude_self=True)
-    return quantiles(near, KEY, p50=("distance", 0.5), p90=("distance", 0.9), p95=("distance", 0.95), p99=("distance", 0.99))
+    return quantiles(nearest_distance(points), KEY, p50=("distance", 0.5), p90=("distance", 0.9), p95=("distance", 0.95), p99=("distance", 0.99))
 
 
 def spacing_field(points: DataFrame, k: int = 6, keys: list[str] = KEY) -> DataFrame:
     """Median distance to the k nearest points, zero distances dropped."""
-    near = knn(points, points, keys, k=k, exclude_self=True).filter("distance > 0")
-    return near.groupBy(*keys, "point_id").agg(F.percentile("distance", 0.5).alias("spacing"))
+    points = once(points)
+    near = folded(points, keys, k, median_distance(k), others=True)
+    return points.select(*keys, "point_id", *PLACE).join(near, [*keys, *PLACE]).select(*keys, "point_id", F.col("median").alias("spacing"))
 
 
 def spacing_summary(spacing: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -219,11 +225,9 @@ def spacing_summary(spacing: DataFrame, keys: list[str] = KEY) -> DataFrame:
 def estimate_normals(points: DataFrame, k: int = 20, viewpoint: tuple[float, float, float] = (0.0, 0.0, 1e6), keys: list[str] = KEY) -> DataFrame:
     """Unit normals from the k nearest points, turned towards the viewpoint."""
     points = once(points)
-    near = knn(points, points, keys, k=k, carry=["x", "y", "z"])
-    cov = [F.covar_pop(a, b) for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]
-    c = near.groupBy(*keys, "point_id").agg(F.array(*cov).alias("cov"), F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
-    c = c.withColumn("e", eigen_sym3("cov")).select(*keys, "point_id", *[F.col("e.vectors")[i].alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
-    j = points.drop("nx", "ny", "nz").join(c, [*keys, "point_id"], "left")
+    near = folded(points, keys, k, covariance(), others=False).filter("n >= 3")
+    c = near.withColumn("e", eigen_sym3(F.array("xx", "xy", "xz", "yy", "yz", "zz"))).select(*keys, *PLACE, *[F.col("e.vectors")[i].alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
+    j = points.drop("nx", "ny", "nz").join(once(c), [*keys, *PLACE], "left")
     away = sum((F.lit(v) - F.col(a)) * F.col(n) for v, a, n in zip(viewpoint, "xyz", ("nx", "ny", "nz"))) < 0
     flip = F.when(away, -1.0).otherwise(1.0)
     return j.select(*[x for x in points.columns if x not in ("nx", "ny", "nz")], *[(F.col(n) * flip).alias(n) for n in ("nx", "ny", "nz")])
