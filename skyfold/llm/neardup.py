@@ -275,6 +275,11 @@ def _rest(members: DataFrame, classes: DataFrame) -> DataFrame:
     return _as_ids(alone.unionByName(cross).mapInPandas(run, PAIR))
 
 
+def _rounds(members: int, classes: int) -> int:
+    """Rounds that the buckets are dealt to, so that a round shuffles no more signatures than there are classes, about."""
+    return max(1, -(-members // max(1, classes)))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """One row ``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
 
@@ -284,7 +289,8 @@ def components(docs: DataFrame) -> DataFrame:
     2. SuperMinHash signatures are cut into bands.  In each bucket every member is paired with one hub only: the member whose buckets
        are largest in sum, that is the centre of its near copies.  Verified pairs give components.
     3. Where a bucket still holds several components, likely pairs between them are verified, a forest per chunk of the bucket; then
-       all others, chunk against chunk, whose signatures may pass.  So every candidate pair of the banding is verified or already
+       all others, chunk against chunk, whose signatures may pass; where many buckets are left, they are dealt to rounds, which bounds
+       the signatures on disk at a time.  So every candidate pair of the banding is verified or already
        joined, and no group is expanded into all its pairs.
 
     A pair of similarity 0.75 is lost with a chance of about 2.7e-8: all bands miss it (2.4e-8), or fewer than AGREE slots agree (2.8e-9
@@ -305,6 +311,8 @@ def _judged(docs: DataFrame) -> DataFrame:
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("r"))
     classes = written(classes.select(F.struct("r.doc_id", "set_a").alias("id"), "set_b", "r.n_shingles", "r.signature", "r.bands"), "near-classes")
+    signed = written(signed.select("doc_id", "n_shingles", "set_a", "set_b"), "near-rows")
+    forget(docs.sparkSession, since, ("near-classes", "near-rows"))  # signatures stay with the classes only
     banded = classes.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     member = written(banded.join(shared, "band"), "near-buckets")
@@ -327,9 +335,14 @@ def _judged(docs: DataFrame) -> DataFrame:
     likely = written(_likely(apart(edges), signs).join(pairs, ["a", "b"], "left_anti"), "near-likely")
     edges = written(edges.unionByName(_verified(likely, sets)), "near-edges")
     tried = pairs.unionByName(likely)
-    more = written(_verified(_rest(apart(edges), signs).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
-    final = _labels(edges.unionByName(more)).select("id", F.col("component.doc_id").alias("component_id"), F.col("component.set_a").alias("component_set"))
-    forget(docs.sparkSession, since, ("near-signatures", "near-classes"))
+    left = written(apart(edges), "near-apart")
+    rounds = _rounds(left.count(), classes.count())
+    for i in range(rounds):
+        some = left.filter(F.pmod(F.xxhash64("band"), F.lit(rounds)) == i)
+        more = written(_verified(_rest(some, signs).join(tried, ["a", "b"], "left_anti"), sets), "near-more")
+        edges = edges.unionByName(more)
+    final = _labels(edges).select("id", F.col("component.doc_id").alias("component_id"), F.col("component.set_a").alias("component_set"))
+    forget(docs.sparkSession, since, ("near-rows", "near-classes"))
     groups = classes.join(final, "id", "left").select(F.col("id.set_a").alias("set_a"), "set_b", F.coalesce("component_id", "id.doc_id").alias("component_id"), F.coalesce("component_set", "id.set_a").alias("component_set"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
