@@ -74,11 +74,12 @@ def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, key
     """Points with ``mean_nn`` and ``keep``: within mean + ratio * deviation of the cloud, which ``keys`` name."""
     points = once(points)
     near = folded(points, keys, k, mean_distance(k), others=True).withColumnRenamed("mean", "mean_nn")
-    mean = once(points.join(near, [*keys, *PLACE], "left").select(*points.columns, "mean_nn"))
-    lim = mean.groupBy(*keys).agg(F.avg("mean_nn").alias("_m"), F.stddev_pop("mean_nn").alias("_s"), F.count("mean_nn").alias("_n"))
+    mean = once(points.select(*keys, "point_id", *PLACE).join(near, [*keys, *PLACE]).select(*keys, "point_id", "mean_nn"))
+    lim = mean.groupBy(*keys).agg(F.avg("mean_nn").alias("_m"), F.stddev_pop("mean_nn").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    j = mean.join(lim, keys)
     small = (F.col("_n") < k + 1) | (F.col("_s") == 0)
-    keep = F.coalesce(small | (F.col("mean_nn") <= F.col("_m") + ratio * F.col("_s")), F.lit(True))
-    return mean.join(lim, keys, "left").select(*points.columns, "mean_nn", keep.alias("keep"))
+    j = j.select(*keys, "point_id", "mean_nn", (small | (F.col("mean_nn") <= F.col("_m") + ratio * F.col("_s"))).alias("keep"))
+    return points.join(j, [*keys, "point_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
 
 
 def radius_outliers(points: DataFrame, radius: float = 0.4, least: int = 5) -> DataFrame:
