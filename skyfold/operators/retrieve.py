@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,11 @@ from skyfold.session import cut, once
 
 # Routing words in order.
 QUERY_SLICE = 4096
-RECORD_BLOCK = 64  # records whose words are weighed at a time
+RECORD_BLOCK = 1024  # records that meet a block of queries at a time
+BLOCK_WORDS = 400_000  # words of such a block, unless one record has more
+OFTEN = 256  # words of a block of queries that are scored by a matrix product
+SPREAD = 2_000_000  # single products held at a time
+BLOCK = "id array<long>, norm array<double>, words string, ends array<int>, word array<int>, n array<int>"
 TOP = "qid long, id long, score double"
 LIMIT_SOURCES = 50
 COUNT = r"\b(how many|count|number of|total)\b"
@@ -84,55 +87,143 @@ def _terms(text: Column) -> Column:
     return F.coalesce(tokens(text), F.array().cast("array<string>"))
 
 
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """Rows ``id, tok`` in blocks of at most ``most``: a list of words, and how often each row has which of them.
+
+    Words are letters and digits, so they are held as one string with blanks between.
+    """
+
+    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            size = b["tok"].map(len).to_numpy(np.int64)
+            full = np.concatenate([[0], np.cumsum(size)])
+            start = 0
+            while start < len(b):
+                end = min(start + most, max(start + 1, int(np.searchsorted(full, full[start] + BLOCK_WORDS, "right")) - 1), len(b))
+                code, words = pd.factorize(np.concatenate([np.empty(0, object), *b["tok"].iloc[start:end]]))
+                key, n = np.unique(np.repeat(np.arange(end - start), size[start:end]) * max(len(words), 1) + code, return_counts=True)
+                row, word = np.divmod(key, max(len(words), 1))
+                yield pd.DataFrame({
+                    "id": [b["id"].iloc[start:end].to_numpy()], "norm": [np.sqrt(np.bincount(row, n * n, end - start))], "words": [" ".join(words)],
+                    "ends": [np.searchsorted(row, np.arange(end - start), "right").astype(np.int32)], "word": [word.astype(np.int32)], "n": [n.astype(np.int32)],
+                })
+                start = end
+
+    return rows.mapInPandas(task, BLOCK)
+
+
+class _Asked:
+    """A block of queries and the best ``k`` records of each so far."""
+
+    def __init__(self, b: dict, k: int):
+        self.qid, self.norm, self.n, self.k = b["qid"], b["q_norm"], b["q_n"].astype(float), k
+        self.ends, self.term = b["q_ends"].astype(np.int64), b["q_word"].astype(np.int64)
+        self.size = np.diff(self.ends, prepend=0)
+        words = b["q_words"].split()
+        self.at = {w: i for i, w in enumerate(words)}
+        # lists of the queries of each word; those of the words asked most make a matrix
+        row = np.repeat(np.arange(len(self.qid)), self.size)
+        weight = (self.n / self.norm[row]).astype(np.float32)
+        order = np.argsort(self.term, kind="stable")
+        self.listed, self.weight = row[order], weight[order]
+        self.count = np.bincount(self.term, minlength=len(words))
+        self.first = np.cumsum(self.count) - self.count
+        often = np.argsort(-self.count, kind="stable")[:OFTEN]
+        self.often = np.full(len(words), -1)
+        self.often[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), len(self.qid)), np.float32)
+        held = self.often[self.term] >= 0
+        self.matrix[self.often[self.term[held]], row[held]] = weight[held]
+        # what a sum of so many single-precision products may be off
+        self.off = (self.size + 8) * 2.4e-7
+        self.score, self.id = np.zeros((len(self.qid), k)), np.zeros((len(self.qid), k), np.int64)
+
+    def meet(self, b: dict) -> None:
+        """Score a block of records: in single precision against all queries, and exactly what may belong to the best."""
+        size, words = len(b["id"]), b["words"].split()
+        ends, word, n = b["ends"].astype(np.int64), b["word"].astype(np.int64), b["n"].astype(float)
+        row = np.repeat(np.arange(size), np.diff(ends, prepend=0))
+        term = np.array([self.at.get(w, -1) for w in words], np.int64)
+        known = np.flatnonzero(term[word] >= 0)
+        if not len(known):
+            return
+        t, r = term[word[known]], row[known]
+        w = (n[known] / b["norm"][r]).astype(np.float32)
+        held = self.often[t] >= 0
+        left = np.zeros((size, len(self.matrix)), np.float32)
+        left[r[held], self.often[t[held]]] = w[held]
+        score = left @ self.matrix
+        flat = score.reshape(-1)
+        t, r, w = t[~held], r[~held], w[~held]
+        total = np.cumsum(self.count[t])
+        start = 0
+        while start < len(t):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + SPREAD, "right")))
+            c = self.count[t[start:end]]
+            at = np.repeat(self.first[t[start:end]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            np.add.at(flat, np.repeat(r[start:end] * len(self.qid), c) + self.listed[at], np.repeat(w[start:end], c) * self.weight[at])
+            start = end
+        low = np.maximum(self.score[:, -1] - self.off, 1e-30)
+        near = score >= low.astype(np.float32)
+        many = np.flatnonzero(near.sum(0) > self.k)
+        if len(many):
+            kth = np.partition(score[:, many], size - self.k, axis=0)[size - self.k]
+            low[many] = np.maximum(low[many], kth - 2 * self.off[many])
+            near[:, many] = score[:, many] >= low[many].astype(np.float32)
+        r, q = np.nonzero(near)
+        if not len(r):
+            return
+        # counts are multiplied as whole numbers, so that equal records score the same in any block
+        back = np.full(len(self.at), -1)
+        back[term[term >= 0]] = np.flatnonzero(term >= 0)
+        c = self.size[q]
+        at = np.repeat(self.ends[q] - np.cumsum(c), c) + np.arange(c.sum())
+        found = back[self.term[at]]
+        key = np.repeat(r * len(words), c) + found
+        own = row * len(words) + word
+        place = np.minimum(np.searchsorted(own, key), len(own) - 1)
+        dot = np.where((found >= 0) & (own[place] == key), n[place] * self.n[at], 0.0)
+        exact = np.add.reduceat(dot, np.cumsum(c) - c) / (self.norm[q] * b["norm"][r])
+        seen = np.unique(q)
+        qs = np.concatenate([np.repeat(seen, self.k), q])
+        scores, ids = np.concatenate([self.score[seen].ravel(), exact]), np.concatenate([self.id[seen].ravel(), b["id"][r]])
+        order = np.lexsort((ids, -scores, qs))
+        first = np.searchsorted(qs[order], seen)
+        take = order[first[:, None] + np.arange(self.k)]
+        self.score[seen], self.id[seen] = scores[take], ids[take]
+
+    def best(self) -> pd.DataFrame:
+        out = pd.DataFrame({"qid": np.repeat(self.qid, self.k), "id": self.id.ravel(), "score": self.score.ravel()})
+        return out[out["score"] > 0]
+
+
 def lexical_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Cosine of raw term counts; ``records(id, text)``, ``queries(qid, text)``.
 
-    The words of the records are written once, and every bounded slice of the queries is scored against them in a scan without a
-    shuffle.  Only the words of a slice go to the tasks, which weigh those that a few records hold at a time; of a task only the
-    best ``k`` for each query leave it.
+    Records and queries are packed in blocks of bounded size, the records written once.  A task meets its blocks of records with one
+    block of queries after the other: no record is shuffled for it and no query passes the driver; of a task only the best ``k`` for
+    each query leave it.
     """
     spark = records.sparkSession
     few = spark.sparkContext.defaultParallelism
-    terms = cut(records.select("id", _terms(F.col("text")).alias("tok")).repartition(few, "id"))
-    parts = []
-    for rows in _slices(queries.select("qid", _terms(F.col("text")).alias("tok")), ["qid", "tok"], "qid"):
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast([(r["qid"], " ".join(r["tok"])) for r in rows])
-
-        def task(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids = np.array([q for q, _ in shared.value])
-            at: dict[str, list[tuple[int, float]]] = {}
-            for j, (_, words) in enumerate(shared.value):
-                counts = Counter(words.split())
-                norm = sum(c * c for c in counts.values()) ** 0.5
-                for w, c in counts.items():
-                    at.setdefault(w, []).append((j, c / norm))
-            weights = {w: (np.array([j for j, _ in x]), np.array([c for _, c in x])) for w, x in at.items()}
-            del at
-            score, ids = np.zeros((0, len(qids))), np.zeros((0, len(qids)), np.int64)
-            for b in it:
-                for start in range(0, len(b), RECORD_BLOCK):
-                    part = b.iloc[start : start + RECORD_BLOCK]
-                    counted = [Counter(t) for t in part["tok"]]
-                    used = {w: n for n, w in enumerate(sorted({w for c in counted for w in c} & weights.keys()))}
-                    d, m = np.zeros((len(part), len(used))), np.zeros((len(used), len(qids)))
-                    for i, c in enumerate(counted):
-                        norm = max(sum(n * n for n in c.values()) ** 0.5, 1e-12)
-                        for w, n in c.items():
-                            if w in used:
-                                d[i, used[w]] = n / norm
-                    for w, n in used.items():
-                        m[n, weights[w][0]] = weights[w][1]
-                    score = np.concatenate([score, d @ m])
-                    ids = np.concatenate([ids, np.broadcast_to(part["id"].to_numpy()[:, None], (len(part), len(qids)))])
-                    take = np.lexsort((ids, -score), axis=0)[:k]
-                    score, ids = np.take_along_axis(score, take, 0), np.take_along_axis(ids, take, 0)
-            out = pd.DataFrame({"qid": np.repeat(qids, len(score)), "id": ids.T.ravel(), "score": score.T.ravel()})
-            yield out[out["score"] > 0]
-
-        parts.append(terms.mapInPandas(task, TOP))
-    return _ranked(parts, k) if parts else spark.createDataFrame([], f"{TOP}, rank int")
+    terms = _spread(records.select("id", "text")).select("id", _terms(F.col("text")).alias("tok"))
+    left = cut(_packed(terms, RECORD_BLOCK).coalesce(few))
+    asked = once(queries.select(F.col("qid").alias("id"), "text"))
+    asked = cut(asked.repartition(max(1, -(-asked.count() // QUERY_SLICE))).select("id", _terms(F.col("text")).alias("tok")).filter(F.size("tok") > 0))
+    right = _packed(asked, QUERY_SLICE)
+    right = right.select(F.monotonically_increasing_id().alias("slice"), F.col("id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in right.columns if c != "id"])
+
+    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: dict[int, _Asked] = {}
+        for b in it:
+            for row in b.to_dict("records"):
+                if row["slice"] not in met:
+                    met[row["slice"]] = _Asked(row, k)
+                met[row["slice"]].meet(row)
+        for one in met.values():
+            yield one.best()
+
+    return _ranked([left.hint("shuffle_replicate_nl").crossJoin(right).mapInPandas(task, TOP)], k)
 
 
 def vector_topk(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
