@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, for small tables of a loop.
+
+    A checkpoint keeps the size that the plan was estimated to have.  Joined round by round these estimates multiply until the numbers
+    alone take minutes; rows that come from files have the size of the files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SHUFFLES = re.compile(r"\b(Join|Aggregate|Window|Sort|Generate|Expand|Deduplicate|\w*RepartitionByExpression|MapInPandas|FlatMapGroupsInPandas|ArrowEvalPython)\b")
 
 

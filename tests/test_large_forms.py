@@ -34,3 +34,20 @@ def test_structure_meets_one_row(spark):
     s = spark.createDataFrame([(1, 1, 3.0, 1.0), (1, 2, 4.5, 1.0), (1, 3, 40.0, 40.0), (2, 4, 0.0, 0.0)], "mission_id long, structure_id long, x double, y double")
     got = access.ground_cells(s, cells, 2.0)
     assert {r["structure_id"]: r["slope_deg"] for r in got.collect()} == {1: 1.0, 2: 2.0, 3: None, 4: None}
+
+
+def test_rounds_of_large_keys(spark, monkeypatch):
+    """Blocks give what one task gives, ties and selected errors included; estimated sizes do not multiply from round to round."""
+    rng = np.random.default_rng(8)
+    s = np.round(rng.normal(size=(90, 3)) * 4)
+    d = 1.5 * s + [4, 5, 6] + np.round(rng.normal(size=s.shape), 1)
+    d[:20] += 25
+    p = pd.DataFrame(np.hstack([s, d]), columns=alignment.PAIR).assign(mission_id=np.arange(90) % 2, frame_id=range(90))
+    p = spark.createDataFrame(pd.concat([p, p.iloc[:9]]))
+    monkeypatch.setattr(alignment, "PACK", 7)
+    monkeypatch.setattr(alignment, "MARKS", 3)
+    got = [alignment.fit_similarity_robust(p, iters=6, starts=3, bounded=b) for b in (1000, 10)]
+    assert got[1][0]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+    fits, rows = ([x[i].toPandas().sort_values(by).reset_index(drop=True) for x in got] for i, by in ((0, "mission_id"), (1, ["mission_id", "frame_id"])))
+    assert (rows[0]["inlier"] == rows[1]["inlier"]).all() and np.allclose(rows[0]["resid"], rows[1]["resid"]) and not rows[0]["inlier"].all()
+    assert np.allclose(fits[0][["n", "scale", "tx", "ty", "tz"]], fits[1][["n", "scale", "tx", "ty", "tz"]])
