@@ -89,7 +89,7 @@ def best_views(v: DataFrame, f: DataFrame, poses: DataFrame, depth: DataFrame |
     mean = poses.groupBy(*KEY).agg(*[F.avg(c).alias(f"k{c[1]}") for c in ("cx", "cy", "cz")])
     g = g.join(mean, KEY)
     turn = F.when(sum(((F.col(f"k{a}") - F.col(a)) * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)) < 0, -1.0).otherwise(1.0)
-    g = g.select(*KEY, "fid", *"xyz", *[(turn * F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"])
+    g = once(g.select(*KEY, "fid", *"xyz", *[(turn * F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"]))
     # the box of a view: its camera and the corners of its image at the reach
     size = cell or reach / 4
     rays = [[s * F.col("width") / 2 / F.col("f"), t * F.col("height") / 2 / F.col("f"), F.lit(1.0)] for s in (-1, 1) for t in (-1, 1)]
@@ -107,8 +107,9 @@ def best_views(v: DataFrame, f: DataFrame, poses: DataFrame, depth: DataFrame |
     first, last = [F.floor((a - EDGE) / size) for a in lo], [F.floor((a + EDGE) / size) for a in hi]
     span = lambda i: F.explode(F.sequence(first[i], F.greatest(first[i], last[i])))
     heights = g.groupBy(*KEY).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
-    cams = poses.select(*KEY, "frame_id", *POSE).join(heights, KEY).withColumn("gx", span(0)).withColumn("gy", span(1)).drop("_lo", "_hi")
-    j = g.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size)).join(cams, [*KEY, "gx", "gy"])
+    cams = poses.select(*KEY, "frame_id", *POSE).join(F.broadcast(heights), KEY).withColumn("gx", span(0)).withColumn("gy", span(1)).drop("_lo", "_hi")
+    # a camera enters many cells, which the estimated size of its table does not show: shuffled, not broadcast
+    j = g.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size)).join(cams.hint("merge"), [*KEY, "gx", "gy"])
     away = norm3(*[F.col(f"c{a}") - F.col(a) for a in "xyz"])
     cosine = sum(((F.col(f"c{a}") - F.col(a)) * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)) / F.when(F.col("_far") > 0, F.col("_far"))
     a, b, c = camera_axes(F.col("x"), F.col("y"), F.col("z"))

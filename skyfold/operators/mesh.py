@@ -11,10 +11,10 @@ from skyfold.session import once
 
 
 def corners(v: DataFrame, f: DataFrame, extra: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Faces with the coordinates of their three corners."""
+    """Faces with the coordinates of their three corners; vertices lie so dense in files that the planner would broadcast millions of them."""
     out = f
     for i in range(3):
-        out = out.join(v.select(*KEY, F.col("vid").alias(f"v{i}"), *[F.col(c).alias(f"{c}{i}") for c in extra]), [*KEY, f"v{i}"])
+        out = out.join(v.select(*KEY, F.col("vid").alias(f"v{i}"), *[F.col(c).alias(f"{c}{i}") for c in extra]).hint("merge"), [*KEY, f"v{i}"])
     return out
 
 

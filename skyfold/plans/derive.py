@@ -121,7 +121,7 @@ class Tables:
             F.struct((F.col("vid") * 2).alias("fid"), F.col("vid").alias("v0"), (F.col("vid") + 1).alias("v1"), (F.col("vid") + 40).alias("v2")),
             F.struct((F.col("vid") * 2 + 1).alias("fid"), (F.col("vid") + 1).alias("v0"), (F.col("vid") + 41).alias("v1"), (F.col("vid") + 40).alias("v2")),
         )
-        return v.join(far, ["mission_id", "vid"]).select("mission_id", "p_size", F.explode(two).alias("f")).select(
+        return v.join(far.hint("merge"), ["mission_id", "vid"]).select("mission_id", "p_size", F.explode(two).alias("f")).select(
             "mission_id", "f.*", (F.col("p_size") % 8).alias("label"), ((F.col("p_size") * 3) % 10 / 10.0).alias("conf")
         )
 

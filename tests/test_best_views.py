@@ -29,3 +29,12 @@ def test_query_makes_no_cloud(spark):
     assert "points" not in vars(t) and "fid" in f.columns and "vid" in v.columns
     name = "i15_best_views"
     assert compare(QUERIES[name](spark, t.sf_dir).toPandas(), duck(t.sf_dir).execute(SQL[name]).df()) is None
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """Vertices, faces and the cells of cameras are shuffled; only rows for each mission may be broadcast."""
+    t = derive.Tables(spark, str(DATA / "sf0.001"))
+    cells = consistency.best_views(*q_consistency.mesh(t), q_consistency.poses(t), cell=20.0)
+    for df, keys in ((cells, ("gx", "gy")), (consistency.face_geometry(*q_consistency.mesh(t)), ("v0", "v1", "v2", "vid"))):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x]
+        assert not [x for x in joins if any(f"{k}#" in x.split("],")[0] for k in keys)]
