@@ -18,6 +18,8 @@ from skyfold.session import cut, once
 # Depth budget share and floor, neighbour cameras.
 BUDGET_SHARE = 0.08
 NEAREST_CAMERAS = 8
+PLACE = [*KEY, "x", "y", "z"]
+EVIDENCE = ["observable", "agree", "behind", "closer", "max_shortfall", "min_range"]
 POSE = ["cx", "cy", "cz", "r", "f", "width", "height"]
 
 
@@ -59,21 +61,28 @@ def min_camera_range(points: DataFrame, poses: DataFrame, floor: float = 0.5) ->
     return n.withColumn("budget_m", F.greatest(BUDGET_SHARE * F.col("range_m"), F.lit(floor)))
 
 
-def cross_view_evidence(points: DataFrame, poses: DataFrame, depth: DataFrame, floor: float = 0.5, also: tuple[str, ...] = ()) -> DataFrame:
-    """Votes of the nearest cameras about each point: agree, closer or behind its budget; ``also`` names columns of the points that stay."""
-    points = once(points)
-    near = nearest_cameras(points, poses, NEAREST_CAMERAS)
-    j = near.join(points.select(*KEY, *also, "point_id", "x", "y", "z"), [*KEY, "point_id"]).join(poses.select(*KEY, "frame_id", *POSE), [*KEY, "frame_id"])
+def place_evidence(points: DataFrame, poses: DataFrame, depth: DataFrame, floor: float = 0.5) -> DataFrame:
+    """Votes of the nearest cameras about each place that holds points, asked once for all of them: agree, closer or behind its budget."""
+    spots = cut(points.groupBy(*PLACE).agg(F.min("point_id").alias("point_id")))
+    near = nearest_cameras(spots, poses, NEAREST_CAMERAS).withColumn("least", F.min("range_m").over(Window.partitionBy(*KEY, "point_id")))
+    j = near.join(spots, [*KEY, "point_id"]).join(poses.select(*KEY, "frame_id", *POSE), [*KEY, "frame_id"])
     p = project(j)
-    seen = p.select(*KEY, *also, "point_id", "frame_id", "range_m", "zc", "inside", F.when(F.col("inside"), F.col("u")).alias("u"), F.when(F.col("inside"), F.col("v")).alias("v"))
+    seen = p.select(*KEY, "point_id", "frame_id", "least", "zc", F.when(F.col("inside"), F.col("u")).alias("u"), F.when(F.col("inside"), F.col("v")).alias("v"))
     d = depth.filter("z > 0").select(*KEY, "frame_id", "u", "v", F.col("z").alias("zd"))
-    e = seen.join(d, [*KEY, "frame_id", "u", "v"], "left")
-    least = F.min("range_m").over(Window.partitionBy(*KEY, "point_id"))
-    e = e.withColumn("budget", F.greatest(BUDGET_SHARE * least, F.lit(floor))).withColumn("gap", F.col("zd") - F.col("zc"))
-    return e.groupBy(*KEY, *also, "point_id").agg(
-        F.count("zd").alias("observable"), F.count_if(F.abs("gap") <= F.col("budget")).alias("agree"), F.count_if(F.col("gap") > F.col("budget")).alias("behind"),
-        F.count_if(F.col("gap") < -F.col("budget")).alias("closer"), F.coalesce(F.max(-F.col("gap")), F.lit(0.0)).alias("max_shortfall"), F.min("range_m").alias("min_range"),
+    e = seen.join(d, [*KEY, "frame_id", "u", "v"], "left").select(*KEY, "point_id", "least", "zd", (F.col("zd") - F.col("zc")).alias("gap"))
+    budget = F.greatest(BUDGET_SHARE * F.col("least"), F.lit(floor))
+    votes = e.groupBy(*KEY, "point_id").agg(
+        F.count("zd").alias("observable"), F.count_if(F.abs("gap") <= budget).alias("agree"), F.count_if(F.col("gap") > budget).alias("behind"),
+        F.count_if(F.col("gap") < -budget).alias("closer"), F.coalesce(F.max(-F.col("gap")), F.lit(0.0)).alias("max_shortfall"), F.min("least").alias("min_range"),
     )
+    return votes.join(spots, [*KEY, "point_id"]).select(*PLACE, *EVIDENCE)
+
+
+def cross_view_evidence(points: DataFrame, poses: DataFrame, depth: DataFrame, floor: float = 0.5, also: tuple[str, ...] = ()) -> DataFrame:
+    """``place_evidence`` of each point, named by ``point_id``; ``also`` names columns of the points that stay."""
+    points = once(points)
+    own = points.select(*PLACE, *also, "point_id")
+    return own.join(place_evidence(points, poses, depth, floor), PLACE).select(*KEY, *also, "point_id", *EVIDENCE)
 
 
 def contradicted(evidence: DataFrame) -> DataFrame:
@@ -90,8 +99,9 @@ def cross_view_summary(evidence: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def reject_ghosts(points: DataFrame, poses: DataFrame, depth: DataFrame) -> DataFrame:
     """Points without the contradicted ones."""
-    bad = contradicted(cross_view_evidence(points, poses, depth)).select(*KEY, "point_id")
-    return points.join(bad, [*KEY, "point_id"], "left_anti")
+    points = once(points)
+    bad = contradicted(place_evidence(points, poses, depth)).select(*PLACE)
+    return points.join(bad, PLACE, "left_anti")
 
 
 def fuse_depth(depth: DataFrame, poses: DataFrame, size: float) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyfold.kernels.ordered import with_running
-from skyfold.session import once
+from skyfold.session import once, written
 
 
 class Tables:
@@ -75,7 +75,7 @@ class Tables:
             F.col("l_partkey"),
             rank="_copy",
         )
-        copy = once(copy)
+        copy = written(copy)  # all lines of the table; files take a small part of a checkpoint's disk
         return copy.select(
             (F.col("l_suppkey") % 8).alias("mission_id"),
             ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("_copy")).alias("point_id"),

@@ -55,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As ``cut``, for small tables of a loop.
+    """As ``cut``, but in columns and packed: for small tables of a loop, and for large ones of which readers take few columns.
 
     A checkpoint keeps the size that the plan was estimated to have.  Joined round by round these estimates multiply until the numbers
     alone take minutes; rows that come from files have the size of the files.

@@ -3,7 +3,7 @@
 import math
 
 from check import DATA, compare, duck
-from skyfold.operators import consistency
+from skyfold.operators import consistency, views
 from skyfold.plans import QUERIES, SQL, derive, q_consistency
 
 
@@ -38,3 +38,22 @@ def test_nothing_that_grows_is_broadcast(spark):
     for df, keys in ((cells, ("gx", "gy")), (consistency.face_geometry(*q_consistency.mesh(t)), ("v0", "v1", "v2", "vid"))):
         joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x]
         assert not [x for x in joins if any(f"{k}#" in x.split("],")[0] for k in keys)]
+
+
+def test_cameras_are_asked_once_per_place(spark, monkeypatch):
+    """Points of one place share its votes, whatever their epoch; the search meets places, not points."""
+    asked = []
+    nearest = views.nearest_cameras
+    monkeypatch.setattr(views, "nearest_cameras", lambda points, *a: asked.append(points.count()) or nearest(points, *a))
+    rows = [(1, "ab"[i % 2], i, float(i % 4), float(i % 3), 2.0) for i in range(120)]
+    p = spark.createDataFrame(rows, "mission_id long, epoch string, point_id long, x double, y double, z double")
+    r = [1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0]
+    cams = spark.createDataFrame([(1, i, 0.5 * i, 1.0, 60.0, r, 60.0, 64, 64) for i in range(9)], "mission_id long, frame_id long, cx double, cy double, cz double, r array<double>, f double, width int, height int")
+    depth = spark.createDataFrame([(1, i, u, v, 57.0 + i) for i in range(9) for u in range(64) for v in range(0, 64, 2)], "mission_id long, frame_id long, u long, v long, z double")
+    e = views.cross_view_evidence(p, cams, depth, also=("epoch",)).toPandas().sort_values("point_id").reset_index(drop=True)
+    assert asked == [12] and list(e["point_id"]) == list(range(120)) and list(e["epoch"]) == [r[1] for r in rows]
+    votes = e[["observable", "agree", "behind", "closer"]].assign(place=e["point_id"] % 12)
+    assert len(votes.drop_duplicates()) == 12 and votes["observable"].max() > 0
+    assert (e["agree"] + e["behind"] + e["closer"] == e["observable"]).all()
+    kept = views.reject_ghosts(p, cams, depth).toPandas()
+    assert set(kept["point_id"]) == set(e.loc[~((e["closer"] >= 1) & (e["agree"] <= 0)), "point_id"])
