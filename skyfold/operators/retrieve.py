@@ -13,7 +13,7 @@ from skyfold.session import cut, once
 
 # Routing words in order.
 QUERY_SLICE = 4096
-RECORD_BLOCK = 1024  # records that meet a block of queries at a time
+RECORD_BLOCK = 512  # records that meet a block of queries at a time
 BLOCK_WORDS = 400_000  # words of such a block, unless one record has more
 OFTEN = 256  # words of a block of queries that are scored by a matrix product
 SPREAD = 2_000_000  # single products held at a time
